@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import col, min_image
+from ..functions.kernels import min_image
+from .skew import per_group
+from .spatial import lengths
 
 
 def bead_info(mapping: DataFrame) -> DataFrame:
@@ -65,9 +67,9 @@ def periodic_centre_of_mass(atoms: DataFrame, mapping: DataFrame, box, frame: li
     first = joined.groupBy(*keys, "bead_id").agg(
         F.min_by(F.struct("x", "y", "z"), "atom_id").alias("_ref")
     )
-    unfolded = joined.join(first, [*keys, "bead_id"]).select(
+    unfolded = per_group(joined, first, [*keys, "bead_id"]).select(
         *keys, "bead_id", "mass",
-        *[min_image(F.col(ax) - F.col(f"_ref.{ax}"), box).alias(f"_d{ax}") for ax in "xyz"],
+        *[min_image(F.col(ax) - F.col(f"_ref.{ax}"), edge).alias(f"_d{ax}") for ax, edge in zip("xyz", lengths(box))],
         *[F.col(f"_ref.{ax}").alias(f"_r{ax}") for ax in "xyz"],
     )
     sums = unfolded.groupBy(*keys, "bead_id").agg(
@@ -91,3 +93,7 @@ def bead_positions(atoms: DataFrame, mapping: DataFrame) -> DataFrame:
     """Position of the first atom of each bead."""
     joined = atoms.select("atom_id", "x", "y", "z").join(mapping.select("atom_id", "bead_id"), "atom_id")
     return joined.groupBy("bead_id").agg(*[F.min_by(ax, "atom_id").alias(ax) for ax in "xyz"])
+
+
+def molecule_sizes(atoms: DataFrame) -> DataFrame:
+    return atoms.groupBy("mol_id").agg(F.count(F.lit(1)).alias("n_atoms"))

@@ -28,3 +28,10 @@ def lookup(fact: DataFrame, key: str, dim: DataFrame, dim_key: str, hot: DataFra
     cold = cold.join(named, F.col(key) == F.col("_dk"), "left").drop("_dk")
     warm = fact.join(hot_dim, F.col(key) == F.col("_hk")).drop("_hk")
     return cold.unionByName(warm)
+
+
+def per_group(fact: DataFrame, dim: DataFrame, group: list[str]) -> DataFrame:
+    """Join an aggregate back by group without piling a big group into one task."""
+    tagged = fact.withColumn("_g", F.struct(*group))
+    named = dim.withColumn("_gk", F.struct(*group)).drop(*group)
+    return lookup(tagged, "_g", named, "_gk").drop("_g")

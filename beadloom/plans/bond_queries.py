@@ -68,7 +68,7 @@ def _(t):
     WITH bm AS (SELECT DISTINCT bead_id, CASE WHEN bead_id % 13 = 0 THEN mol_id + 1 ELSE mol_id END AS mol FROM fx_map),
     bb AS (SELECT DISTINCT least(m1.bead_id, m2.bead_id) AS b1, greatest(m1.bead_id, m2.bead_id) AS b2
            FROM fx_bonds b JOIN fx_map m1 ON m1.atom_id = a1 JOIN fx_map m2 ON m2.atom_id = a2 WHERE m1.bead_id <> m2.bead_id)
-    SELECT b1, b2, x.mol AS mol1, y.mol AS mol2 FROM bb JOIN bm x ON x.bead_id = b1 JOIN bm y ON y.bead_id = b2 WHERE x.mol <> y.mol""")
+    SELECT b1, b2, x.mol AS mol1, y.mol AS mol2 FROM bb JOIN bm x ON x.bead_id = b1 JOIN bm y ON y.bead_id = b2 WHERE CASE WHEN x.mol <> y.mol THEN 1 ELSE 0 END = 1""")
 def _(t):
     beads = t.mapping.withColumn("mol_id", F.when(F.col("bead_id") % 13 == 0, F.col("mol_id") + 1).otherwise(F.col("mol_id")))
     return B.cross_molecule_bonds(B.atom_bonds_to_bead_bonds(t.bonds, t.mapping, keys=()), beads).select("b1", "b2", "mol1", "mol2")
