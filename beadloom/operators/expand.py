@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .bonds import angles_from_bonds, atom_bonds_to_bead_bonds, dihedrals_from_bonds, type_ids
 from .coarse import bead_info, periodic_centre_of_mass
 from .ordered import blocked_running_sum
@@ -95,9 +96,9 @@ def replicate_system(molecules: DataFrame, template_atoms: DataFrame, template_b
 
 def convert_to_beads(atoms: DataFrame, bonds: DataFrame, mapping: DataFrame, box) -> dict[str, DataFrame]:
     """Atoms, bonds and mapping to beads, bead bonds, angles and dihedrals with type ids."""
-    info = bead_info(mapping).select("bead_id", "mol_id", "bead_type")
+    info = cut_lineage(bead_info(mapping).select("bead_id", "mol_id", "bead_type"))
     beads = periodic_centre_of_mass(atoms, mapping, box).join(info, "bead_id")
-    bead_bonds = atom_bonds_to_bead_bonds(bonds, mapping, keys=()).select("b1", "b2")
+    bead_bonds = cut_lineage(atom_bonds_to_bead_bonds(bonds, mapping, keys=()).select("b1", "b2"))
     as_bonds = bead_bonds.select(F.col("b1").alias("a1"), F.col("b2").alias("a2"))
     return {
         "beads": beads,

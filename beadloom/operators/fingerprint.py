@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .ordered import blocked_running_sum, dense_index
 from .skew import lookup
 
@@ -37,6 +38,7 @@ def molecule_fingerprints(particles: DataFrame, terms: list[tuple[DataFrame, lis
 
 def structure_classes(fingerprints: DataFrame) -> DataFrame:
     """Classes numbered by the first molecule that shows them."""
+    fingerprints = cut_lineage(fingerprints)
     firsts = fingerprints.groupBy("fingerprint").agg(F.min("mol_id").alias("first_mol"))
     numbers = dense_index(firsts, "first_mol", "class_id")
     named = firsts.join(numbers, "first_mol").select(F.col("fingerprint").alias("_fp"), "first_mol", "class_id")
@@ -48,6 +50,7 @@ def equal_runs(classes: DataFrame, order: str = "mol_id", value: str = "class_id
 
     Neighbours meet by an equi join on the rank, so no window covers all molecules.
     """
+    classes = cut_lineage(classes.select(order, value))
     ranked = classes.join(dense_index(classes, order, "_rank"), order)
     previous = ranked.select((F.col("_rank") + 1).alias("_rank"), F.col(value).alias("_prev"))
     flagged = ranked.join(previous, "_rank", "left").withColumn(

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def bucketed_row_number(df: DataFrame, keys: list[str], bucket, order: list, name: str) -> DataFrame:
     """row_number over (keys order by bucket, order), computed per (key, bucket).
@@ -36,12 +38,12 @@ def dense_index(df: DataFrame, column: str, name: str, buckets: int = 256) -> Da
     Quantile bounds (at most ``buckets`` numbers, one row) cut the values into
     ranges; each range is numbered on its own and shifted by the sizes before it.
     """
-    values = df.select(column).where(F.col(column).isNotNull()).distinct()
+    values = cut_lineage(df.select(column).where(F.col(column).isNotNull()).distinct())
     probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     bounds = values.agg(
         F.array_distinct(F.percentile_approx(column, probs, F.lit(10000))).alias("_bounds")
-    )
-    cut = values.join(F.broadcast(bounds)).withColumn(
+    ).scalar()
+    cut = values.withColumn("_bounds", bounds).withColumn(
         "_b", F.size(F.filter("_bounds", lambda b: b < F.col(column)))
     ).drop("_bounds")
     return bucketed_index(cut, "_b", column, name)

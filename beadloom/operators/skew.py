@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 HOT_SHARE = 512
 
 
@@ -21,7 +23,9 @@ def lookup(fact: DataFrame, key: str, dim: DataFrame, dim_key: str, hot: DataFra
     Rows of hot keys take a broadcast of those few dimension rows, all others a
     shuffled join, so that no task receives a whole hot key.
     """
-    hot = hot_keys(fact, key) if hot is None else hot
+    if hot is None:
+        fact = cut_lineage(fact)  # read four times below
+        hot = hot_keys(fact, key)
     named = dim.withColumnRenamed(dim_key, "_dk")
     hot_dim = F.broadcast(hot.join(named, F.col("_hk") == F.col("_dk"), "left").drop("_dk"))
     cold = fact.join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left_anti")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import bonds as B
 from ..operators import coarse, expand, fingerprint, graph
+from ..session import cut_lineage
 from .fixtures import BOX, ID_SPAN
 from .registry import query, r
 
@@ -158,10 +159,10 @@ def _(t):
 
 
 def _bead_fingerprints(t):
-    beads = coarse.bead_info(t.mapping).select(
+    beads = cut_lineage(coarse.bead_info(t.mapping)).select(
         F.col("bead_id").alias("id"), "mol_id", (F.col("bead_id") % ID_SPAN).alias("local"), F.col("bead_type").alias("type")
     )
-    bb = B.atom_bonds_to_bead_bonds(t.bonds, t.mapping, keys=())
+    bb = cut_lineage(B.atom_bonds_to_bead_bonds(t.bonds, t.mapping, keys=()))
     as_bonds = bb.select(F.col("b1").alias("a1"), F.col("b2").alias("a2"))
     terms = [(bb, ["b1", "b2"]), (B.angles_from_bonds(as_bonds), ["b1", "b2", "b3"]), (B.dihedrals_from_bonds(as_bonds), ["b1", "b2", "b3", "b4"])]
     return fingerprint.molecule_fingerprints(beads, terms)
