@@ -71,23 +71,120 @@ def normalise_curve(curves: DataFrame, mode: str, keys=("curve_id",)) -> DataFra
 
 
 def js_divergence(pairs: DataFrame, keys: list[str], p: str = "p", q: str = "q") -> DataFrame:
-    """Base-2 Jensen-Shannon divergence of two aligned curves per key, in [0, 1].
+    """Base-2 Jensen-Shannon divergence of two aligned curves per key.
 
-    Both are normalised to one; logarithms see values clipped at 1e-12.
+    Both are normalised to one; the logarithms see values clipped to [1e-12, 1].
     """
-    whole = Window.partitionBy(*keys)
-    tiny = F.lit(1e-12)
-    norm = pairs.withColumn("_p", F.col(p) / F.sum(p).over(whole)).withColumn("_q", F.col(q) / F.sum(q).over(whole))
+    eps = 1e-12
+    sums = pairs.groupBy(*keys).agg(F.sum(p).alias("_sp"), F.sum(q).alias("_sq"))
+
+    def unit(c, total):
+        return F.when(F.col(total) > 0, F.col(c) / F.col(total)).otherwise(F.col(c))
+
+    norm = pairs.join(sums, keys).select(*keys, unit(p, "_sp").alias("_p"), unit(q, "_sq").alias("_q"))
     norm = norm.withColumn("_m", (F.col("_p") + F.col("_q")) / 2.0)
 
+    def clip(c):
+        return F.greatest(F.lit(eps), F.least(F.lit(1.0), F.col(c) / F.lit(1.0 + eps)))
+
     def term(a):
-        return F.when(F.col(a) > 0, F.col(a) * F.log2(F.greatest(F.col(a), tiny) / F.greatest(F.col("_m"), tiny))).otherwise(0.0)
+        return clip(a) * F.log2(clip(a) / clip("_m"))
 
-    return norm.groupBy(*keys).agg(
-        F.sum(term("_p")).alias("_kp"), F.sum(term("_q")).alias("_kq")
-    ).select(
-        *keys,
-        F.col("_kp").alias("kl_pm"),
-        F.col("_kq").alias("kl_qm"),
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("_kp") + F.col("_kq")) / 2.0)).alias("js"),
+    return norm.groupBy(*keys).agg(F.sum(term("_p")).alias("kl_p"), F.sum(term("_q")).alias("kl_q")).withColumn(
+        "js", (F.col("kl_p") + F.col("kl_q")) / 2.0
+    )
+
+
+def interpolate_uniform(points: DataFrame, grid: DataFrame, keys: list[str], lo: float, step: float) -> DataFrame:
+    """Linear interpolation of a uniform grid (keys, i, x, p) at ``points`` (keys, x) as ``q``.
+
+    The lower neighbour follows from the grid arithmetic, so both neighbours are equi joins.
+    """
+    k = F.floor((F.col("x") - F.lit(lo)) / F.lit(step))
+    at = points.withColumn("_k", k).withColumn("_t", (F.col("x") - F.lit(lo)) / F.lit(step) - k)
+    low = grid.select(*keys, F.col("i").alias("_k"), F.col("p").alias("_p0"))
+    high = grid.select(*keys, (F.col("i") - 1).alias("_k"), F.col("p").alias("_p1"))
+    joined = at.join(low, [*keys, "_k"], "left").join(high, [*keys, "_k"], "left")
+    q = F.col("_p0") + (F.coalesce("_p1", "_p0") - F.col("_p0")) * F.col("_t")
+    return joined.withColumn("q", q).drop("_k", "_t", "_p0", "_p1")
+
+
+def kernel_density(samples: DataFrame, keys: list[str], value: str, lo: float, hi: float, points: int, factor: float = 1.0) -> DataFrame:
+    """Gaussian density on a fixed grid, width factor * n^(-1/5) * sample deviation; zero below two samples.
+
+    Equal values are merged first; each value adds to the grid points on its own side of the shuffle.
+    """
+    merged = samples.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_w"))
+    stats = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp(value).alias("_s"))
+    step = (hi - lo) / (points - 1)
+    spread = merged.join(stats, keys).select(
+        *keys, "_v", "_w", "_n", (F.col("_s") * F.pow(F.col("_n").cast("double"), F.lit(-0.2)) * factor).alias("_h"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(points - 1).cast("bigint"))).alias("i"),
+    ).withColumn("x", F.lit(float(lo)) + F.col("i").cast("double") * F.lit(step))
+    z = (F.col("x") - F.col("_v")) / F.col("_h")
+    part = F.col("_w") * F.exp(F.lit(-0.5) * z * z)
+    out = spread.groupBy(*keys, "i", "x", "_n", "_h").agg(F.sum(part).alias("_s"))
+    dens = F.col("_s") / (F.col("_n") * F.col("_h") * F.lit(2.5066282746310002))
+    return out.select(*keys, "i", "x", F.when((F.col("_n") >= 2) & (F.col("_h") > 0), dens).otherwise(0.0).alias("density"))
+
+
+def ks_two_sample(a: DataFrame, b: DataFrame, keys: list[str], value: str, block: float) -> DataFrame:
+    """Two-sample statistic D and its limiting p value per key.
+
+    Values are counted first; the cumulative counts run in blocks of the value axis.
+    """
+    from .ordered import blocked_running_sum
+
+    both = a.select(*keys, F.col(value).alias("_v"), F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(
+        b.select(*keys, F.col(value).alias("_v"), F.lit(0).alias("_a"), F.lit(1).alias("_b"))
+    )
+    merged = both.groupBy(*keys, "_v").agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
+    totals = merged.groupBy(*keys).agg(F.sum("_a").alias("n1"), F.sum("_b").alias("n2"))
+    cum = blocked_running_sum(merged, keys, "_v", ["_a", "_b"], block=block)
+    d = F.max(F.abs(F.col("_a_cum") / F.col("n1") - F.col("_b_cum") / F.col("n2")))
+    out = cum.join(totals, keys).where("n1 > 0 AND n2 > 0").groupBy(*keys, "n1", "n2").agg(d.alias("d"))
+    lam2 = F.col("n1") * F.col("n2") / (F.col("n1") + F.col("n2")) * F.col("d") * F.col("d")
+    p = F.lit(0.0)
+    for k in range(1, 101):
+        p = p + F.lit(2.0 if k % 2 else -2.0) * F.exp(F.lit(-2.0 * k * k) * lam2)
+    return out.withColumn("p_value", F.when(F.col("d") == 0, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), p))))
+
+
+def goodness_of_fit(rows: DataFrame, keys: list[str], y: str, fit: str) -> DataFrame:
+    """RMSE and R^2 per key; without variance R^2 is 1 for an exact fit, else 0."""
+    d = F.col(y) - F.col(fit)
+    sums = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(d * d).alias("_ssr"), F.var_pop(y).alias("_var")
+    )
+    sst = F.col("_var") * F.col("n")
+    r2 = F.when(sst > 1e-30, F.lit(1.0) - F.col("_ssr") / sst).otherwise(F.when(F.col("_ssr") <= 1e-30, 1.0).otherwise(0.0))
+    return sums.select(*keys, "n", F.sqrt(F.col("_ssr") / F.col("n")).alias("rmse"), r2.alias("r2"))
+
+
+def binned_by_kind(values: DataFrame, keys: list[str], ranges: dict[str, tuple[float, float, int]]) -> DataFrame:
+    """One pass over (kind, value): bin counts with a range per kind."""
+    i = F.lit(None).cast("bigint")
+    x = F.lit(None).cast("double")
+    width = F.lit(None).cast("double")
+    for kind, (lo, hi, n) in ranges.items():
+        is_kind = F.col("kind") == kind
+        b = bin_index("value", lo, hi, n)
+        i = F.when(is_kind, b).otherwise(i)
+        w = (hi - lo) / n
+        x = F.when(is_kind, F.lit(float(lo)) + (F.col("i").cast("double") + 0.5) * F.lit(float(w))).otherwise(x)
+        width = F.when(is_kind, F.lit(float(w))).otherwise(width)
+    counts = values.groupBy(*keys, i.alias("i")).agg(F.count(F.lit(1)).alias("n"))
+    totals = counts.groupBy(*keys).agg(F.sum("n").alias("_all"))
+    return counts.where("i IS NOT NULL").join(totals, keys).select(
+        *keys, "i", x.alias("x"), "n", (F.col("n") / (F.col("_all") * width)).alias("density")
+    )
+
+
+def chain_statistics(chains: DataFrame, min_length: int, keys=()) -> DataFrame:
+    """Mn, Mw and PDI over chains of at least ``min_length``; none left fails the query."""
+    n = F.col("n")
+    out = chains.where(n >= min_length).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_chains"), F.sum(n).alias("n_units"), F.avg(n).alias("mn"), (F.sum(n * n) / F.sum(n)).alias("mw")
     )
+    checked = F.when(F.col("n_chains") > 0, F.col("n_chains")).otherwise(F.raise_error(F.lit("no chain is long enough")).cast("bigint"))
+    return out.withColumn("n_chains", checked).withColumn("pdi", F.col("mw") / F.col("mn"))

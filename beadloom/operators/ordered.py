@@ -19,16 +19,16 @@ def bucketed_row_number(df: DataFrame, keys: list[str], bucket, order: list, nam
 
     ``bucket`` is an integer Column with few values per key.
     """
-    tagged = df.withColumn("_b", bucket)
-    sizes = tagged.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inner = Window.partitionBy(*keys, "_b").orderBy(*order)
+    tagged = df.withColumn("_bucket", bucket)
+    sizes = tagged.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
+    inner = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     return (
-        tagged.withColumn("_rn", F.row_number().over(inner))
-        .join(offsets, [*keys, "_b"])
-        .withColumn(name, F.col("_rn") + F.col("_off"))
-        .drop("_b", "_rn", "_off")
+        tagged.withColumn("_in_bucket", F.row_number().over(inner))
+        .join(offsets, [*keys, "_bucket"])
+        .withColumn(name, F.col("_in_bucket") + F.col("_before"))
+        .drop("_bucket", "_in_bucket", "_before")
     )
 
 
