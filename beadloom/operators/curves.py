@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.units import BOLTZMANN
+from ..session import cut_lineage
 
 KEYS = ("curve_id",)
 # Defaults of the smoothing and quality rules.
@@ -408,19 +409,29 @@ def force_consistency(curves: DataFrame, value: str = "p", threshold: float = 1.
         "rate", F.col("n_bad") / F.col("n_checked"))
 
 
-def smoothing_quality(curves: DataFrame, raw: str = "p", smooth: str = "ps", keys=KEYS) -> DataFrame:
-    """Peak position, force roughness and peak height scores with their weighted total."""
-    k = list(keys)
-    both = with_force(curves.withColumn("u", _energy(raw, keys)), "u", keys).withColumnRenamed("d2f", "_dr").drop("f", "u")
-    both = with_force(both.withColumn("u", _energy(smooth, keys)), "u", keys).withColumnRenamed("d2f", "_ds")
+def _roughness(curves: DataFrame, value: str, name: str, keys) -> DataFrame:
+    """Sum of the squared second force derivative in the valid range times the bin width."""
+    out = with_force(curves.withColumn("u", _energy(value, keys)), "u", keys)
     inside = F.col("i").between(F.col("i_start"), F.col("i_end"))
     step = F.max(F.when(F.col("i") == 1, F.col("x"))) - F.min("x")
-    rough = both.groupBy(*k).agg(
-        step.alias("_h"), F.sum(F.when(inside, F.col("_dr") * F.col("_dr"))).alias("_a"), F.sum(F.when(inside, F.col("_ds") * F.col("_ds"))).alias("_b")
-    ).select(*k, "_h", (F.col("_a") * F.col("_h")).alias("rough_raw"), (F.col("_b") * F.col("_h")).alias("rough_smooth"))
-    pr = detect_peaks(curves, raw, keys).select(*k, "rank", F.col("x").alias("xr"), F.col("height").alias("hr"))
+    sums = out.groupBy(*keys).agg(step.alias("_h"), F.sum(F.when(inside, F.col("d2f") * F.col("d2f"))).alias("_s"))
+    return sums.select(*keys, "_h", (F.col("_s") * F.col("_h")).alias(name))
+
+
+def smoothing_quality(curves: DataFrame, raw: str = "p", smooth: str = "ps", keys=KEYS, raw_curves: DataFrame | None = None,
+                      raw_keys=None) -> DataFrame:
+    """Peak position, force roughness and peak height scores with their weighted total.
+
+    With many smoothed variants of one curve, ``raw_curves`` and ``raw_keys`` let the
+    raw side be measured once per curve.
+    """
+    k = list(keys)
+    rk = list(raw_keys or keys)
+    source = curves if raw_curves is None else raw_curves
+    rough = _roughness(curves, smooth, "rough_smooth", k).join(_roughness(source, raw, "rough_raw", rk).drop("_h"), rk)
+    pr = detect_peaks(source, raw, rk).select(*rk, "rank", F.col("x").alias("xr"), F.col("height").alias("hr"))
     ps = detect_peaks(curves, smooth, keys).select(*k, F.col("rank").alias("rank_s"), F.col("x").alias("xs"), F.col("height").alias("hs"))
-    pairs = pr.join(ps, k, "left")  # at most 6 x 6 per curve
+    pairs = rough.select(*k).join(pr, rk).join(ps, k, "left")  # at most 6 x 6 per curve
     same = (F.col("rank") == F.col("rank_s")) & (F.col("hr") > 0)
     near = pairs.groupBy(*k, "rank").agg(
         F.min(F.abs(F.col("xs") - F.col("xr"))).alias("_d"), F.max(F.when(same, F.abs(F.col("hs") - F.col("hr")) / F.col("hr"))).alias("_e")
@@ -509,6 +520,7 @@ def sweep_smoothing(curves: DataFrame, kind: str = "bond", base_window: int = 7,
                     ))
     tk = [*k, "small", "large", "order", "peak_factor"]
     tried = long.select(*k, "i", "x", "p", "i_start", "i_end", F.inline(F.array(*picks)))
-    scored = smoothing_quality(average_zone_borders(tried, "ps", tk), "p", "ps", tk)
+    tried = cut_lineage(average_zone_borders(tried, "ps", tk))
+    scored = smoothing_quality(tried, "p", "ps", tk, prepared, k)
     best = scored.groupBy(*k).agg(F.max_by(F.struct(*tk[len(k):], "score"), F.struct("score", *[-F.col(c) for c in tk[len(k):]])).alias("b"))
     return best.select(*k, "b.*")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.kernels import col
+from ..session import cut_lineage
 from .curves import gradient
 from .histograms import goodness_of_fit
 
@@ -168,8 +169,8 @@ def lj_direct(tables: DataFrame, keys=("table_id",), u_eval_max: float = 3.0) ->
     Tables without a well or a crossing get nulls.
     """
     k = list(keys)
-    shifted = tail_shift(tables, keys, "median")
-    f = curve_features(shifted, keys)
+    shifted = cut_lineage(tail_shift(tables, keys, "median"))
+    f = cut_lineage(curve_features(shifted, keys))
     params = f.select(*k, F.when(F.col("e_min") < 0, F.col("sigma")).alias("sigma"), F.when((F.col("e_min") < 0) & F.col("sigma").isNotNull(), -F.col("e_min")).alias("epsilon"), "r_min", "cutoff")
     seen = shifted.join(params.select(*k, "cutoff"), k).where((F.col("e") <= u_eval_max) | (F.col("x") > F.col("cutoff"))).drop("cutoff")
     return params.join(_evaluate_lj(seen, params.select(*k, "sigma", "epsilon"), k), k, "left")
@@ -182,19 +183,19 @@ def lj_well(tables: DataFrame, keys=("table_id",), u_wall: float = 2.0, u_eval_m
     """
     k = list(keys)
     w = Window.partitionBy(*k).orderBy("j")
-    rows = tail_shift(tables, keys, "median").withColumn("_up", F.lead("e").over(w) - F.col("e")).withColumn("_dn", F.col("e") - F.lag("e").over(w))
+    rows = cut_lineage(tail_shift(tables, keys, "median")).withColumn("_up", F.lead("e").over(w) - F.col("e")).withColumn("_dn", F.col("e") - F.lag("e").over(w))
     start = rows.groupBy(*k).agg(F.min(F.when(F.col("e") < u_wall, F.col("j"))).alias("_s"))
     rows = rows.join(start, k)
     wells = rows.where("j > _s AND _dn < 0 AND _up > 0").groupBy(*k).agg(F.min(F.struct("j", "x", "e")).alias("_w"))
     barr = rows.join(wells, k).where("j > _w.j AND _dn > 0 AND _up < 0").groupBy(*k).agg(F.min(F.struct("j", "x", "e")).alias("_b"))
-    marks = wells.join(barr, k)
+    marks = cut_lineage(wells.join(barr, k))
     prev = rows.withColumn("_pe", F.lag("e").over(w)).withColumn("_px", F.lag("x").over(w)).join(marks, k)
     hit = prev.where("j >= _s AND j <= _w.j AND e <= _b.e").groupBy(*k).agg(F.min(F.struct("j", "x", "e", "_px", "_pe")).alias("_h"))
     frac = (F.col("_h._pe") - F.col("_b.e")) / (F.col("_h._pe") - F.col("_h.e"))
-    params = marks.join(hit, k).select(
+    params = cut_lineage(marks.join(hit, k).select(
         *k, (F.col("_h._px") + frac * (F.col("_h.x") - F.col("_h._px"))).alias("sigma"), (F.col("_b.e") - F.col("_w.e")).alias("epsilon"),
         F.col("_w.x").alias("r_min"), F.col("_b.x").alias("cutoff"), F.col("_b.e").alias("_eb"),
-    )
+    ))
     seen = rows.join(params.select(*k, "cutoff", "_eb"), k).where((F.col("e") <= u_eval_max) & (F.col("x") <= F.col("cutoff")))
     seen = seen.withColumn("e", F.col("e") - F.col("_eb")).drop("cutoff", "_eb")
     fitted = params.drop("_eb").join(_evaluate_lj(seen, params.select(*k, "sigma", "epsilon"), k), k, "left")
@@ -260,7 +261,7 @@ def mix_tables(tables: DataFrame, pairs: DataFrame, mode: str = "geometric", for
     linear on a grid one point longer than the longer table.
     """
     key = ("table_id",)
-    shifted = tail_shift(tables, key, "mean")
+    shifted = cut_lineage(tail_shift(tables, key, "mean"))
     f = curve_features(shifted, key)
     lifted = shifted.join(f.select("table_id", "v_inflection", (F.col("sigma_in_wall").isNull() | (F.col("e_min") >= 0)).alias("_bad")), "table_id")
     lifted = lifted.withColumn("e2", F.when(F.col("_bad"), F.col("e") - F.col("v_inflection")).otherwise(F.col("e")))
@@ -282,7 +283,7 @@ def mix_tables(tables: DataFrame, pairs: DataFrame, mode: str = "geometric", for
     both = both.withColumn("va", _interpolate("rs", "x_a", "v_a")).withColumn("vb", _interpolate("rs", "x_b", "v_b"))
     rows = both.select(
         "a", "b", ((F.col("sigma_a") + F.col("sigma_b")) / 2).alias("sigma_mix"), F.sqrt(F.col("eps_a") * F.col("eps_b")).alias("eps_mix"),
-        "eps_a", "eps_b", F.posexplode(F.arrays_zip("rs", "va", "vb")).alias("i", "_z"),
+        "sigma_a", "sigma_b", "eps_a", "eps_b", F.posexplode(F.arrays_zip("rs", "va", "vb")).alias("i", "_z"),
     )
     va, vb = F.col("_z.va"), F.col("_z.vb")
     if mode == "arithmetic":
@@ -291,21 +292,29 @@ def mix_tables(tables: DataFrame, pairs: DataFrame, mode: str = "geometric", for
         size = F.sqrt(F.abs(va * vb))
         sign = F.when(F.signum(va) != F.signum(vb), -1.0).otherwise(F.signum(va)) if force_negative else F.signum(va)
         energy = sign * size * F.col("eps_mix")
-    curve = rows.select("a", "b", F.col("i").cast("bigint").alias("i"), (F.col("_z.rs") * F.col("sigma_mix")).alias("x"), energy.alias("u"), "sigma_mix", "eps_mix")
+    curve = rows.select("a", "b", F.col("i").cast("bigint").alias("i"), (F.col("_z.rs") * F.col("sigma_mix")).alias("x"), energy.alias("u"), "sigma_mix", "eps_mix", "sigma_a", "sigma_b", "eps_a", "eps_b")
     return curve.withColumn("f", -gradient("u", ("a", "b")))
 
 
-def mixing_checks(mixed: DataFrame, tolerance: float = 0.05) -> DataFrame:
-    """Zero crossing against sigma, depth against epsilon, and the tail near zero."""
+def mixing_checks(mixed: DataFrame) -> DataFrame:
+    """Crossing between both sigmas, depth between both epsilons, wall falling strictly."""
     key = ("a", "b")
-    f = curve_features(mixed.withColumn("e", F.col("u")), key)
-    scales = mixed.groupBy("a", "b").agg(
-        F.max("sigma_mix").alias("sigma_mix"), F.max("eps_mix").alias("eps_mix"), F.max_by("u", "x").alias("u_end")
+    mixed = cut_lineage(mixed)
+    f = curve_features(mixed.withColumn("e", F.col("u")), key).select("a", "b", F.col("sigma").alias("zero_crossing"), "e_min")
+    fall = F.lead("u").over(Window.partitionBy(*key).orderBy("i")) - F.col("u")
+    wall = (F.col("x") < F.col("sigma_mix")) & (F.lead("x").over(Window.partitionBy(*key).orderBy("i")) < F.col("sigma_mix"))
+    scales = mixed.withColumn("_rise", wall & (fall >= 0)).groupBy("a", "b").agg(
+        *[F.max(c).alias(c) for c in ("sigma_mix", "eps_mix", "sigma_a", "sigma_b", "eps_a", "eps_b")],
+        F.count_if("_rise").alias("_rises"), F.count_if(F.col("x") < F.col("sigma_mix")).alias("_wall"),
     )
-    out = f.select("a", "b", F.col("sigma").alias("_s"), "e_min").join(scales, ["a", "b"])
+    out = f.join(scales, ["a", "b"])
+
+    def between(v, p, q):
+        return F.coalesce(v.between(F.least(p, q), F.greatest(p, q)), F.lit(False))
+
     return out.select(
-        "a", "b", "sigma_mix", "eps_mix",
-        (F.abs(F.col("_s") - F.col("sigma_mix")) <= F.col("sigma_mix") * tolerance).alias("sigma_ok"),
-        (F.abs(-F.col("e_min") - F.col("eps_mix")) <= F.col("eps_mix") * tolerance).alias("depth_ok"),
-        (F.abs("u_end") <= F.col("eps_mix") * tolerance).alias("tail_ok"),
+        "a", "b", "sigma_mix", "eps_mix", "zero_crossing",
+        between(F.col("zero_crossing"), "sigma_a", "sigma_b").alias("between_sigma"),
+        between(F.abs("e_min"), "eps_a", "eps_b").alias("eps_between"),
+        ((F.col("_wall") > 2) & (F.col("_rises") == 0)).alias("repulsive_monotonic"),
     )
