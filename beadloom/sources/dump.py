@@ -1,12 +1,66 @@
-"""Trajectory dump text as DataFrames."""
+"""Trajectory dump text as DataFrames, batch or streaming, and the way back."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordered import bucketed_row_number
 
+FRAME_MARK = "ITEM: TIMESTEP\n"
+
+
+def dump_frames(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
+    """One row per frame: file, timestep, box, names of the atom columns and the atom lines."""
+    reader = spark.readStream if streaming else spark.read
+    raw = reader.option("lineSep", FRAME_MARK).text(path)
+    return parse_frames(raw.select(F.col("_metadata.file_path").alias("file"), "value"))
+
+
+def parse_frames(raw: DataFrame) -> DataFrame:
+    frames = raw.withColumn("_t", F.regexp_replace("value", r"\s+$", "")).where("_t <> ''").withColumn("_l", F.split("_t", "\n"))
+    head = F.get("_l", F.lit(3))
+    bounds = F.when(head.contains("xy"), F.raise_error(F.lit("triclinic boxes are not supported")).cast("array<string>")).otherwise(F.slice("_l", 5, 3))
+    names = F.split(F.trim(F.regexp_replace(F.get("_l", F.lit(7)), "^ITEM: ATOMS", "")), " +")
+
+    def edge(axis, side):
+        return F.get(F.split(F.trim(F.get("_b", F.lit(axis))), " +"), F.lit(side)).cast("double")
+
+    frames = frames.withColumn("_b", bounds).withColumn("names", names)
+    box = F.struct(*[edge(k, s).alias(f"{ax}{n}") for k, ax in enumerate("xyz") for s, n in ((0, "lo"), (1, "hi"))])
+    return frames.select(
+        "file", F.trim(F.get("_l", F.lit(0))).cast("bigint").alias("timestep"), box.alias("box"), "names",
+        F.slice("_l", 9, F.greatest(F.size("_l") - 8, F.lit(0))).alias("lines"),
+    )
+
+
+def frame_atoms(frames: DataFrame) -> DataFrame:
+    """Frames to one row per atom; columns are taken by name from the frame's own header.
+
+    Image flags are null where the header does not list them.
+    """
+    rows = frames.select("file", "timestep", "box", "names", F.explode("lines").alias("_t")).withColumn("_v", F.split(F.trim("_t"), " +"))
+
+    def named(name):
+        at = F.array_position("names", name).cast("int")
+        return F.when(at > 0, F.get("_v", at - 1))
+
+    ints, reals, flags = ("id", "type"), ("x", "y", "z"), ("ix", "iy", "iz")
+    return rows.select(
+        "file", "timestep", "box", *[named(c).cast("bigint").alias(c) for c in ints],
+        *[named(c).cast("double").alias(c) for c in reals], *[named(c).cast("int").alias(c) for c in flags],
+    )
+
+
+def read_dump(spark: SparkSession, path: str, max_frames: int | None = None, stride: int = 1) -> DataFrame:
+    """Atoms of every ``stride``-th frame per file, at most ``max_frames`` frames."""
+    frames = dump_frames(spark, path)
+    if stride > 1 or max_frames is not None:
+        kept = strided_frames(frames.select("file", "timestep"), ["file"], stride, max_frames)
+        frames = frames.join(kept, ["file", "timestep"])
+        return frame_atoms(frames).join(kept, ["file", "timestep"])
+    return frame_atoms(frames)
+
 
 def strided_frames(frames: DataFrame, keys: list[str], stride: int = 1, max_frames: int | None = None, order: str = "timestep",
                    block: int = 1000000) -> DataFrame:
@@ -15,3 +69,54 @@ def strided_frames(frames: DataFrame, keys: list[str], stride: int = 1, max_fram
     kept = numbered.withColumn("_i", F.col("_n") - 1).where(F.col("_i") % stride == 0)
     kept = kept.withColumn("frame", F.floor(F.col("_i") / F.lit(stride))).drop("_n", "_i")
     return kept if max_frames is None else kept.where(F.col("frame") < max_frames)
+
+
+def checked_frames(atoms: DataFrame, keys: list[str], id_col: str = "id") -> DataFrame:
+    """Size per frame; ids that are not exactly 1..N fail the query."""
+    sizes = atoms.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_atoms"), F.min(id_col).alias("_lo"), F.max(id_col).alias("_hi"), F.count_distinct(id_col).alias("_d"))
+    ok = (F.col("_lo") == 1) & (F.col("_hi") == F.col("n_atoms")) & (F.col("_d") == F.col("n_atoms"))
+    fail = F.raise_error(F.lit("atom ids are not 1..N")).cast("bigint")
+    return sizes.select(*keys, F.when(ok, F.col("n_atoms")).otherwise(fail).alias("n_atoms"))
+
+
+def dump_lines(atoms: DataFrame, box, frame: str = "timestep", images: bool = False) -> DataFrame:
+    """(frame, part, id, line): header lines are part 0..7, atom lines part 8."""
+    lx, ly, lz = box if isinstance(box, (tuple, list)) else (box, box, box)
+    cols = "id type x y z" + (" ix iy iz" if images else "")
+    heads = atoms.groupBy(frame).agg(F.count(F.lit(1)).alias("_n"))
+    texts = [
+        F.lit("ITEM: TIMESTEP"), F.col(frame).cast("string"), F.lit("ITEM: NUMBER OF ATOMS"), F.col("_n").cast("string"), F.lit("ITEM: BOX BOUNDS pp pp pp"),
+        F.lit("\n".join(f"{0.0:.8f} {edge:.8f}" for edge in (lx, ly, lz))), F.lit(f"ITEM: ATOMS {cols}"),
+    ]
+    header = heads.select(F.col(frame), F.posexplode(F.array(*texts)).alias("part", "line")).withColumn("id", F.lit(0).cast("bigint"))
+    fmt, args = "%5d %5d %8.3f %8.3f %8.3f", ["id", "type", "x", "y", "z"]
+    if images:
+        fmt, args = fmt + " %4d %4d %4d", [*args, "ix", "iy", "iz"]
+    body = atoms.select(F.col(frame), F.lit(8).alias("part"), F.format_string(fmt, *args).alias("line"), F.col("id"))
+    return header.select(frame, "part", "id", "line").unionByName(body.select(frame, "part", "id", "line"))
+
+
+def write_dump(atoms: DataFrame, path: str, box, frame: str = "timestep", images: bool = False) -> None:
+    """Frames as dump text. Lines are sorted, not gathered, so a big frame spills instead of filling memory.
+
+    A frame stays in one file, as its readers need.
+    """
+    lines = dump_lines(atoms, box, frame, images)
+    ordered = lines.repartitionByRange(F.col(frame)).sortWithinPartitions(frame, "part", "id")
+    ordered.select("line").write.mode("append").text(path)
+
+
+def write_rows(atoms: DataFrame, path: str, frame: str, form: str = "xyz") -> None:
+    """Frames as ordered rows: xyz in angstrom with T<type> names, or fixed-width gro in nm."""
+    heads = atoms.groupBy(frame).agg(F.count(F.lit(1)).alias("_n"))
+    title = F.format_string("%d\nframe %d" if form == "xyz" else "frame %2$d\n%1$5d", F.col("_n"), F.col(frame))
+    header = heads.select(F.col(frame), F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("id"), title.alias("line"))
+    name = F.concat(F.lit("T"), F.col("type").cast("string"))
+    if form == "xyz":
+        line = F.format_string("%s %.6f %.6f %.6f", name, "x", "y", "z")
+    else:
+        nm = [F.col(ax) / 10.0 for ax in "xyz"]
+        line = F.format_string("%5d%-5s%5s%5d%8.3f%8.3f%8.3f", F.col("id") % 100000, F.lit("MOL"), name, F.col("id") % 100000, *nm)
+    body = atoms.select(F.col(frame), F.lit(1).alias("part"), F.col("id"), line.alias("line"))
+    header.unionByName(body).repartitionByRange(F.col(frame)).sortWithinPartitions(frame, "part", "id").select("line").write.mode("append").text(path)
