@@ -59,14 +59,14 @@ def _(t):
     u AS (SELECT atom_id, type, {", ".join(f"{a} - 50.035::DOUBLE * sum(k{a}) OVER (PARTITION BY mol_id ORDER BY pos) AS {a}" for a in "xyz")} FROM k),
     c AS (SELECT m.bead_id, sum(coalesce(w.mass, 1)) AS mass, {", ".join(f"sum(coalesce(w.mass, 1) * {a}) / sum(coalesce(w.mass, 1)) AS {a}" for a in "xyz")}
       FROM u JOIN fx_map m USING (atom_id) LEFT JOIN ({_MASSES}) w ON w.type = u.type GROUP BY 1)
-    SELECT 7000::BIGINT AS timestep, bead_id, round(mass, 6) AS mass, {", ".join(f"round({a} - floor({a} / 50.035::DOUBLE) * 50.035::DOUBLE, 5) AS {a}" for a in "xyz")} FROM c""")
+    SELECT 7000::BIGINT AS timestep, bead_id, round(mass, 6) AS mass, {", ".join(f"round({a} - floor({a} / 50.035::DOUBLE) * 50.035::DOUBLE, 8) AS {a}" for a in "xyz")} FROM c""")
 def _(t):
     source, out = scratch_path(t.spark, "frames"), scratch_path(t.spark, "beads")
     dump.write_dump(t.atoms.select(F.lit(7000).cast("bigint").alias("timestep"), F.col("atom_id").alias("id"), "type", "x", "y", "z"), source, BOX)
     masses = t.atoms.select("type").distinct().where("type < 6").withColumn("mass", F.lit(1.0) + F.col("type") * F.lit(0.5))
     frames = dump.dump_frames(t.spark, source, streaming=True)
     S.run_available(frames, "append", S.bead_frames_sink(t.bonds, t.mapping, masses, BOX, out), "beads")
-    return t.spark.read.parquet(out).select("timestep", "bead_id", r("mass").alias("mass"), *[r(ax, 5).alias(ax) for ax in "xyz"])
+    return t.spark.read.parquet(out).select("timestep", "bead_id", r("mass").alias("mass"), *[r(ax, 8).alias(ax) for ax in "xyz"])
 
 
 @query("str5_incremental_distributions", """
