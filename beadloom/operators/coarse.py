@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import min_image
+from ..session import cut_lineage
 from .skew import per_group
 from .spatial import lengths
 
@@ -61,13 +62,13 @@ def periodic_centre_of_mass(atoms: DataFrame, mapping: DataFrame, box, frame: li
     atoms of one bead need not meet in one task.
     """
     keys = list(frame or [])
-    joined = atoms.select(*keys, "atom_id", "x", "y", "z").join(
+    joined = cut_lineage(atoms.select(*keys, "atom_id", "x", "y", "z").join(
         mapping.select("atom_id", "bead_id", "mass"), "atom_id"
-    )
+    ))
     first = joined.groupBy(*keys, "bead_id").agg(
         F.min_by(F.struct("x", "y", "z"), "atom_id").alias("_ref")
     )
-    unfolded = per_group(joined, first, [*keys, "bead_id"]).select(
+    unfolded = per_group(joined, first, [*keys, "bead_id"], stored=True).select(
         *keys, "bead_id", "mass",
         *[min_image(F.col(ax) - F.col(f"_ref.{ax}"), edge).alias(f"_d{ax}") for ax, edge in zip("xyz", lengths(box))],
         *[F.col(f"_ref.{ax}").alias(f"_r{ax}") for ax in "xyz"],

@@ -499,7 +499,9 @@ def sweep_smoothing(curves: DataFrame, kind: str = "bond", base_window: int = 7,
     widths = peak_width(prepared, peaks, keys)
     wins = {(odd_window(int(f * base_window), o), o) for f in g["small"] + g["large"] for o in g["order"]}
     names = {wo: f"s_{wo[0]}_{wo[1]}" for wo in sorted(wins)}
-    arrays = to_arrays(prepared, keys)
+    # A few curves make much work: spread them whatever their size in bytes.
+    parts = max(int(curves.sparkSession.conf.get("spark.sql.shuffle.partitions")), curves.sparkSession.sparkContext.defaultParallelism)
+    arrays = to_arrays(prepared, keys).repartition(parts, *k)
     for (w, o), name in names.items():
         arrays = arrays.withColumn(name, savgol_smooth("ps", w, o))
     long = from_arrays(arrays, ["ps", *names.values()], keys).withColumnRenamed("ps", "p")

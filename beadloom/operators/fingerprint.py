@@ -42,7 +42,7 @@ def structure_classes(fingerprints: DataFrame) -> DataFrame:
     firsts = fingerprints.groupBy("fingerprint").agg(F.min("mol_id").alias("first_mol"))
     numbers = dense_index(firsts, "first_mol", "class_id")
     named = firsts.join(numbers, "first_mol").select(F.col("fingerprint").alias("_fp"), "first_mol", "class_id")
-    return lookup(fingerprints, "fingerprint", named, "_fp")
+    return lookup(fingerprints, "fingerprint", named, "_fp", stored=True)
 
 
 def equal_runs(classes: DataFrame, order: str = "mol_id", value: str = "class_id") -> DataFrame:

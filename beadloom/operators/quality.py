@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .ordered import bucketed_row_number, dense_index
 from .skew import lookup
 
@@ -52,10 +53,11 @@ def missing_ids(mapping: DataFrame, n_atoms: int, first: int = 10, id_col: str =
 
 def interned_ids(rows: DataFrame, params: list[str], order: str, name: str) -> DataFrame:
     """Distinct parameter tuples numbered by first use, joined back to the rows."""
+    rows = cut_lineage(rows)
     firsts = rows.groupBy(*params).agg(F.min(order).alias("_first"))
     numbered = firsts.join(dense_index(firsts, "_first", name), "_first").drop("_first")
     keyed = numbered.withColumn("_pk", F.struct(*params)).drop(*params)
-    return lookup(rows.withColumn("_p", F.struct(*params)), "_p", keyed, "_pk").drop("_p")
+    return lookup(rows.withColumn("_p", F.struct(*params)), "_p", keyed, "_pk", stored=True).drop("_p")
 
 
 def inferred_box(atoms: DataFrame, keys: list[str], box_cols=("lx", "ly", "lz"), margin: float = 20.0, least: float = 30.0) -> DataFrame:

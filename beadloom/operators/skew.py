@@ -17,14 +17,15 @@ def hot_keys(fact: DataFrame, key: str) -> DataFrame:
     return counts.where(F.col("_n") * F.lit(HOT_SHARE) > total).select("_hk")
 
 
-def lookup(fact: DataFrame, key: str, dim: DataFrame, dim_key: str, hot: DataFrame | None = None) -> DataFrame:
+def lookup(fact: DataFrame, key: str, dim: DataFrame, dim_key: str, hot: DataFrame | None = None, stored: bool = False) -> DataFrame:
     """Left join to a table with at most one row per key.
 
     Rows of hot keys take a broadcast of those few dimension rows, all others a
-    shuffled join, so that no task receives a whole hot key.
+    shuffled join, so that no task receives a whole hot key. The fact side is read
+    several times: it is written once first, unless it is ``stored`` already.
     """
     if hot is None:
-        fact = cut_lineage(fact)  # read four times below
+        fact = fact if stored else cut_lineage(fact)
         hot = hot_keys(fact, key)
     named = dim.withColumnRenamed(dim_key, "_dk")
     hot_dim = F.broadcast(hot.join(named, F.col("_hk") == F.col("_dk"), "left").drop("_dk"))
@@ -34,8 +35,8 @@ def lookup(fact: DataFrame, key: str, dim: DataFrame, dim_key: str, hot: DataFra
     return cold.unionByName(warm)
 
 
-def per_group(fact: DataFrame, dim: DataFrame, group: list[str]) -> DataFrame:
+def per_group(fact: DataFrame, dim: DataFrame, group: list[str], stored: bool = False) -> DataFrame:
     """Join an aggregate back by group without piling a big group into one task."""
     tagged = fact.withColumn("_g", F.struct(*group))
     named = dim.withColumn("_gk", F.struct(*group)).drop(*group)
-    return lookup(tagged, "_g", named, "_gk").drop("_g")
+    return lookup(tagged, "_g", named, "_gk", stored=stored).drop("_g")

@@ -45,14 +45,24 @@ def with_cell(points: DataFrame, box, n: tuple[int, int, int]) -> DataFrame:
     return points.withColumn("_cell", (cx * n[1] + cy) * n[2] + cz)
 
 
-def with_neighbour_cells(points: DataFrame, box, n: tuple[int, int, int]) -> DataFrame:
-    """One row per neighbouring cell; offsets that meet in a small grid are listed once."""
-    nx, ny, nz = (
-        [(cell_of(ax, edge, k) + d) % k for d in sorted({d % k for d in (-1, 0, 1)})]
-        for ax, edge, k in zip("xyz", lengths(box), n)
-    )
-    cells = F.array(*[(a * n[1] + b) * n[2] + c for a, b, c in product(nx, ny, nz)])
-    return points.withColumn("_cell", F.explode(cells))
+def with_neighbour_cells(points: DataFrame, box, n: tuple[int, int, int], half: bool = False) -> DataFrame:
+    """One row per neighbouring cell; offsets that meet in a small grid are listed once.
+
+    ``half`` lists the own cell and one of each two opposite neighbours, flagged ``_own``.
+    """
+    steps = [sorted({d % k for d in (-1, 0, 1)}) for k in n]
+    offsets = list(product(*steps))
+    if half:
+        offsets = [o for o in product((-1, 0, 1), repeat=3) if o >= (0, 0, 0)]
+    base = [cell_of(ax, edge, k) for ax, edge, k in zip("xyz", lengths(box), n)]
+
+    def cell(offset):
+        a, b, c = ((v + d + k) % k for v, d, k in zip(base, offset, n))
+        number = (a * n[1] + b) * n[2] + c
+        return F.struct(number.alias("_cell"), F.lit(offset == (0, 0, 0)).alias("_own")) if half else number
+
+    cells = F.array(*[cell(o) for o in offsets])
+    return points.select("*", F.inline(cells)) if half else points.withColumn("_cell", F.explode(cells))
 
 
 def _salted(left: DataFrame, right: DataFrame, keys: list[str], tag: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -73,7 +83,7 @@ def _salted(left: DataFrame, right: DataFrame, keys: list[str], tag: list[str])
 
 
 def _prefixed(points: DataFrame, keys: list[str], prefix: str) -> DataFrame:
-    skip = {*keys, "_cell", "_salt"}
+    skip = {*keys, "_cell", "_salt", "_own"}
     return points.withColumnsRenamed({c: f"{prefix}{c}" for c in points.columns if c not in skip})
 
 
@@ -82,25 +92,32 @@ def squared_distance(box, a: str = "l_", b: str = "r_") -> Column:
 
 
 def neighbour_join(left: DataFrame, right: DataFrame, keys: list[str], box, cutoff: float, how: str = "inner",
-                   condition: Column | None = None, inclusive: bool = False) -> DataFrame:
-    """Pairs within the cutoff as ``l_*`` and ``r_*`` columns plus ``d2``; or a semi join of the left."""
+                   condition: Column | None = None, inclusive: bool = False, half: bool = False) -> DataFrame:
+    """Pairs within the cutoff as ``l_*`` and ``r_*`` columns plus ``d2``; or a semi join of the left.
+
+    With ``half`` (both sides the same points, three cells or more per axis) every pair
+    of neighbouring cells meets once, and ``condition`` applies inside a cell only.
+    """
     n = cells_per_axis(box, cutoff)
     lhs = with_cell(left, box, n)
-    rhs = with_neighbour_cells(right, box, n)
+    rhs = with_neighbour_cells(right, box, n, half)
     lhs, rhs = _salted(lhs, rhs, keys, ["x", "y", "z"])
     lhs, rhs = _prefixed(lhs, keys, "l_"), _prefixed(rhs, keys, "r_")
     on = [*keys, "_cell", "_salt"]
+    # The work is in the pairs, not in the bytes: keep the partition count whatever the size of the inputs.
+    parts = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), left.sparkSession.sparkContext.defaultParallelism)
+    lhs, rhs = lhs.repartition(parts, *on), rhs.repartition(parts, *on)
     limit = F.lit(float(cutoff) * float(cutoff))
     d2 = squared_distance(box)
     near = (d2 <= limit) if inclusive else (d2 < limit)
     if condition is not None:
-        near = near & condition
+        near = near & (~F.col("_own") | condition if half else condition)
     if how == "left_semi":
         cond = near
         for c in on:
             cond = cond & (F.col(f"_a.{c}") == F.col(f"_b.{c}"))
         return lhs.alias("_a").join(rhs.alias("_b"), cond, "left_semi").drop("_cell", "_salt")
-    return lhs.join(rhs, on).where(near).withColumn("d2", d2).drop("_cell", "_salt")
+    return lhs.join(rhs, on).where(near).withColumn("d2", d2).drop("_cell", "_salt", "_own")
 
 
 def weighted_points(points: DataFrame, keys: list[str]) -> DataFrame:
@@ -127,11 +144,13 @@ def pair_histogram(points: DataFrame, keys: list[str], box, r_max: float, bins:
     Pairs between copies of one point are counted from the number of copies.
     """
     merged = weighted_points(points, keys)
-    left, right = F.struct("l_type", "l_x", "l_y", "l_z"), F.struct("r_type", "r_x", "r_y", "r_z")
-    once = left < right
-    pairs = neighbour_join(merged, merged, keys, box, r_max, condition=once, inclusive=True)
+    once = F.lit(False)  # (type, x, y, z) of the left before that of the right
+    for c in ("z", "y", "x", "type"):
+        once = (F.col(f"l_{c}") < F.col(f"r_{c}")) | ((F.col(f"l_{c}") == F.col(f"r_{c}")) & once)
+    half = min(cells_per_axis(box, r_max)) >= 3
+    pairs = neighbour_join(merged, merged, keys, box, r_max, condition=once, inclusive=True, half=half)
     apart = pairs.select(
-        *keys, F.col("l_type").alias("t1"), F.col("r_type").alias("t2"),
+        *keys, F.least("l_type", "r_type").alias("t1"), F.greatest("l_type", "r_type").alias("t2"),
         bin_index(F.sqrt("d2"), 0.0, r_max, bins).alias("i"), (F.col("l_w") * F.col("r_w")).alias("n"),
     )
     copies = merged.where("w > 1").select(
