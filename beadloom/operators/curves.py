@@ -499,6 +499,7 @@ def sweep_smoothing(curves: DataFrame, kind: str = "bond", base_window: int = 7,
     widths = peak_width(prepared, peaks, keys)
     wins = {(odd_window(int(f * base_window), o), o) for f in g["small"] + g["large"] for o in g["order"]}
     names = {wo: f"s_{wo[0]}_{wo[1]}" for wo in sorted(wins)}
+    order_of = {wo: k for k, wo in enumerate(names)}
     # A few curves make much work: spread them whatever their size in bytes.
     parts = max(int(curves.sparkSession.conf.get("spark.sql.shuffle.partitions")), curves.sparkSession.sparkContext.defaultParallelism)
     arrays = to_arrays(prepared, keys).repartition(parts, *k)
@@ -508,20 +509,19 @@ def sweep_smoothing(curves: DataFrame, kind: str = "bond", base_window: int = 7,
     long = long.join(prepared.select(*k, "i", "i_start", "i_end"), [*k, "i"])
     for n, f in enumerate(g["width"]):
         long = with_zones(long, peaks, widths, kind, f, keys).withColumnRenamed("zone", f"zone_{n}")
-    picks = []
-    for a in g["small"]:
-        for b in g["large"]:
-            for o in g["order"]:
-                small, large = names[(odd_window(int(a * base_window), o), o)], names[(odd_window(int(b * base_window), o), o)]
-                for n, f in enumerate(g["width"]):
-                    z = F.col(f"zone_{n}")
-                    v = F.when(z == 1, F.col(small)).when(z.isin(2, 3), F.col(large)).otherwise(F.col("p"))
-                    picks.append(F.struct(
-                        F.lit(a).alias("small"), F.lit(b).alias("large"), F.lit(o).alias("order"), F.lit(f).alias("peak_factor"),
-                        z.alias("zone"), F.greatest(F.lit(0.0), v).alias("ps"),
-                    ))
+    picks = F.array(*[
+        F.struct(
+            F.lit(a).alias("small"), F.lit(b).alias("large"), F.lit(o).alias("order"), F.lit(f).alias("peak_factor"), F.lit(n).alias("_z"),
+            F.lit(order_of[(odd_window(int(a * base_window), o), o)]).alias("_s"), F.lit(order_of[(odd_window(int(b * base_window), o), o)]).alias("_l"),
+        )
+        for a in g["small"] for b in g["large"] for o in g["order"] for n, f in enumerate(g["width"])
+    ])  # constants only, so the plan holds one literal
     tk = [*k, "small", "large", "order", "peak_factor"]
-    tried = long.select(*k, "i", "x", "p", "i_start", "i_end", F.inline(F.array(*picks)))
+    packed = long.select(
+        *k, "i", "x", "p", "i_start", "i_end", F.array(*[f"zone_{n}" for n in range(len(g["width"]))]).alias("_zs"), F.array(*names.values()).alias("_vs"))
+    spread = packed.select("*", F.inline(picks)).withColumn("zone", F.get("_zs", F.col("_z")))
+    chosen = F.when(F.col("zone") == 1, F.get("_vs", F.col("_s"))).when(F.col("zone").isin(2, 3), F.get("_vs", F.col("_l"))).otherwise(F.col("p"))
+    tried = spread.select(*k, "i", "x", "p", "i_start", "i_end", "small", "large", "order", "peak_factor", "zone", F.greatest(F.lit(0.0), chosen).alias("ps"))
     tried = cut_lineage(average_zone_borders(tried, "ps", tk))
     scored = smoothing_quality(tried, "p", "ps", tk, prepared, k)
     best = scored.groupBy(*k).agg(F.max_by(F.struct(*tk[len(k):], "score"), F.struct("score", *[-F.col(c) for c in tk[len(k):]])).alias("b"))
