@@ -6,6 +6,7 @@ arrays per curve are bounded; the number of curves is what grows.
 
 from __future__ import annotations
 
+import json
 import math
 
 import numpy as np
@@ -264,6 +265,11 @@ def gaussian_smooth(values, sigma: float, periodic: bool = False) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), at)
 
 
+def _constant(value, kind: str) -> Column:
+    """A nested constant as one expression instead of one per number."""
+    return F.from_json(F.lit(json.dumps(value)), F.lit(kind))
+
+
 def savgol_matrix(window: int, order: int) -> list[list[float]]:
     """Rows of the polynomial projection: the middle one smooths, the others serve the ends."""
     t = np.arange(window) - (window - 1) / 2.0
@@ -509,20 +515,18 @@ def sweep_smoothing(curves: DataFrame, kind: str = "bond", base_window: int = 7,
     long = long.join(prepared.select(*k, "i", "i_start", "i_end"), [*k, "i"])
     for n, f in enumerate(g["width"]):
         long = with_zones(long, peaks, widths, kind, f, keys).withColumnRenamed("zone", f"zone_{n}")
-    picks = F.array(*[
-        F.struct(
-            F.lit(a).alias("small"), F.lit(b).alias("large"), F.lit(o).alias("order"), F.lit(f).alias("peak_factor"), F.lit(n).alias("_z"),
-            F.lit(order_of[(odd_window(int(a * base_window), o), o)]).alias("_s"), F.lit(order_of[(odd_window(int(b * base_window), o), o)]).alias("_l"),
-        )
+    picks = _constant([
+        {"small": a, "large": b, "order": o, "peak_factor": f, "_z": n,
+         "_s": order_of[(odd_window(int(a * base_window), o), o)], "_l": order_of[(odd_window(int(b * base_window), o), o)]}
         for a in g["small"] for b in g["large"] for o in g["order"] for n, f in enumerate(g["width"])
-    ])  # constants only, so the plan holds one literal
+    ], "array<struct<small:double,large:double,order:int,peak_factor:double,_z:int,_s:int,_l:int>>")
     tk = [*k, "small", "large", "order", "peak_factor"]
     packed = long.select(
         *k, "i", "x", "p", "i_start", "i_end", F.array(*[f"zone_{n}" for n in range(len(g["width"]))]).alias("_zs"), F.array(*names.values()).alias("_vs"))
     spread = packed.select("*", F.inline(picks)).withColumn("zone", F.get("_zs", F.col("_z")))
     chosen = F.when(F.col("zone") == 1, F.get("_vs", F.col("_s"))).when(F.col("zone").isin(2, 3), F.get("_vs", F.col("_l"))).otherwise(F.col("p"))
     tried = spread.select(*k, "i", "x", "p", "i_start", "i_end", "small", "large", "order", "peak_factor", "zone", F.greatest(F.lit(0.0), chosen).alias("ps"))
-    tried = cut_lineage(average_zone_borders(tried, "ps", tk))
+    tried = cut_lineage(average_zone_borders(tried.repartition(parts, *tk), "ps", tk))
     scored = smoothing_quality(tried, "p", "ps", tk, prepared, k)
     best = scored.groupBy(*k).agg(F.max_by(F.struct(*tk[len(k):], "score"), F.struct("score", *[-F.col(c) for c in tk[len(k):]])).alias("b"))
     return best.select(*k, "b.*")
