@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash
+from . import minhash, pieces, quality, substring
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -46,3 +46,33 @@ SQL_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 )
 def op2(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op5_sentencepiece")
+def op5(spark, sf_dir):
+    return pieces.encode(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op6_substring_dedup",
+    rf"""
+    WITH w AS (SELECT doc_id, {SQL_WORDS} AS ws FROM documents),
+    win AS (SELECT doc_id, unnest(range(1, greatest(len(ws) - 48, 1))) AS p, ws FROM w),
+    keyed AS (SELECT doc_id, p, hash(array_to_string(ws[p:p + 49], ' ')) AS h, md5(array_to_string(ws[p:p + 49], ' ')) AS m FROM win),
+    seen AS (SELECT h, m, min(doc_id) AS least FROM keyed GROUP BY h, m),
+    bad AS (SELECT doc_id, p FROM keyed JOIN seen USING (h, m) WHERE doc_id > least),
+    lost AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS i FROM bad),
+    word AS (SELECT doc_id, generate_subscripts(ws, 1) AS i, unnest(ws) AS word FROM w),
+    kept AS (SELECT word.doc_id, string_agg(word, ' ' ORDER BY i) FILTER (WHERE lost.i IS NULL) AS t, count(lost.i) AS n_removed
+             FROM word LEFT JOIN lost USING (doc_id, i) GROUP BY word.doc_id)
+    SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+    FROM w LEFT JOIN kept USING (doc_id)
+    """,
+)
+def op6(spark, sf_dir):
+    return substring.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+@query("op7_quality_rules")
+def op7(spark, sf_dir):
+    return quality.measures(table(spark, sf_dir, "documents"))
