@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash, pieces, quality, substring
+from . import minhash, pieces, pii, quality, substring, topk, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -76,3 +77,42 @@ def op6(spark, sf_dir):
 @query("op7_quality_rules")
 def op7(spark, sf_dir):
     return quality.measures(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op1_exact_topk",
+    """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+               WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id,
+                 coalesce(list_sum(list_transform(range(1, least(len(q.v), len(c.v)) + 1), lambda i: q.v[i] * c.v[i])), 0)::BIGINT AS score
+          FROM (SELECT * FROM v WHERE vec_id % 100 = 0) q JOIN v c ON q.vec_id != c.vec_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+    """,
+)
+def op1(spark, sf_dir):
+    vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return topk.top_k(vectors, F.col("id") % 100 == 0, 10)
+
+
+@query("op4_pii")
+def op4(spark, sf_dir):
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op8_warc",
+    """
+    WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS n, sha1(coalesce(html, '')) AS sha FROM pages),
+    f AS (SELECT sha, min(page_id) AS first FROM p GROUP BY sha),
+    d AS (SELECT p.*, f.first, list_transform(range(0, 8), lambda k: ('0x' || substr(p.sha, 1 + 5 * k, 5))::INTEGER) AS five FROM p JOIN f USING (sha))
+    SELECT page_id, n AS payload_bytes,
+           array_to_string(list_transform(range(0, 32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((five[1 + j // 4] >> (15 - 5 * (j % 4))) & 31)::INTEGER + 1, 1)), '') AS payload_digest,
+           CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN page_id > first THEN first END AS refers_to
+    FROM d
+    """,
+)
+def op8(spark, sf_dir):
+    return warc.archive(table(spark, sf_dir, "pages")).drop("url")
