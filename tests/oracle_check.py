@@ -38,7 +38,7 @@ def rows_of(columns, rows):
 
 def compare(df, con, sql: str, allow_empty: bool = False) -> list[str]:
     """Problems found; empty when names, types, counts and values agree."""
-    kinds = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+    kinds = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
     start = time.time()
     rel = con.execute(sql)
     types = {d[0]: str(d[1]) for d in rel.description}
