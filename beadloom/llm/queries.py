@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, pieces, pii, quality, substring, topk, warc
+from . import minhash, mixing, pieces, pii, quality, substring, topk, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -116,3 +116,8 @@ def op4(spark, sf_dir):
 )
 def op8(spark, sf_dir):
     return warc.archive(table(spark, sf_dir, "pages")).drop("url")
+
+
+@query("op3_source_mixing")
+def op3(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
