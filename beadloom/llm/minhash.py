@@ -9,7 +9,9 @@ independent ones.
 64 bands of 4 coordinates miss a pair of similarity 0.75 with probability (1 - 0.75**4)**64 = 3e-11.
 Candidates are settled on the full sets, in two steps that lose no candidate link: first every member
 of a band bucket against the bucket's smallest id; then, in buckets whose members are still in several
-components, every pair across components. Copies with equal sets are one node throughout.
+components, the pairs across components. The second step makes rows of pairs in small buckets only; large
+buckets are cut into tiles of bounded size, and a tile's task compares sets and returns the links that join
+components. Copies with equal sets are one node throughout.
 """
 
 from __future__ import annotations
@@ -30,8 +32,9 @@ PERCENT = 75
 COORDS, ROWS = 256, 4
 BITS = 64 * (COORDS // 64)
 #: At similarity 0.75 at least BITS * 0.875 = 224 one-bit coordinates agree on average, with a deviation of 5.3.
-LEAST_AGREEING = 176
-TILE = 1024
+LEAST_AGREEING = 190
+#: Buckets up to this size give rows of pairs; larger ones are cut into blocks of about so many documents.
+SMALL, TILE = 8, 512
 
 _U = np.uint64
 _TOP = _U((1 << 64) - 1)
@@ -134,18 +137,49 @@ def _similar_sizes() -> F.Column:
     return (F.least("x.n", "y.n") * 100) >= (F.greatest("x.n", "y.n") * PERCENT)
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the similarity.
+def _linked(pairs: DataFrame, slim: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets reach the similarity."""
+    x, y = slim.alias("x"), slim.alias("y")
+    hopeful = pairs.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id")).where(_similar_sizes() & (_agree() >= LEAST_AGREEING))
+    both = hopeful.select("a", "b").distinct().join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.where(common * 100 >= (F.size("sa") + F.size("sb") - common) * PERCENT).select("a", "b").distinct()
+
+
+def _tile_links(key, table: pa.Table) -> pa.Table:
+    """Links across components among the documents of one tile, enough of them to join what they join.
 
-    Sets are rebuilt from the texts of the documents that take part, so that sets of all others are never stored.
+    A pair of documents that share several buckets is looked at in that of their first common band alone.
     """
-    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ends, "doc_id", "leftsemi")
-    sets = cut_lineage(own.mapInArrow(_set_batches, "id long, shingles array<long>"))
-    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    ok = common * 100 >= (F.size("sa") + F.size("sb") - common) * PERCENT
-    return cut_lineage(both.where(ok).select("a", "b").distinct())
+    m = table.num_rows
+    get = lambda c: table.column(c).to_numpy()
+    ids, n, block, comp = get("id"), get("n"), get("block"), get("c")
+    signs = np.stack([get(f"s{k}").view(np.uint64) for k in range(BITS // 64)], 1)
+    bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(m, -1)
+    lists = table.column("shingles").combine_chunks()
+    flat, bounds = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+    here = int(np.flatnonzero((bands == bands[0]).all(0))[0]) if m > 1 else 0
+    across = key[1].as_py() != key[2].as_py()
+    found = []
+    for a in range(m):
+        other = np.flatnonzero((comp != comp[a]) & (ids > ids[a]) & (100 * np.minimum(n, n[a]) >= PERCENT * np.maximum(n, n[a])))
+        if across:
+            other = other[block[other] != block[a]]
+        other = other[BITS - np.bitwise_count(signs[other] ^ signs[a]).sum(1, dtype=np.int64) >= LEAST_AGREEING]
+        other = other[(bands[other, :here] != bands[a, :here]).all(1)] if here else other
+        if not len(other):
+            continue
+        mine = np.sort(flat[bounds[a] : bounds[a + 1]])
+        size = bounds[other + 1] - bounds[other]
+        theirs = flat[np.repeat(bounds[other], size) + X.expand(size)]
+        hit = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+        common = np.add.reduceat(hit, np.cumsum(size) - size, dtype=np.int64)
+        for b in other[100 * common >= PERCENT * (len(mine) + size - common)]:
+            if comp[a] != comp[b]:
+                found.append((ids[a], ids[b]))
+                comp = np.where(comp == comp[b], comp[a], comp)
+    a, b = np.array(found, np.int64).reshape(-1, 2).T
+    return pa.table({"a": a, "b": b})
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -162,40 +196,35 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signs = [f"s{k}" for k in range(BITS // 64)]
     nodes = live.join(copies, [*key]).where("doc_id = id").dropDuplicates(["id", *key])
     nodes = cut_lineage(nodes.select("id", F.col("n_shingles").alias("n"), "bands", *signs))
-    slim = nodes.select("id", "n", *signs)
     members = nodes.select(F.explode("bands").alias("key"), "id")
     hubs = members.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top"))
     crowded = cut_lineage(members.join(hubs.where("hub < top").select("key", "hub"), "key"))
-
-    def worth(pairs: DataFrame) -> DataFrame:
-        x, y = slim.alias("x"), slim.alias("y")
-        kept = pairs.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id")).where(_similar_sizes() & (_agree() >= LEAST_AGREEING))
-        return cut_lineage(kept.select("a", "b").distinct())
-
-    star = worth(crowded.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
-    links = verified(star, docs)
-    found = component_ids(links)
+    inside = crowded.select("id").distinct()
+    slim = cut_lineage(nodes.join(inside, "id", "leftsemi"))
+    # Sets are rebuilt from the texts that share a bucket, so that the sets of all others are never stored.
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sets = cut_lineage(own.join(inside.toDF("doc_id"), "doc_id", "leftsemi").mapInArrow(_set_batches, "id long, shingles array<long>"))
+    links = cut_lineage(_linked(crowded.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), slim, sets))
+    same = live.join(copies, key).select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a != b")
+    found = component_ids(links.union(same))
 
     # What is left: buckets whose members are in several components.
     labelled = crowded.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("c"))
-    labelled = cut_lineage(labelled)
-    open_ = labelled.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m")).where("c0 < c1")
-    tiles = F.ceil(F.col("m") / TILE).cast("long")
-    side = labelled.join(open_.select("key", tiles.alias("tiles")), "key").join(slim, "id")
-    side = cut_lineage(side.select("key", "tiles", "id", "c", "n", *signs))
-    left = side.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles"))).alias("x")
-    right = side.withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).alias("y")
-    across = left.join(right, (F.col("x.key") == F.col("y.key")) & (F.col("x.tile") == F.col("y.tile")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & _similar_sizes() & (_agree() >= LEAST_AGREEING))
-    rest = cut_lineage(across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
-    tried = rest.join(star, ["a", "b"], "leftanti")
-    links = links.union(verified(tried, docs))
-
-    # Copies and rows that share a doc_id join their nodes.
-    same = live.join(copies, key).select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a != b")
+    open_ = labelled.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m")).where("c0 < c1").select("key", "m")
+    side = cut_lineage(labelled.join(open_, "key"))
+    few, many = side.where(F.col("m") <= SMALL), side.where(F.col("m") > SMALL)
+    pairs = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")))
+    more = _linked(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), slim, sets)
+    blocks = F.ceil(F.col("m") / TILE).cast("long")
+    tiles = many.withColumn("block", F.pmod(F.xxhash64("id"), blocks)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    tiles = tiles.select("key", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "id", "c", "block")
+    tiles = tiles.join(slim.select("id", "n", "bands", *signs), "id").join(sets, "id")
+    links = cut_lineage(links.union(more).union(tiles.groupBy("key", "lo", "hi").applyInArrow(lambda key, tile: _tile_links(key, tile), "a long, b long")))
+
     found = component_ids(links.union(same))
     out = all_sets.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    own = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
+    own_id = F.coalesce("component_id", "doc_id")
+    return out.select("doc_id", "n_shingles", own_id.alias("component_id"), F.coalesce(own_id == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
