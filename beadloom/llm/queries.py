@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, pieces, pii, quality, substring, topk, warc
+from . import line_dedup, minhash, mixing, pieces, pii, quality, substring, topk, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -121,3 +121,29 @@ def op8(spark, sf_dir):
 @query("op3_source_mixing")
 def op3(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op9_line_dedup",
+    r"""
+    WITH p AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS k, unnest(string_split(text, chr(10))) AS line FROM documents),
+    l AS (SELECT * FROM p WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+    d AS (SELECT line, min((doc_id, k)) AS first, length(line) AS n FROM l GROUP BY line),
+    c AS (SELECT *, n + longer AS c, (n + longer - 1) // 2 AS half FROM d, (SELECT unnest([0, 1]) AS longer) WHERE n >= 19),
+    h AS (SELECT line, first, n, c, half, left(line, half) AS part, 0 AS side FROM c UNION ALL SELECT line, first, n, c, half, right(line, half), 1 FROM c),
+    pair AS (SELECT DISTINCT x.line AS a, y.line AS b, x.n AS na, y.n AS nb
+             FROM h x JOIN h y ON x.c = y.c AND x.side = y.side AND x.part = y.part AND x.first > y.first AND (x.n = x.c OR y.n = y.c)),
+    near AS (SELECT DISTINCT a FROM pair WHERE greatest(na, nb) >= 20 AND len(list_filter(range(0, greatest(na, nb)),
+               lambda i: left(a, i) = left(b, i) AND substr(a, i + 1 + (na >= nb)::INTEGER) = substr(b, i + 1 + (nb >= na)::INTEGER))) > 0),
+    m AS (SELECT l.doc_id, l.k, l.line, near.a IS NOT NULL AS is_near, near.a IS NOT NULL OR (l.doc_id, l.k) > d.first AS is_gone
+          FROM l JOIN d USING (line) LEFT JOIN near ON near.a = l.line),
+    r AS (SELECT p.doc_id, count(m.k) AS n_lines, count_if(is_gone AND NOT is_near) AS n_equal, count_if(is_near) AS n_near,
+                 string_agg(p.line, chr(10) ORDER BY p.k) FILTER (WHERE NOT coalesce(is_gone, FALSE)) AS kept
+          FROM p LEFT JOIN m USING (doc_id, k) GROUP BY p.doc_id)
+    SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_equal, 0)::BIGINT AS n_equal, coalesce(n_near, 0)::BIGINT AS n_near,
+           CASE WHEN d.text IS NOT NULL THEN coalesce(kept, '') END AS kept_text
+    FROM documents d LEFT JOIN r USING (doc_id)
+    """,
+)
+def op9(spark, sf_dir):
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
