@@ -7,7 +7,10 @@ shorter windows inside one it is enough to look at a chosen one: that of the lea
 table a fraction of the words, and no repeated window is lost.
 
 A level's table holds (hash, doc_id) once for each document, and is aggregated before its shuffle; per
-document, the hashes that survive come back as one array.
+document, the hashes that survive come back as one array. Documents whose whole word sequence is that of a
+smaller doc_id lose all their words and are left out of the levels: the smaller one stands for them.
+
+Windows are told apart by 64-bit hashes, whole sequences by 128 bits.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,7 +74,10 @@ def _in_lists(values: np.ndarray, owner: np.ndarray, lists: pa.Array) -> np.ndar
 
 
 def _table(length: int, size: int, after: int | None):
-    """(hash, doc_id): once per document, the anchors of this length of its windows that survive the level before."""
+    """(hash, doc_id): once per document, the anchors of this length of its windows that survive the level before.
+
+    The first level adds a row for the whole sequence of each document that has a window, with a second hash in ``whole``.
+    """
 
     def run(batches):
         for batch in X.chunks(batches):
@@ -85,7 +92,13 @@ def _table(length: int, size: int, after: int | None):
             keep = np.ones(len(values), bool)
             keep[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])  # runs; the rest goes in the aggregate
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_pydict({"hash": X.signed(values[keep]), "doc_id": ids[owner[keep]].astype(np.int64)})
+            yield pa.RecordBatch.from_pydict({"hash": X.signed(values[keep]), "doc_id": ids[owner[keep]].astype(np.int64), "whole": pa.nulls(int(keep.sum()), pa.int64())})
+            if after is None:
+                long = np.flatnonzero(np.diff(first) >= size)
+                place = X.mix(X.expand(np.diff(first)).astype(np.uint64))
+                one, two = (np.concatenate([np.zeros(1, np.uint64), np.cumsum(X.mix(words ^ X.mix(place + np.uint64(k))))]) for k in (1, 2))
+                of = lambda total: X.signed((total[first[1:]] - total[first[:-1]])[long])
+                yield pa.RecordBatch.from_pydict({"hash": of(one), "doc_id": ids[long].astype(np.int64), "whole": of(two)})
 
     return run
 
@@ -98,6 +111,7 @@ def _cover(size: int):
             words = X.hash_spans(data, starts, ends)
             at, owner = _windows(np.diff(first), first, size)
             hit = _in_lists(X.gram_hashes(words, size)[at], owner, batch.column("gone")) if len(at) else np.zeros(0, bool)
+            hit |= pc.fill_null(batch.column("copy"), False).to_numpy(zero_copy_only=False)[owner]
             edge = np.zeros(len(words) + 1, np.int64)
             np.add.at(edge, at[hit], 1)
             np.add.at(edge, at[hit] + size, -1)
@@ -127,14 +141,27 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = own.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    source, before, gone = known, None, None
+    source, before, gone, copies = known, None, None, None
     for length in levels(size):
-        table = cut_lineage(source.mapInArrow(_table(length, size, before), "hash long, doc_id long"))
+        table = cut_lineage(source.mapInArrow(_table(length, size, before), "hash long, doc_id long, whole long"))
+        if copies is None:
+            copies = cut_lineage(_copies(table.where("whole IS NOT NULL")))
+            table = table.where("whole IS NULL").join(copies, "doc_id", "leftanti")
+        table = table.select("hash", "doc_id")
         seen = table.groupBy("hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
         if length == size:
             gone = table.join(seen, "hash").where("doc_id > least").groupBy("doc_id").agg(F.collect_set("hash").alias("gone"))
         else:
             alive = table.join(seen.select("hash"), "hash").groupBy("doc_id").agg(F.collect_set("hash").alias("alive"))
             source, before = known.join(alive, "doc_id"), length
+    gone = gone.withColumn("copy", F.lit(False)).unionByName(copies.select("doc_id", F.array().cast("array<long>").alias("gone"), F.lit(True).alias("copy")))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
     return own.join(gone, "doc_id", "left").mapInArrow(_cover(size), schema)
+
+
+def _copies(sequences: DataFrame) -> DataFrame:
+    """(doc_id): documents that have one sequence, which a smaller doc_id has too."""
+    least = sequences.groupBy("hash", "whole").agg(F.min("doc_id").alias("least"))
+    per = sequences.join(least, ["hash", "whole"]).groupBy("doc_id")
+    per = per.agg(F.min(F.struct("hash", "whole")).alias("a"), F.max(F.struct("hash", "whole")).alias("b"), F.min("least").alias("least"))
+    return per.where("a = b AND least < doc_id").select("doc_id")
