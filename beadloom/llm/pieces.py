@@ -30,8 +30,6 @@ BLANK = "▁"
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 UNIGRAM, MERGES = 1, 2
 CHUNK = 12 << 20
-#: Units composed at a time, and ids of known units kept in memory.
-SLICE, KNOWN_IDS = 16_384, 6_000_000
 _NEVER = 1 << 30
 
 
@@ -123,7 +121,7 @@ class Transducer:
         if charsmap or trim or not escape or self.model not in (UNIGRAM, MERGES) or 4 in kinds:
             raise ValueError("only models with the identity normaliser, escaped blanks and without user-defined symbols")
         self.prefix = bool(prefix)
-        self._forget()
+        self.seen = X.Units()
         self.kinds = np.array(kinds)
         self.unknown = kinds.index(UNKNOWN)
         self.byte_ids = None
@@ -288,34 +286,13 @@ class Transducer:
                 ids[where] = self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
         return ids, np.searchsorted(owner, np.arange(len(size) + 1))
 
-    def spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of the units met so far, where each unit's ids begin, how many they are, and the unit of each byte span."""
-        hashes, first, inverse = np.unique(X.hash_spans(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.known_ids) > KNOWN_IDS:
-            self._forget()
-        at = np.minimum(np.searchsorted(self.known, hashes), max(0, len(self.known) - 1))
-        fresh = np.flatnonzero(self.known[at] != hashes) if len(self.known) else np.arange(len(hashes))
-        fresh = fresh[np.argsort((ends - starts)[first[fresh]], kind="stable")]
-        found = [(hashes[part], *self._fresh(data, starts[first[part]], ends[first[part]])) for part in np.array_split(fresh, len(fresh) // SLICE + 1)]
-        keys = np.concatenate([self.known, *(f[0] for f in found)])
-        sizes = np.concatenate([self.known_size, *(np.diff(f[2]) for f in found)])
-        begin = np.concatenate([self.known_at, len(self.known_ids) + np.cumsum(sizes[len(self.known) :]) - sizes[len(self.known) :]])
-        order = np.argsort(keys, kind="stable")
-        self.known, self.known_size, self.known_at = keys[order], sizes[order], begin[order]
-        self.known_ids = np.concatenate([self.known_ids, *(f[1] for f in found)])
-        return self.known_ids, self.known_at, self.known_size, np.searchsorted(self.known, hashes)[inverse]
-
-    def _forget(self) -> None:
-        self.known, self.known_ids = np.zeros(0, np.uint64), np.zeros(0, np.int32)
-        self.known_size, self.known_at = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _fresh(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _work_out(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size = ends - starts
         raw = data[np.repeat(starts, size) + X.expand(size)]
         codes = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), "<u4").astype(np.int64)
         seen = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
         ids, at = self.units(np.where(codes == 32, ord(BLANK), codes), seen[np.concatenate([[0], np.cumsum(size)])])
-        return ids.astype(np.int32), at
+        return ids, at
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other and the n + 1 offsets; null and empty texts have none."""
@@ -333,10 +310,8 @@ class Transducer:
             begin |= control
             begin[1:] |= control[:-1]
         starts = np.flatnonzero(begin)
-        ids, at, size, unit = self.spans(data, starts, np.append(starts[1:], len(data))[: len(starts)])
-        count = size[unit]
-        total = np.concatenate([[0], np.cumsum(count)])
-        return ids[np.repeat(at[unit], count) + X.expand(count)], total[np.searchsorted(starts, offsets)]
+        ids, count = self.seen.spans(data, starts, np.append(starts[1:], len(data))[: len(starts)], self._work_out)
+        return ids, np.concatenate([[0], np.cumsum(count)])[np.searchsorted(starts, offsets)]
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
         """Texts of id lists; bytes that are not UTF-8 become U+FFFD."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, minhash, mixing, pieces, pii, quality, substring, topk, warc
+from . import line_dedup, minhash, mixing, pieces, pii, quality, substring, token_codec, topk, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -147,3 +147,8 @@ def op3(spark, sf_dir):
 )
 def op9(spark, sf_dir):
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
+@query("op10_token_files")
+def op10(spark, sf_dir):
+    return token_codec.round_trip(table(spark, sf_dir, "documents"))

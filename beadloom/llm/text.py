@@ -128,3 +128,39 @@ def expand(lengths: np.ndarray) -> np.ndarray:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+class Units:
+    """Ids of byte spans, worked out once for each distinct span and kept for later batches, up to a number of ids."""
+
+    def __init__(self, limit: int = 6_000_000, slice_: int = 16_384):
+        self.limit, self.slice = limit, slice_
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.size, self.at = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, work_out) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all spans one after the other, and how many each has.
+
+        ``work_out(data, starts, ends)`` gives the ids of distinct spans and their n + 1 offsets.
+        """
+        hashes, first, inverse = np.unique(hash_spans(data, starts, ends), return_index=True, return_inverse=True)
+        if len(self.ids) > self.limit:
+            self._forget()
+        at = np.minimum(np.searchsorted(self.keys, hashes), max(0, len(self.keys) - 1))
+        fresh = np.flatnonzero(self.keys[at] != hashes) if len(self.keys) else np.arange(len(hashes))
+        fresh = fresh[np.argsort((ends - starts)[first[fresh]], kind="stable")]
+        if len(fresh):
+            parts = np.array_split(fresh, len(fresh) // self.slice + 1)
+            found = [work_out(data, starts[first[part]], ends[first[part]]) for part in parts]
+            sizes = np.concatenate([np.diff(f[1]) for f in found])
+            begin = len(self.ids) + np.cumsum(sizes) - sizes
+            keys = np.concatenate([self.keys, hashes[fresh]])
+            order = np.argsort(keys, kind="stable")
+            self.keys, self.size, self.at = keys[order], np.concatenate([self.size, sizes])[order], np.concatenate([self.at, begin])[order]
+            self.ids = np.concatenate([self.ids, *(f[0].astype(np.int32) for f in found)])
+        unit = np.searchsorted(self.keys, hashes)[inverse]
+        count = self.size[unit]
+        return self.ids[np.repeat(self.at[unit], count) + expand(count)], count
