@@ -1,14 +1,59 @@
-"""Documents to token ids: quality rules, line dedup, near-dedup, mixing, encoding."""
+"""From raw documents to token ids: quality rules, line dedup, near-duplicates, source mixing, encoding.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept. All but the last return the
+columns of ``documents``; n_chars follows the text where a stage changes it.
+"""
 
 from __future__ import annotations
 
-from beadloom.llm import minhash
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from beadloom.llm import line_dedup, minhash, mixing, pieces, quality
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the surface and fertility rules reject go."""
+    return quality.keep_good(docs)
+
+
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that an earlier document has go, with them documents of which nothing is left."""
+    return _counted(line_dedup.drop_repeated_lines(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return minhash.keep_one(docs)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents appear as often as the mix takes them; the one at which a source stops is cut."""
+    return _counted(mixing.mixed_documents(docs))
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, ids, n_tokens, decoded) of every document of the mix."""
+    return pieces.encode(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", repeated_lines),
+    ("near_duplicates", near_duplicates),
+    ("source_mixing", source_mixing),
+    ("sentencepiece", encoding),
+]
 
-STAGES = [("near_dedup", lambda spark, docs, sf_dir: minhash.keep_one(docs))]
+#: SQL has no tokeniser, so the first and last stage have no statement; tests hold every stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
