@@ -218,7 +218,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     blocks = F.ceil(F.col("m") / TILE).cast("long")
     tiles = many.withColumn("block", F.pmod(F.xxhash64("id"), blocks)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     tiles = tiles.select("key", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "id", "c", "block")
-    tiles = tiles.join(slim.select("id", "n", "bands", *signs), "id").join(sets, "id")
+    tiles = tiles.join(slim.select("id", "n", "bands", *signs), "id").where(F.array_contains("bands", F.col("key"))).join(sets, "id")
     links = cut_lineage(links.union(more).union(tiles.groupBy("key", "lo", "hi").applyInArrow(lambda key, tile: _tile_links(key, tile), "a long, b long")))
 
     found = component_ids(links.union(same))
