@@ -256,7 +256,7 @@ def surface(text):
 def test_surface_counts_and_fertility(spark):
     rng = random.Random(5)
     texts = [" ".join(rng.choices(["the", "of", "é#", "a|b", "cat\ncat", "日本"], k=rng.randint(0, 60))) for _ in range(60)]
-    texts += [None, "", " \n", "the quick brown fox jumps over the lazy dog again\n" * 9, "\U0001f9ff\U0001faa1" * 3 + " \U0001f9ff" * 30, "only words that differ " * 1 + " ".join(f"number{k}" for k in range(30))]
+    texts += [None, "", " \n", "the quick brown fox jumps over the lazy dog again\n" * 9, " ".join(chr(0x1F900 + k) for k in range(40)), "only words that differ " * 1 + " ".join(f"number{k}" for k in range(30))]
     got = {r["doc_id"]: r for r in quality.measures(frame(spark, list(enumerate(texts)))).collect()}
     lib = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
     for k, t in enumerate(texts):
@@ -300,7 +300,7 @@ def test_base_spans_are_those_of_the_expressions(alphabet):
 
 
 def test_personal_data_rows(spark):
-    text = "é mail a.b+c@ex-1.example.org, 10.0.0.1 4111 1111 1111 1111 +49 (30) 1234-5678; see https://ex.org/a?b=1). IBAN: DE89370400440532013000."
+    text = "é mail a.b+c@ex-1.example.org, 10.0.0.1, 4111 1111 1111 1111 +49 (30) 1234-5678; see https://ex.org/a?b=1). IBAN: DE89370400440532013000."
     rows = {r["doc_id"]: r for r in pii.find_personal_data(frame(spark, [(1, text), (2, None), (3, ""), (None, "x@y.z"), (4, "x@y.z " * 20000)])).collect()}
     got = {s.split(":")[0]: text[int(s.split(":")[1]) : int(s.split(":")[2])] for s in rows[1]["spans"].split(",")}
     assert got == {"email": "a.b+c@ex-1.example.org", "ip": "10.0.0.1", "card": "4111 1111 1111 1111", "phone": "+49 (30) 1234-5678", "url": "https://ex.org/a?b=1", "account": "DE89370400440532013000"}
