@@ -6,7 +6,8 @@ damaged one is found. In a block, the id after the last two is predicted by what
 (order 2), by what followed the last one before (order 1), and by the frequencies of id classes (order 0).
 How much each order counts is a set of adaptive frequencies, chosen by how often the two predictions held
 and whether they agree; the outcome (order 2 right, order 1 right, neither) is coded first, and where
-neither is right, the id's class by the order-0 frequencies and its place in the class.
+neither is right, the id's class by the order-0 frequencies. Its place in the class, which nothing predicts,
+follows in plain bits beside the coded part.
 
 The blocks of a segment are coded in lockstep, one id of every block at a time, so that a step is a few
 array operations for all of them.
@@ -31,204 +32,250 @@ from . import text as X
 from .warc import _place
 
 MAGIC = b"BDT1"
-BLOCK, LANES = 4096, 2048
+BLOCK, LANES = 4096, 1024
 ROWS_PER_FILE = 8192
 END_ID = 1
 CHUNK = 12 << 20
-ONE_BITS, TWO_BITS = 11, 12
-STEP, LIMIT = 24, 1 << 13
-_TOP, _BOTTOM = np.uint32(1 << 24), np.uint32(1 << 16)
-_U32 = np.uint32
+ONE_BITS, TWO_BITS, CLASSES = 10, 11, 36
+STEP, LIMIT, PERIOD = 24, 1 << 12, 32
+_U32, _U64 = np.uint32, np.uint64
+_TOP, _BOTTOM = _U64(1 << 48), _U64(1 << 32)
 
 
 def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-# ---- range coder, one state per lane
+# ---- range coder, one state per lane: 64-bit low and range, 16 bits moved at a time
 
 
 class _Encoder:
     def __init__(self, lanes: int, room: int):
-        self.low, self.range = np.zeros(lanes, _U32), np.full(lanes, 0xFFFFFFFF, _U32)
-        self.room, self.out = room, np.zeros(lanes * room, np.uint8)
+        self.low, self.range = np.zeros(lanes, _U64), np.full(lanes, (1 << 64) - 1, _U64)
+        self.room, self.out = room, np.zeros(lanes * room, ">u2")
         self.at = np.arange(lanes) * room
 
     def put(self, low: np.ndarray, size: np.ndarray, total: np.ndarray) -> None:
-        """Codes [low, low + size) of total; (0, 1, 1) codes nothing."""
+        """Codes [low, low + size) of total; (0, 1, 1) codes nothing. Two of these fit between calls of ``settle``."""
         step = self.range // total
         self.low += low * step
         self.range = step * size
-        _settle(self, self._emit)
 
-    def _emit(self, lanes: np.ndarray) -> None:
-        self.out[self.at[lanes]] = self.low[lanes] >> _U32(24)
+    def move(self, lanes: np.ndarray) -> None:
+        self.out[self.at[lanes]] = self.low[lanes] >> _U64(48)
         self.at[lanes] += 1
 
     def finish(self) -> list[bytes]:
         every = np.arange(len(self.low))
         for _ in range(4):
-            self._emit(every)
-            self.low <<= _U32(8)
+            self.move(every)
+            self.low <<= _U64(16)
         return [self.out[k * self.room : end].tobytes() for k, end in enumerate(self.at.tolist())]
 
 
 class _Decoder:
     def __init__(self, data: np.ndarray, starts: np.ndarray):
-        self.low, self.range = np.zeros(len(starts), _U32), np.full(len(starts), 0xFFFFFFFF, _U32)
-        self.data, self.at = np.concatenate([data, np.zeros(8, np.uint8)]), starts.astype(np.int64)
-        self.code = np.zeros(len(starts), _U32)
+        self.low, self.range = np.zeros(len(starts), _U64), np.full(len(starts), (1 << 64) - 1, _U64)
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        self.pairs = np.ndarray((len(padded) - 1,), ">u2", buffer=padded, strides=(1,))
+        self.at, self.code = starts.astype(np.int64), np.zeros(len(starts), _U64)
         for _ in range(4):
-            self._take(np.arange(len(starts)))
+            self.move(np.arange(len(starts)), first=True)
 
-    def _take(self, lanes: np.ndarray) -> None:
-        self.code[lanes] = (self.code[lanes] << _U32(8)) | self.data[np.minimum(self.at[lanes], len(self.data) - 1)]
-        self.at[lanes] += 1
+    def move(self, lanes: np.ndarray, first: bool = False) -> None:
+        code = self.code[lanes]
+        if first:
+            code <<= _U64(16)
+            self.code[lanes] = code | self.pairs[np.minimum(self.at[lanes], len(self.pairs) - 1)]
+        else:
+            self.code[lanes] = (code << _U64(16)) | self.pairs[np.minimum(self.at[lanes], len(self.pairs) - 1)]
+        self.at[lanes] += 2
 
     def target(self, total: np.ndarray) -> np.ndarray:
         self.step = self.range // total
-        return np.minimum((self.code - self.low) // self.step, total - _U32(1))
+        return np.minimum((self.code - self.low) // self.step, total - _U64(1))
 
     def take(self, low: np.ndarray, size: np.ndarray) -> None:
         self.low += low * self.step
         self.range = self.step * size
-        _settle(self, self._take)
-
-
-def _settle(coder, move) -> None:
-    """Moves a byte in or out while the top byte is fixed or the range has become small."""
-    lanes = None
-    while True:
-        low, wide = (coder.low, coder.range) if lanes is None else (coder.low[lanes], coder.range[lanes])
-        fixed = (low ^ (low + wide)) < _TOP
-        small = ~fixed & (wide < _BOTTOM)
-        go = np.flatnonzero(fixed | small)
-        if not len(go):
-            return
-        cut = small[go]
-        lanes = go if lanes is None else lanes[go]
-        if cut.any():
-            tight = lanes[cut]
-            coder.range[tight] = (~coder.low[tight] + _U32(1)) & (_BOTTOM - _U32(1))
-        move(lanes)
-        coder.low[lanes] <<= _U32(8)
-        coder.range[lanes] <<= _U32(8)
 
 
-# ---- models, one set per lane
+def _settle(coder) -> None:
+    """Moves 16 bits in or out while the top 16 are fixed or the range has become small."""
+    low, wide = coder.low, coder.range
+    go = np.flatnonzero(((low ^ (low + wide)) < _TOP) | (wide < _BOTTOM))
+    while len(go):
+        low, wide = coder.low[go], coder.range[go]
+        tight = (low ^ (low + wide)) >= _TOP
+        if tight.any():
+            wide[tight] = (~low[tight] + _U64(1)) & (_BOTTOM - _U64(1))
+        coder.move(go)
+        low <<= _U64(16)
+        wide <<= _U64(16)
+        coder.low[go], coder.range[go] = low, wide
+        go = go[((low ^ (low + wide)) < _TOP) | (wide < _BOTTOM)]
 
-_BITS = np.array([0] + [int(k).bit_length() for k in range(1, 1 << 16)], np.int64)
+
+# ---- models, one set per lane
 
 
 class _Models:
-    """Classes of the order-0 model: bit length of id + 1 and the bit after the first."""
+    """Predictions of order 1 and 2 with how sure they are (id * 4 + 0..3), and the adaptive frequencies.
 
-    CLASSES = 36
+    Frequencies take part in coding as they stood at the last renewal; every ``PERIOD`` ids they learn what was seen since.
+    """
 
     def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
-        self.one, self.one_sure = np.zeros(lanes << ONE_BITS, np.int32), np.zeros(lanes << ONE_BITS, np.int8)
-        self.two, self.two_sure = np.zeros(lanes << TWO_BITS, np.int32), np.zeros(lanes << TWO_BITS, np.int8)
-        self.outcome = np.tile(np.array([1, 1, 2], _U32), (lanes * 32, 1))
-        self.classes = np.ones((lanes, self.CLASSES), _U32)
-        self.last = self.before = np.zeros(lanes, np.int32)
+        self.lanes = lanes
+        lane = np.arange(lanes)
+        self.base1, self.base2, self.base_row, self.base_class = lane << ONE_BITS, lane << TWO_BITS, lane << 5, lane * (CLASSES + 1)
+        self.one, self.two = np.zeros(lanes << ONE_BITS, np.int32), np.zeros(lanes << TWO_BITS, np.int32)
+        self.outcome = np.tile(np.array([1, 1, 2], np.int32), (lanes * 32, 1))
+        self.classes = np.ones((lanes, CLASSES), np.int32)
+        self.last = self.before = np.zeros(lanes, np.uint32)
+        self.seen_rows, self.seen_classes = [], []
+        self.renew()
+
+    def renew(self) -> None:
+        if self.seen_rows:
+            for table, seen in ((self.outcome, self.seen_rows), (self.classes, self.seen_classes)):
+                flat = table.reshape(-1)
+                flat += STEP * np.bincount(np.concatenate(seen), minlength=len(flat)).astype(np.int32)
+                full = table.sum(1) > LIMIT
+                table[full] = (table[full] + 1) >> 1
+            self.seen_rows, self.seen_classes = [], []
+        upto = np.cumsum(self.outcome, 1).astype(_U64)
+        self.hit2, self.hit1, self.all = (np.ascontiguousarray(upto[:, k]) for k in range(3))
+        upto = np.zeros((self.lanes, CLASSES + 1), _U64)
+        np.cumsum(self.classes, 1, out=upto[:, 1:])
+        self.upto, self.class_total = upto.reshape(-1), np.ascontiguousarray(upto[:, -1])
 
     def look(self) -> None:
-        h1 = (self.last.astype(np.uint32) * _U32(2654435769)) >> _U32(32 - ONE_BITS)
-        h2 = ((self.last.astype(np.uint32) * _U32(2654435769)) ^ (self.before.astype(np.uint32) * _U32(2246822519))) * _U32(3266489917) >> _U32(32 - TWO_BITS)
-        self.slot1, self.slot2 = (self.lane << ONE_BITS) + h1, (self.lane << TWO_BITS) + h2
-        self.p1, self.k1 = self.one[self.slot1], self.one_sure[self.slot1]
-        self.p2, self.k2 = self.two[self.slot2], self.two_sure[self.slot2]
-        self.row = (self.lane << 5) + (self.k2.astype(np.int64) << 3) + (self.k1.astype(np.int64) << 1) + (self.p1 == self.p2)
-        self.weights = self.outcome[self.row]
+        h1 = self.last * _U32(2654435769)
+        h2 = (h1 ^ (self.before * _U32(2246822519))) * _U32(3266489917)
+        self.slot1, self.slot2 = self.base1 + (h1 >> _U32(32 - ONE_BITS)), self.base2 + (h2 >> _U32(32 - TWO_BITS))
+        self.e1, self.e2 = self.one[self.slot1], self.two[self.slot2]
+        self.p1, self.p2 = self.e1 >> 2, self.e2 >> 2
+        self.row = self.base_row + ((self.e2 & 3) << 3 | (self.e1 & 3) << 1 | (self.p1 == self.p2))
+        self.a, self.b, self.t = self.hit2[self.row], self.hit1[self.row], self.all[self.row]
 
     def judge(self, ids: np.ndarray) -> np.ndarray:
-        return np.where((self.k2 > 0) & (ids == self.p2), 0, np.where((self.k1 > 0) & (ids == self.p1), 1, 2))
-
-    def learn(self, ids: np.ndarray, what: np.ndarray, kind: np.ndarray) -> None:
-        self.outcome[self.row, what] += _U32(STEP)
-        full = self.row[self.outcome[self.row].sum(1) > LIMIT]
-        self.outcome[full] = (self.outcome[full] + _U32(1)) >> _U32(1)
-        new = np.flatnonzero(what == 2)
-        self.classes[new, kind[new]] += _U32(STEP)
-        full = new[self.classes[new].sum(1) > LIMIT]
-        self.classes[full] = (self.classes[full] + _U32(1)) >> _U32(1)
-        for table, sure, slot, guess, k in ((self.one, self.one_sure, self.slot1, self.p1, self.k1), (self.two, self.two_sure, self.slot2, self.p2, self.k2)):
-            right = (guess == ids) & (k > 0)
-            replace = ~right & (k <= 1)
-            table[slot] = np.where(replace, ids, guess)
-            sure[slot] = np.where(right, np.minimum(k + 1, 3), np.where(replace, 1, k - 1))
-        self.before, self.last = self.last, ids
-
-
-def _class_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Class, number of free bits, and place in the class."""
-    bits = _BITS[np.minimum(ids + 1, (1 << 16) - 1)] if ids.max(initial=0) < (1 << 16) - 1 else np.frexp((ids + 1).astype(float))[1].astype(np.int64)
+        """0: order 2 is right, 1: order 1 is right, 2: neither."""
+        return np.where(self.right2(ids), 0, np.where(self.right1(ids), 1, 2))
+
+    def right1(self, ids: np.ndarray) -> np.ndarray:
+        return (self.p1 == ids) & (self.e1 != 0)
+
+    def right2(self, ids: np.ndarray) -> np.ndarray:
+        return (self.p2 == ids) & (self.e2 != 0)
+
+    def learn(self, ids: np.ndarray, what: np.ndarray, kind: np.ndarray, on: np.ndarray | None) -> None:
+        rows, new = self.row * 3 + what, what == 2
+        self.seen_rows.append(rows if on is None else rows[on])
+        self.seen_classes.append((self.base1 >> ONE_BITS)[new] * CLASSES + kind[new] if on is None else ((self.base1 >> ONE_BITS) * CLASSES + kind)[new & on])
+        fresh = ids << 2 | 1
+        for table, slot, e, right in ((self.one, self.slot1, self.e1, self.right1(ids)), (self.two, self.slot2, self.e2, self.right2(ids))):
+            sure = e & 3
+            table[slot] = np.where(right, e + (sure < 3), np.where(sure < 2, fresh, e - 1))
+        self.before, self.last = self.last, ids.astype(_U32)
+
+
+def _class_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Class of each id (bit length of id + 1, and the bit after the first) and number of bits that are left."""
+    bits = np.frexp((ids + 1).astype(np.float64))[1]
     free = np.maximum(bits - 2, 0)
-    top = (ids + 1) >> free
-    return np.where(bits == 1, 0, 2 * bits - 3 + (top & 1)), free, (ids + 1) & ((1 << free) - 1)
+    return np.where(bits == 1, 0, 2 * bits - 3 + ((ids + 1) >> free & 1)).astype(np.int8), free.astype(np.int8)
 
 
-def _encode_lanes(ids: np.ndarray, length: np.ndarray) -> list[bytes]:
-    """Payloads of the blocks in the columns of ``ids`` (step, lane), of which each has its length; ids below 2**17."""
-    lanes = ids.shape[1]
-    coder, models = _Encoder(lanes, 8 * len(ids) + 16), _Models(lanes)
-    kind, free, place = (v.reshape(ids.shape) for v in _class_of(ids.reshape(-1).astype(np.int64)))
-    none, one = np.zeros(lanes, _U32), np.ones(lanes, _U32)
+def _encode_lanes(ids: np.ndarray, length: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """Coded part and plain bits of the blocks in the columns of ``ids`` (step, lane), of which each has its length."""
+    steps, lanes = ids.shape
+    coder, models = _Encoder(lanes, 4 * steps + 16), _Models(lanes)
+    kinds, free = _class_of(ids)
+    literal = np.zeros(ids.shape, bool)
+    none, one = np.zeros(lanes, _U64), np.ones(lanes, _U64)
     short = int(length.min())
-    for t in range(len(ids)):
+    for t in range(steps):
+        if t and t % PERIOD == 0:
+            models.renew()
         models.look()
-        x = ids[t]
+        x, on = ids[t], None if t < short else t < length
+        kind = kinds[t].astype(np.int64)
         what = models.judge(x)
-        w = models.weights
-        on = one if t < short else (t < length).astype(_U32)
-        low = np.where(what == 0, 0, np.where(what == 1, w[:, 0], w[:, 0] + w[:, 1])).astype(_U32)
-        size, total = w[models.lane, what], w.sum(1, dtype=_U32)
-        if t >= short:
-            low, size, total = low * on, np.where(on, size, one), np.where(on, total, one)
-        coder.put(low, size, total)
-        new = (what == 2) & (on > 0)
-        if new.any():
-            upto = np.cumsum(models.classes, 1, dtype=_U32)
-            size, k = models.classes[models.lane, kind[t]], kind[t]
-            coder.put(np.where(new, upto[models.lane, k] - size, none), np.where(new, size, one), np.where(new, upto[:, -1], one))
-            coder.put(np.where(new, place[t], 0).astype(_U32), one, np.where(new, 1 << free[t], 1).astype(_U32))
-        models.learn(x, what, kind[t])
-    return coder.finish()
-
-
-def _decode_lanes(data: np.ndarray, starts: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """The ids (step, lane) of the blocks whose payloads start there."""
+        new = what == 2
+        low = np.where(new, models.b, np.where(what == 1, models.a, none))
+        size = np.where(new, models.t, np.where(what == 1, models.b, models.a)) - low
+        if on is None:
+            coder.put(low, size, models.t)
+        else:
+            new &= on
+            coder.put(np.where(on, low, none), np.where(on, size, one), np.where(on, models.t, one))
+        at = models.base_class + kind
+        low = models.upto[at]
+        coder.put(np.where(new, low, none), np.where(new, models.upto[at + 1] - low, one), np.where(new, models.class_total, one))
+        _settle(coder)
+        literal[t] = new
+        models.learn(x, what, kind, on)
+    return coder.finish(), _plain_bits(ids, free, literal)
+
+
+def _plain_bits(ids: np.ndarray, free: np.ndarray, literal: np.ndarray) -> list[bytes]:
+    """Of every lane, the free bits of its literals one after the other, filled up to whole bytes."""
+    out = []
+    for k in range(ids.shape[1]):
+        at = np.flatnonzero(literal[:, k])
+        width = free[at, k].astype(np.int64)
+        value = np.repeat(ids[at, k].astype(np.int64) + 1, width)
+        out.append(np.packbits((value >> (np.repeat(width, width) - 1 - X.expand(width)) & 1).astype(np.uint8)).tobytes())
+    return out
+
+
+def _decode_lanes(data: np.ndarray, starts: np.ndarray, plain: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The ids (step, lane) of the blocks whose coded parts and plain bits start there."""
     lanes, steps = len(starts), int(length.max())
     coder, models = _Decoder(data, starts), _Models(lanes)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    words = np.ndarray((len(padded) - 3,), ">u4", buffer=padded, strides=(1,))
+    bit = plain.astype(np.int64) * 8
     out = np.zeros((steps, lanes), np.int32)
-    one, none = np.ones(lanes, _U32), np.zeros(lanes, _U32)
+    one, none = np.ones(lanes, _U64), np.zeros(lanes, _U64)
     short = int(length.min())
     for t in range(steps):
+        if t and t % PERIOD == 0:
+            models.renew()
         models.look()
-        w = models.weights
-        on = one > 0 if t < short else t < length
-        total = np.where(on, w.sum(1, dtype=_U32), one)
+        on = None if t < short else t < length
+        total = models.t if on is None else np.where(on, models.t, one)
         goal = coder.target(total)
-        what = (goal >= w[:, 0]).astype(np.int64) + (goal >= w[:, 0] + w[:, 1])
-        low = np.where(what == 0, 0, np.where(what == 1, w[:, 0], w[:, 0] + w[:, 1])).astype(_U32)
-        coder.take(np.where(on, low, none), np.where(on, w[models.lane, what], one))
-        x = np.where(what == 0, models.p2, models.p1)
-        new = (what == 2) & on
-        kind = np.zeros(lanes, np.int64)
-        if new.any():
-            upto = np.cumsum(models.classes, 1, dtype=_U32)
-            goal = coder.target(np.where(new, upto[:, -1], one))
-            kind = np.where(new, (upto <= goal[:, None]).sum(1), 0)
-            size = models.classes[models.lane, kind]
-            coder.take(np.where(new, upto[models.lane, kind] - size, none), np.where(new, size, one))
-            free = np.where(new & (kind > 2), (kind - 1) // 2, 0)
-            goal = coder.target((1 << free).astype(_U32))
-            coder.take(np.where(new, goal, none), one)
-            top = np.where(kind == 0, 1, 2 + (kind - 1) % 2)
-            x = np.where(new, ((top << free) | goal) - 1, x).astype(np.int32)
-        out[t] = np.where(on, x, 0)
-        models.learn(out[t], np.where(on, what, models.judge(out[t])), np.where(on, kind, _class_of(out[t].astype(np.int64))[0]))
+        new, hit1 = goal >= models.b, goal >= models.a
+        low = np.where(new, models.b, np.where(hit1, models.a, none))
+        size = np.where(new, models.t, np.where(hit1, models.b, models.a)) - low
+        if on is None:
+            coder.take(low, size)
+        else:
+            new &= on
+            coder.take(np.where(on, low, none), np.where(on, size, one))
+        goal = coder.target(np.where(new, models.class_total, one))
+        kind = np.zeros(lanes, np.int64)  # the last class that begins at or below the goal, by halving
+        for half in (32, 16, 8, 4, 2, 1):
+            up = np.minimum(kind + half, CLASSES)
+            kind = np.where(models.upto[models.base_class + up] <= goal, up, kind)
+        at = models.base_class + kind
+        low = models.upto[at]
+        coder.take(np.where(new, low, none), np.where(new, models.upto[at + 1] - low, one))
+        _settle(coder)
+        free = np.where(new, np.maximum(kind - 1, 0) >> 1, 0)
+        word = words[np.minimum(bit >> 3, len(words) - 1)].astype(np.int64)
+        value = (word << (bit & 7) & 0xFFFFFFFF) >> (32 - free)
+        bit += free
+        top = np.where(kind == 0, 1, 2 + (kind - 1 & 1))
+        x = np.where(new, ((top << free) | value) - 1, np.where(hit1, models.p1, models.p2)).astype(np.int32)
+        what = np.where(new, 2, hit1.astype(np.int64))
+        if on is not None:
+            x = np.where(on, x, 0).astype(np.int32)
+            what = np.where(on, what, models.judge(x))
+        out[t] = x
+        models.learn(x, what, kind, on)
     return out
 
 
@@ -242,18 +289,20 @@ def pack(doc_ids: list, counts: np.ndarray, ids: np.ndarray) -> bytes:
     length = np.full(blocks, BLOCK)
     if blocks:
         length[-1] = n - BLOCK * (blocks - 1)
-    payloads, sums = [], []
+    coded, plain = [], []
     for lo in range(0, blocks, LANES):
         own = length[lo : lo + LANES]
         part = np.zeros((len(own), BLOCK), np.int32)
         part.reshape(-1)[: own.sum()] = ids[lo * BLOCK : lo * BLOCK + own.sum()]
-        payloads += _encode_lanes(np.ascontiguousarray(part.T[: own.max()]), own)
+        one, two = _encode_lanes(np.ascontiguousarray(part.T[: own.max()]), own)
+        coded += one
+        plain += two
     sums = [zlib.crc32(ids[k * BLOCK : (k + 1) * BLOCK].astype("<u4").tobytes()) for k in range(blocks)]
     known = np.array([d is not None for d in doc_ids], np.uint8)
-    head = np.array([len(doc_ids), n, blocks, sum(map(len, payloads))], "<i8").tobytes()
+    head = np.array([len(doc_ids), n, blocks, sum(map(len, coded)) + sum(map(len, plain))], "<i8").tobytes()
     index = np.array([d or 0 for d in doc_ids], "<i8").tobytes() + known.tobytes() + np.asarray(counts, "<i8").tobytes()
-    table = np.array([len(p) for p in payloads], "<u4").tobytes() + np.array(sums, "<u4").tobytes()
-    return MAGIC + head + index + table + b"".join(payloads)
+    table = b"".join(np.array(v, "<u4").tobytes() for v in ([len(p) for p in coded], [len(p) for p in plain], sums))
+    return MAGIC + head + index + table + b"".join(x for both in zip(coded, plain, strict=True) for x in both)
 
 
 def segments(source):
@@ -274,15 +323,15 @@ def segments(source):
             raise ValueError("not a token file")
         docs, n, blocks, size = np.frombuffer(exactly(32), "<i8").tolist()
         doc_ids, known, counts = np.frombuffer(exactly(8 * docs), "<i8"), np.frombuffer(exactly(docs), np.uint8), np.frombuffer(exactly(8 * docs), "<i8")
-        sizes, sums = np.frombuffer(exactly(4 * blocks), "<u4").astype(np.int64), np.frombuffer(exactly(4 * blocks), "<u4")
+        coded, plain, sums = (np.frombuffer(exactly(4 * blocks), "<u4").astype(np.int64) for _ in range(3))
         data = np.frombuffer(exactly(size), np.uint8)
         length = np.minimum(BLOCK, n - BLOCK * np.arange(blocks))
-        starts = np.cumsum(sizes) - sizes
+        starts = np.cumsum(coded + plain) - coded - plain
         ids = np.zeros(n, np.int32)
         for lo in range(0, blocks, LANES):
             own = length[lo : lo + LANES]
             part = np.zeros((len(own), BLOCK), np.int32)
-            part[:, : own.max()] = _decode_lanes(data, starts[lo : lo + LANES], own).T
+            part[:, : own.max()] = _decode_lanes(data, starts[lo : lo + LANES], (starts + coded)[lo : lo + LANES], own).T
             ids[lo * BLOCK : lo * BLOCK + own.sum()] = part.reshape(-1)[: own.sum()]
         for k in range(blocks):
             if zlib.crc32(ids[k * BLOCK : (k + 1) * BLOCK].astype("<u4").tobytes()) != sums[k]:
