@@ -18,6 +18,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -358,9 +359,10 @@ def token_ids(column: pa.Array, path: str | None = None) -> tuple[np.ndarray, np
 
     def work_out(data, starts, ends):
         raw = data.tobytes()
-        found = model.encode_batch([raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], add_special_tokens=False)
+        found = model.encode_batch_fast([raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], add_special_tokens=False)
         lists = [e.ids for e in found]
-        return np.array([x for ids in lists for x in ids], np.int32), np.concatenate([[0], np.cumsum([len(ids) for ids in lists])]).astype(np.int64)
+        at = np.concatenate([[0], np.cumsum([len(ids) for ids in lists])]).astype(np.int64)
+        return np.fromiter(chain.from_iterable(lists), np.int32, at[-1]), at
 
     ids, count = units.spans(data, starts, ends, work_out)
     upto = np.concatenate([[0], np.cumsum(count)])[first]
