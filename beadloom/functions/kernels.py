@@ -98,7 +98,7 @@ def bond_code(a, b, n_ids: int) -> Column:
 def decode_bond(code, n_ids: int) -> tuple[Column, Column]:
     c = col(code)
     hi = F.pmod(c, F.lit(n_ids + 1))
-    return ((c - hi) / F.lit(n_ids + 1)).cast("bigint"), hi
+    return F.call_function("div", c, F.lit(n_ids + 1)), hi
 
 
 # Reactive type pair -> channel.

@@ -60,15 +60,17 @@ def update_bond_set(existing: DataFrame, deleted: DataFrame, new: DataFrame) ->
 def atom_bonds_to_bead_bonds(bonds: DataFrame, mapping: DataFrame, keys=("frame",), default_type: int = 1) -> DataFrame:
     """Bonds between different beads; an atom without a bead fails the query.
 
+    The mapping has one row per atom, or per atom and the ``keys`` it also carries (a mapping per frame).
     Both lookups shuffle the mapping by atom id, and Spark reuses that exchange.
     """
-    beads = mapping.select("atom_id", "bead_id")
+    own = [k for k in keys if k in mapping.columns]
+    beads = mapping.select(*own, "atom_id", "bead_id")
 
     def bead(c):
         return F.when(F.col(c).isNull() | (F.col(c) == 0), F.raise_error(F.lit("bond to an unmapped atom")).cast("bigint")).otherwise(F.col(c))
 
-    first = bonds.join(beads.withColumnsRenamed({"atom_id": "a1", "bead_id": "_b1"}), "a1", "left")
-    both = first.join(beads.withColumnsRenamed({"atom_id": "a2", "bead_id": "_b2"}), "a2", "left")
+    first = bonds.join(beads.withColumnsRenamed({"atom_id": "a1", "bead_id": "_b1"}), [*own, "a1"], "left")
+    both = first.join(beads.withColumnsRenamed({"atom_id": "a2", "bead_id": "_b2"}), [*own, "a2"], "left")
     pairs = both.select(*keys, bead("_b1").alias("_p"), bead("_b2").alias("_q")).where("_p <> _q")
     return pairs.select(
         *keys, F.least("_p", "_q").alias("b1"), F.greatest("_p", "_q").alias("b2")

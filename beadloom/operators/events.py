@@ -6,44 +6,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import channel, min_image, norm2, pair_type
+from ..session import cut_lineage
 from .bonds import bond_diff
 from .classify import with_reaction_name
 from .spatial import lengths
 
 
-def _ends(events: DataFrame, keys: list[str], attributes: DataFrame, values: list[str]) -> DataFrame:
-    """Attributes of both atoms of an event as ``<value>_1`` and ``<value>_2``.
-
-    The few events are listed one atom per row, so the big attribute table is
-    read and shuffled once rather than once per atom.
-    """
-    long = events.select(
-        *keys, "lo", "hi", F.posexplode(F.array("lo", "hi")).alias("_side", "atom_id")
-    )
-    joined = long.join(attributes, [*keys, "atom_id"] if set(keys) <= set(attributes.columns) else "atom_id", "left")
-    picks = [
-        F.max(F.when(F.col("_side") == side, F.col(v))).alias(f"{v}_{side + 1}") for v in values for side in (0, 1)
-    ]
-    return joined.groupBy(*keys, "lo", "hi").agg(*picks)
-
-
 def rebuild_events(before: DataFrame, after: DataFrame, atoms: DataFrame, mapping_before: DataFrame, mapping_after: DataFrame,
                    reaction_pairs: DataFrame, box, periodic: bool = True) -> DataFrame:
     """Reaction events from bond snapshots: created bonds with types, distance and names.
 
-    ``atoms`` carries (frame, atom_id, type, x, y, z); the diff comes first, so
-    only reacting frames and atoms of the big table take part.
+    ``atoms`` carries (frame, atom_id, type, x, y, z); a mapping may have one row
+    per atom, or per (frame, atom). The diff comes first, so only reacting
+    frames and atoms of the big tables take part.
     """
-    created = bond_diff(before, after).where("status = 'created'")
-    ends = _ends(created, ["frame"], atoms, ["type", "x", "y", "z"])
-    beads_before = mapping_before.select("atom_id", F.col("bead_type").alias("bead_before"))
-    beads_after = mapping_after.select("atom_id", F.col("bead_type").alias("bead_after"))
-    types = _ends(created, ["frame"], beads_before.join(beads_after, "atom_id"), ["bead_before", "bead_after"])
+    created = cut_lineage(bond_diff(before, after).where("status = 'created'"))
+    long = created.select("frame", "lo", "hi", F.posexplode(F.array("lo", "hi")).alias("_side", "atom_id"))
+    long = long.join(atoms.select("frame", "atom_id", "type", "x", "y", "z"), ["frame", "atom_id"], "left")
+    for mapping, name in ((mapping_before, "bead_before"), (mapping_after, "bead_after")):
+        on = [k for k in ("frame", "atom_id") if k in mapping.columns]
+        long = long.join(mapping.select(*on, F.col("bead_type").alias(name)), on, "left")
+    values = ["type", "x", "y", "z", "bead_before", "bead_after"]
+    ends = long.groupBy("frame", "lo", "hi").agg(*[F.max(F.when(F.col("_side") == s, F.col(v))).alias(f"{v}_{s + 1}") for v in values for s in (0, 1)])
     edges = lengths(box)
     deltas = [F.col(f"{ax}_2") - F.col(f"{ax}_1") for ax in "xyz"]
     if periodic:
         deltas = [min_image(d, edge) for d, edge in zip(deltas, edges)]
-    named = with_reaction_name(ends.join(types, ["frame", "lo", "hi"]), reaction_pairs, "bead_before_1", "bead_before_2")
+    named = with_reaction_name(ends, reaction_pairs, "bead_before_1", "bead_before_2")
     return named.select(
         F.col("frame").alias("cycle"), F.col("lo").alias("a1"), F.col("hi").alias("a2"),
         F.col("type_1").alias("t1"), F.col("type_2").alias("t2"),
@@ -61,10 +50,10 @@ def with_pair_type(events: DataFrame) -> DataFrame:
     return events.withColumn("pair_type", derived)
 
 
-def pre_event_frames(events: DataFrame, frames: DataFrame, check_step: int) -> DataFrame:
-    """Each event with the frame ``check_step`` before it; a missing frame fails the query."""
+def pre_event_frames(events: DataFrame, frames: DataFrame, check_step: int, keys=()) -> DataFrame:
+    """Each event with the frame of its own keys (trajectory) ``check_step`` before it; a missing frame fails the query."""
     wanted = events.withColumn("frame_ts", F.col("timestep") - check_step)
-    joined = wanted.join(frames.withColumnRenamed("timestep", "frame_ts").withColumn("_hit", F.lit(True)), "frame_ts", "left")
+    joined = wanted.join(frames.withColumnRenamed("timestep", "frame_ts").withColumn("_hit", F.lit(True)), [*keys, "frame_ts"], "left")
     checked = F.when(F.col("_hit"), F.col("frame_ts")).otherwise(
         F.raise_error(F.concat(F.lit("no frame at timestep "), F.col("frame_ts").cast("string"))).cast("bigint")
     )

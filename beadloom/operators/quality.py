@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.kernels import col
 from ..session import cut_lineage
 from .ordered import bucketed_row_number, dense_index
 from .skew import lookup
@@ -23,7 +24,7 @@ def report(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def reaction_count_checks(counts: DataFrame, names: list[str], expected_rows: int) -> DataFrame:
+def reaction_count_checks(counts: DataFrame, names: list[str], expected_rows) -> DataFrame:
     """Rows against the number of loops, negatives, and the total per reaction."""
     wide = counts.agg(
         F.count(F.lit(1)).alias("n_rows"),
@@ -35,13 +36,13 @@ def reaction_count_checks(counts: DataFrame, names: list[str], expected_rows: in
     )
 
 
-def mapping_coverage(mapping: DataFrame, n_atoms: int, id_col: str = "atom_id") -> DataFrame:
+def mapping_coverage(mapping: DataFrame, n_atoms, id_col: str = "atom_id") -> DataFrame:
     """Duplicate ids, ids missing from 1..n and number of beads. Ids beyond 1..n do not count as found."""
     found = mapping.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n"))
-    inside = F.col(id_col).between(1, n_atoms)
+    inside = F.col(id_col).between(1, col(n_atoms))
     beads = mapping.agg(F.count_distinct("bead_id").alias("b")).scalar()
     return found.agg(
-        F.sum(F.col("_n") - 1).alias("n_duplicates"), (F.lit(n_atoms) - F.count_if(inside)).alias("n_missing")
+        F.sum(F.col("_n") - 1).alias("n_duplicates"), (col(n_atoms) - F.count_if(inside)).alias("n_missing")
     ).withColumn("n_beads", beads)
 
 

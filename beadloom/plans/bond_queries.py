@@ -194,12 +194,12 @@ def _(t):
 
 
 @query("jn19_pre_event_frames", """
-    SELECT event_id, e.cycle * 1000 AS timestep, f.n5 AS n5, f.timestep AS frame_ts
-    FROM fx_events e JOIN fx_counts f ON f.traj = 0 AND f.timestep = e.cycle * 1000 - 1000 WHERE e.cycle > 1""")
+    SELECT event_id, e.traj, e.cycle * 1000 AS timestep, f.n5 AS n5, f.timestep AS frame_ts
+    FROM fx_events e JOIN fx_counts f ON f.traj = e.traj AND f.timestep = e.cycle * 1000 - 1000 WHERE e.cycle > 1""")
 def _(t):
-    ev = t.reactions.where("cycle > 1").select("event_id", (F.col("cycle") * 1000).alias("timestep"))
-    frames = t.counts.where("traj = 0").select("timestep", "n5")
-    return events.pre_event_frames(ev, frames, 1000).select("event_id", "timestep", "n5", "frame_ts")
+    ev = t.reactions.where("cycle > 1").select("event_id", "traj", (F.col("cycle") * 1000).alias("timestep"))
+    frames = t.counts.select("traj", "timestep", "n5")
+    return events.pre_event_frames(ev, frames, 1000, ["traj"]).select("event_id", "traj", "timestep", "n5", "frame_ts")
 
 
 @query("jn20_frame_as_of", """
@@ -219,8 +219,7 @@ def _(t):
     per = t.reactions.groupBy("traj", "cycle").agg(
         F.count_if(ch.isin("11", "12")).alias("n3x"), F.count_if(ch.isin("21", "22")).alias("n4x")
     )
-    grid = t.reactions.select("traj").distinct().select("traj", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(720).cast("bigint"))).alias("cycle"))
-    return events.events_on_grid(grid, per, ["traj", "cycle"], ["n3x", "n4x"])
+    return events.events_on_grid(t.cycle_grid, per, ["traj", "cycle"], ["n3x", "n4x"])
 
 
 @query("jn22_reaction_details", f"""

@@ -16,7 +16,6 @@ from ..operators.ordered import blocked_running_sum, bucketed_row_number
 
 ID_SPAN = 16777216  # ids of one molecule: mol_id * ID_SPAN + position
 BOX = 50.035
-N_CYCLES = 720
 CURVE_BINS = 54
 CURVE_LO, CURVE_HI = 1.0, 109.0
 LATTICE = 10007
@@ -139,6 +138,12 @@ class Inputs:
             F.col("event_type").alias("reaction_type"),
         )
 
+    @cached_property
+    def cycle_grid(self) -> DataFrame:
+        """Every cycle from 1 to the last one of any trajectory, for each trajectory."""
+        last = self.reactions.agg(F.max("cycle").alias("last")).scalar()
+        return self.reactions.select("traj").distinct().select("traj", F.explode(F.sequence(F.lit(1).cast("bigint"), last)).alias("cycle"))
+
     @cached_property
     def counts(self) -> DataFrame:
         """Per (traj, cycle): events per channel, type census and exposures."""
@@ -149,9 +154,7 @@ class Inputs:
             .groupBy("traj", "cycle")
             .agg(*[F.count_if(F.col("ch") == c).alias(f"N{c}") for c in ("11", "12", "21", "22")])
         )
-        grid = self.reactions.select("traj").distinct().select(
-            "traj", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(N_CYCLES).cast("bigint"))).alias("cycle")
-        )
+        grid = self.cycle_grid
         filled = grid.join(per, ["traj", "cycle"], "left").na.fill(0)
         filled = filled.withColumn("use5", F.col("N11") + F.col("N21")).withColumn("use6", F.col("N12") + F.col("N22"))
         cum = blocked_running_sum(filled, ["traj"], "cycle", ["use5", "use6"])
@@ -179,7 +182,7 @@ class Inputs:
     @cached_property
     def edges(self) -> DataFrame:
         return (
-            self.table("lineitem").where("l_quantity >= 49")
+            self.table("lineitem")
             .select(F.col("l_partkey").alias("u"), (F.col("l_suppkey") + 1000000000).alias("v"))
             .distinct()
         )
@@ -272,10 +275,10 @@ SQL_FIXTURES = {
                      count(e.event_id) FILTER (WHERE ch = '12') AS N12,
                      count(e.event_id) FILTER (WHERE ch = '21') AS N21,
                      count(e.event_id) FILTER (WHERE ch = '22') AS N22
-              FROM (SELECT DISTINCT traj FROM fx_events) CROSS JOIN range(1, 721) t(cycle)
+              FROM (SELECT DISTINCT traj FROM fx_events) CROSS JOIN (SELECT unnest(range(1, (SELECT max(cycle) FROM fx_events) + 1)) AS cycle)
               LEFT JOIN fx_channels e USING (traj, cycle) GROUP BY traj, cycle) g""",
     "fx_edges": """
-        SELECT DISTINCT l_partkey AS u, l_suppkey + 1000000000 AS v FROM lineitem WHERE l_quantity >= 49""",
+        SELECT DISTINCT l_partkey AS u, l_suppkey + 1000000000 AS v FROM lineitem""",
     "fx_samples": """
         SELECT l_suppkey AS curve_id, (l_quantity::BIGINT + l_partkey % 37 + l_orderkey % 23)::DOUBLE AS v
         FROM lineitem""",

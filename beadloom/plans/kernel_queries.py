@@ -60,13 +60,13 @@ def _(t):
 
 
 @query("prj5_bond_code", """
-    SELECT code, (code - code % 100000001) // 100000001 AS lo, code % 100000001 AS hi, count(*) AS n
-    FROM (SELECT least(l_partkey, l_suppkey) * 100000001 + greatest(l_partkey, l_suppkey) AS code FROM lineitem)
+    SELECT code, code // 1000000001 AS lo, code % 1000000001 AS hi, count(*) AS n
+    FROM (SELECT least(l_partkey + 900000000, 999999999 - l_suppkey) * 1000000001 + greatest(l_partkey + 900000000, 999999999 - l_suppkey) AS code FROM lineitem)
     GROUP BY 1""")
 def _(t):
-    n_ids = 100000000
+    n_ids = 1000000000  # codes beyond 2**53
     lo, hi = K.decode_bond("code", n_ids)
-    coded = t.lineitem.select(K.bond_code("l_partkey", "l_suppkey", n_ids).alias("code"))
+    coded = t.lineitem.select(K.bond_code(F.col("l_partkey") + 900000000, F.lit(999999999) - F.col("l_suppkey"), n_ids).alias("code"))
     return coded.groupBy("code").agg(F.count(F.lit(1)).alias("n")).select("code", lo.alias("lo"), hi.alias("hi"), "n")
 
 

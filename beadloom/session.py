@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL: dict[str, str] = {}
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -32,31 +36,53 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
     return spark
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process."""
+    master = spark.sparkContext.master
+    return master.startswith("local") and not master.startswith("local-cluster")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, local mode) a temporary folder is used.
+    Where that is unset, a folder given by ``setCheckpointDir`` counts, and in local mode a
+    temporary one that is removed at exit. Anything else is an error: executors do not see
+    what others write to a folder of one machine.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    path = tempfile.mkdtemp(prefix="beadloom-")
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    if not is_local(spark):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if "local" not in _LOCAL:
+        _LOCAL["local"] = tempfile.mkdtemp(prefix="beadloom-")
+        atexit.register(shutil.rmtree, _LOCAL["local"], ignore_errors=True)
+    return _LOCAL["local"]
+
+
+def job_dir(spark: SparkSession) -> str:
+    """The application's own folder below the shared one; all its step tables and files are there."""
+    return f"{shared_dir(spark).rstrip('/')}/beadloom-{spark.sparkContext.applicationId}"
+
+
+def drop_steps(spark: SparkSession) -> None:
+    """Removes the step tables of this application. Call it when the results that read them are stored."""
+    folder = job_dir(spark)
+    place, path = fs.FileSystem.from_uri(folder) if ":/" in folder else (fs.LocalFileSystem(), folder)
+    if place.get_file_info(path).type != fs.FileType.NotFound:
+        place.delete_dir(path)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{job_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read back: survives the loss of executors.
 
     A written table also drops the constraints a checkpointed plan keeps (they
-    grow from round to round in loops) and gives the planner real sizes.
+    grow from round to round in loops) and gives the planner real sizes. The tables
+    stay until ``drop_steps``, as lazy results read them.
     """
     spark = df.sparkSession
     path = scratch_path(spark, "step")

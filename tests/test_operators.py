@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from beadloom.functions import kernels as K
 from beadloom.operators import bonds as B
 from beadloom.operators import curves as C
-from beadloom.operators import events, graph, histograms, ordered, quality, reactivity, skew, spatial
+from beadloom.operators import events, graph, histograms, matching, ordered, quality, reactivity, skew, spatial
 from beadloom.sources import dump
 
 
@@ -99,9 +99,7 @@ def union_find(edges):
     return {n: find(n) for n in parent}
 
 
-@pytest.mark.parametrize("small", [0, 10, 100000])
-def test_components_with_a_hot_node(spark, monkeypatch, small):
-    monkeypatch.setattr(graph.component_roots, "__defaults__", (None, 100, small))
+def test_components_with_a_hot_node(spark):
     rnd = random.Random(3)
     edges = [(1000, k) for k in range(60)] + [(2000 + k, 2001 + k) for k in range(25)] + [(rnd.randint(0, 400), rnd.randint(0, 400)) for _ in range(60)]
     edges = [(u, v) for u, v in edges if u != v]
@@ -112,9 +110,7 @@ def test_components_with_a_hot_node(spark, monkeypatch, small):
     assert {r["n"]: r["label"] for r in graph.min_labels(flipped).collect()} == want
 
 
-@pytest.mark.parametrize("small", [0, 100000])
-def test_unwrap_makes_bonds_short(spark, monkeypatch, small):
-    monkeypatch.setattr(graph.component_roots, "__defaults__", (None, 100, small))
+def test_unwrap_makes_bonds_short(spark):
     true = [(k, 0.9 * k, 0.3 * k, 0.0) for k in range(40)]
     atoms = spark.createDataFrame([(k, x % 10, y % 10, z) for k, x, y, z in true], "atom_id bigint, x double, y double, z double")
     bonds = spark.createDataFrame([(k, k + 1) for k in range(39)], "a1 bigint, a2 bigint")
@@ -133,9 +129,87 @@ def test_lookup_keeps_every_row_of_a_hot_key(spark):
     assert out.where("w IS NULL").count() == 400
 
 
+def test_long_chains_are_traced_to_the_end(spark):
+    n = 90
+    bonds = spark.createDataFrame([(0, k, k + 1) for k in range(1, n)], "template bigint, a1 bigint, a2 bigint")
+    starts, edges = spark.createDataFrame([(0, 1)], "template bigint, bead_id bigint"), spark.createDataFrame([(0, n)], "template bigint, bead_id bigint")
+    assert rows(graph.trace_chains(starts, bonds, edges).select("position", "bead_id")) == [(k, k + 1) for k in range(1, n - 1)]
+
+
+# --- storage ---------------------------------------------------------------------
+
+
+def test_steps_need_a_shared_folder(spark):
+    from beadloom import session
+
+    class Elsewhere:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            master = "yarn"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(Elsewhere)
+
+
+def test_steps_are_removed(spark):
+    import os
+
+    from beadloom import session
+
+    df = session.cut_lineage(spark.range(5))
+    assert df.count() == 5 and os.listdir(session.job_dir(spark))
+    session.drop_steps(spark)
+    session.drop_steps(spark)
+    assert not os.path.exists(session.job_dir(spark))
+
+
 # --- bonds -----------------------------------------------------------------------
 
 
+def test_bond_codes_beyond_double_precision(spark):
+    n = 3_000_000_000
+    df = spark.createDataFrame([(n - 7, n), (99_800_001, 100_000_000), (1, 2)], "a bigint, b bigint").withColumn("code", K.bond_code("a", "b", n))
+    lo, hi = K.decode_bond("code", n)
+    assert df.where(lo.eqNullSafe(F.col("a")) & hi.eqNullSafe(F.col("b"))).count() == 3
+
+
+@pytest.mark.parametrize("last,status", [(6, "ambiguous"), (2, "matched")])
+def test_the_whole_chain_is_compared(spark, last, status):
+    types = {1: 3, 2: 5, 3: 5, 4: 1, 5: 2, 6: 4}
+    after = spark.createDataFrame([(1, 1, 2), (1, 1, 6), (1, 2, 3), (1, 3, 4), (1, 4, 5)], "frame bigint, a1 bigint, a2 bigint")
+    new = spark.createDataFrame([(1, 1, 2)], "frame bigint, lo bigint, hi bigint")
+    kinds = spark.createDataFrame([(1, b, t) for b, t in types.items()], "frame bigint, bead_id bigint, bead_type bigint")
+    sig = spark.createDataFrame(
+        [("long", 4, 3, 5, [], [5, 1, last]), ("other", 4, 3, 5, [], [6])],
+        "name string, interior bigint, end bigint, monomer bigint, chain_end array<bigint>, chain_mono array<bigint>")
+    row = matching.signature_lookup(new, kinds, after, sig).collect()[0]
+    assert (row["status"], row["name"]) == (status, "long" if status == "matched" else None)
+
+
+def test_templates_of_many_beads_get_their_own_numbers(spark):
+    mapping = spark.createDataFrame([(a, 1, 1) for a in range(200)], "atom_id bigint, bead_id bigint, bead_type bigint")
+    hits = [(m, b, m * 100 + b, 7, False) for m in (0, 1) for b in range(100)]
+    df = spark.createDataFrame(hits, "match_id bigint, local_bead bigint, atom_id bigint, post_type bigint, is_edge boolean")
+    got = rows(matching.remap_template_matches(mapping, df))
+    assert got == [(a, a + 2, 7) for a in range(200)]
+
+
+def test_a_mapping_per_frame(spark):
+    bonds = spark.createDataFrame([(1, 1, 10, 11), (2, 1, 10, 11)], "frame bigint, bond_type bigint, a1 bigint, a2 bigint")
+    none = bonds.where("false")
+    mapping = spark.createDataFrame([(1, 10, 1, 3), (1, 11, 2, 5), (2, 10, 7, 4), (2, 11, 7, 6)], "frame bigint, atom_id bigint, bead_id bigint, bead_type bigint")
+    assert rows(B.atom_bonds_to_bead_bonds(bonds, mapping).select("frame", "b1", "b2")) == [(1, 1, 2)]
+    atoms = spark.createDataFrame([(f, a, 1, float(a), 0.0, 0.0) for f in (1, 2) for a in (10, 11)], "frame bigint, atom_id bigint, type bigint, x double, y double, z double")
+    names = spark.createDataFrame([(3, 5, "x")], "lo bigint, hi bigint, reaction string")
+    got = events.rebuild_events(none, bonds, atoms, mapping, mapping, names, 50.0)
+    assert rows(got.select("cycle", "bead_before_1", "bead_before_2")) == [(1, 3, 5), (2, 4, 6)]
+
+
+
+
 def test_bond_diff_and_invariant(spark):
     before = spark.createDataFrame([(0, 1, 1, 2), (0, 2, 3, 4), (0, 1, 5, 6)], "frame int, bond_type bigint, a1 bigint, a2 bigint")
     after = spark.createDataFrame([(0, 1, 2, 1), (0, 3, 3, 4), (0, 9, 50, 51)], "frame int, bond_type bigint, a1 bigint, a2 bigint")
