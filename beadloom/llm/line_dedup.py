@@ -6,9 +6,10 @@ edit (a character replaced, inserted or deleted).
 
 Two lines within one edit have a deletion variant in common: the line itself, or the line without one
 character. Variants of every line would be as many as the characters of the corpus, so a filter that loses
-no pair comes first: cut at the middle, such lines agree in a half, and in the length up to one. Only lines
-that share a half with another line are kept; theirs are the variants that are emitted, as hashed keys of
-(length class, segment, what stands before, after and in the segment), joined, and verified by edit distance.
+no pair comes first: cut at the middle, such lines agree in a half, and in the length up to one; cut into segments, they agree
+around one of them. Only lines that share a half, and of these segments with the same surroundings, are kept;
+theirs are the variants that are emitted, as hashed keys of (length class, segment, what stands before, after
+and in the segment), joined, and verified by edit distance.
 Equal lines are one row from the first aggregate on.
 """
 
@@ -62,6 +63,10 @@ def _variants(lines: DataFrame) -> DataFrame:
     after = F.greatest(F.lit(0), F.col("n") - F.col("at") - F.col("width"))
     cut = cut.withColumn("around", F.xxhash64("n", "at", F.left("line", F.col("at")), F.right("line", after)))
     cut = cut.withColumn("part", F.substring("line", F.col("at") + 1, size - F.col("at") - after))
+    # A line can have a partner within a segment only if another line is the same around it.
+    cut = cut_lineage(cut.select("h1", "h2", "shorter", "around", "part"))
+    twice = cut.groupBy("around").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low < high").select("around")
+    cut = cut.join(twice, "around", "leftsemi")
     whole = cut.where("shorter = 1").select(F.xxhash64("around", F.lit(-1), "part").alias("variant"), F.lit(2).alias("role"), "h1", "h2")
     less = cut.where("shorter = 0").withColumn("i", F.explode(F.expr("sequence(1, char_length(part))")))
     less = less.withColumn("rest", F.concat(F.left("part", F.col("i") - 1), F.expr("substring(part, i + 1)")))
@@ -79,10 +84,10 @@ def repeated_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     slim = cut_lineage(slim)
     first = slim.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.first("keys").alias("keys"))
     first = cut_lineage(first)
-    halves = first.select(F.explode("keys").alias("key"), "h1", "h2")
+    halves = first.select(F.explode("keys").alias("key"), "h1")
     shared = halves.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low < high").select("key")
-    hopeful = cut_lineage(halves.join(shared, "key", "leftsemi").select("h1", "h2").distinct())
-    texts = lines.where(n >= MIN_CHARS - 1).select("h1", "h2", "line").join(hopeful, ["h1", "h2"], "leftsemi")
+    hopeful = cut_lineage(halves.join(shared, "key", "leftsemi").select("h1").distinct())
+    texts = lines.where(n >= MIN_CHARS - 1).select("h1", "h2", "line").join(hopeful, "h1", "leftsemi")
     texts = cut_lineage(texts.groupBy("h1", "h2").agg(F.first("line").alias("line")).join(first.select("h1", "h2", "first"), ["h1", "h2"]))
     variants = cut_lineage(_variants(texts.select("h1", "h2", "line")))
     named = variants.join(texts.select("h1", "h2", F.struct("first", "h1", "h2").alias("e")), ["h1", "h2"])
