@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import curves as C
@@ -118,7 +119,18 @@ def _(t):
     return _round(C.peak_width(c, C.detect_peaks(c)), "width")
 
 
-@query("win13_savgol_smoothing")
+def _savgol_sql(window: int, order: int, n: int = 54) -> str:
+    """Value at place ``pos`` of the cubic fitted to the window around a point, or to the first or last window near the ends."""
+    powers = np.vander(np.arange(window) / window, order + 1)
+    hat = powers @ np.linalg.pinv(powers)
+    rows = ", ".join(f"({pos}, {k}, {hat[pos, k]!r}::DOUBLE)" for pos in range(window) for k in range(window)).replace("np.float64", "")
+    start = f"least(greatest(c.i - {window // 2}, 0), {n - window})"
+    return f"""SELECT c.curve_id, c.i, c.x, round(sum(w.w * s.p), 6) AS smooth FROM fx_cn c
+        JOIN (VALUES {rows}) w(pos, k, w) ON w.pos = c.i - {start}
+        JOIN fx_cn s ON s.curve_id = c.curve_id AND s.i = {start} + w.k GROUP BY 1, 2, 3"""
+
+
+@query("win13_savgol_smoothing", _savgol_sql(11, 3))
 def _(t):
     arrays = C.to_arrays(counts_as_p(t)).withColumn("smooth", C.savgol_smooth("ps", 11, 3))
     return _round(C.from_arrays(arrays, ["smooth"]), "smooth")
