@@ -16,9 +16,11 @@ def col(value) -> Column:
 
 
 def min_image(delta, length) -> Column:
-    """Minimum-image displacement on one axis; rint rounds half to even."""
+    """Minimum-image displacement on one axis; rint rounds half to even. A box edge of 0 gives the plain difference."""
     d, box = col(delta), col(length)
-    return d - box * F.rint(d / box)
+    if isinstance(length, (int, float)):
+        return d - box * F.rint(d / box) if length else d
+    return F.when(box > 0, d - box * F.rint(d / box)).otherwise(d)
 
 
 def image_index(x, lo, length) -> Column:

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import angle_deg, dihedral_deg, min_image, norm2
-from .spatial import lengths
+from .spatial import box_columns, lengths
 
 
-def gather_members(terms: DataFrame, members: list[str], points: DataFrame, id_col: str) -> DataFrame:
+def gather_members(terms: DataFrame, members: list[str], points: DataFrame, id_col: str, box=()) -> DataFrame:
     """Terms times frames with columns ``c<k>_x`` ..., one equi join per member.
 
     ``points`` is (frame, id, x, y, z); the first join brings the frames in, the
@@ -18,7 +18,7 @@ def gather_members(terms: DataFrame, members: list[str], points: DataFrame, id_c
     out = terms
     for k, m in enumerate(members):
         coords = points.select(
-            "frame", F.col(id_col).alias(m), *[F.col(ax).alias(f"c{k}_{ax}") for ax in "xyz"]
+            "frame", F.col(id_col).alias(m), *[F.col(ax).alias(f"c{k}_{ax}") for ax in "xyz"], *(box if k == 0 else ())
         )
         out = out.join(coords, [m] if k == 0 else ["frame", m])
     return out
@@ -26,7 +26,7 @@ def gather_members(terms: DataFrame, members: list[str], points: DataFrame, id_c
 
 def term_values(terms: DataFrame, kind: str, members: list[str], points: DataFrame, id_col: str, box) -> DataFrame:
     """(frame, kind, type_id, members, value): length in box units or angle in degrees."""
-    rows = gather_members(terms, members, points, id_col)
+    rows = gather_members(terms, members, points, id_col, box_columns(box))
 
     def step(a, b):
         return [min_image(F.col(f"c{b}_{ax}") - F.col(f"c{a}_{ax}"), edge) for ax, edge in zip("xyz", lengths(box))]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.kernels import min_image
 from ..session import cut_lineage
 from .skew import per_group
-from .spatial import lengths
+from .spatial import box_columns, lengths
 
 
 def bead_info(mapping: DataFrame) -> DataFrame:
@@ -62,7 +62,7 @@ def periodic_centre_of_mass(atoms: DataFrame, mapping: DataFrame, box, frame: li
     atoms of one bead need not meet in one task.
     """
     keys = list(frame or [])
-    joined = cut_lineage(atoms.select(*keys, "atom_id", "x", "y", "z").join(
+    joined = cut_lineage(atoms.select(*keys, "atom_id", "x", "y", "z", *box_columns(box)).join(
         mapping.select("atom_id", "bead_id", "mass"), "atom_id"
     ))
     first = joined.groupBy(*keys, "bead_id").agg(

@@ -13,56 +13,77 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import min_image, norm2
+from ..functions.kernels import col, min_image, norm2
 from .histograms import bin_index
 
 HOT_CELL = 4096
 
 
-def lengths(box) -> tuple[float, float, float]:
-    """Box edges from one number or from three."""
-    return tuple(float(v) for v in box) if isinstance(box, (tuple, list)) else (float(box),) * 3
+def lengths(box) -> tuple:
+    """Box edges from one value or from three: numbers, or names of columns that hold the edges of each row's frame."""
+    three = tuple(box) if isinstance(box, (tuple, list)) else (box,) * 3
+    return tuple(v if isinstance(v, str) else float(v) for v in three)
 
 
-def volume(box) -> float:
-    lx, ly, lz = lengths(box)
-    return lx * ly * lz
+def box_columns(box) -> list[str]:
+    """The columns that a box by names needs."""
+    return list(dict.fromkeys(v for v in lengths(box) if isinstance(v, str)))
 
 
-def cells_per_axis(box, cutoff: float) -> tuple[int, int, int]:
-    return tuple(max(1, min(int(edge / cutoff), 1 << 20)) for edge in lengths(box))
+def cells_per_axis(box, cutoff: float) -> tuple:
+    """Cells at least as wide as the cutoff; columns where the edges are columns. An edge of 0 has no number of cells."""
 
+    def cells(edge):
+        if isinstance(edge, str):
+            return F.greatest(F.lit(1), F.least(F.floor(F.col(edge) / F.lit(float(cutoff))), F.lit(1 << 20)))
+        return max(1, min(int(edge / cutoff), 1 << 20))
 
-def cell_of(x, box, n: int) -> Column:
-    """Cell number of a coordinate, wrapped into the box."""
-    frac = F.col(x) / F.lit(float(box))
+    return tuple(cells(edge) for edge in lengths(box))
+
+
+def _wide_grid(box, cutoff: float) -> bool:
+    """Whether every axis surely has three cells or more, or no end."""
+    return not box_columns(box) and all(edge == 0 or n >= 3 for edge, n in zip(lengths(box), cells_per_axis(box, cutoff)))
+
+
+def _axis_cell(x: str, edge, n, cutoff: float, step: int = 0) -> Column:
+    """Cell of a coordinate, ``step`` cells on: counted around the box, or without end where the edge is 0."""
+    plain = F.floor(F.col(x) / F.lit(float(cutoff))) + step
+    if not isinstance(edge, str) and edge == 0:
+        return plain
+    length, count = col(edge), n if isinstance(n, Column) else F.lit(n)
+    if isinstance(edge, str):
+        length = F.when(length > 0, length)  # null for a plain axis
+    frac = F.col(x) / length
     frac = frac - F.floor(frac)
-    return F.least(F.floor(frac * F.lit(float(n))), F.lit(n - 1).cast("bigint"))
+    around = F.pmod(F.least(F.floor(frac * count.cast("double")), (count - 1).cast("bigint")) + step, count.cast("bigint"))
+    return F.coalesce(around, plain) if isinstance(edge, str) else around
+
 
+def _cell_code(points_box, n: tuple, cutoff: float, offset=(0, 0, 0)) -> Column:
+    """One number for a cell; 21 bits an axis, of which cells within reach of each other never share all."""
+    size = F.lit(1 << 21).cast("bigint")
+    parts = [F.pmod(_axis_cell(ax, edge, k, cutoff, d), size) for ax, edge, k, d in zip("xyz", lengths(points_box), n, offset)]
+    return (parts[0] * size + parts[1]) * size + parts[2]
 
-def with_cell(points: DataFrame, box, n: tuple[int, int, int]) -> DataFrame:
-    cx, cy, cz = (cell_of(ax, edge, k) for ax, edge, k in zip("xyz", lengths(box), n))
-    return points.withColumn("_cell", (cx * n[1] + cy) * n[2] + cz)
 
+def with_cell(points: DataFrame, box, cutoff: float) -> DataFrame:
+    return points.withColumn("_cell", _cell_code(box, cells_per_axis(box, cutoff), cutoff))
 
-def with_neighbour_cells(points: DataFrame, box, n: tuple[int, int, int], half: bool = False) -> DataFrame:
+
+def with_neighbour_cells(points: DataFrame, box, cutoff: float, half: bool = False) -> DataFrame:
     """One row per neighbouring cell; offsets that meet in a small grid are listed once.
 
     ``half`` lists the own cell and one of each two opposite neighbours, flagged ``_own``.
     """
-    steps = [sorted({d % k for d in (-1, 0, 1)}) for k in n]
-    offsets = list(product(*steps))
+    n = cells_per_axis(box, cutoff)
     if half:
         offsets = [o for o in product((-1, 0, 1), repeat=3) if o >= (0, 0, 0)]
-    base = [cell_of(ax, edge, k) for ax, edge, k in zip("xyz", lengths(box), n)]
-
-    def cell(offset):
-        a, b, c = ((v + d + k) % k for v, d, k in zip(base, offset, n))
-        number = (a * n[1] + b) * n[2] + c
-        return F.struct(number.alias("_cell"), F.lit(offset == (0, 0, 0)).alias("_own")) if half else number
-
-    cells = F.array(*[cell(o) for o in offsets])
-    return points.select("*", F.inline(cells)) if half else points.withColumn("_cell", F.explode(cells))
+        cells = F.array(*[F.struct(_cell_code(box, n, cutoff, o).alias("_cell"), F.lit(o == (0, 0, 0)).alias("_own")) for o in offsets])
+        return points.select("*", F.inline(cells))
+    steps = [(-1, 0, 1) if isinstance(k, Column) or edge == 0 else sorted({d % k for d in (-1, 0, 1)}) for k, edge in zip(n, lengths(box))]
+    cells = F.array(*[_cell_code(box, n, cutoff, o) for o in product(*steps)])
+    return points.withColumn("_cell", F.explode(F.array_distinct(cells) if box_columns(box) else cells))
 
 
 def _salted(left: DataFrame, right: DataFrame, keys: list[str], tag: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -88,19 +109,21 @@ def _prefixed(points: DataFrame, keys: list[str], prefix: str) -> DataFrame:
 
 
 def squared_distance(box, a: str = "l_", b: str = "r_") -> Column:
-    return norm2(*[min_image(F.col(f"{b}{ax}") - F.col(f"{a}{ax}"), edge) for ax, edge in zip("xyz", lengths(box))])
+    edges = [F.col(f"{a}{edge}") if isinstance(edge, str) else edge for edge in lengths(box)]
+    return norm2(*[min_image(F.col(f"{b}{ax}") - F.col(f"{a}{ax}"), edge) for ax, edge in zip("xyz", edges)])
 
 
 def neighbour_join(left: DataFrame, right: DataFrame, keys: list[str], box, cutoff: float, how: str = "inner",
                    condition: Column | None = None, inclusive: bool = False, half: bool = False) -> DataFrame:
     """Pairs within the cutoff as ``l_*`` and ``r_*`` columns plus ``d2``; or a semi join of the left.
 
+    The box is one number, three numbers, or three columns that both sides have and that
+    agree within the keys (a box per frame); an edge of 0 means no periodic images.
     With ``half`` (both sides the same points, three cells or more per axis) every pair
     of neighbouring cells meets once, and ``condition`` applies inside a cell only.
     """
-    n = cells_per_axis(box, cutoff)
-    lhs = with_cell(left, box, n)
-    rhs = with_neighbour_cells(right, box, n, half)
+    lhs = with_cell(left, box, cutoff)
+    rhs = with_neighbour_cells(right, box, cutoff, half)
     lhs, rhs = _salted(lhs, rhs, keys, ["x", "y", "z"])
     lhs, rhs = _prefixed(lhs, keys, "l_"), _prefixed(rhs, keys, "r_")
     on = [*keys, "_cell", "_salt"]
@@ -120,14 +143,14 @@ def neighbour_join(left: DataFrame, right: DataFrame, keys: list[str], box, cuto
     return lhs.join(rhs, on).where(near).withColumn("d2", d2).drop("_cell", "_salt", "_own")
 
 
-def weighted_points(points: DataFrame, keys: list[str]) -> DataFrame:
+def weighted_points(points: DataFrame, keys: list[str], box=()) -> DataFrame:
     """Copies of one point merged to a single row with their number ``w``."""
-    return points.groupBy(*keys, "type", "x", "y", "z").agg(F.count(F.lit(1)).alias("w"))
+    return points.groupBy(*keys, "type", "x", "y", "z", *box_columns(box) if box else ()).agg(F.count(F.lit(1)).alias("w"))
 
 
 def candidate_pairs(points: DataFrame, keys: list[str], box, cutoff: float, ends, monomers) -> DataFrame:
     """Number of (end, monomer) pairs closer than the cutoff per key, one column per type pair."""
-    merged = weighted_points(points.where(F.col("type").isin([*ends, *monomers])), keys)
+    merged = weighted_points(points.where(F.col("type").isin([*ends, *monomers])), keys, box)
     pairs = neighbour_join(
         merged.where(F.col("type").isin(list(ends))), merged.where(F.col("type").isin(list(monomers))), keys, box, cutoff
     )
@@ -143,11 +166,11 @@ def pair_histogram(points: DataFrame, keys: list[str], box, r_max: float, bins:
 
     Pairs between copies of one point are counted from the number of copies.
     """
-    merged = weighted_points(points, keys)
+    merged = weighted_points(points, keys, box)
     once = F.lit(False)  # (type, x, y, z) of the left before that of the right
     for c in ("z", "y", "x", "type"):
         once = (F.col(f"l_{c}") < F.col(f"r_{c}")) | ((F.col(f"l_{c}") == F.col(f"r_{c}")) & once)
-    half = min(cells_per_axis(box, r_max)) >= 3
+    half = _wide_grid(box, r_max)
     pairs = neighbour_join(merged, merged, keys, box, r_max, condition=once, inclusive=True, half=half)
     apart = pairs.select(
         *keys, F.least("l_type", "r_type").alias("t1"), F.greatest("l_type", "r_type").alias("t2"),
@@ -166,10 +189,10 @@ def excluded_histogram(points: DataFrame, keys: list[str], id_col: str, exclusio
 
     Work grows with the bonded pairs, not with the neighbour pairs.
     """
-    cols = [F.col(c) for c in ("type", "x", "y", "z")]
-    base = points.select(*keys, F.col(id_col).alias("_id"), *cols)
-    lhs = base.withColumnsRenamed({"_id": "lo", **{c: f"l_{c}" for c in ("type", "x", "y", "z")}})
-    rhs = base.withColumnsRenamed({"_id": "hi", **{c: f"r_{c}" for c in ("type", "x", "y", "z")}})
+    names = ("type", "x", "y", "z", *box_columns(box))
+    base = points.select(*keys, F.col(id_col).alias("_id"), *names)
+    lhs = base.withColumnsRenamed({"_id": "lo", **{c: f"l_{c}" for c in names}})
+    rhs = base.withColumnsRenamed({"_id": "hi", **{c: f"r_{c}" for c in names}})
     pairs = exclusions.join(lhs, "lo").join(rhs, [*keys, "hi"])
     d = F.sqrt(squared_distance(box))
     return pairs.select(
@@ -182,15 +205,18 @@ def radial_distribution(points: DataFrame, keys: list[str], id_col: str, box, r_
                         exclusions: DataFrame | None = None) -> DataFrame:
     """g(r) per unordered type pair over all frames; ordered pairs of one type count twice.
 
-    Exclusions lower the histogram, not the number of pairs it is compared with.
+    Exclusions lower the histogram, not the number of pairs it is compared with. The
+    volume is the mean over the frames where the box is given by columns.
     """
     hist = pair_histogram(points, keys, box, r_max, bins)
     if exclusions is not None:
         gone = excluded_histogram(points, keys, id_col, exclusions, box, r_max, bins)
         hist = hist.unionByName(gone.withColumn("n", -F.col("n")))
     total = hist.groupBy("t1", "t2", "i").agg(F.sum("n").alias("n"))
-    frames = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    edges = [col(edge) for edge in lengths(box)]
+    frames = points.groupBy(*keys).agg(F.max(edges[0] * edges[1] * edges[2]).alias("v"))
     n_frames = frames.agg(F.count(F.lit(1)).alias("f")).scalar()
+    mean_volume = frames.agg(F.avg("v").alias("v")).scalar()
     per_type = points.groupBy("type").agg((F.count(F.lit(1)) / n_frames).alias("m"))  # mean census per type
     a = per_type.select(F.col("type").alias("t1"), F.col("m").alias("m1"))
     b = per_type.select(F.col("type").alias("t2"), F.col("m").alias("m2"))
@@ -199,7 +225,7 @@ def radial_distribution(points: DataFrame, keys: list[str], id_col: str, box, r_
     mid = (F.col("i").cast("double") + 0.5) * F.lit(width)
     n_pairs = F.when(same, F.col("m1") * (F.col("m1") - 1)).otherwise(F.col("m1") * F.col("m2"))
     ordered = F.when(same, F.col("n") * 2).otherwise(F.col("n"))
-    ideal = F.lit(12.566370614359172) * mid * mid * F.lit(width) * n_pairs / F.lit(volume(box))
+    ideal = F.lit(12.566370614359172) * mid * mid * F.lit(width) * n_pairs / mean_volume
     return total.join(F.broadcast(a), "t1").join(F.broadcast(b), "t2").select(
         "t1", "t2", "i", mid.alias("r"), ordered.alias("pairs"),
         F.when(ideal > 1e-9, ordered / n_frames / ideal).otherwise(0.0).alias("g"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels as K
 from ..operators import bonds as B
 from ..operators import classify, events, spatial
-from .fixtures import BOX
+from .fixtures import BOX, FRAME_BOX, FRAME_BOX_SQL
 from .registry import query, r
 
 _DIFF = """
@@ -132,8 +132,9 @@ def _(t):
 
 
 def _pair_sql(cond, extra=""):
+    edge = {ax: v.format(f="a.frame") for ax, v in FRAME_BOX_SQL.items()}
     d = " + ".join(
-        f"pow(b.{ax} - a.{ax} - 50.035::DOUBLE * round_even((b.{ax} - a.{ax}) / 50.035::DOUBLE, 0), 2)" for ax in "xyz"
+        f"pow(b.{ax} - a.{ax} - {edge[ax]} * round_even((b.{ax} - a.{ax}) / {edge[ax]}, 0), 2)" for ax in "xyz"
     )
     return f"SELECT a.frame, a.type AS ta, b.type AS tb, a.bead_id AS ia, b.bead_id AS ib, {d} AS d2 {extra} FROM fx_beads a JOIN fx_beads b ON a.frame = b.frame AND {cond}"
 
@@ -143,7 +144,7 @@ def _pair_sql(cond, extra=""):
            count(*) FILTER (WHERE ta = 4 AND tb = 5 AND d2 < 25) AS E45, count(*) FILTER (WHERE ta = 4 AND tb = 6 AND d2 < 25) AS E46
     FROM ({_pair_sql("a.type IN (3, 4) AND b.type IN (5, 6)")}) GROUP BY 1""")
 def _(t):
-    return spatial.candidate_pairs(t.beads, ["frame"], BOX, 5.0, K.END_TYPES, K.MONOMER_TYPES)
+    return spatial.candidate_pairs(t.boxed_beads, ["frame"], FRAME_BOX, 5.0, K.END_TYPES, K.MONOMER_TYPES)
 
 
 _HIST_SQL = f"""
@@ -153,7 +154,7 @@ _HIST_SQL = f"""
 
 @query("jn12_pair_histogram", _HIST_SQL)
 def _(t):
-    return spatial.pair_histogram(t.beads, ["frame"], BOX, 6.0, 24)
+    return spatial.pair_histogram(t.boxed_beads, ["frame"], FRAME_BOX, 6.0, 24)
 
 
 # Beads k and k+1, k+2, k+3 of every block of ten count as bonded.
@@ -179,7 +180,7 @@ _EXCL_SQL = """(SELECT a.p_partkey AS lo, b.p_partkey AS hi FROM part a JOIN par
     WHERE d2 < 9 AND NOT EXISTS (SELECT 1 FROM {_EXCL_SQL} e WHERE e.lo = p.ia AND e.hi = p.ib)""")
 def _(t):
     once = F.col("l_bead_id") < F.col("r_bead_id")
-    pairs = spatial.neighbour_join(t.beads, t.beads, ["frame"], BOX, 3.0, condition=once)
+    pairs = spatial.neighbour_join(t.boxed_beads, t.boxed_beads, ["frame"], FRAME_BOX, 3.0, condition=once)
     near = pairs.select("frame", F.col("l_bead_id").alias("lo"), F.col("r_bead_id").alias("hi"), r("d2").alias("d2"))
     return B.drop_excluded(near, bead_exclusions(t))
 
@@ -189,8 +190,8 @@ def _(t):
       SELECT frame, bead_id AS atom_id FROM fx_beads WHERE bead_id % 40 = frame
       UNION ALL SELECT frame, ib FROM ({_pair_sql("a.bead_id % 40 = a.frame")}) WHERE d2 < 36)""")
 def _(t):
-    points = t.beads.withColumnRenamed("bead_id", "atom_id").drop("type")
-    return spatial.reacted_neighbourhood(points, points.where("atom_id % 40 = frame"), ["frame"], BOX, 6.0)
+    points = t.boxed_beads.withColumnRenamed("bead_id", "atom_id").drop("type")
+    return spatial.reacted_neighbourhood(points, points.where("atom_id % 40 = frame"), ["frame"], FRAME_BOX, 6.0)
 
 
 @query("jn19_pre_event_frames", """

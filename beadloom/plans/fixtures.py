@@ -16,6 +16,8 @@ from ..operators.ordered import blocked_running_sum, bucketed_row_number
 
 ID_SPAN = 16777216  # ids of one molecule: mol_id * ID_SPAN + position
 BOX = 50.035
+FRAME_BOX = ("lx", "ly", "lz")
+FRAME_BOX_SQL = {"x": "(50.035::DOUBLE + {f}::DOUBLE * 0.25::DOUBLE)", "y": "(50.035::DOUBLE + {f}::DOUBLE * 0.5::DOUBLE)", "z": "50.035::DOUBLE"}
 CURVE_BINS = 54
 CURVE_LO, CURVE_HI = 1.0, 109.0
 LATTICE = 10007
@@ -79,6 +81,12 @@ class Inputs:
             *[_lattice(F.col("bead_id"), ax, F.col("frame") * FRAME_SHIFT[ax]).alias(ax) for ax in "xyz"],
         )
 
+    @cached_property
+    def boxed_beads(self) -> DataFrame:
+        """Beads with the edges of their frame's box, which differ from frame to frame."""
+        f = F.col("frame").cast("double")
+        return self.beads.select("*", (F.lit(BOX) + f * F.lit(0.25)).alias("lx"), (F.lit(BOX) + f * F.lit(0.5)).alias("ly"), F.lit(BOX).alias("lz"))
+
     @cached_property
     def bonds(self) -> DataFrame:
         a1 = F.col("atom_id") - 1

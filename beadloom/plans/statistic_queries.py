@@ -11,7 +11,7 @@ from ..operators import bonds as B
 from ..operators import histograms as H
 from ..operators import reactivity as R
 from .bond_queries import _EXCL_SQL, _pair_sql, bead_chain, bead_exclusions
-from .fixtures import BOX, SQL_FIXTURES
+from .fixtures import BOX, FRAME_BOX, FRAME_BOX_SQL, SQL_FIXTURES
 from .registry import query, r
 
 _MI = "({a} - 50.035::DOUBLE * round_even(({a}) / 50.035::DOUBLE, 0))"
@@ -175,10 +175,10 @@ def _(t):
     c AS (SELECT type, count(*) / 3 AS m FROM fx_beads GROUP BY 1)
     SELECT t1, t2, i, (i + 0.5::DOUBLE) * 0.25::DOUBLE AS r, CASE WHEN t1 = t2 THEN 2 ELSE 1 END * n AS pairs,
            round(CASE WHEN t1 = t2 THEN 2 ELSE 1 END * n / 3 / (4 * pi() * pow((i + 0.5::DOUBLE) * 0.25::DOUBLE, 2) * 0.25::DOUBLE
-             * CASE WHEN t1 = t2 THEN a.m * (a.m - 1) ELSE a.m * b.m END / pow(50.035::DOUBLE, 3)), 6) AS g
+             * CASE WHEN t1 = t2 THEN a.m * (a.m - 1) ELSE a.m * b.m END / (SELECT avg({" * ".join(v.format(f="f") for v in FRAME_BOX_SQL.values())}) FROM range(3) t(f))), 6) AS g
     FROM h JOIN c a ON a.type = t1 JOIN c b ON b.type = t2""")
 def _(t):
-    g = spatial.radial_distribution(t.beads, ["frame"], "bead_id", BOX, 6.0, 24, bead_exclusions(t))
+    g = spatial.radial_distribution(t.boxed_beads, ["frame"], "bead_id", FRAME_BOX, 6.0, 24, bead_exclusions(t))
     return g.where("pairs > 0").withColumn("g", r("g"))
 
 
@@ -482,7 +482,7 @@ def _(t):
 def _(t):
     """Beads and events to counts per cycle, then the estimates: frame k is cycle k + 1."""
     cycle = (F.col("frame") + 1).alias("cycle")
-    pairs = spatial.candidate_pairs(t.beads, ["frame"], BOX, 5.0, K.END_TYPES, K.MONOMER_TYPES)
+    pairs = spatial.candidate_pairs(t.boxed_beads, ["frame"], FRAME_BOX, 5.0, K.END_TYPES, K.MONOMER_TYPES)
     types = R.census(t.beads, ["frame"])
     counts = pairs.join(types, "frame").select(cycle, *R.EXPOSURE.values(), "n5", "n6")
     happened = events.channel_counts(t.reactions.where("cycle <= 3"))
