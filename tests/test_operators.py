@@ -71,6 +71,47 @@ def test_pair_across_the_boundary(spark):
     assert (row["E35"], row["E36"], row["E45"], row["E46"]) == (1, 0, 0, 1)
 
 
+def test_a_box_per_frame_equals_brute_force(spark):
+    edges = {0: (10.0, 12.0, 9.0), 1: (6.5, 7.0, 20.0), 2: (4.0, 3.0, 5.0)}
+    rnd = random.Random(4)
+    pts = [(f, rnd.randint(3, 6), *[rnd.random() * e for e in edges[f]]) for f in edges for _ in range(60)]
+    df = spark.createDataFrame([(*p, *edges[p[0]]) for p in pts], "frame bigint, type bigint, x double, y double, z double, lx double, ly double, lz double")
+    want, hist = {}, {}
+    for i, (f, s, *p) in enumerate(pts):
+        for g, t, *q in pts[i + 1:]:
+            if f == g:
+                d = math.sqrt(sum((b - a - e * np.rint((b - a) / e)) ** 2 for a, b, e in zip(p, q, edges[f])))
+                lo, hi = sorted((s, t))
+                want[(f, lo, hi)] = want.get((f, lo, hi), 0) + (d < 2.0)
+                if d <= 2.0:
+                    key = (f, lo, hi, min(int(d / 0.25), 7))
+                    hist[key] = hist.get(key, 0) + 1
+    box = ("lx", "ly", "lz")
+    got = {r["frame"]: r for r in spatial.candidate_pairs(df, ["frame"], box, 2.0, (3, 4), (5, 6)).collect()}
+    assert all(got[f][f"E{a}{b}"] == want.get((f, a, b), 0) for f in edges for a in (3, 4) for b in (5, 6))
+    assert {tuple(r)[:4]: r["n"] for r in spatial.pair_histogram(df, ["frame"], box, 2.0, 8).select("frame", "t1", "t2", "i", "n").collect()} == hist
+    one = {tuple(r)[:3]: r["g"] for r in spatial.radial_distribution(df.where("frame = 0").withColumn("id", F.monotonically_increasing_id()), ["frame"], "id", box, 2.0, 8).select("t1", "t2", "i", "g").collect()}
+    two = {tuple(r)[:3]: r["g"] for r in spatial.radial_distribution(df.where("frame = 0").withColumn("id", F.monotonically_increasing_id()), ["frame"], "id", edges[0], 2.0, 8).select("t1", "t2", "i", "g").collect()}
+    assert one == pytest.approx(two) and one
+
+
+@pytest.mark.parametrize("box", [0, ("e", "e", "e")])
+def test_no_box_means_plain_distances(spark, box):
+    rnd = random.Random(6)
+    pts = [(0, k, rnd.uniform(-9, 9), rnd.uniform(-9, 9), rnd.uniform(0, 1)) for k in range(80)]
+    df = spark.createDataFrame(pts, "frame bigint, atom_id bigint, x double, y double, z double").withColumn("e", F.lit(0.0))
+    got = {r["atom_id"] for r in spatial.reacted_neighbourhood(df, df.where("atom_id < 4"), ["frame"], box, 2.5).collect()}
+    assert got == {k for _, k, *p in pts if any(math.dist(p, q[2:]) < 2.5 for q in pts[:4])}
+
+
+def test_unwrapping_in_the_box_of_each_frame(spark):
+    edges = {0: 10.0, 1: 7.0}
+    atoms = spark.createDataFrame([(f, k, (0.9 * k) % e, 0.0, 0.0, e) for f, e in edges.items() for k in range(30)], "frame bigint, atom_id bigint, x double, y double, z double, e double")
+    bonds = spark.createDataFrame([(k, k + 1) for k in range(29)], "a1 bigint, a2 bigint")
+    for r in graph.unwrap_molecules(atoms, bonds, ["frame"], "e").collect():
+        assert r["x"] == pytest.approx(0.9 * r["atom_id"])
+
+
 def test_exclusions_lower_the_histogram_only(spark):
     pts = [(0, k, 1, float(k), 0.0, 0.0) for k in range(1, 5)]
     df = spark.createDataFrame(pts, "frame bigint, id bigint, type bigint, x double, y double, z double")
