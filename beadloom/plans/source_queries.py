@@ -185,9 +185,11 @@ def _(t):
 
 
 @query("snk1_dump_lines", """
-    SELECT frame AS timestep, bead_id + 1 AS id, printf('%5d %5d %8.3f %8.3f %8.3f', bead_id + 1, type, x, y, z) AS line FROM fx_beads""")
+    SELECT frame AS timestep, bead_id + 1 AS id, printf('%5d %5d %8.3f %8.3f %8.3f', bead_id + 1, type, x, y, z) AS line FROM fx_beads
+    UNION ALL SELECT frame, 0, unnest(['ITEM: TIMESTEP', frame::VARCHAR, 'ITEM: NUMBER OF ATOMS', count(*)::VARCHAR, 'ITEM: BOX BOUNDS pp pp pp',
+      concat_ws(chr(10), '0.00000000 50.03500000', '0.00000000 50.03500000', '0.00000000 50.03500000'), 'ITEM: ATOMS id type x y z']) FROM fx_beads GROUP BY frame""")
 def _(t):
-    return dump.dump_lines(_bead_atoms(t), BOX).where("part = 8").select("timestep", "id", "line")
+    return dump.dump_lines(_bead_atoms(t), BOX).select("timestep", "id", "line")
 
 
 @query("snk2_xyz_rows", """
@@ -206,13 +208,31 @@ def _(t):
     return out.groupBy("kind", "types").agg(F.count(F.lit(1)).alias("n"), r(F.sum("p")).alias("total"))
 
 
+@query("snk2_gro_rows", """
+    SELECT line, count(*) AS n FROM (
+      SELECT printf('%5d%-5s%5s%5d%8.3f%8.3f%8.3f', (bead_id // 10) % 100000, 'MOL', 'T' || type::VARCHAR, (bead_id + 1) % 100000, (x + 0.003::DOUBLE) / 10.0::DOUBLE, (y + 0.003::DOUBLE) / 10.0::DOUBLE, (z + 0.003::DOUBLE) / 10.0::DOUBLE) AS line FROM fx_beads
+      UNION ALL SELECT printf('%5d', count(*)) FROM fx_beads GROUP BY frame UNION ALL SELECT DISTINCT 'frame ' || frame::VARCHAR FROM fx_beads
+      UNION ALL SELECT '   5.00350   5.00350   5.00350' FROM (SELECT DISTINCT frame FROM fx_beads)) GROUP BY 1""")
+def _(t):
+    path = scratch_path(t.spark, "gro")
+    # Moved off the ties of the third decimal, which the two engines round differently.
+    atoms = _bead_atoms(t).withColumns({ax: F.col(ax) + F.lit(0.003) for ax in "xyz"})
+    dump.write_rows(atoms.withColumn("mol_id", F.floor((F.col("id") - 1) / 10)), path, "timestep", "gro", BOX)
+    return t.spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("snk4_potential_export", """
-    SELECT name, line FROM (SELECT *, kind || '_' || table_id::VARCHAR AS name FROM (SELECT table_id, CASE table_id % 3 WHEN 0 THEN 'bond' WHEN 1 THEN 'angle' ELSE 'pair' END AS kind,
+    WITH rows AS (SELECT *, CASE table_id % 3 WHEN 0 THEN 'bond' WHEN 1 THEN 'angle' ELSE 'pair' END || '_' || table_id::VARCHAR AS name, row_number() OVER w AS no,
+        lag(x) OVER w AS x0, lead(x) OVER w AS x1, lag(u) OVER w AS u0, lead(u) OVER w AS u1 FROM fx_potentials WHERE i % 50 <> 7 WINDOW w AS (PARTITION BY table_id ORDER BY x))
+    SELECT name, no::VARCHAR AS line, round(x, 6) AS x, round(u, 6) AS u, round(-CASE WHEN x0 IS NULL THEN (u1 - u) / (x1 - x) WHEN x1 IS NULL THEN (u - u0) / (x - x0)
+        ELSE ((x - x0) * (x - x0) * u1 + ((x1 - x) * (x1 - x) - (x - x0) * (x - x0)) * u - (x1 - x) * (x1 - x) * u0) / ((x - x0) * (x1 - x) * (x1 - x0)) END, 6) AS f FROM rows
+    UNION ALL SELECT name, line, NULL, NULL, NULL FROM (SELECT *, kind || '_' || table_id::VARCHAR AS name FROM (SELECT table_id, CASE table_id % 3 WHEN 0 THEN 'bond' WHEN 1 THEN 'angle' ELSE 'pair' END AS kind,
         count(*) AS n, min(x) AS lo, max(x) AS hi FROM fx_potentials WHERE i % 50 <> 7 GROUP BY 1, 2)),
       LATERAL (SELECT unnest(['# contributor: beadloom', kind || '_' || table_id::VARCHAR, CASE WHEN kind = 'pair' THEN printf('N %d R %.6f %.6f', n, lo, hi) ELSE printf('N %d', n) END, '']) AS line)""")
 def _(t):
     holes = _tables_named(t).withColumn("u", F.when(F.col("i") % 50 != 7, F.col("u")))
-    return CF.potential_lines(holes).where("part < 9").select("name", "line")
+    lines = CF.potential_lines(holes).withColumn("_w", F.when(F.col("part") == 9, F.split("line", " ")))
+    return lines.select("name", F.coalesce(F.col("_w")[0], "line").alias("line"), *[r(F.col("_w")[k + 1]).alias(c) for k, c in enumerate("xuf")])
 
 
 @query("snk5_topology_export", """

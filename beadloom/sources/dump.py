@@ -107,8 +107,11 @@ def write_dump(atoms: DataFrame, path: str, box, frame: str = "timestep", images
     ordered.select("line").write.mode("append").text(path)
 
 
-def write_rows(atoms: DataFrame, path: str, frame: str, form: str = "xyz") -> None:
-    """Frames as ordered rows: xyz in angstrom with T<type> names, or fixed-width gro in nm."""
+def write_rows(atoms: DataFrame, path: str, frame: str, form: str = "xyz", box=0.0) -> None:
+    """Frames as ordered rows: xyz in angstrom with T<type> names, or fixed-width gro in nm.
+
+    gro rows carry ``mol_id`` where the atoms have one, and end with the edges of the box.
+    """
     heads = atoms.groupBy(frame).agg(F.count(F.lit(1)).alias("_n"))
     title = F.format_string("%d\nframe %d" if form == "xyz" else "frame %2$d\n%1$5d", F.col("_n"), F.col(frame))
     header = heads.select(F.col(frame), F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("id"), title.alias("line"))
@@ -117,6 +120,10 @@ def write_rows(atoms: DataFrame, path: str, frame: str, form: str = "xyz") -> No
         line = F.format_string("%s %.6f %.6f %.6f", name, "x", "y", "z")
     else:
         nm = [F.col(ax) / 10.0 for ax in "xyz"]
-        line = F.format_string("%5d%-5s%5s%5d%8.3f%8.3f%8.3f", F.col("id") % 100000, F.lit("MOL"), name, F.col("id") % 100000, *nm)
+        mol = F.col("mol_id" if "mol_id" in atoms.columns else "id")
+        edges = box if isinstance(box, (tuple, list)) else (box, box, box)
+        last = heads.select(F.col(frame), F.lit(2).alias("part"), F.lit(0).cast("bigint").alias("id"), F.format_string("%10.5f%10.5f%10.5f", *[F.lit(e / 10.0) for e in edges]).alias("line"))
+        header = header.unionByName(last)
+        line = F.format_string("%5d%-5s%5s%5d%8.3f%8.3f%8.3f", mol % 100000, F.lit("MOL"), name, F.col("id") % 100000, *nm)
     body = atoms.select(F.col(frame), F.lit(1).alias("part"), F.col("id"), line.alias("line"))
     header.unionByName(body).repartitionByRange(F.col(frame)).sortWithinPartitions(frame, "part", "id").select("line").write.mode("append").text(path)
