@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.kernels import safe_ratio
+from ..session import cut_lineage
 from .ordered import blocked_running_sum, bucketed_row_number
 
 CHANNELS = ("11", "12", "21", "22")
@@ -171,7 +173,8 @@ def block_bootstrap(counts: DataFrame, keys: list[str], n_blocks: int = 20, n_bo
     per = max(1, -(-n_blocks // n_traj))
     blocks = with_blocks(counts, keys, per).groupBy(*keys, "block").agg(*_sums())
     numbered = blocks.withColumn("_idx", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*keys, "block")) - 1)
-    total = n_traj * per
+    numbered = cut_lineage(numbered)
+    total = numbered.count()  # a short trajectory has fewer blocks than asked for
     spark = counts.sparkSession
     draws = spark.range(n_boot).select(
         F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(total - 1).cast("bigint"))).alias("slot")
@@ -194,21 +197,22 @@ def _path_error(xs: pd.Series, fs: pd.Series, r1: pd.Series, r2: pd.Series, f0:
         den = a * f * f + 2.0 * f * g + b * g * g
         return (f - (a * f * f + f * g) / den) / (1.0 - x)
 
-    out = []
-    for x_row, f_row, a, b, start in zip(xs, fs, r1, r2, f0):
-        x, f, err = 0.0, start, 0.0
-        for target, seen in zip(x_row, f_row):
-            h = (target - x) / 4.0
+    out, sizes = np.zeros(len(xs)), xs.map(len).to_numpy()
+    for size in np.unique(sizes):  # all rows whose paths have the same length at once
+        at = np.flatnonzero(sizes == size)
+        targets, seen = np.stack(xs.iloc[at].to_list()), np.stack(fs.iloc[at].to_list())
+        a, b, f, x = r1.to_numpy()[at], r2.to_numpy()[at], f0.to_numpy()[at], np.zeros(len(at))
+        for k in range(size):
+            h = (targets[:, k] - x) / 4.0
             for _ in range(4):
                 k1 = slope(x, f, a, b)
                 k2 = slope(x + h / 2, f + h * k1 / 2, a, b)
                 k3 = slope(x + h / 2, f + h * k2 / 2, a, b)
                 k4 = slope(x + h, f + h * k3, a, b)
-                f = min(max(f + h * (k1 + 2 * k2 + 2 * k3 + k4) / 6, 0.0), 1.0)
-                x += h
-            x = target
-            err += (f - seen) ** 2
-        out.append(err)
+                f = np.clip(f + h * (k1 + 2 * k2 + 2 * k3 + k4) / 6, 0.0, 1.0)
+                x = x + h
+            x = targets[:, k]
+            out[at] += (f - seen[:, k]) ** 2
     return pd.Series(out, dtype="float64")
 
 
@@ -228,7 +232,8 @@ def composition_fit(windows: DataFrame, keys: list[str], f0: Column | None = Non
     for _ in range(rounds):
         steps = F.array(*[F.lit(half * (2.0 * k / (grid - 1) - 1.0)) for k in range(grid)])
         cells = best.where(F.size("_p") >= 3).select("*", F.explode(steps).alias("_d1")).select("*", F.explode(steps).alias("_d2"))
-        cells = cells.withColumn("_l1", F.col("_c1") + F.col("_d1")).withColumn("_l2", F.col("_c2") + F.col("_d2"))
+        within = lambda c: F.greatest(F.lit(-3.0), F.least(F.lit(2.0), c))  # noqa: E731  ratios from 0.001 to 100
+        cells = cells.withColumn("_l1", within(F.col("_c1") + F.col("_d1"))).withColumn("_l2", within(F.col("_c2") + F.col("_d2")))
         ten = F.lit(10.0)
         scored = cells.withColumn("_e", _path_error(
             F.col("_p.X_mid"), F.col("_p.f1"), F.pow(ten, F.col("_l1")), F.pow(ten, F.col("_l2")), F.col("_f0")

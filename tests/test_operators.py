@@ -325,6 +325,12 @@ def test_known_ratios_come_back(spark):
         assert ci[name]["lo"] < est[name] < ci[name]["hi"]
 
 
+def test_short_trajectories_are_resampled_from_their_own_blocks(spark):
+    long, short = synthetic_counts(spark, cycles=400), synthetic_counts(spark, cycles=3).withColumn("traj", F.lit(1))
+    got = reactivity.block_bootstrap(long.unionByName(short), ["traj"], 20, 200, seed=5).collect()
+    assert all(r["n"] == 200 for r in got) and {r["estimate"] for r in got} >= {"r1_cand", "r2_cand"}
+
+
 def test_zero_events_give_null(spark):
     one = synthetic_counts(spark, cycles=3).withColumn("N11", F.lit(0)).withColumn("N12", F.lit(0))
     est = reactivity.point_estimates(one).collect()[0]
