@@ -113,7 +113,16 @@ def _(t):
     return direct.unionByName(well)
 
 
+def _mixed(t):
+    pairs = t.supplier.select(F.col("s_suppkey").alias("a"), (F.col("s_suppkey") + 1).alias("b"))
+    return fits.mix_tables(t.potentials, pairs)
+
+
 @query("st9_table_mixing")
 def _(t):
-    pairs = t.supplier.select(F.col("s_suppkey").alias("a"), (F.col("s_suppkey") + 1).alias("b"))
-    return fits.mixing_checks(fits.mix_tables(t.potentials, pairs))
+    return _mixed(t)
+
+
+@query("st9_mixing_checks")
+def _(t):
+    return fits.mixing_checks(_mixed(t))

@@ -430,6 +430,20 @@ def test_histogram_rules(spark):
     assert sum(r["density"] for r in every) == pytest.approx(5 / 6)
 
 
+def test_mixed_tables_of_one_shape_keep_it(spark):
+    from beadloom.operators import fits
+
+    scale = {1: (3.0, 0.2), 2: (3.4, 0.3)}
+    rows_ = [(k, i, 0.85 * s + i * 0.02, 4 * e * ((s / (0.85 * s + i * 0.02)) ** 12 - (s / (0.85 * s + i * 0.02)) ** 6)) for k, (s, e) in scale.items() for i in range(900)]
+    tables = spark.createDataFrame(rows_, "table_id bigint, i bigint, x double, u double")
+    got = fits.mix_tables(tables, spark.createDataFrame([(1, 2)], "a bigint, b bigint")).orderBy("i").collect()
+    s, e = 3.2, math.sqrt(0.06)
+    assert len(got) == 901 and got[0]["sigma_mix"] == pytest.approx(s, abs=0.01) and got[0]["eps_mix"] == pytest.approx(e, abs=0.001)
+    for r in got:
+        if r["x"] > 0.97 * s:
+            assert r["u"] == pytest.approx(4 * e * ((s / r["x"]) ** 12 - (s / r["x"]) ** 6), abs=0.02)
+
+
 # --- kernels and scans ----------------------------------------------------------------
 
 
