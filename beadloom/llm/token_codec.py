@@ -33,11 +33,11 @@ from . import text as X
 from .warc import _place
 
 MAGIC = b"BDT1"
-BLOCK, LANES = 4096, 1024
+BLOCK, LANES, SEGMENT_BLOCKS = 4096, 2048, 1024
 ROWS_PER_FILE = 8192
 END_ID = 1
 CHUNK = 12 << 20
-ONE_BITS, TWO_BITS, CLASSES = 10, 11, 36
+ONE_BITS, TWO_BITS, CLASSES = 10, 11, 64  # of the classes, 36 are in use
 STEP, LIMIT, PERIOD = 24, 1 << 12, 32
 _U32, _U64 = np.uint32, np.uint64
 _TOP, _BOTTOM = _U64(1 << 48), _U64(1 << 32)
@@ -129,10 +129,11 @@ class _Models:
     def __init__(self, lanes: int):
         self.lanes = lanes
         lane = np.arange(lanes)
-        self.base1, self.base2, self.base_row, self.base_class = lane << ONE_BITS, lane << TWO_BITS, lane << 5, lane * (CLASSES + 1)
+        self.base1, self.base2, self.base_row, self.base_class = lane << ONE_BITS, lane << TWO_BITS, lane << 5, lane * CLASSES
         self.one, self.two = np.zeros(lanes << ONE_BITS, np.int32), np.zeros(lanes << TWO_BITS, np.int32)
         self.outcome = np.tile(np.array([1, 1, 2], np.int32), (lanes * 32, 1))
-        self.classes = np.ones((lanes, CLASSES), np.int32)
+        self.classes = np.zeros((lanes, CLASSES), np.int32)
+        self.classes[:, :36] = 1
         self.last = self.before = np.zeros(lanes, np.uint32)
         self.seen_rows, self.seen_classes = [], []
         self.renew()
@@ -145,10 +146,11 @@ class _Models:
                 full = table.sum(1) > LIMIT
                 table[full] = (table[full] + 1) >> 1
             self.seen_rows, self.seen_classes = [], []
-        upto = np.cumsum(self.outcome, 1).astype(_U64)
-        self.hit2, self.hit1, self.all = (np.ascontiguousarray(upto[:, k]) for k in range(3))
-        upto = np.zeros((self.lanes, CLASSES + 1), _U64)
-        np.cumsum(self.classes, 1, out=upto[:, 1:])
+        upto = np.zeros((len(self.outcome), 4), _U64)
+        np.cumsum(self.outcome, 1, out=upto[:, 1:])
+        self.outcome_upto = upto.reshape(-1)
+        upto = np.zeros((self.lanes, CLASSES), _U64)
+        np.cumsum(self.classes[:, :-1], 1, out=upto[:, 1:])
         self.upto, self.class_total = upto.reshape(-1), np.ascontiguousarray(upto[:, -1])
 
     def look(self) -> None:
@@ -158,24 +160,19 @@ class _Models:
         self.e1, self.e2 = self.one[self.slot1], self.two[self.slot2]
         self.p1, self.p2 = self.e1 >> 2, self.e2 >> 2
         self.row = self.base_row + ((self.e2 & 3) << 3 | (self.e1 & 3) << 1 | (self.p1 == self.p2))
-        self.a, self.b, self.t = self.hit2[self.row], self.hit1[self.row], self.all[self.row]
+        self.at = self.row << 2
 
     def judge(self, ids: np.ndarray) -> np.ndarray:
-        """0: order 2 is right, 1: order 1 is right, 2: neither."""
-        return np.where(self.right2(ids), 0, np.where(self.right1(ids), 1, 2))
-
-    def right1(self, ids: np.ndarray) -> np.ndarray:
-        return (self.p1 == ids) & (self.e1 != 0)
-
-    def right2(self, ids: np.ndarray) -> np.ndarray:
-        return (self.p2 == ids) & (self.e2 != 0)
+        """0: order 2 is right, 1: order 1 is right, 2: neither. ``learn`` uses what this finds."""
+        self.right1, self.right2 = (self.p1 == ids) & (self.e1 != 0), (self.p2 == ids) & (self.e2 != 0)
+        return np.where(self.right2, 0, 2 - self.right1)
 
     def learn(self, ids: np.ndarray, what: np.ndarray, kind: np.ndarray, on: np.ndarray | None) -> None:
         rows, new = self.row * 3 + what, what == 2
         self.seen_rows.append(rows if on is None else rows[on])
-        self.seen_classes.append((self.base1 >> ONE_BITS)[new] * CLASSES + kind[new] if on is None else ((self.base1 >> ONE_BITS) * CLASSES + kind)[new & on])
+        self.seen_classes.append((self.base_class + kind)[new if on is None else new & on])
         fresh = ids << 2 | 1
-        for table, slot, e, right in ((self.one, self.slot1, self.e1, self.right1(ids)), (self.two, self.slot2, self.e2, self.right2(ids))):
+        for table, slot, e, right in ((self.one, self.slot1, self.e1, self.right1), (self.two, self.slot2, self.e2, self.right2)):
             sure = e & 3
             table[slot] = np.where(right, e + (sure < 3), np.where(sure < 2, fresh, e - 1))
         self.before, self.last = self.last, ids.astype(_U32)
@@ -204,13 +201,14 @@ def _encode_lanes(ids: np.ndarray, length: np.ndarray) -> tuple[list[bytes], lis
         kind = kinds[t].astype(np.int64)
         what = models.judge(x)
         new = what == 2
-        low = np.where(new, models.b, np.where(what == 1, models.a, none))
-        size = np.where(new, models.t, np.where(what == 1, models.b, models.a)) - low
+        at = models.at + what
+        low, total = models.outcome_upto[at], models.outcome_upto[models.at + 3]
+        size = models.outcome_upto[at + 1] - low
         if on is None:
-            coder.put(low, size, models.t)
+            coder.put(low, size, total)
         else:
             new &= on
-            coder.put(np.where(on, low, none), np.where(on, size, one), np.where(on, models.t, one))
+            coder.put(np.where(on, low, none), np.where(on, size, one), np.where(on, total, one))
         at = models.base_class + kind
         low = models.upto[at]
         coder.put(np.where(new, low, none), np.where(new, models.upto[at + 1] - low, one), np.where(new, models.class_total, one))
@@ -246,22 +244,22 @@ def _decode_lanes(data: np.ndarray, starts: np.ndarray, plain: np.ndarray, lengt
             models.renew()
         models.look()
         on = None if t < short else t < length
-        total = models.t if on is None else np.where(on, models.t, one)
-        goal = coder.target(total)
-        new, hit1 = goal >= models.b, goal >= models.a
-        low = np.where(new, models.b, np.where(hit1, models.a, none))
-        size = np.where(new, models.t, np.where(hit1, models.b, models.a)) - low
+        total = models.outcome_upto[models.at + 3]
+        goal = coder.target(total if on is None else np.where(on, total, one))
+        new, hit1 = goal >= models.outcome_upto[models.at + 2], goal >= models.outcome_upto[models.at + 1]
+        at = models.at + hit1 + new
+        low = models.outcome_upto[at]
+        size = models.outcome_upto[at + 1] - low
         if on is None:
             coder.take(low, size)
         else:
             new &= on
             coder.take(np.where(on, low, none), np.where(on, size, one))
         goal = coder.target(np.where(new, models.class_total, one))
-        kind = np.zeros(lanes, np.int64)  # the last class that begins at or below the goal, by halving
-        for half in (32, 16, 8, 4, 2, 1):
-            up = np.minimum(kind + half, CLASSES)
-            kind = np.where(models.upto[models.base_class + up] <= goal, up, kind)
-        at = models.base_class + kind
+        at = models.base_class  # on to the last class that begins at or below the goal, by halving
+        for bit_ in (5, 4, 3, 2, 1, 0):
+            at = at + ((models.upto[at + (1 << bit_)] <= goal).astype(np.int64) << bit_)
+        kind = at - models.base_class
         low = models.upto[at]
         coder.take(np.where(new, low, none), np.where(new, models.upto[at + 1] - low, one))
         _settle(coder)
@@ -271,10 +269,9 @@ def _decode_lanes(data: np.ndarray, starts: np.ndarray, plain: np.ndarray, lengt
         bit += free
         top = np.where(kind == 0, 1, 2 + (kind - 1 & 1))
         x = np.where(new, ((top << free) | value) - 1, np.where(hit1, models.p1, models.p2)).astype(np.int32)
-        what = np.where(new, 2, hit1.astype(np.int64))
         if on is not None:
             x = np.where(on, x, 0).astype(np.int32)
-            what = np.where(on, what, models.judge(x))
+        what = models.judge(x)
         out[t] = x
         models.learn(x, what, kind, on)
     return out
@@ -407,7 +404,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None) -> DataFra
             held.append(ids)
             held_counts.append(counts)
             held_docs.extend(batch.column("doc_id").to_pylist())
-            if sum(map(len, held)) >= BLOCK * LANES:
+            if sum(map(len, held)) >= BLOCK * SEGMENT_BLOCKS:
                 flush()
         if out is not None:
             if held_docs:
