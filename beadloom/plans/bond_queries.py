@@ -114,12 +114,14 @@ def _(t):
     return events.rebuild_events(t.before, t.after, framed_atoms(t), t.mapping, mapping_after(t), pairs, BOX)
 
 
+# Every molecule is a chain whose first atom also holds every other one: whole tables, and degrees that a molecule bounds.
 @query("jn9_angles", """
-    SELECT least(p.v, q.v) AS b1, p.u AS b2, greatest(p.v, q.v) AS b3
-    FROM fx_edges p JOIN fx_edges q ON p.u = q.u AND p.v < q.v
-    UNION SELECT p.u, p.v, q.u FROM fx_edges p JOIN fx_edges q ON p.v = q.v AND p.u < q.u""")
+    WITH b AS (SELECT a1, a2 FROM fx_bonds UNION SELECT atom_id - pos + 1, atom_id FROM fx_atoms WHERE pos >= 2),
+    s AS (SELECT a1 AS n, a2 AS o FROM b UNION SELECT a2, a1 FROM b)
+    SELECT p.o AS b1, p.n AS b2, q.o AS b3 FROM s p JOIN s q ON p.n = q.n AND p.o < q.o""")
 def _(t):
-    return B.angles_from_bonds(t.edges.select(F.col("u").alias("a1"), F.col("v").alias("a2")))
+    rings = t.atoms.where("pos >= 2").select((F.col("atom_id") - F.col("pos") + 1).alias("a1"), F.col("atom_id").alias("a2"))
+    return B.angles_from_bonds(t.bonds.select("a1", "a2").unionByName(rings))
 
 
 @query("jn10_dihedrals", """
