@@ -29,7 +29,7 @@ from . import text as X
 BLANK = "▁"
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 UNIGRAM, MERGES = 1, 2
-CHUNK = 12 << 20
+CHUNK = 2 << 20
 _NEVER = 1 << 30
 
 

@@ -139,7 +139,7 @@ def measures(docs: DataFrame, bands: dict[str, Band] | None = None, other: Band
 
     def run(batches):
         fst = pieces.load(model)
-        for batch in X.chunks(batches):
+        for batch in X.chunks(batches, limit=pieces.CHUNK):
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), **_judge(batch, fst, bands, other)})
 
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_tokens long, chars_per_token double, byte_share double, entropy double"
@@ -152,7 +152,7 @@ def keep_good(docs: DataFrame, bands: dict[str, Band] | None = None, other: Band
 
     def run(batches):
         fst = pieces.load(model)
-        for batch in X.chunks(batches):
+        for batch in X.chunks(batches, limit=pieces.CHUNK):
             yield batch.filter(pa.array(_judge(batch, fst, bands, other)["kept"]))
 
     return docs.mapInArrow(run, docs.schema)

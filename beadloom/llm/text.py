@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 LONG_WORD = 512
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -133,7 +133,7 @@ def signed(x: np.ndarray) -> np.ndarray:
 class Units:
     """Ids of byte spans, worked out once for each distinct span and kept for later batches, up to a number of ids."""
 
-    def __init__(self, limit: int = 6_000_000, slice_: int = 16_384):
+    def __init__(self, limit: int = 4_000_000, slice_: int = 16_384):
         self.limit, self.slice = limit, slice_
         self._forget()
 

@@ -36,7 +36,7 @@ MAGIC = b"BDT1"
 BLOCK, LANES, SEGMENT_BLOCKS = 4096, 2048, 1024
 ROWS_PER_FILE = 8192
 END_ID = 1
-CHUNK = 12 << 20
+CHUNK = 4 << 20
 ONE_BITS, TWO_BITS, CLASSES = 10, 11, 64  # of the classes, 36 are in use
 STEP, LIMIT, PERIOD = 24, 1 << 12, 32
 _U32, _U64 = np.uint32, np.uint64
