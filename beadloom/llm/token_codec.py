@@ -380,7 +380,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None) -> DataFra
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     files = max(1, -(-own.count() // ROWS_PER_FILE))
-    # A hash splits the documents of one id no further, so equal ids stay in one file.
+    # Ranges hold all rows of an id, so equal ids stay in one file.
     ranged = own.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches):
