@@ -21,6 +21,7 @@ FRAME_BOX_SQL = {"x": "(50.035::DOUBLE + {f}::DOUBLE * 0.25::DOUBLE)", "y": "(50
 CURVE_BINS = 54
 CURVE_LO, CURVE_HI = 1.0, 109.0
 LATTICE = 10007
+CYCLE_BEADS = 240
 PRIMES = {"x": 7919, "y": 104729, "z": 1299709}
 FRAME_SHIFT = {"x": 131, "y": 197, "z": 241}
 
@@ -187,6 +188,22 @@ class Inputs:
             "N11", "N12", "N21", "N22",
         )
 
+    @cached_property
+    def cycle_beads(self) -> DataFrame:
+        """A small bead set with its box for every (traj, cycle) of ``cycle_grid``; monomers are used up as cycles pass."""
+        last = self.reactions.agg(F.max("cycle").alias("last")).scalar()
+        spread = self.cycle_grid.select(
+            "traj", "cycle", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(CYCLE_BEADS - 1).cast("bigint"))).alias("bead_id"),
+            ((F.col("cycle") * 4 + F.col("traj")) % (LATTICE - 1) + 1).alias("_m"), (F.col("cycle") % 3).cast("double").alias("_f"),
+        )
+        base, rank, turns = F.col("bead_id") % 6 + 1, F.floor(F.col("bead_id") / 6) * 4 * last, (F.col("cycle") - 1) * (CYCLE_BEADS // 6)
+        used = ((base == 5) & (rank < turns * 3)) | ((base == 6) & (rank < turns))
+        return spread.select(
+            "traj", "cycle", "bead_id", F.when(used, base - 4).otherwise(base).alias("type"),
+            *[((F.col("bead_id") * F.lit(PRIMES[ax]) * F.col("_m") % LATTICE).cast("double") / F.lit(200.0)).alias(ax) for ax in "xyz"],
+            (F.lit(BOX) + F.col("_f") * F.lit(0.25)).alias("lx"), (F.lit(BOX) + F.col("_f") * F.lit(0.5)).alias("ly"), F.lit(BOX).alias("lz"),
+        )
+
     @cached_property
     def edges(self) -> DataFrame:
         return (
@@ -285,6 +302,14 @@ SQL_FIXTURES = {
                      count(e.event_id) FILTER (WHERE ch = '22') AS N22
               FROM (SELECT DISTINCT traj FROM fx_events) CROSS JOIN (SELECT unnest(range(1, (SELECT max(cycle) FROM fx_events) + 1)) AS cycle)
               LEFT JOIN fx_channels e USING (traj, cycle) GROUP BY traj, cycle) g""",
+    "fx_cycle_beads": """
+        SELECT traj, cycle, bead_id, CASE WHEN (base = 5 AND bead_id // 6 * 4 * last < (cycle - 1) * 40 * 3) OR (base = 6 AND bead_id // 6 * 4 * last < (cycle - 1) * 40) THEN base - 4 ELSE base END AS type,
+               (bead_id * 7919 * m % 10007)::DOUBLE / 200.0::DOUBLE AS x, (bead_id * 104729 * m % 10007)::DOUBLE / 200.0::DOUBLE AS y,
+               (bead_id * 1299709 * m % 10007)::DOUBLE / 200.0::DOUBLE AS z,
+               50.035::DOUBLE + f * 0.25::DOUBLE AS lx, 50.035::DOUBLE + f * 0.5::DOUBLE AS ly, 50.035::DOUBLE AS lz
+        FROM (SELECT traj, cycle, last, bead_id, bead_id % 6 + 1 AS base, (cycle * 4 + traj) % 10006 + 1 AS m, (cycle % 3)::DOUBLE AS f
+              FROM (SELECT DISTINCT traj FROM fx_events) CROSS JOIN (SELECT max(cycle) AS last FROM fx_events)
+              CROSS JOIN (SELECT unnest(range(1, (SELECT max(cycle) FROM fx_events) + 1)) AS cycle) CROSS JOIN range(240) b(bead_id))""",
     "fx_edges": """
         SELECT DISTINCT l_partkey AS u, l_suppkey + 1000000000 AS v FROM lineitem""",
     "fx_samples": """

@@ -10,6 +10,7 @@ from ..operators import bonded, classify, events, quality, spatial
 from ..operators import bonds as B
 from ..operators import histograms as H
 from ..operators import reactivity as R
+from ..session import cut_lineage
 from .bond_queries import _EXCL_SQL, _pair_sql, bead_chain, bead_exclusions
 from .fixtures import BOX, FRAME_BOX, FRAME_BOX_SQL, SQL_FIXTURES
 from .registry import query, r
@@ -492,3 +493,61 @@ def _(t):
     for name in R.ESTIMATES:
         sums = sums.withColumn(name, r(est.select(name).scalar()))
     return sums
+
+
+_CYCLE_D2 = " + ".join(f"pow(b.{ax} - a.{ax} - a.l{ax} * round_even((b.{ax} - a.{ax}) / a.l{ax}, 0), 2)" for ax in "xyz")
+
+
+def cycle_counts(t):
+    """Events, candidate pairs and type census per (traj, cycle), from beads and events of every cycle."""
+    keys = ["traj", "cycle"]
+    pairs = spatial.candidate_pairs(t.cycle_beads, keys, FRAME_BOX, 5.0, K.END_TYPES, K.MONOMER_TYPES)
+    types = R.census(t.cycle_beads, keys)
+    happened = events.channel_counts(t.reactions, keys)
+    full = events.events_on_grid(t.cycle_grid, happened, keys, [f"N{c}" for c in R.CHANNELS])
+    return cut_lineage(full.join(pairs, keys).join(types, keys))
+
+
+@query("st12b_reactivity_all_cycles", f"""
+    WITH e AS (SELECT coalesce(sum(n) FILTER (WHERE ta = 3 AND tb = 5), 0) AS E35, coalesce(sum(n) FILTER (WHERE ta = 3 AND tb = 6), 0) AS E36,
+               coalesce(sum(n) FILTER (WHERE ta = 4 AND tb = 5), 0) AS E45, coalesce(sum(n) FILTER (WHERE ta = 4 AND tb = 6), 0) AS E46
+        FROM (SELECT a.type AS ta, b.type AS tb, count(*) AS n FROM fx_cycle_beads a JOIN fx_cycle_beads b
+              ON a.traj = b.traj AND a.cycle = b.cycle AND a.type IN (3, 4) AND b.type IN (5, 6) WHERE {_CYCLE_D2} < 25 GROUP BY ALL)),
+    c AS (SELECT count(*) AS n_frames, avg(n5) AS n5, avg(n6) AS n6 FROM (SELECT count(*) FILTER (WHERE type = 5) AS n5, count(*) FILTER (WHERE type = 6) AS n6 FROM fx_cycle_beads GROUP BY traj, cycle)),
+    n AS (SELECT {_CH_AGG} FROM fx_channels)
+    SELECT n_frames, N11, N12, N21, N22, E35::BIGINT AS E35, E36::BIGINT AS E36, E45::BIGINT AS E45, E46::BIGINT AS E46,
+           {_est_sql("N11", "N12", "N21", "N22", "E35", "E36", "E45", "E46", "n5", "n6")} FROM n, e, c""")
+def _(t):
+    """Point estimates over every cycle of every trajectory, none left out."""
+    counts = cycle_counts(t)
+    est = R.point_estimates(counts)
+    sums = counts.agg(
+        F.count(F.lit(1)).alias("n_frames"), *[F.sum(f"N{c}").alias(f"N{c}") for c in R.CHANNELS], *[F.sum(e).alias(e) for e in R.EXPOSURE.values()])
+    return sums.crossJoin(est.select(*[r(c).alias(c) for c in R.ESTIMATES]))
+
+
+@query("st12c_reactivity_report")
+def _(t):
+    """The whole analysis over every cycle: estimates, bootstrap, windows, fit and diagnostics, as (part, item, name, v)."""
+    return reactivity_report(cycle_counts(t), ["traj"])
+
+
+def reactivity_report(counts, keys, windows=20, n_blocks=20, n_boot=1000):
+    def long(df, part, item):
+        names = [c for c in df.columns if c not in ("estimate", "n_windows", "window")]
+        cells = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in names])
+        return df.select(F.lit(part).alias("part"), item.cast("string").alias("item"), F.inline(cells))
+
+    slots = cut_lineage(R.window_estimates(counts, keys, tuple(sorted({10, windows, 40}))))
+    fitted = R.composition_fit(slots.where(F.col("n_windows") == windows).select("n_windows", "X_mid", "f1"), ["n_windows"])
+    parts = [
+        long(R.point_estimates(counts), "estimate", F.lit("all")),
+        long(R.block_bootstrap(counts, keys, n_blocks, n_boot), "bootstrap", F.col("estimate")),
+        long(slots, "window", F.concat_ws("/", "window", "n_windows")),
+        long(fitted, "fit", F.col("n_windows")),
+        long(R.diagnostics(counts, keys, windows), "diagnostic", F.lit("all")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
