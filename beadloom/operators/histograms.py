@@ -16,6 +16,14 @@ def bin_index(value, lo: float, hi: float, n: int) -> Column:
     return F.when((v >= lo) & (v <= hi), F.least(raw, F.lit(n - 1).cast("bigint")))
 
 
+def bin_index_by_kind(value, ranges: dict[str, tuple[float, float, int]]) -> Column:
+    """``bin_index`` with the range of the row's ``kind``; other kinds are null."""
+    i = F.lit(None).cast("bigint")
+    for kind, (lo, hi, n) in ranges.items():
+        i = F.when(F.col("kind") == kind, bin_index(value, lo, hi, n)).otherwise(i)
+    return i
+
+
 def bin_counts(df: DataFrame, keys: list[str], value: str, lo: float, hi: float, n: int) -> DataFrame:
     """One row per occupied (keys, bin), plus a null bin for samples out of range."""
     return df.groupBy(*keys, bin_index(value, lo, hi, n).alias("i")).agg(F.count(F.lit(1)).alias("n"))

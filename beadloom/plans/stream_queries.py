@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.histograms import bin_index
+from ..operators.histograms import bin_index, bin_index_by_kind
 from ..session import scratch_path
 from ..sources import dump
 from ..streaming import monitor as S
 from .coarse_queries import _MASSES
 from .fixtures import BOX
 from .registry import query, r
-from .statistic_queries import bonded_values
+from .statistic_queries import _RANGES, bonded_values
 
 
 @query("str1_reaction_totals", " UNION ALL ".join(f"SELECT traj, 'r{c}' AS reaction, sum(N{c})::BIGINT AS total, max(timestep) AS timestep FROM fx_counts GROUP BY 1" for c in ("11", "12", "21", "22")))
@@ -80,3 +80,19 @@ def _(t):
     hist = S.streaming_histogram(stream, ["kind", "type_id"], bin_index("value", 0.0, 180.0, 45), finished)
     S.run_available(hist, "update", S.append_sink(out), "bins")
     return S.latest(t.spark.read.parquet(out), ["kind", "type_id", "i"], ["n"])
+
+
+@query("str5b_incremental_all_kinds", """
+    SELECT kind, type_id, CASE WHEN value BETWEEN lo AND hi THEN least(floor((value - lo) / w)::BIGINT, nb - 1) END AS i, count(*) AS n
+    FROM fx_terms JOIN (VALUES ('bond', 0.0::DOUBLE, 40.0::DOUBLE, 1.0::DOUBLE, 40), ('angle', 0, 180, 5, 36), ('dihedral', -180, 180, 10, 36)) v(kind, lo, hi, w, nb) USING (kind)
+    WHERE NOT (kind = 'bond' AND type_id = 2) GROUP BY ALL""")
+def _(t):
+    """Bonds, angles and torsions in the ranges of AG14; values outside their range are counted in the null bin."""
+    source, out = scratch_path(t.spark, "terms"), scratch_path(t.spark, "bins")
+    values = bonded_values(t).select("frame", "kind", "type_id", "value")
+    values.repartition(3, "frame").write.parquet(source)
+    finished = t.spark.createDataFrame([("bond", 2)], "kind string, type_id bigint")
+    stream = S.table_stream(t.spark, source, values.schema, 1)
+    hist = S.streaming_histogram(stream, ["kind", "type_id"], bin_index_by_kind("value", _RANGES), finished)
+    S.run_available(hist, "update", S.append_sink(out), "bins")
+    return S.latest(t.spark.read.parquet(out), ["kind", "type_id", "i"], ["n"])

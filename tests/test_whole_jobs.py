@@ -28,3 +28,16 @@ def test_reactivity_covers_every_cycle(spark):
     assert report["bootstrap", "r1_bulk", "lo"] <= report["estimate", "all", "r1_bulk"] <= report["bootstrap", "r1_bulk", "hi"]
     total = sum(report["diagnostic", "all", f"N{c}"] for c in ("11", "12", "21", "22"))
     assert all(sum(v for k, v in report.items() if k[0] == "window" and k[1].endswith(f"/{w}") and k[2] == "n_events") == total for w in (10, 20, 40))
+
+
+@needs_tables
+def test_incremental_distributions_cover_every_kind(spark):
+    from beadloom.plans.catalogue import QUERIES
+    from beadloom.plans.fixtures import Inputs
+    from beadloom.plans.statistic_queries import bonded_values
+
+    assert against_sql(spark, "str5b_incremental_all_kinds") == []
+    rows = QUERIES["str5b_incremental_all_kinds"](spark, SF_DIR).collect()
+    assert {x.kind for x in rows} == {"bond", "angle", "dihedral"}
+    kept = bonded_values(Inputs(spark, SF_DIR)).where("NOT (kind = 'bond' AND type_id = 2)").count()
+    assert sum(x.n for x in rows) == kept
