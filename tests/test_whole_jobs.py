@@ -41,3 +41,27 @@ def test_incremental_distributions_cover_every_kind(spark):
     assert {x.kind for x in rows} == {"bond", "angle", "dihedral"}
     kept = bonded_values(Inputs(spark, SF_DIR)).where("NOT (kind = 'bond' AND type_id = 2)").count()
     assert sum(x.n for x in rows) == kept
+
+
+@needs_tables
+def test_templates_by_name_and_loose_atoms(spark):
+    assert against_sql(spark, "gr7b_named_templates") == []
+
+
+def test_template_in_two_parts(spark):
+    from beadloom.operators.matching import match_templates, typed_edges
+    from beadloom.plans.matching_queries import TEMPLATE_SCHEMA
+
+    # 1-2 are joined; 2-3-4-5 is a chain before; 6 is bonded to 7, away from them.
+    kept = [(2, 3), (3, 4), (4, 5), (6, 7)]
+    before = spark.createDataFrame([(1, *b) for b in kept], "frame bigint, a1 bigint, a2 bigint")
+    after = spark.createDataFrame([(1, *b) for b in [(1, 2), *kept]], "frame bigint, a1 bigint, a2 bigint")
+    types = spark.createDataFrame([(1, n, t) for n, t in enumerate((1, 2, 3, 4, 5, 4, 5), 1)], "frame bigint, atom_id bigint, type bigint")
+    atoms = types.selectExpr("frame", "atom_id", "type AS t0", "type AS t1")
+    bond, parts = [(1, 2, False, True)], [(1, 2, False, True), (3, 4, True, True)]
+    ends = [(1, 1, 1), (2, 2, 2)]
+    templates = spark.createDataFrame([
+        ("parts", parts, [*ends, (3, 4, 4), (4, 5, 5)]), ("bond", bond, ends), ("alone", bond, [*ends, (5, 4, 4)]), ("far", bond, [*ends, (9, 5, 5)]),
+    ], TEMPLATE_SCHEMA)
+    got = match_templates(typed_edges(before, after, types, types), templates, atoms).collect()
+    assert {(x.name, *x.atoms) for x in got} == {("parts", 1, 2, 4, 5), ("bond", 1, 2), ("alone", 1, 2, 4)}
