@@ -13,7 +13,7 @@ from ..operators import reactivity as R
 from ..session import cut_lineage
 from .bond_queries import _EXCL_SQL, _pair_sql, bead_chain, bead_exclusions
 from .fixtures import BOX, FRAME_BOX, FRAME_BOX_SQL, SQL_FIXTURES
-from .registry import query, r
+from .registry import ORACLES, QUERIES, query, r
 
 _MI = "({a} - 50.035::DOUBLE * round_even(({a}) / 50.035::DOUBLE, 0))"
 
@@ -551,3 +551,14 @@ def reactivity_report(counts, keys, windows=20, n_blocks=20, n_boot=1000):
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+@query("ag14b_distributions_with_rdf", f"""
+    SELECT kind, type_id, NULL::BIGINT AS type_b, i, x, n, density FROM ({ORACLES["ag14_all_distributions"]})
+    UNION ALL SELECT 'rdf', t1, t2, i, r, pairs, g FROM ({ORACLES["ag17_radial_distribution"]})""")
+def _(t):
+    """AG14 with g(r) per type pair (type_id, type_b) as kind rdf; its n are ordered pairs and its density is g."""
+    terms = QUERIES["ag14_all_distributions"](t.spark, t.sf_dir).withColumn("type_b", F.lit(None).cast("bigint"))
+    radial = QUERIES["ag17_radial_distribution"](t.spark, t.sf_dir).select(
+        F.lit("rdf").alias("kind"), F.col("t1").alias("type_id"), F.col("t2").alias("type_b"), "i", F.col("r").alias("x"), F.col("pairs").alias("n"), F.col("g").alias("density"))
+    return terms.select("kind", "type_id", "type_b", "i", "x", "n", "density").unionByName(radial)

@@ -65,3 +65,12 @@ def test_template_in_two_parts(spark):
     ], TEMPLATE_SCHEMA)
     got = match_templates(typed_edges(before, after, types, types), templates, atoms).collect()
     assert {(x.name, *x.atoms) for x in got} == {("parts", 1, 2, 4, 5), ("bond", 1, 2), ("alone", 1, 2, 4)}
+
+
+@needs_tables
+def test_distributions_include_rdf(spark):
+    from beadloom.plans.catalogue import QUERIES
+
+    assert against_sql(spark, "ag14b_distributions_with_rdf") == []
+    kinds = QUERIES["ag14b_distributions_with_rdf"](spark, SF_DIR).select("kind").distinct().collect()
+    assert {x.kind for x in kinds} == {"bond", "angle", "dihedral", "rdf"}
