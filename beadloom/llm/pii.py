@@ -166,7 +166,7 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
             if first >= past_dots:
                 start, end = _chain(text, first, past_dots, ".")
                 past_dots = end
-                found += [(a, b, "ip") for a, b in _quads(text, start, end) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in text[a:b].split("."))]
+                found += [(a, b, "ip") for a, b in _quads(text, start, end) if all(len(q) < 4 and int(q or "0") <= 255 for p in text[a:b].split(".") for q in [p.lstrip("0")])]
         elif anchor == "e":
             if (hit := _email(text, first, past_email)) is not None:
                 past_email = hit[1]

@@ -299,6 +299,12 @@ def test_base_spans_are_those_of_the_expressions(alphabet):
         assert [s for s in pii.find_spans(text) if s[2] in BASE] == base_spans(text), text
 
 
+def test_address_with_a_long_run_of_zeros():
+    text = "0" * 5000 + ".1.1.1"
+    assert [s for s in pii.find_spans(text) if s[2] == "ip"] == [(0, len(text), "ip")]
+    assert not [s for s in pii.find_spans("0" * 5000 + "256.1.1.1") if s[2] == "ip"]
+
+
 def test_personal_data_rows(spark):
     text = "é mail a.b+c@ex-1.example.org, 10.0.0.1, 4111 1111 1111 1111 +49 (30) 1234-5678; see https://ex.org/a?b=1). IBAN: DE89370400440532013000."
     rows = {r["doc_id"]: r for r in pii.find_personal_data(frame(spark, [(1, text), (2, None), (3, ""), (None, "x@y.z"), (4, "x@y.z " * 20000)])).collect()}
