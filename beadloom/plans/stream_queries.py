@@ -13,6 +13,21 @@ from .fixtures import BOX
 from .registry import query, r
 from .statistic_queries import _RANGES, bonded_values
 
+ALL_FILES = 2**31 - 1
+
+
+def land_and_run(landings, order, source, out, label, job):
+    """Write each landing as many files in ranges of ``order`` and run the job over it before the next one lands.
+
+    A landing is one micro-batch whatever its number of files, so a timestep is never split over two.
+    """
+    spark = landings[0].sparkSession
+    state = scratch_path(spark, f"{label}-state")
+    for landing in landings:
+        landing.repartitionByRange(*order).write.mode("append").parquet(source)
+        stream = S.table_stream(spark, source, landing.schema, ALL_FILES)
+        S.run_available(job(stream), "append", S.append_sink(out), label, state)
+
 
 @query("str1_reaction_totals", " UNION ALL ".join(f"SELECT traj, 'r{c}' AS reaction, sum(N{c})::BIGINT AS total, max(timestep) AS timestep FROM fx_counts GROUP BY 1" for c in ("11", "12", "21", "22")))
 def _(t):
@@ -32,10 +47,8 @@ def _(t):
     source, out = scratch_path(t.spark, "snapshots"), scratch_path(t.spark, "changes")
     steps = t.bonds.select(F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(4).cast("bigint"))).alias("timestep"), "bond_type", F.col("a1").alias("lo"), F.col("a2").alias("hi"))
     snaps = S.with_heartbeats(steps.where("(lo + timestep) % 7 <> 0").withColumn("run", F.lit(0).cast("bigint")))
-    schema = snaps.schema
-    for half in ("timestep <= 2", "timestep > 2"):  # two landings, in order
-        snaps.where(half).coalesce(1).write.mode("append").parquet(source)
-    S.run_available(S.bond_changes(S.table_stream(t.spark, source, schema, 1)), "append", S.append_sink(out), "changes")
+    halves = [snaps.where(half) for half in ("timestep <= 2", "timestep > 2")]  # two landings, in order
+    land_and_run(halves, ["timestep", "lo"], source, out, "changes", S.bond_changes)
     return t.spark.read.parquet(out).drop("batch", "b")
 
 
@@ -47,10 +60,9 @@ def _(t):
     rows = t.events.select(F.col("user_id").alias("bead_id"), (F.col("user_id") % 6 + 1).alias("initial_type"), F.col("event_id").alias("timestep"))
     half = rows.agg(F.max("timestep").alias("m")).scalar() / 2
     tagged = rows.withColumn("late", F.col("timestep") > half)
-    for late in ("NOT late", "late"):
-        tagged.where(late).drop("late").coalesce(1).write.mode("append").parquet(source)
-    changes = S.evolving_types(S.table_stream(t.spark, source, rows.schema, 1), {k: k % 6 + 1 for k in range(1, 7)})
-    S.run_available(changes, "append", S.append_sink(out), "types")
+    types = {k: k % 6 + 1 for k in range(1, 7)}
+    halves = [tagged.where(late).drop("late") for late in ("NOT late", "late")]
+    land_and_run(halves, ["timestep"], source, out, "types", lambda stream: S.evolving_types(stream, types))
     return t.spark.read.parquet(out).drop("batch", "b")
 
 

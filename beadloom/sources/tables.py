@@ -89,17 +89,22 @@ def read_reaction_details(spark: SparkSession, path: str, rebuilt: DataFrame | N
     return with_pair_type(df.select(*[F.col(c).cast(casts.get(c, "string")).alias(c) for c in df.columns]))
 
 
+BLOCK_ROWS = 4096
 BOND = "ARRAY<STRUCT<t: BIGINT, a1: BIGINT, a2: BIGINT>>"
 
 
 def write_reaction_frames(before: DataFrame, after: DataFrame, path: str) -> None:
     """Nested landing table partitioned by frame group, bonds as arrays per (frame, molecule block).
 
-    A frame is stored as many rows of bounded size, so no frame is gathered into one task.
+    A frame is stored as many rows of about ``BLOCK_ROWS`` bonds at most, their number from
+    the frame's size, so no frame is gathered into one task.
     """
+    sizes = before.select("frame").unionByName(after.select("frame")).groupBy("frame").agg(
+        F.greatest(F.lit(256), F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS))).alias("_blocks"))
+
     def packed(df, name):
-        block = F.pmod(F.xxhash64(F.least("a1", "a2"), F.greatest("a1", "a2")), F.lit(256))
-        return df.groupBy("frame", block.alias("block")).agg(F.collect_list(F.struct(F.col("bond_type").alias("t"), "a1", "a2")).alias(name))
+        block = F.pmod(F.xxhash64(F.least("a1", "a2"), F.greatest("a1", "a2")), F.col("_blocks"))
+        return df.join(sizes, "frame").groupBy("frame", block.alias("block")).agg(F.collect_list(F.struct(F.col("bond_type").alias("t"), "a1", "a2")).alias(name))
 
     joined = packed(before, "bonds_before").join(packed(after, "bonds_after"), ["frame", "block"], "full_outer")
     joined.withColumn("timestep", F.col("frame") * 1000).write.partitionBy("frame").mode("append").parquet(path)

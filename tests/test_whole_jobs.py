@@ -74,3 +74,36 @@ def test_distributions_include_rdf(spark):
     assert against_sql(spark, "ag14b_distributions_with_rdf") == []
     kinds = QUERIES["ag14b_distributions_with_rdf"](spark, SF_DIR).select("kind").distinct().collect()
     assert {x.kind for x in kinds} == {"bond", "angle", "dihedral", "rdf"}
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["str2_reaction_detector", "str3_evolving_mapping", "src7"])
+def test_many_files_give_the_same_rows(spark, name):
+    import __spark_entry__ as entry
+
+    assert against_sql(spark, next(n for n in entry.queries() if n.split("_")[0] == name.split("_")[0])) == []
+
+
+def test_landings_are_many_files(spark, tmp_path):
+    from beadloom.plans.stream_queries import land_and_run
+
+    rows = spark.range(2000).selectExpr("id AS timestep", "id % 7 AS n")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        land_and_run([rows.where("timestep < 900"), rows.where("timestep >= 900")], ["timestep"], f"{tmp_path}/in", f"{tmp_path}/out", "many", lambda s: s)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "in").glob("*.parquet"))) > 2
+    out = spark.read.parquet(f"{tmp_path}/out")
+    got = out.groupBy("batch").agg({"timestep": "min", "*": "count"}).orderBy("batch").collect()
+    assert [(x["min(timestep)"], x["count(1)"]) for x in got] == [(0, 900), (900, 1100)]
+
+
+def test_frame_blocks_follow_the_frame_size(spark, tmp_path, monkeypatch):
+    from beadloom.sources import tables
+
+    monkeypatch.setattr(tables, "BLOCK_ROWS", 4)
+    bonds = spark.range(5000).selectExpr("1L AS frame", "1L AS bond_type", "id AS a1", "id + 1 AS a2")
+    tables.write_reaction_frames(bonds, bonds, str(tmp_path / "frames"))
+    assert spark.read.parquet(str(tmp_path / "frames")).count() > 256
+    assert tables.read_reaction_frames(spark, str(tmp_path / "frames"), "bonds_after").count() == 5000
