@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, minhash, mixing, pieces, pii, quality, substring, token_codec, topk, warc
+from . import decontaminate, line_dedup, minhash, mixing, pieces, pii, quality, substring, token_codec, topk, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -152,3 +152,30 @@ def op9(spark, sf_dir):
 @query("op10_token_files")
 def op10(spark, sf_dir):
     return token_codec.round_trip(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op11_decontamination",
+    r"""
+    WITH t AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS up, 'abcdefghijklmnopqrstuvwxyz' AS low, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+' AS word),
+    iw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), up, low), word) AS ws FROM benchmark, t WHERE item_id IS NOT NULL),
+    k AS (SELECT item_id, ws, least(10, len(ws)) AS k FROM iw WHERE len(ws) > 0),
+    win AS (SELECT DISTINCT item_id, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda p: array_to_string(ws[p:p + k - 1], ' '))) AS s FROM k),
+    dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), up, low), word) AS ws FROM documents, t),
+    sizes AS (SELECT DISTINCT k FROM win),
+    place AS (SELECT doc_id, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda p: {'p': p, 's': array_to_string(ws[p:p + k - 1], ' ')})) AS w
+           FROM dw, sizes WHERE len(ws) >= k),
+    hit AS (SELECT doc_id, w.p AS p, place.k, item_id FROM place JOIN win ON win.k = place.k AND win.s = place.w.s),
+    covered AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(p, p + k)) AS i FROM hit) GROUP BY doc_id),
+    named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY doc_id)
+    SELECT dw.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+           sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+    """,
+)
+def op11(spark, sf_dir):
+    found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
