@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, minhash, mixing, pieces, pii, quality, substring, token_codec, topk, warc
+from . import decontaminate, line_dedup, minhash, mixing, periodic, pieces, pii, quality, substring, token_codec, topk, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -179,3 +182,31 @@ def op11(spark, sf_dir):
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+def _planted(batches):
+    """Texts in which the contract of op12 lets a stretch of words repeat to the end."""
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        for k, doc_id in enumerate(batch.column("doc_id").to_pylist()):
+            h = zlib.crc32(str(doc_id).encode())
+            own = (texts[k] or "").encode().split() if h % 10 == 0 and doc_id is not None else []
+            if own:
+                g, n = h // 10, len(own)
+                a = g % n
+                p = 1 + (n - a) // (3 + g % 8)
+                texts[k] = b" ".join(own[:a] + [own[a + (i - a) % p] for i in range(a, n)]).decode()
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "text": pa.array(texts, pa.string())})
+
+
+@query("op12_periodic_runs")
+def op12(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = periodic.periodic_runs(docs.mapInArrow(_planted, "doc_id long, text string"))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"), F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
