@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, minhash, mixing, periodic, pieces, pii, quality, substring, token_codec, topk, warc
+from . import decontaminate, line_dedup, minhash, mixing, periodic, pieces, pii, quality, spelling, substring, token_codec, topk, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -210,3 +210,30 @@ def op12(spark, sf_dir):
         (-F.col("best.period")).alias("period"), F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query(
+    "op13_spelling_variants",
+    r"""
+    WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS tab),
+    run AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]{7,}')) AS run FROM documents),
+    per AS (SELECT doc_id, run, count(*) AS n, hex(encode(doc_id || ':' || run)) AS hex FROM run GROUP BY doc_id, run),
+    summed AS (SELECT run, n, xor(list_reduce(list_transform(range(0, length(hex) // 2), lambda k: ('0x' || substr(hex, 2 * k + 1, 2))::BIGINT),
+                 lambda c, b: xor(c >> 8, tab[1 + (xor(c, b) & 255)]), 4294967295), 4294967295) AS h FROM per, tab),
+    result AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM summed),
+    word AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM result WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+    place AS (SELECT word, n, unnest(range(length(word))) AS i FROM word),
+    skip AS MATERIALIZED (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS s FROM place),
+    near AS (SELECT a.word, b.word AS near, b.n AS near_n FROM skip a JOIN skip b ON a.i = b.i AND a.s = b.s AND a.word <> b.word
+             UNION SELECT a.word, b.word, b.n FROM skip a JOIN word b ON a.s = b.word
+             UNION SELECT b.word, a.word, a.n FROM skip a JOIN word b ON a.s = b.word),
+    best AS (SELECT word, count(*) AS n_near, max(near_n) AS most FROM near GROUP BY word),
+    first AS (SELECT near.word, min(near) AS form FROM near JOIN best ON near.word = best.word AND near_n = most GROUP BY near.word),
+    formed AS MATERIALIZED (SELECT word.word, CASE WHEN most >= 10 * n THEN form END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 10 * n THEN most END AS form_n
+               FROM word LEFT JOIN best USING (word) LEFT JOIN first USING (word)),
+    path(word, tip, form) AS (SELECT word, word, form FROM formed UNION ALL SELECT p.word, f.word, f.form FROM path p JOIN formed f ON p.form = f.word)
+    SELECT formed.word, formed.form, path.tip AS root, n, n_near, form_n FROM formed JOIN path ON path.word = formed.word AND path.form IS NULL
+    """,
+)
+def op13(spark, sf_dir):
+    return spelling.group_variants(spelling.count_words(table(spark, sf_dir, "documents"), misspell=spelling.drop_letter))
