@@ -4,7 +4,9 @@ The surface rule rejects texts of under 20 words and texts of which over 30 % of
 8-word windows. The fertility rule encodes the whole text with a public vocabulary and looks at characters
 per token, the share of byte-fallback tokens and the entropy of the tokens, each against a band of the
 document's language. Bands are parameters; the default ones are wide, so that they reject only text that the
-vocabulary hardly covers (encoded data, broken characters, symbol noise, a few tokens over and over).
+vocabulary hardly covers (encoded data, broken characters, symbol noise, a few tokens over and over). The floor of the
+entropy grows with the length of the text, as a short text cannot have many different tokens. A text that is mostly in another
+script than its language takes the band of texts without one.
 """
 
 from __future__ import annotations
@@ -23,18 +25,27 @@ MIN_WORDS = 20
 REPEAT_WORDS, REPEAT_PERCENT = 8, 30
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
+_LEAD = np.zeros(256, np.int8)  # by first byte of a code point: 1 Latin letters (up to U+024F), 2 letters of other scripts, 0 the rest
+_LEAD[65:91] = _LEAD[97:123] = _LEAD[0xC3:0xCA] = 1
+_LEAD[0xCA:0xE2] = _LEAD[0xE3:0xEF] = 2
 
 
 @dataclass(frozen=True)
 class Band:
-    """Limits, inclusive; ``least_entropy`` in bits, compared with min(least_entropy, half of log2(tokens))."""
+    """Limits, inclusive; ``least_entropy`` in bits, compared with min(least_entropy, ENTROPY_SHARE * log2(tokens)).
+
+    The default share and floor lie below all of the 17,242 rows labelled good that the surface rule keeps in a table of
+    51,282 documents: their entropy is at least 0.46 of log2(tokens), and at least 4.79 bits.
+    """
 
     chars_per_token: tuple[float, float] = (1.0, 12.0)
     most_byte_share: float = 0.30
     least_entropy: float = 4.0
 
 
+ENTROPY_SHARE = 0.35
 #: Scripts outside the Latin letters take more tokens and bytes for a character.
+LATIN = frozenset(("en", "de", "fr", "es"))
 BANDS = {
     "en": Band((1.3, 12.0), 0.10),
     "de": Band((1.2, 12.0), 0.10),
@@ -108,10 +119,13 @@ def _judge(batch: pa.RecordBatch, fst: pieces.Transducer, bands: dict[str, Band]
     n_tokens = np.diff(at)
     some = np.maximum(n_tokens, 1)
     fertility, share, entropy = chars / some, _sums(is_byte[ids], at) / some, _entropy(ids.astype(np.int64), at)
-    of = [bands.get(x, other) for x in batch.column("lang").to_pylist()]
+    lead = _LEAD[data]
+    latin, letters = _sums(lead == 1, offsets), _sums(lead > 0, offsets)
+    own = ((2 * latin >= letters) | (letters == 0)).tolist()  # most letters are Latin ones
+    of = [bands.get(x, other) if own[k] == (x in LATIN) else other for k, x in enumerate(batch.column("lang").to_pylist())]
     low, high = np.array([b.chars_per_token[0] for b in of]), np.array([b.chars_per_token[1] for b in of])
     inside = (fertility >= low) & (fertility <= high) & (share <= np.array([b.most_byte_share for b in of]))
-    inside &= entropy >= np.minimum(np.array([b.least_entropy for b in of]), 0.5 * np.log2(some))
+    inside &= entropy >= np.minimum(np.array([b.least_entropy for b in of]), ENTROPY_SHARE * np.log2(some))
     failed = (n_words < MIN_WORDS) | (100 * repeated > REPEAT_PERCENT * n_words)
     return {
         "n_words": n_words,
