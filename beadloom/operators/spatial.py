@@ -30,60 +30,67 @@ def box_columns(box) -> list[str]:
     return list(dict.fromkeys(v for v in lengths(box) if isinstance(v, str)))
 
 
-def cells_per_axis(box, cutoff: float) -> tuple:
-    """Cells at least as wide as the cutoff; columns where the edges are columns. An edge of 0 has no number of cells."""
-
-    def cells(edge):
-        if isinstance(edge, str):
-            return F.greatest(F.lit(1), F.least(F.floor(F.col(edge) / F.lit(float(cutoff))), F.lit(1 << 20)))
-        return max(1, min(int(edge / cutoff), 1 << 20))
-
-    return tuple(cells(edge) for edge in lengths(box))
+def _axis_grid(x: str, edge, cutoff: float) -> tuple[Column, Column]:
+    """(cell of the coordinate, number of cells) of an axis; the number is 0 on an axis without end, where the edge is 0."""
+    endless = F.floor(F.col(x) / F.lit(float(cutoff)))
+    if not isinstance(edge, str) and edge == 0:
+        return endless, F.lit(0).cast("bigint")
+    length = F.when(F.col(edge) > 0, F.col(edge)) if isinstance(edge, str) else F.lit(edge)
+    n = F.greatest(F.lit(1), F.least(F.floor(length / F.lit(float(cutoff))), F.lit(1 << 20))).cast("bigint")
+    frac = F.col(x) / length
+    cell = F.least(F.floor((frac - F.floor(frac)) * n.cast("double")), n - 1)
+    if not isinstance(edge, str):
+        return cell, n
+    return F.coalesce(cell, endless), F.when(length.isNotNull(), n).otherwise(0)
 
 
-def _wide_grid(box, cutoff: float) -> bool:
-    """Whether every axis surely has three cells or more, or no end."""
-    return not box_columns(box) and all(edge == 0 or n >= 3 for edge, n in zip(lengths(box), cells_per_axis(box, cutoff)))
+def _with_grid(points: DataFrame, box, cutoff: float) -> DataFrame:
+    """Points with their cell and the number of cells on each axis."""
+    out = []
+    for ax, edge in zip("xyz", lengths(box)):
+        cell, n = _axis_grid(ax, edge, cutoff)
+        out += [cell.alias(f"_c{ax}"), n.alias(f"_n{ax}")]
+    return points.select("*", *out)
 
 
-def _axis_cell(x: str, edge, n, cutoff: float, step: int = 0) -> Column:
-    """Cell of a coordinate, ``step`` cells on: counted around the box, or without end where the edge is 0."""
-    plain = F.floor(F.col(x) / F.lit(float(cutoff))) + step
-    if not isinstance(edge, str) and edge == 0:
-        return plain
-    length, count = col(edge), n if isinstance(n, Column) else F.lit(n)
-    if isinstance(edge, str):
-        length = F.when(length > 0, length)  # null for a plain axis
-    frac = F.col(x) / length
-    frac = frac - F.floor(frac)
-    around = F.pmod(F.least(F.floor(frac * count.cast("double")), (count - 1).cast("bigint")) + step, count.cast("bigint"))
-    return F.coalesce(around, plain) if isinstance(edge, str) else around
+_GRID = [f"_{k}{ax}" for k in "cn" for ax in "xyz"]
 
 
-def _cell_code(points_box, n: tuple, cutoff: float, offset=(0, 0, 0)) -> Column:
+def _cell_code(steps=(0, 0, 0)) -> Column:
     """One number for a cell; 21 bits an axis, of which cells within reach of each other never share all."""
     size = F.lit(1 << 21).cast("bigint")
-    parts = [F.pmod(_axis_cell(ax, edge, k, cutoff, d), size) for ax, edge, k, d in zip("xyz", lengths(points_box), n, offset)]
+    parts = []
+    for ax, step in zip("xyz", steps):
+        cell = F.col(f"_c{ax}") + step
+        parts.append(F.pmod(F.when(F.col(f"_n{ax}") > 0, F.pmod(cell, F.col(f"_n{ax}"))).otherwise(cell), size))
     return (parts[0] * size + parts[1]) * size + parts[2]
 
 
 def with_cell(points: DataFrame, box, cutoff: float) -> DataFrame:
-    return points.withColumn("_cell", _cell_code(box, cells_per_axis(box, cutoff), cutoff))
+    return _with_grid(points, box, cutoff).withColumn("_cell", _cell_code()).drop(*_GRID)
 
 
 def with_neighbour_cells(points: DataFrame, box, cutoff: float, half: bool = False) -> DataFrame:
     """One row per neighbouring cell; offsets that meet in a small grid are listed once.
 
-    ``half`` lists the own cell and one of each two opposite neighbours, flagged ``_own``.
+    ``half`` lists, in frames with three cells or more (or no end) on every axis, the own cell and one of each two opposite
+    neighbours. ``_own`` is true for rows whose cell may hold both orders of a pair: the own cell there, every cell elsewhere.
     """
-    n = cells_per_axis(box, cutoff)
-    if half:
-        offsets = [o for o in product((-1, 0, 1), repeat=3) if o >= (0, 0, 0)]
-        cells = F.array(*[F.struct(_cell_code(box, n, cutoff, o).alias("_cell"), F.lit(o == (0, 0, 0)).alias("_own")) for o in offsets])
-        return points.select("*", F.inline(cells))
-    steps = [(-1, 0, 1) if isinstance(k, Column) or edge == 0 else sorted({d % k for d in (-1, 0, 1)}) for k, edge in zip(n, lengths(box))]
-    cells = F.array(*[_cell_code(box, n, cutoff, o) for o in product(*steps)])
-    return points.withColumn("_cell", F.explode(F.array_distinct(cells) if box_columns(box) else cells))
+    offsets = list(product((-1, 0, 1), repeat=3))
+    listed = lambda some: F.array(*[F.struct(*[F.lit(d).alias(f"_d{ax}") for ax, d in zip("xyz", o)]) for o in some])
+    wide = F.lit(half)
+    for ax in "xyz":
+        wide = wide & ((F.col(f"_n{ax}") == 0) | (F.col(f"_n{ax}") >= 3))
+    near = _with_grid(points, box, cutoff).withColumn("_wide", wide)
+    steps = F.when(F.col("_wide"), listed([o for o in offsets if o >= (0, 0, 0)])).otherwise(listed(offsets))
+    near = near.select("*", F.inline(steps))
+    once = F.lit(True)  # two cells on an axis: one neighbour; one cell: none
+    for ax in "xyz":
+        n, d = F.col(f"_n{ax}"), F.col(f"_d{ax}")
+        once = once & ((n == 0) | (n >= 3) | (d == 0) | ((n == 2) & (d == 1)))
+    own = ~F.col("_wide") | ((F.col("_dx") == 0) & (F.col("_dy") == 0) & (F.col("_dz") == 0))
+    cells = near.where(once).withColumn("_cell", _cell_code([F.col(f"_d{ax}") for ax in "xyz"]))
+    return (cells.withColumn("_own", own) if half else cells).drop(*_GRID, "_wide", "_dx", "_dy", "_dz")
 
 
 def _salted(left: DataFrame, right: DataFrame, keys: list[str], tag: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -119,8 +126,8 @@ def neighbour_join(left: DataFrame, right: DataFrame, keys: list[str], box, cuto
 
     The box is one number, three numbers, or three columns that both sides have and that
     agree within the keys (a box per frame); an edge of 0 means no periodic images.
-    With ``half`` (both sides the same points, three cells or more per axis) every pair
-    of neighbouring cells meets once, and ``condition`` applies inside a cell only.
+    With ``half`` (both sides the same points, ``condition`` true for one order of each pair) every pair
+    of points meets once, in large grids by cells already.
     """
     lhs = with_cell(left, box, cutoff)
     rhs = with_neighbour_cells(right, box, cutoff, half)
@@ -170,8 +177,7 @@ def pair_histogram(points: DataFrame, keys: list[str], box, r_max: float, bins:
     once = F.lit(False)  # (type, x, y, z) of the left before that of the right
     for c in ("z", "y", "x", "type"):
         once = (F.col(f"l_{c}") < F.col(f"r_{c}")) | ((F.col(f"l_{c}") == F.col(f"r_{c}")) & once)
-    half = _wide_grid(box, r_max)
-    pairs = neighbour_join(merged, merged, keys, box, r_max, condition=once, inclusive=True, half=half)
+    pairs = neighbour_join(merged, merged, keys, box, r_max, condition=once, inclusive=True, half=True)
     apart = pairs.select(
         *keys, F.least("l_type", "r_type").alias("t1"), F.greatest("l_type", "r_type").alias("t2"),
         bin_index(F.sqrt("d2"), 0.0, r_max, bins).alias("i"), (F.col("l_w") * F.col("r_w")).alias("n"),

@@ -22,6 +22,8 @@ CURVE_BINS = 54
 CURVE_LO, CURVE_HI = 1.0, 109.0
 LATTICE = 10007
 CYCLE_BEADS = 240
+CHUNK_CYCLES = 360
+CHECK_STEP = 5
 PRIMES = {"x": 7919, "y": 104729, "z": 1299709}
 FRAME_SHIFT = {"x": 131, "y": 197, "z": 241}
 
@@ -204,6 +206,33 @@ class Inputs:
             (F.lit(BOX) + F.col("_f") * F.lit(0.25)).alias("lx"), (F.lit(BOX) + F.col("_f") * F.lit(0.5)).alias("ly"), F.lit(BOX).alias("lz"),
         )
 
+    @cached_property
+    def event_frames(self) -> DataFrame:
+        """(traj, chunk, timestep, cycle): the cycles of each trajectory at which something happened, dealt over chunks from number 9 on."""
+        chunk = F.floor((F.col("cycle") - 1) / CHUNK_CYCLES) + 9
+        return self.reactions.select("traj", chunk.alias("chunk"), (F.col("cycle") * 1000).alias("timestep"), "cycle").distinct()
+
+    @cached_property
+    def event_bonds(self) -> tuple[DataFrame, DataFrame]:
+        """Bead bonds before and after each event frame: some stay, turned round, some go, and one is made for each event."""
+        k = F.col("k") + F.col("cycle")
+        old = self.event_frames.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(CYCLE_BEADS - 2).cast("bigint"))).alias("k")).where(k % 3 == 0)
+        keys = ["traj", "chunk", "timestep", F.lit(1).cast("bigint").alias("bond_type")]
+        before = old.select(*keys, F.col("k").alias("a1"), (F.col("k") + 1).alias("a2"))
+        stay = old.where(k % 9 != 0).select(*keys, (F.col("k") + 1).alias("a1"), F.col("k").alias("a2"))
+        e, sites = F.col("event_id"), CYCLE_BEADS // 6
+        made = self.reactions.join(self.event_frames, ["traj", "cycle"]).select(
+            *keys, (e * 7 % sites * 6 + F.col("t1") - 1).alias("a1"), (e % sites * 6 + F.col("t2") - 1).alias("a2"))
+        return before, stay.unionByName(made)
+
+    @cached_property
+    def event_beads(self) -> DataFrame:
+        """Frames of the event-driven trajectory: all beads CHECK_STEP before each event frame, a few with other types at it."""
+        at = self.cycle_beads.join(self.event_frames, ["traj", "cycle"])
+        late = at.where("bead_id < 24").withColumn("type", F.col("type") % 6 + 1)
+        ahead = at.withColumn("timestep", F.col("timestep") - CHECK_STEP)
+        return ahead.unionByName(late)
+
     @cached_property
     def edges(self) -> DataFrame:
         return (

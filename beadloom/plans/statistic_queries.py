@@ -8,11 +8,13 @@ from ..functions import kernels as K
 from ..functions.theory import theory_curves
 from ..operators import bonded, classify, events, quality, spatial
 from ..operators import bonds as B
+from ..operators import event_frames as EF
 from ..operators import histograms as H
 from ..operators import reactivity as R
-from ..session import cut_lineage
+from ..session import cut_lineage, scratch_path
+from ..sources import dump, tables
 from .bond_queries import _EXCL_SQL, _pair_sql, bead_chain, bead_exclusions
-from .fixtures import BOX, FRAME_BOX, FRAME_BOX_SQL, SQL_FIXTURES
+from .fixtures import BOX, CHECK_STEP, FRAME_BOX, FRAME_BOX_SQL, SQL_FIXTURES
 from .registry import ORACLES, QUERIES, query, r
 
 _MI = "({a} - 50.035::DOUBLE * round_even(({a}) / 50.035::DOUBLE, 0))"
@@ -472,29 +474,6 @@ def _(t):
     return R.composition_fit(windows, ["n_windows"])
 
 
-@query("st12_reactivity_analysis", f"""
-    WITH e AS (SELECT coalesce(sum(n) FILTER (WHERE ta = 3 AND tb = 5), 0) AS E35, coalesce(sum(n) FILTER (WHERE ta = 3 AND tb = 6), 0) AS E36,
-               coalesce(sum(n) FILTER (WHERE ta = 4 AND tb = 5), 0) AS E45, coalesce(sum(n) FILTER (WHERE ta = 4 AND tb = 6), 0) AS E46
-        FROM (SELECT ta, tb, count(*) AS n FROM ({_pair_sql("a.type IN (3, 4) AND b.type IN (5, 6)")}) WHERE d2 < 25 GROUP BY ALL)),
-    c AS (SELECT avg(n5) AS n5, avg(n6) AS n6 FROM (SELECT count(*) FILTER (WHERE type = 5) AS n5, count(*) FILTER (WHERE type = 6) AS n6 FROM fx_beads GROUP BY frame)),
-    n AS (SELECT {_CH_AGG} FROM fx_channels WHERE cycle <= 3)
-    SELECT N11, N12, N21, N22, E35::BIGINT AS E35, E36::BIGINT AS E36, E45::BIGINT AS E45, E46::BIGINT AS E46,
-           {_est_sql("N11", "N12", "N21", "N22", "E35", "E36", "E45", "E46", "n5", "n6")} FROM n, e, c""")
-def _(t):
-    """Beads and events to counts per cycle, then the estimates: frame k is cycle k + 1."""
-    cycle = (F.col("frame") + 1).alias("cycle")
-    pairs = spatial.candidate_pairs(t.boxed_beads, ["frame"], FRAME_BOX, 5.0, K.END_TYPES, K.MONOMER_TYPES)
-    types = R.census(t.beads, ["frame"])
-    counts = pairs.join(types, "frame").select(cycle, *R.EXPOSURE.values(), "n5", "n6")
-    happened = events.channel_counts(t.reactions.where("cycle <= 3"))
-    full = events.events_on_grid(counts.select("cycle"), happened, ["cycle"], [f"N{c}" for c in R.CHANNELS]).join(counts, "cycle")
-    est = R.point_estimates(full)
-    sums = full.agg(*[F.sum(f"N{c}").alias(f"N{c}") for c in R.CHANNELS], *[F.sum(e).alias(e) for e in R.EXPOSURE.values()])
-    for name in R.ESTIMATES:
-        sums = sums.withColumn(name, r(est.select(name).scalar()))
-    return sums
-
-
 _CYCLE_D2 = " + ".join(f"pow(b.{ax} - a.{ax} - a.l{ax} * round_even((b.{ax} - a.{ax}) / a.l{ax}, 0), 2)" for ax in "xyz")
 
 
@@ -508,7 +487,7 @@ def cycle_counts(t):
     return cut_lineage(full.join(pairs, keys).join(types, keys))
 
 
-@query("st12b_reactivity_all_cycles", f"""
+@query("st12_reactivity_analysis", f"""
     WITH e AS (SELECT coalesce(sum(n) FILTER (WHERE ta = 3 AND tb = 5), 0) AS E35, coalesce(sum(n) FILTER (WHERE ta = 3 AND tb = 6), 0) AS E36,
                coalesce(sum(n) FILTER (WHERE ta = 4 AND tb = 5), 0) AS E45, coalesce(sum(n) FILTER (WHERE ta = 4 AND tb = 6), 0) AS E46
         FROM (SELECT a.type AS ta, b.type AS tb, count(*) AS n FROM fx_cycle_beads a JOIN fx_cycle_beads b
@@ -519,11 +498,66 @@ def cycle_counts(t):
            {_est_sql("N11", "N12", "N21", "N22", "E35", "E36", "E45", "E46", "n5", "n6")} FROM n, e, c""")
 def _(t):
     """Point estimates over every cycle of every trajectory, none left out."""
-    counts = cycle_counts(t)
-    est = R.point_estimates(counts)
-    sums = counts.agg(
-        F.count(F.lit(1)).alias("n_frames"), *[F.sum(f"N{c}").alias(f"N{c}") for c in R.CHANNELS], *[F.sum(e).alias(e) for e in R.EXPOSURE.values()])
-    return sums.crossJoin(est.select(*[r(c).alias(c) for c in R.ESTIMATES]))
+    return _sums_and_estimates(cycle_counts(t), [])
+
+
+def _sums_and_estimates(counts, keys):
+    sums = counts.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_frames"), *[F.sum(f"N{c}").alias(f"N{c}") for c in R.CHANNELS], *[F.sum(e).alias(e) for e in R.EXPOSURE.values()],
+        F.sum("n5").alias("s5"), F.sum("n6").alias("s6"), F.count(F.lit(1)).alias("rows"))
+    shown = [*keys, "n_frames", *[f"N{c}" for c in R.CHANNELS], *R.EXPOSURE.values()]
+    return R.estimates_from_sums(sums, shown).select(*shown, *[r(c).alias(c) for c in R.ESTIMATES])
+
+
+_EVENT_COUNTS_SQL = f"""
+    f AS (SELECT DISTINCT traj, cycle FROM fx_events),
+    old AS (SELECT traj, cycle, k, (k + cycle) % 9 <> 0 AS stays FROM f, range(239) b(k) WHERE (k + cycle) % 3 = 0),
+    made AS (SELECT DISTINCT traj, cycle, least(a, b) AS lo, greatest(a, b) AS hi FROM (
+        SELECT traj, cycle, event_id * 7 % 40 * 6 + t1 - 1 AS a, event_id % 40 * 6 + t2 - 1 AS b FROM fx_events)),
+    created AS (SELECT m.* FROM made m ANTI JOIN old ON old.traj = m.traj AND old.cycle = m.cycle AND m.lo = k AND m.hi = k + 1),
+    typed AS (SELECT c.traj, c.cycle, CASE (least(x.type, y.type), greatest(x.type, y.type)) WHEN (3, 5) THEN '11' WHEN (3, 6) THEN '12' WHEN (4, 5) THEN '21' WHEN (4, 6) THEN '22' END AS ch
+        FROM created c JOIN fx_cycle_beads x ON x.traj = c.traj AND x.cycle = c.cycle AND x.bead_id = lo JOIN fx_cycle_beads y ON y.traj = c.traj AND y.cycle = c.cycle AND y.bead_id = hi),
+    n AS (SELECT traj, cycle, {", ".join(f"count(*) FILTER (WHERE ch = '{c}') AS N{c}" for c in R.CHANNELS)} FROM typed GROUP BY ALL),
+    e AS (SELECT a.traj, a.cycle, {", ".join(f"count(*) FILTER (WHERE a.type = {v[1]} AND b.type = {v[2]}) AS {v}" for v in R.EXPOSURE.values())}
+        FROM fx_cycle_beads a JOIN fx_cycle_beads b ON a.traj = b.traj AND a.cycle = b.cycle AND a.type IN (3, 4) AND b.type IN (5, 6) WHERE {_CYCLE_D2} < 25 GROUP BY ALL),
+    c AS (SELECT traj, cycle, {", ".join(f"count(*) FILTER (WHERE type = {k}) AS n{k}" for k in range(1, 7))} FROM fx_cycle_beads GROUP BY ALL),
+    counts AS (SELECT f.traj, (f.cycle - 1) // 360 + 9 AS chunk, row_number() OVER (PARTITION BY f.traj ORDER BY f.cycle) AS cycle, f.cycle * 1000 AS timestep, n1, n2, n3, n4, n5, n6,
+        {", ".join(f"coalesce({v}, 0) AS {v}" for v in [*R.EXPOSURE.values(), *[f"N{c}" for c in R.CHANNELS]])}
+        FROM f LEFT JOIN n USING (traj, cycle) LEFT JOIN e USING (traj, cycle) JOIN c USING (traj, cycle))"""
+
+
+def landed_event_frames(t):
+    """Reaction frames and trajectories of an event-driven run written below .../chunk=<n>/md=<n> and read back."""
+    keys = list(EF.KEYS)
+    before, after = t.event_bonds
+    frames, path = scratch_path(t.spark, "reaction-frames"), scratch_path(t.spark, "trajectories")
+    pre = t.cycle_beads.join(t.event_frames, ["traj", "cycle"]).select(*keys, "bead_id", F.col("type").alias("bead_type"))
+    tables.write_reaction_frames(before, after, frames, pre, keys, ("traj", "chunk"), least_blocks=1)
+    atoms = t.event_beads.select("chunk", F.col("traj").alias("md"), "timestep", (F.col("bead_id") + 1).alias("id"), "type", "x", "y", "z", *FRAME_BOX)
+    dump.write_dump(atoms, path, FRAME_BOX, by=["chunk", "md"])
+    read = lambda member: tables.read_reaction_frames(t.spark, frames, member, keys)
+    beads = tables.with_run_path(dump.read_dump(t.spark, path))
+    edges = [(F.col(f"box.{ax}hi") - F.col(f"box.{ax}lo")).alias(f"l{ax}") for ax in "xyz"]
+    return read("bonds_before"), read("bonds_after"), read("mapping_before"), beads.select(*keys, "type", "x", "y", "z", *edges)
+
+
+def event_counts(t):
+    before, after, types, beads = landed_event_frames(t)
+    return EF.event_frame_counts(types.select(*EF.KEYS), before, after, types, beads, FRAME_BOX, 5.0, CHECK_STEP)
+
+
+@query("st12_aa_event_frames", f"WITH {_EVENT_COUNTS_SQL} SELECT * FROM counts")
+def _(t):
+    """The second data path of ST12, from landing tables: one row per reaction frame, trajectories chained over their chunks."""
+    return event_counts(t)
+
+
+@query("st12_aa_estimates", f"""WITH {_EVENT_COUNTS_SQL}
+    SELECT traj, count(*) AS n_frames, {", ".join(f"sum({v})::BIGINT AS {v}" for v in [*[f"N{c}" for c in R.CHANNELS], *R.EXPOSURE.values()])},
+      {_est_sql("sum(N11)", "sum(N12)", "sum(N21)", "sum(N22)", "sum(E35)", "sum(E36)", "sum(E45)", "sum(E46)", "avg(n5)", "avg(n6)")} FROM counts GROUP BY traj""")
+def _(t):
+    """Reactivity estimates of every trajectory from its reaction frames."""
+    return _sums_and_estimates(cut_lineage(event_counts(t)), ["traj"])
 
 
 @query("st12c_reactivity_report")

@@ -17,9 +17,9 @@ def union_runs(runs: dict[str, DataFrame]) -> DataFrame:
 
 
 def with_run_path(df: DataFrame, path_col: str = "file") -> DataFrame:
-    """traj and chunk numbers from paths like .../chunk2/md7/...; order by (traj, chunk, timestep)."""
-    return df.withColumn("chunk", F.regexp_extract(path_col, r"chunk(\d+)", 1).cast("bigint")).withColumn(
-        "traj", F.regexp_extract(path_col, r"md(\d+)", 1).cast("bigint"))
+    """traj and chunk numbers from paths like .../chunk2/md7/... or .../chunk=2/md=7/...; order by (traj, chunk, timestep)."""
+    return df.withColumn("chunk", F.regexp_extract(path_col, r"chunk=?(\d+)", 1).cast("bigint")).withColumn(
+        "traj", F.regexp_extract(path_col, r"md=?(\d+)", 1).cast("bigint"))
 
 
 def _lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -93,27 +93,35 @@ BLOCK_ROWS = 4096
 BOND = "ARRAY<STRUCT<t: BIGINT, a1: BIGINT, a2: BIGINT>>"
 
 
-def write_reaction_frames(before: DataFrame, after: DataFrame, path: str) -> None:
-    """Nested landing table partitioned by frame group, bonds as arrays per (frame, molecule block).
+def write_reaction_frames(before: DataFrame, after: DataFrame, path: str, mapping: DataFrame | None = None, keys=("frame",), folders=("frame",),
+                          least_blocks: int = 256) -> None:
+    """Nested landing table in a folder for each value of ``folders``: bonds, and on request the bead types before, as arrays.
 
-    A frame is stored as many rows of about ``BLOCK_ROWS`` bonds at most, their number from
+    A frame is stored as many rows of about ``BLOCK_ROWS`` entries at most, their number from
     the frame's size, so no frame is gathered into one task.
     """
-    sizes = before.select("frame").unionByName(after.select("frame")).groupBy("frame").agg(
-        F.greatest(F.lit(256), F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS))).alias("_blocks"))
-
-    def packed(df, name):
-        block = F.pmod(F.xxhash64(F.least("a1", "a2"), F.greatest("a1", "a2")), F.col("_blocks"))
-        return df.join(sizes, "frame").groupBy("frame", block.alias("block")).agg(F.collect_list(F.struct(F.col("bond_type").alias("t"), "a1", "a2")).alias(name))
-
-    joined = packed(before, "bonds_before").join(packed(after, "bonds_after"), ["frame", "block"], "full_outer")
-    joined.withColumn("timestep", F.col("frame") * 1000).write.partitionBy("frame").mode("append").parquet(path)
-
-
-def read_reaction_frames(spark: SparkSession, path: str, member: str) -> DataFrame:
-    """One member of the landing table as bonds; the other members are not read."""
-    rows = spark.read.parquet(path).select(F.col("frame").cast("bigint").alias("frame"), F.explode(member).alias("b"))
-    return rows.select("frame", F.col("b.t").alias("bond_type"), "b.a1", "b.a2")
+    parts = [before, after] + ([] if mapping is None else [mapping])
+    sizes = reduce(lambda a, b: a.unionByName(b), [df.select(*keys) for df in parts]).groupBy(*keys).agg(
+        F.greatest(F.lit(least_blocks), F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS))).alias("_blocks"))
+
+    def packed(df, name, place, entry):
+        block = F.pmod(F.xxhash64(*place), F.col("_blocks"))
+        return df.join(sizes, list(keys)).groupBy(*keys, block.alias("block")).agg(F.collect_list(entry).alias(name))
+
+    pair, bond = [F.least("a1", "a2"), F.greatest("a1", "a2")], F.struct(F.col("bond_type").alias("t"), "a1", "a2")
+    joined = packed(before, "bonds_before", pair, bond).join(packed(after, "bonds_after", pair, bond), [*keys, "block"], "full_outer")
+    if mapping is not None:
+        beads = packed(mapping, "mapping_before", ["bead_id"], F.struct("bead_id", "bead_type"))
+        joined = joined.join(beads, [*keys, "block"], "full_outer")
+    stamped = joined if "timestep" in keys else joined.withColumn("timestep", F.col("frame") * 1000)
+    stamped.write.partitionBy(*folders).mode("append").parquet(path)
+
+
+def read_reaction_frames(spark: SparkSession, path: str, member: str, keys=("frame",)) -> DataFrame:
+    """One member of the landing table as bonds (bond_type, a1, a2) or bead types (bead_id, bead_type); the others are not read."""
+    rows = spark.read.parquet(path).select(*[F.col(k).cast("bigint").alias(k) for k in keys], F.explode(member).alias("b"))
+    entry = ["b.bead_id", "b.bead_type"] if member.startswith("mapping") else [F.col("b.t").alias("bond_type"), "b.a1", "b.a2"]
+    return rows.select(*keys, *entry)
 
 
 def read_reaction_counts(spark: SparkSession, path: str) -> DataFrame:

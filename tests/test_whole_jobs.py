@@ -20,7 +20,7 @@ def test_reactivity_covers_every_cycle(spark):
     from beadloom.plans.catalogue import QUERIES
     from beadloom.plans.fixtures import Inputs
 
-    assert against_sql(spark, "st12b_reactivity_all_cycles") == []
+    assert against_sql(spark, "st12_reactivity_analysis") == []
     frames = Inputs(spark, SF_DIR).cycle_grid.count()
     report = {(x.part, x.item, x.name): x.v for x in QUERIES["st12c_reactivity_report"](spark, SF_DIR).collect()}
     assert frames > 100 and report["diagnostic", "all", "n_cycles"] == frames
