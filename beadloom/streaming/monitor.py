@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.kernels import image_index, wrapped
 from ..operators.coarse import centre_of_mass
 from ..operators.graph import unwrap_molecules
-from ..operators.spatial import lengths
 from ..session import scratch_path
 from ..sources.dump import frame_atoms
 
@@ -50,90 +52,218 @@ def append_sink(path: str) -> Callable[[DataFrame, int], None]:
     return sink
 
 
+# --- state per run ---------------------------------------------------------------
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """State of several kinds per key needs this store; queries started inside use it."""
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(STATE_STORE, before) if before else spark.conf.unset(STATE_STORE)
+
+
+class _RunState(StatefulProcessor):
+    """State of a share of a run, dropped once nothing of it has arrived for ``idle_ms`` of ingestion time."""
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+
+    def stay(self, rows: pd.DataFrame) -> None:
+        """Put off the end of the run."""
+        last = int(rows["ingested"].max().timestamp() * 1000) + self.idle_ms
+        timers = list(self.handle.listTimers())
+        if not timers or max(timers) < last:
+            for timer in timers:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(last)
+
+    def forget(self) -> None:
+        raise NotImplementedError
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.forget()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def _per_run(rows: DataFrame, bucket, processor: _RunState, schema: str, delay: str) -> DataFrame:
+    keyed = rows.withWatermark("ingested", delay).withColumn("bucket", bucket)
+    return keyed.groupBy("run", "bucket").transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+
+
 # --- bond changes with the previous snapshot as state -------------------------
 
 CHANGE_SCHEMA = "run BIGINT, timestep BIGINT, lo BIGINT, hi BIGINT, bond_type BIGINT, status STRING"
-_SNAPSHOT_STATE = "timestep BIGINT, lo ARRAY<BIGINT>, hi ARRAY<BIGINT>, bond_type ARRAY<BIGINT>"
-
-
-def _changes(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Compare the snapshots of one bucket of bonds in order; heartbeat rows have no bond."""
-    rows = pd.concat(list(parts), ignore_index=True)
-    previous = None
-    if state.exists:
-        _, lo, hi, kinds = state.get
-        previous = dict(zip(zip(lo, hi), kinds))
-    out = []
-    step = None
-    for step, group in rows.groupby("timestep", sort=True):
-        real = group[group["lo"] >= 0]
-        current = dict(zip(zip(real["lo"], real["hi"]), real["bond_type"]))
-        if previous is not None:
-            out += [(key[0], step, *b, current[b], "created") for b in current.keys() - previous.keys()]
-            out += [(key[0], step, *b, previous[b], "deleted") for b in previous.keys() - current.keys()]
-        previous = current
-    bonds = sorted(previous)
-    state.update((int(step), [int(b[0]) for b in bonds], [int(b[1]) for b in bonds], [int(previous[b]) for b in bonds]))
-    yield pd.DataFrame(out, columns=["run", "timestep", "lo", "hi", "bond_type", "status"])
-
-
-def bond_changes(snapshots: DataFrame, buckets: int = 64) -> DataFrame:
-    """Created and deleted bonds between consecutive snapshots of a stream.
-
-    ``snapshots`` is (run, timestep, bond_type, lo, hi) plus one heartbeat per
-    snapshot and bucket (``with_heartbeats``), so that a bucket which lost all its bonds is seen.
-    State is one bucket of a snapshot; choose ``buckets`` so that it stays small.
+_BOND = ["lo", "hi", "bond_type"]
+
+
+class _BondMonitor(_RunState):
+    """The last snapshot of one bucket of bonds, as a map from slots to the bonds in them; only slots that change are written."""
+
+    def __init__(self, idle_ms: int, slots: int):
+        super().__init__(idle_ms)
+        self.slots = slots
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.bonds = handle.getMapState("bonds", "slot INT", "lo ARRAY<BIGINT>, hi ARRAY<BIGINT>, bond_type ARRAY<BIGINT>")
+        self.seen = handle.getValueState("seen", "timestep BIGINT")
+
+    def forget(self) -> None:
+        self.bonds.clear()
+        self.seen.clear()
+
+    def _slot(self, bonds: pd.DataFrame) -> np.ndarray:
+        lo, hi = (bonds[c].to_numpy(np.int64).view(np.uint64) for c in ("lo", "hi"))
+        mixed = (lo * np.uint64(0x9E3779B97F4A7C15)) ^ (hi * np.uint64(0xC2B2AE3D27D4EB4F))
+        return ((mixed >> np.uint64(40)) % np.uint64(self.slots)).astype(np.int64)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        arrived = pd.concat(list(rows), ignore_index=True)
+        self.stay(arrived)
+        first = not self.seen.exists()
+        parts = [] if first else [pd.DataFrame(dict(zip(_BOND, value, strict=True)), dtype="int64") for _, value in self.bonds.iterator()]
+        stored = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({c: pd.Series(dtype="int64") for c in _BOND})
+        before = stored
+        for step, group in arrived.groupby("timestep", sort=True):
+            now = group.loc[group["lo"] >= 0, _BOND].drop_duplicates(["lo", "hi"])  # heartbeat rows have no bond
+            if not first:
+                both = before.merge(now, on=["lo", "hi"], how="outer", suffixes=("_b", "_a"), indicator="side")
+                both = both[both["side"] != "both"]
+                made = both["side"] == "right_only"
+                yield pd.DataFrame(
+                    {
+                        "run": key[0], "timestep": step, "lo": both["lo"], "hi": both["hi"],
+                        "bond_type": both["bond_type_a"].where(made, both["bond_type_b"]).astype("int64"), "status": made.map({True: "created", False: "deleted"}),
+                    }
+                )
+            before, first = now, False
+        both = stored.merge(before, on=_BOND, how="outer", indicator="side")
+        touched = np.unique(self._slot(both[both["side"] != "both"]))
+        place = self._slot(before)
+        for slot in touched.tolist():
+            own = before[place == slot]
+            if len(own):
+                self.bonds.updateValue((slot,), tuple(own[c].tolist() for c in _BOND))
+            else:
+                self.bonds.removeKey((slot,))
+        self.seen.update((int(arrived["timestep"].max()),))
+
+
+def bond_changes(snapshots: DataFrame, buckets: int = 64, slots: int = 16, idle_ms: int = 6 * 3600 * 1000, delay: str = "1 hour") -> DataFrame:
+    """Created and deleted bonds between consecutive snapshots of a stream; start the query inside ``keyed_state``.
+
+    ``snapshots`` is (run, timestep, bond_type, lo, hi, ingested) plus one heartbeat per
+    snapshot and bucket (``with_heartbeats``), so that a bucket which lost all its bonds is seen. A snapshot must not be split
+    over micro-batches. State is the last snapshot, by run, bucket and slot; that of a run of which nothing arrives for
+    ``idle_ms`` of ingestion time is dropped, once the watermark, ``delay`` behind the newest arrival, has passed. What such a run
+    sends later starts it anew: its first snapshot gives no changes.
     """
-    keyed = snapshots.withColumn("bucket", F.when(F.col("lo") < 0, F.col("hi")).otherwise(F.pmod(F.xxhash64("lo", "hi"), F.lit(buckets))))
-    return keyed.groupBy("run", "bucket").applyInPandasWithState(_changes, CHANGE_SCHEMA, _SNAPSHOT_STATE, "append", "NoTimeout")
+    bucket = F.when(F.col("lo") < 0, F.col("hi")).otherwise(F.pmod(F.xxhash64("lo", "hi"), F.lit(buckets)))
+    return _per_run(snapshots, bucket, _BondMonitor(idle_ms, slots), CHANGE_SCHEMA, delay)
 
 
 def with_heartbeats(snapshot: DataFrame, buckets: int = 64) -> DataFrame:
     """Bonds of snapshots plus a row (lo = -1, hi = bucket) per snapshot and bucket."""
-    marks = snapshot.select("run", "timestep").distinct().select(
+    marks = snapshot.groupBy("run", "timestep").agg(F.max("ingested").alias("ingested")).select(
         "run", "timestep", F.lit(0).cast("bigint").alias("bond_type"), F.lit(-1).cast("bigint").alias("lo"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(buckets - 1).cast("bigint"))).alias("hi"))
-    return snapshot.select("run", "timestep", "bond_type", "lo", "hi").unionByName(marks)
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(buckets - 1).cast("bigint"))).alias("hi"), "ingested")
+    return snapshot.select("run", "timestep", "bond_type", "lo", "hi", "ingested").unionByName(marks)
+
+
+def frame_pairs_sink(landed: str, check_step: int, path: str) -> Callable[[DataFrame, int], None]:
+    """Per batch of bond changes: the frame ``check_step`` before each changed timestep and the frame at it, written once each.
+
+    Landed frames (run, timestep, and the columns of their atoms) are the buffer, so a restarted job finds the frame before in them,
+    whatever batch it came with. Frames that have not landed are left out. Output is (run, event, side, timestep, ...).
+    """
+
+    def sink(batch: DataFrame, number: int) -> None:
+        events = batch.select("run", F.col("timestep").alias("event")).distinct()
+        sides = F.array(
+            F.struct(F.lit("before").alias("side"), (F.col("event") - check_step).alias("timestep")), F.struct(F.lit("after").alias("side"), F.col("event").alias("timestep")))
+        wanted = events.select("run", "event", F.inline(sides))
+        frames = batch.sparkSession.read.parquet(landed)
+        frames.join(wanted, ["run", "timestep"]).select("run", "event", "side", "timestep", *[c for c in frames.columns if c not in ("run", "timestep")]).write.mode(
+            "overwrite").parquet(f"{path}/b={number}")
+
+    return sink
 
 
 # --- evolving bead types -------------------------------------------------------
 
-RETYPE_SCHEMA = "bead_id BIGINT, timestep BIGINT, old_type BIGINT, new_type BIGINT"
+RETYPE_SCHEMA = "run BIGINT, bead_id BIGINT, timestep BIGINT, old_type BIGINT, new_type BIGINT"
 
 
-def evolving_types(reactions: DataFrame, type_map: dict[int, int]) -> DataFrame:
-    """Type changes of beads through a stream of reactions; each one sees the type the last one left.
+class _TypeMonitor(_RunState):
+    """The type of every bead of one bucket that has reacted."""
 
-    ``reactions`` is (bead_id, initial_type, timestep). State is one number per bead.
-    """
+    def __init__(self, idle_ms: int, type_map: dict[int, int]):
+        super().__init__(idle_ms)
+        self.type_map = type_map
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.types = handle.getMapState("types", "bead_id BIGINT", "type BIGINT")
+
+    def forget(self) -> None:
+        self.types.clear()
 
-    def step(key, parts, state):
-        current = state.get[0] if state.exists else None
-        rows = pd.concat(list(parts), ignore_index=True).sort_values("timestep", kind="stable")
-        out = []
-        for first, at in zip(rows["initial_type"], rows["timestep"]):
-            old = int(first) if current is None else current
-            current = type_map.get(old, old)
-            out.append((key[0], at, old, current))
-        state.update((current,))
-        yield pd.DataFrame(out, columns=["bead_id", "timestep", "old_type", "new_type"])
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        arrived = pd.concat(list(rows), ignore_index=True).sort_values(["bead_id", "timestep"], kind="stable", ignore_index=True)
+        self.stay(arrived)
+        beads = arrived.drop_duplicates("bead_id")
+        held = [self.types.getValue((bead,)) for bead in beads["bead_id"].tolist()]
+        current = pd.Series([int(first) if own is None else own[0] for own, first in zip(held, beads["initial_type"], strict=True)], index=beads["bead_id"].to_numpy())
+        turn = arrived.groupby("bead_id").cumcount()
+        old, new = np.zeros(len(arrived), np.int64), np.zeros(len(arrived), np.int64)
+        for k in range(int(turn.max()) + 1):  # the k-th reaction of every bead at once
+            at = np.flatnonzero(turn == k)
+            ids = arrived["bead_id"].to_numpy()[at]
+            old[at] = current[ids]
+            new[at] = [self.type_map.get(t, t) for t in old[at].tolist()]
+            current[ids] = new[at]
+        for bead, kind in current.items():
+            self.types.updateValue((int(bead),), (int(kind),))
+        yield pd.DataFrame({"run": key[0], "bead_id": arrived["bead_id"], "timestep": arrived["timestep"], "old_type": old, "new_type": new})
 
-    return reactions.groupBy("bead_id").applyInPandasWithState(step, RETYPE_SCHEMA, "type BIGINT", "append", "NoTimeout")
+
+def evolving_types(reactions: DataFrame, type_map: dict[int, int], buckets: int = 64, idle_ms: int = 6 * 3600 * 1000, delay: str = "1 hour") -> DataFrame:
+    """Type changes of beads through a stream of reactions; each one sees the type the last one left. Start it inside ``keyed_state``.
+
+    ``reactions`` is (run, bead_id, initial_type, timestep, ingested). State is one number per bead that has reacted, by run and bucket
+    of beads, and is dropped with its run as that of ``bond_changes``.
+    """
+    return _per_run(reactions, F.pmod(F.xxhash64("bead_id"), F.lit(buckets)), _TypeMonitor(idle_ms, type_map), RETYPE_SCHEMA, delay)
 
 
 # --- bead frames and histograms -------------------------------------------------
 
 
-def bead_frames_sink(bonds: DataFrame, mapping: DataFrame, masses: DataFrame, box, path: str) -> Callable[[DataFrame, int], None]:
-    """Per batch of dump frames: molecules made whole, centres of mass, wrapped, written."""
+def bead_frames_sink(bonds: DataFrame, mapping: DataFrame, masses: DataFrame, path: str) -> Callable[[DataFrame, int], None]:
+    """Per batch of dump frames: molecules made whole, centres of mass, wrapped into the frame's own box, written."""
 
     def sink(batch: DataFrame, number: int) -> None:
-        atoms = frame_atoms(batch).withColumnRenamed("id", "atom_id").select("timestep", "atom_id", "type", "x", "y", "z")
-        whole = unwrap_molecules(atoms, bonds, ["timestep"], box)
-        beads = centre_of_mass(whole, mapping, masses, ["timestep"])
-        edges = list(zip("xyz", lengths(box)))
+        edges = [(F.col(f"box.{ax}hi") - F.col(f"box.{ax}lo")).alias(f"l{ax}") for ax in "xyz"]
+        atoms = frame_atoms(batch).withColumnRenamed("id", "atom_id").select("timestep", "atom_id", "type", "x", "y", "z", *edges)
+        whole = unwrap_molecules(atoms, bonds, ["timestep"], ("lx", "ly", "lz"))
+        boxes = batch.select("timestep", *edges, *[F.col(f"box.{ax}lo").alias(f"o{ax}") for ax in "xyz"]).distinct()
+        beads = centre_of_mass(whole, mapping, masses, ["timestep"]).join(boxes, "timestep")
         out = beads.select(
-            "timestep", "bead_id", "mass", *[wrapped(ax, 0.0, e).alias(ax) for ax, e in edges], *[image_index(ax, 0.0, e).alias(f"i{ax}") for ax, e in edges])
+            "timestep", "bead_id", "mass", *[wrapped(ax, f"o{ax}", f"l{ax}").alias(ax) for ax in "xyz"], *[image_index(ax, f"o{ax}", f"l{ax}").alias(f"i{ax}") for ax in "xyz"])
         out.write.mode("overwrite").parquet(f"{path}/b={number}")
 
     return sink

@@ -36,8 +36,8 @@ def test_incremental_distributions_cover_every_kind(spark):
     from beadloom.plans.fixtures import Inputs
     from beadloom.plans.statistic_queries import bonded_values
 
-    assert against_sql(spark, "str5b_incremental_all_kinds") == []
-    rows = QUERIES["str5b_incremental_all_kinds"](spark, SF_DIR).collect()
+    assert against_sql(spark, "str5_incremental_distributions") == []
+    rows = QUERIES["str5_incremental_distributions"](spark, SF_DIR).collect()
     assert {x.kind for x in rows} == {"bond", "angle", "dihedral"}
     kept = bonded_values(Inputs(spark, SF_DIR)).where("NOT (kind = 'bond' AND type_id = 2)").count()
     assert sum(x.n for x in rows) == kept
