@@ -110,6 +110,18 @@ def _(t):
     return out.select("atom_id", "molecule", *[r(ax).alias(ax) for ax in "xyz"])
 
 
+@query("gr3_closed_molecules", f"""
+    WITH n AS (SELECT *, {", ".join(f"lead({a}) OVER w AS n{a}, first_value({a}) OVER w AS f{a}" for a in "xyz")}, row_number() OVER w AS i, min(atom_id) OVER (PARTITION BY mol_id) AS molecule,
+        count(*) OVER (PARTITION BY mol_id) AS n FROM fx_atoms WINDOW w AS (PARTITION BY mol_id ORDER BY pos)),
+    k AS (SELECT molecule, {", ".join(f"abs(sum(round_even((CASE WHEN i = n THEN f{a} ELSE n{a} END - {a}) / 50.035::DOUBLE, 0)))::BIGINT AS w{a}" for a in "xyz")}
+      FROM n WHERE n > 2 GROUP BY molecule)
+    SELECT * FROM k WHERE wx > 0 OR wy > 0 OR wz > 0""")
+def _(t):
+    """Molecules bent into rings: which of them go around the box, and how often."""
+    ends = t.atoms.groupBy("mol_id").agg(F.max("atom_id").alias("a1"), F.min("atom_id").alias("a2"), F.count(F.lit(1)).alias("n")).where("n > 2")
+    return graph.closed_molecules(t.atoms, t.bonds.select("a1", "a2").unionByName(ends.select("a1", "a2")), [], BOX)
+
+
 @query("gr4_unwrap_by_molecule", f"""
     SELECT atom_id, {", ".join(f"round(CASE WHEN n = 1 THEN {a} ELSE m{a} + {_MI.format(a=f'({a} - m{a})')} END, 6) AS {a}" for a in "xyz")}
     FROM (SELECT *, {", ".join(f"avg(u{a}) OVER (PARTITION BY mol_id) AS m{a}" for a in "xyz")}

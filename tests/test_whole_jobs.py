@@ -45,7 +45,7 @@ def test_incremental_distributions_cover_every_kind(spark):
 
 @needs_tables
 def test_templates_by_name_and_loose_atoms(spark):
-    assert against_sql(spark, "gr7b_named_templates") == []
+    assert against_sql(spark, "gr7_template_match") == []
 
 
 def test_template_in_two_parts(spark):
