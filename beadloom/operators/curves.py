@@ -319,6 +319,35 @@ def select_sigma(curves: DataFrame, sigmas: list[float], target: Column, keys=KE
     return best.select(*k, "b.*")
 
 
+def select_sigma_by_score(curves: DataFrame, sigmas: list[float], keys=KEYS, periodic: bool = True) -> DataFrame:
+    """Smoothed curves with the sigma of the best score: (keys, xs, smooth, sigma, score).
+
+    The score is the share by which smoothing lowers the force roughness over the whole curve, times the squared correlation of raw
+    and smoothed values where the raw ones are positive (0.5 for ten such points or fewer), times 1 / (1 + 1000 d) for a
+    step d between the two ends. Of equal scores the first sigma wins.
+    """
+    k = list(keys)
+    arrays = cut_lineage(to_arrays(curves, keys))
+    tries = F.array(*[
+        F.struct(F.lit(n).alias("order"), F.lit(float(s)).alias("sigma"), gaussian_smooth("ps", s, periodic).alias("smooth")) for n, s in enumerate(sigmas)
+    ])
+    tried = cut_lineage(arrays.select(*k, "xs", "ps", F.inline(tries)))
+    tk = [*k, "order"]
+    long = from_arrays(tried, ["ps", "smooth"], tk)
+    whole = lambda df, ks: df.withColumn("i_start", F.lit(0)).withColumn("i_end", F.max("i").over(_all(ks)))
+    rough = _roughness(whole(long, tk), "smooth", "_after", tk).drop("_h")
+    raw = _roughness(whole(from_arrays(arrays, ["ps"], k), k), "ps", "_before", k).drop("_h")
+    seen = F.col("ps") > 1e-10
+    like = long.groupBy(*tk).agg(F.corr(F.when(seen, F.col("ps")), F.when(seen, F.col("smooth"))).alias("_c"), F.count_if(seen).alias("_m"))
+    out = tried.join(rough, tk).join(raw, k).join(like, tk)
+    alike = F.when((F.col("_m") > 10) & ~F.isnan("_c"), F.col("_c")).otherwise(0.5)
+    less = F.when(F.col("_before") > 0, (F.col("_before") - F.col("_after")) / F.col("_before")).otherwise(0.0)
+    step = F.abs(F.get("smooth", F.lit(0)) - F.element_at("smooth", -1))
+    scored = out.withColumn("score", less * F.coalesce(alike, F.lit(0.5)) * F.coalesce(alike, F.lit(0.5)) / (step * 1000.0 + 1.0))
+    best = scored.groupBy(*k).agg(F.max_by(F.struct("xs", "smooth", "sigma", "score"), F.struct("score", -F.col("order"))).alias("b"))
+    return best.select(*k, "b.*")
+
+
 def with_zones(curves: DataFrame, peaks: DataFrame, widths: DataFrame, kind: str, factor: float | Column = 1.0, keys=KEYS) -> DataFrame:
     """Zone per point: 0 left zero, 1 peak, 2 valley, 3 far end of g(r), 4 right zero.
 

@@ -10,7 +10,6 @@ from pyspark.sql import types as T
 
 from ..functions.kernels import col
 from ..session import cut_lineage
-from .curves import gradient
 from .histograms import goodness_of_fit
 
 
@@ -249,51 +248,123 @@ def lj_search(tables: DataFrame, keys=("table_id",), n_left: int = 6, n_right: i
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _interpolate(grid: pd.Series, xs: pd.Series, ys: pd.Series) -> pd.Series:
-    return pd.Series([np.interp(g, x, y) for g, x, y in zip(grid, xs, ys)])
+def _curvature(xs: pd.Series, ys: pd.Series) -> pd.Series:
+    """Second derivatives at the knots of the cubic spline whose third derivative goes on over the second knot from each end.
+
+    A tridiagonal system per curve, solved for all curves of one length at once. Four knots or more.
+    """
+    out, sizes = [None] * len(xs), xs.map(len).to_numpy()
+    for n in np.unique(sizes):
+        rows = np.flatnonzero(sizes == n)
+        if n < 4:
+            for k in rows:
+                out[k] = np.zeros(n)
+            continue
+        x, y = (np.stack(v.iloc[rows].to_list()) for v in (xs, ys))
+        h = np.diff(x)
+        d = np.diff(y) / h
+        low, mid, up = h[:, :-1].copy(), 2 * (h[:, :-1] + h[:, 1:]), h[:, 1:].copy()
+        right = 6 * np.diff(d)
+        a, b = h[:, 0] / h[:, 1], h[:, -1] / h[:, -2]
+        mid[:, 0] += h[:, 0] * (1 + a)
+        up[:, 0] -= h[:, 0] * a
+        mid[:, -1] += h[:, -1] * (1 + b)
+        low[:, -1] -= h[:, -1] * b
+        for k in range(1, n - 2):
+            w = low[:, k] / mid[:, k - 1]
+            mid[:, k] -= w * up[:, k - 1]
+            right[:, k] -= w * right[:, k - 1]
+        m = np.zeros((len(rows), n))
+        m[:, n - 2] = right[:, -1] / mid[:, -1]
+        for k in range(n - 4, -1, -1):
+            m[:, k + 1] = (right[:, k] - up[:, k] * m[:, k + 2]) / mid[:, k]
+        m[:, 0] = (1 + a) * m[:, 1] - a * m[:, 2]
+        m[:, -1] = (1 + b) * m[:, -2] - b * m[:, -3]
+        for k, own in zip(rows, m):
+            out[k] = own
+    return pd.Series(out)
+
+
+def spline_intervals(curves: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The cubic spline through each curve, one row per interval: (keys, k, n, x0, x1, y0, y1, m0, m1), m the second derivatives.
+
+    Curves have distinct x and are a grid of some thousand points at most; they come together by key.
+    """
+    arr = curves.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("x", F.col(value).alias("v")))).alias("_p"))
+    arr = arr.select(*keys, F.col("_p.x").alias("_x"), F.col("_p.v").alias("_y")).withColumn("_m", _curvature("_x", "_y"))
+    rows = arr.select(*keys, F.size("_x").alias("n"), "_x", "_y", "_m", F.explode(F.sequence(F.lit(0), F.size("_x") - 2)).alias("k"))
+    at = lambda c, step: F.get(f"_{c}", F.col("k") + step).alias(f"{c}{step}")
+    return rows.select(*keys, "k", "n", *[at(c, step) for c in "xym" for step in (0, 1)])
+
+
+def spline_value(r: Column) -> tuple[Column, Column]:
+    """Value and slope of an interval's cubic at ``r``."""
+    h = F.col("x1") - F.col("x0")
+    a, b = (F.col("x1") - r) / h, (r - F.col("x0")) / h
+    value = a * F.col("y0") + b * F.col("y1") + ((a * a * a - a) * F.col("m0") + (b * b * b - b) * F.col("m1")) * h * h / 6.0
+    slope = (F.col("y1") - F.col("y0")) / h + ((b * b * 3.0 - 1.0) * F.col("m1") - (a * a * 3.0 - 1.0) * F.col("m0")) * h / 6.0
+    return value, slope
+
+
+def second_inflection(shifted: DataFrame, key: str) -> DataFrame:
+    """(key, v_inflection): the spline's value where its second derivative changes sign for the second time."""
+    flips = spline_intervals(shifted, [key], "e").where("m0 * m1 < 0")
+    at = flips.withColumn("_r", F.col("x0") + (F.col("x1") - F.col("x0")) * F.col("m0") / (F.col("m0") - F.col("m1")))
+    found = at.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_r", spline_value(F.col("_r"))[0].alias("v")))).alias("_f"))
+    return found.select(key, F.get("_f", F.lit(1))["v"].alias("v_inflection"))
 
 
 def mix_tables(tables: DataFrame, pairs: DataFrame, mode: str = "geometric", force_negative: bool = True) -> DataFrame:
     """Cross potentials for the listed (a, b) table pairs, one row per grid point.
 
     Both tables are shifted by their tail and put in reduced variables; a table
-    without a well is shifted once more by its second inflection. Interpolation is
-    linear on a grid one point longer than the longer table.
+    without a well is shifted once more by its second inflection. Values and slopes come from cubic splines, at the
+    points of a grid one point longer than the longer table; the force is the derivative of the mixed energy,
+    also where the signs of the tables differ. Every grid point meets its interval of each table by its number; no curve is
+    gathered for a pair.
     """
     key = ("table_id",)
     shifted = cut_lineage(tail_shift(tables, key, "mean"))
-    f = curve_features(shifted, key)
-    lifted = shifted.join(f.select("table_id", "v_inflection", (F.col("sigma_in_wall").isNull() | (F.col("e_min") >= 0)).alias("_bad")), "table_id")
-    lifted = lifted.withColumn("e2", F.when(F.col("_bad"), F.col("e") - F.col("v_inflection")).otherwise(F.col("e")))
+    f = curve_features(shifted, key).join(second_inflection(shifted, "table_id").withColumnRenamed("v_inflection", "_v2"), "table_id", "left")
+    lifted = shifted.join(f.select("table_id", "_v2", (F.col("sigma_in_wall").isNull() | (F.col("e_min") >= 0)).alias("_bad")), "table_id")
+    lifted = lifted.withColumn("e2", F.when(F.col("_bad"), F.col("e") - F.col("_v2")).otherwise(F.col("e")))
     f2 = curve_features(lifted, key, "e2").where("sigma_in_wall IS NOT NULL AND e_min < 0")
     scale = f2.select("table_id", F.col("sigma_in_wall").alias("sigma"), (-F.col("e_min")).alias("eps"))
-    pts = lifted.join(scale, "table_id")
-    arr = pts.groupBy("table_id", "sigma", "eps").agg(F.array_sort(F.collect_list(
-        F.struct((F.col("x") / F.col("sigma")).alias("x"), (F.col("e") / F.col("eps")).alias("v")))).alias("_p"))
+    reduced = lifted.join(scale, "table_id").select("table_id", "sigma", "eps", (F.col("x") / F.col("sigma")).alias("x"), (F.col("e") / F.col("eps")).alias("v"))
+    parts = cut_lineage(spline_intervals(reduced, ["table_id", "sigma", "eps"], "v"))
+    spans = parts.groupBy("table_id", "sigma", "eps").agg(F.min("x0").alias("lo"), F.max("x1").alias("hi"), F.max("n").alias("n"))
+
     def side(s):
-        return arr.select(F.col("table_id").alias(s), F.col("sigma").alias(f"sigma_{s}"), F.col("eps").alias(f"eps_{s}"),
-                          F.col("_p.x").alias(f"x_{s}"), F.col("_p.v").alias(f"v_{s}"))
-
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    lo = F.greatest(F.col("x_a")[0], F.col("x_b")[0])
-    hi = F.least(F.element_at("x_a", -1), F.element_at("x_b", -1))
-    n = F.greatest(F.size("x_a"), F.size("x_b"))
-    both = both.withColumn("_lo", lo).withColumn("_st", (hi - lo) / n).where("_st > 0")
-    both = both.withColumn("rs", F.transform(F.sequence(F.lit(0), n), lambda i: F.col("_lo") + F.col("_st") * i))
-    both = both.withColumn("va", _interpolate("rs", "x_a", "v_a")).withColumn("vb", _interpolate("rs", "x_b", "v_b"))
-    rows = both.select(
-        "a", "b", ((F.col("sigma_a") + F.col("sigma_b")) / 2).alias("sigma_mix"), F.sqrt(F.col("eps_a") * F.col("eps_b")).alias("eps_mix"),
-        "sigma_a", "sigma_b", "eps_a", "eps_b", F.posexplode(F.arrays_zip("rs", "va", "vb")).alias("i", "_z"),
-    )
-    va, vb = F.col("_z.va"), F.col("_z.vb")
+        return spans.select(F.col("table_id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("sigma", "eps", "lo", "hi", "n")])
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("_lo", F.greatest("lo_a", "lo_b")).withColumn("_n", F.greatest("n_a", "n_b"))
+    both = both.withColumn("_st", (F.least("hi_a", "hi_b") - F.col("_lo")) / F.col("_n")).where("_st > 0")
+    both = cut_lineage(both.select("a", "b", "sigma_a", "sigma_b", "eps_a", "eps_b", "_lo", "_st", "_n"))
+
+    def on_grid(s):
+        mine = both.select("a", "b", "_lo", "_st", "_n", F.col(s).alias("table_id")).join(parts.drop("sigma", "eps"), "table_id")
+        near = lambda c, f, d: f((F.col(c) - F.col("_lo")) / F.col("_st")).cast("bigint") + d
+        ends = F.greatest(near("x0", F.floor, -1), F.lit(0)), F.least(near("x1", F.ceil, 1), F.col("_n").cast("bigint"))
+        cells = mine.withColumn("_i0", ends[0]).withColumn("_i1", ends[1]).where("_i0 <= _i1").withColumn("i", F.explode(F.sequence("_i0", "_i1")))
+        r = F.col("_lo") + F.col("_st") * F.col("i")
+        inside = ((r >= F.col("x0")) | (F.col("k") == 0)) & ((r < F.col("x1")) | (F.col("k") == F.col("n") - 2))
+        value, slope = spline_value(r)
+        return cells.where(inside).select("a", "b", "i", r.alias("_r"), value.alias(f"v{s}"), slope.alias(f"d{s}"))
+
+    rows = on_grid("a").join(on_grid("b").drop("_r"), ["a", "b", "i"]).join(both.select("a", "b", "sigma_a", "sigma_b", "eps_a", "eps_b"), ["a", "b"])
+    va, vb, da, db = (F.col(c) for c in ("va", "vb", "da", "db"))
+    sigma, eps = (F.col("sigma_a") + F.col("sigma_b")) / 2, F.sqrt(F.col("eps_a") * F.col("eps_b"))
     if mode == "arithmetic":
-        energy = (F.col("eps_a") * va + F.col("eps_b") * vb) / 2
+        energy, slope = (F.col("eps_a") * va + F.col("eps_b") * vb) / 2, (F.col("eps_a") * da + F.col("eps_b") * db) / 2
     else:
         size = F.sqrt(F.abs(va * vb))
         sign = F.when(F.signum(va) != F.signum(vb), -1.0).otherwise(F.signum(va)) if force_negative else F.signum(va)
-        energy = sign * size * F.col("eps_mix")
-    curve = rows.select("a", "b", F.col("i").cast("bigint").alias("i"), (F.col("_z.rs") * F.col("sigma_mix")).alias("x"), energy.alias("u"), "sigma_mix", "eps_mix", "sigma_a", "sigma_b", "eps_a", "eps_b")
-    return curve.withColumn("f", -gradient("u", ("a", "b")))
+        energy = sign * size * eps
+        slope = F.when(size > 0, sign * F.signum(va * vb) * (da * vb + va * db) / (size * 2.0)).otherwise(0.0) * eps
+    return rows.select(
+        "a", "b", "i", (F.col("_r") * sigma).alias("x"), energy.alias("u"), sigma.alias("sigma_mix"), eps.alias("eps_mix"), "sigma_a", "sigma_b", "eps_a", "eps_b",
+        (-slope / sigma).alias("f"),
+    )
 
 
 def mixing_checks(mixed: DataFrame) -> DataFrame:

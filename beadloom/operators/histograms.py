@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import col
+from ..session import cut_lineage
+from .skew import per_group
 
 
 def bin_index(value, lo: float, hi: float, n: int) -> Column:
@@ -117,23 +119,36 @@ def interpolate_uniform(points: DataFrame, grid: DataFrame, keys: list[str], lo:
     return joined.withColumn("q", q).drop("_k", "_t", "_p0", "_p1")
 
 
+#: Bins of the density estimate per kernel width, and reach of the kernel in widths.
+KDE_BINS, KDE_REACH = 64, 8.5
+
+
 def kernel_density(samples: DataFrame, keys: list[str], value: str, lo: float, hi: float, points: int, factor: float = 1.0) -> DataFrame:
     """Gaussian density on a fixed grid, width factor * n^(-1/5) * sample deviation; zero below two samples.
 
-    Equal values are merged first; each value adds to the grid points on its own side of the shuffle.
+    Samples are binned first, ``KDE_BINS`` bins to a kernel width, each with its number, mean and spread. A bin adds to the
+    grid points within ``KDE_REACH`` widths the kernel at its mean with the second-order term of its spread. What is left out is
+    under 1e-6 of a kernel's height for each sample: at most 1.4 / 48 / KDE_BINS^3 of it from higher orders, 2e-16 from the cut.
     """
-    merged = samples.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_w"))
-    stats = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp(value).alias("_s"))
-    step = (hi - lo) / (points - 1)
-    spread = merged.join(stats, keys).select(
-        *keys, "_v", "_w", "_n", (F.col("_s") * F.pow(F.col("_n").cast("double"), F.lit(-0.2)) * factor).alias("_h"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(points - 1).cast("bigint"))).alias("i"),
-    ).withColumn("x", F.lit(float(lo)) + F.col("i").cast("double") * F.lit(step))
-    z = (F.col("x") - F.col("_v")) / F.col("_h")
-    part = F.col("_w") * F.exp(F.lit(-0.5) * z * z)
-    out = spread.groupBy(*keys, "i", "x", "_n", "_h").agg(F.sum(part).alias("_s"))
-    dens = F.col("_s") / (F.col("_n") * F.col("_h") * F.lit(2.5066282746310002))
-    return out.select(*keys, "i", "x", F.when((F.col("_n") >= 2) & (F.col("_h") > 0), dens).otherwise(0.0).alias("density"))
+    stats = samples.groupBy(*keys).agg(F.count(value).alias("_n"), F.stddev_samp(value).alias("_s"))
+    stats = cut_lineage(stats.withColumn("_h", F.col("_s") * F.pow(F.col("_n").cast("double"), F.lit(-0.2)) * factor))
+    step = float((hi - lo) / (points - 1))
+    wide = samples.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    wide = per_group(wide, stats.where("_n >= 2 AND _h > 0"), keys).where("_h IS NOT NULL")
+    binned = wide.groupBy(*keys, "_h", F.floor(F.col("_v") / F.col("_h") * KDE_BINS).alias("_b")).agg(
+        F.count(F.lit(1)).alias("_w"), F.avg("_v").alias("_m"), (F.var_pop("_v") * F.count(F.lit(1))).alias("_q"))
+    near = lambda side: (F.col("_m") + F.lit(side * KDE_REACH) * F.col("_h") - F.lit(float(lo))) / F.lit(step)
+    first = F.greatest(F.ceil(near(-1)), F.lit(0)).cast("bigint")
+    last = F.least(F.floor(near(1)), F.lit(points - 1)).cast("bigint")
+    spread = binned.withColumn("_i0", first).withColumn("_i1", last).where("_i0 <= _i1").select(
+        *keys, "_h", "_w", "_m", "_q", F.explode(F.sequence("_i0", "_i1")).alias("i"))
+    z = (F.lit(float(lo)) + F.col("i").cast("double") * F.lit(step) - F.col("_m")) / F.col("_h")
+    part = F.exp(F.lit(-0.5) * z * z) * (F.col("_w") + F.lit(0.5) * (z * z - 1.0) * F.col("_q") / (F.col("_h") * F.col("_h")))
+    sums = spread.groupBy(*keys, "i").agg(F.sum(part).alias("_k"))
+    grid = stats.select(*keys, "_n", "_h", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(points - 1).cast("bigint"))).alias("i"))
+    dens = F.coalesce("_k", F.lit(0.0)) / (F.col("_n") * F.col("_h") * F.lit(2.5066282746310002))
+    return grid.join(sums, [*keys, "i"], "left").select(
+        *keys, "i", (F.lit(float(lo)) + F.col("i").cast("double") * F.lit(step)).alias("x"), F.when((F.col("_n") >= 2) & (F.col("_h") > 0), dens).otherwise(0.0).alias("density"))
 
 
 def ks_two_sample(a: DataFrame, b: DataFrame, keys: list[str], value: str, block: float) -> DataFrame:

@@ -188,60 +188,87 @@ def block_bootstrap(counts: DataFrame, keys: list[str], n_blocks: int = 20, n_bo
     )
 
 
-@F.pandas_udf(T.DoubleType())
-def _path_error(xs: pd.Series, fs: pd.Series, r1: pd.Series, r2: pd.Series, f0: pd.Series) -> pd.Series:
-    """Squared error of the integrated composition path against the observed windows."""
+def _paths(targets: np.ndarray, r1: np.ndarray, r2: np.ndarray, f0: np.ndarray) -> np.ndarray:
+    """Composition at each conversion of ``targets`` (paths x windows), integrated from f0 at conversion 0 in four steps a window."""
 
-    def slope(x, f, a, b):
+    def slope(x, f):
         g = 1.0 - f
-        den = a * f * f + 2.0 * f * g + b * g * g
-        return (f - (a * f * f + f * g) / den) / (1.0 - x)
-
-    out, sizes = np.zeros(len(xs)), xs.map(len).to_numpy()
+        den = r1 * f * f + 2.0 * f * g + r2 * g * g
+        return (f - (r1 * f * f + f * g) / den) / (1.0 - x)
+
+    out, f, x = np.empty_like(targets), f0.astype(float), np.zeros(len(targets))
+    for k in range(targets.shape[1]):
+        h = (targets[:, k] - x) / 4.0
+        for _ in range(4):
+            k1 = slope(x, f)
+            k2 = slope(x + h / 2, f + h * k1 / 2)
+            k3 = slope(x + h / 2, f + h * k2 / 2)
+            k4 = slope(x + h, f + h * k3)
+            f = np.clip(f + h * (k1 + 2 * k2 + 2 * k3 + k4) / 6, 0.0, 1.0)
+            x = x + h
+        x = targets[:, k]
+        out[:, k] = f
+    return out
+
+
+#: Bounds of both ratios, and the points from which the fit starts.
+RATIO_BOUNDS = (1e-3, 100.0)
+STARTS = ((1.0, 1.0), (0.5, 0.5), (2.0, 2.0), (0.3, 3.0))
+
+
+def _least_squares(targets: np.ndarray, seen: np.ndarray, f0: np.ndarray, start: np.ndarray, rounds: int = 80) -> tuple[np.ndarray, np.ndarray]:
+    """Damped Gauss-Newton for all paths at once, in the logarithms of the ratios: (ratios, squared errors)."""
+    low, high = np.log(RATIO_BOUNDS)
+    left = lambda q: _paths(targets, np.exp(q[:, 0]), np.exp(q[:, 1]), f0) - seen
+    at = np.clip(np.log(start), low, high)
+    error = left(at)
+    cost, damp = (error**2).sum(axis=1), np.full(len(at), 1e-3)
+    for _ in range(rounds):
+        step = 1e-6
+        slopes = np.stack([(left(at + np.eye(2)[k] * step) - error) / step for k in (0, 1)], axis=2)
+        normal = np.einsum("pwi,pwj->pij", slopes, slopes)
+        down = np.einsum("pwi,pw->pi", slopes, error)
+        diag = np.einsum("pii->pi", normal) + 1e-300
+        solved = normal + damp[:, None, None] * (np.eye(2) * diag[:, :, None])
+        det = solved[:, 0, 0] * solved[:, 1, 1] - solved[:, 0, 1] * solved[:, 1, 0]
+        det = np.where(np.abs(det) > 0, det, 1e-300)
+        move = -np.stack([solved[:, 1, 1] * down[:, 0] - solved[:, 0, 1] * down[:, 1], solved[:, 0, 0] * down[:, 1] - solved[:, 1, 0] * down[:, 0]], axis=1) / det[:, None]
+        tried = np.clip(at + np.clip(np.nan_to_num(move), -2.0, 2.0), low, high)
+        new = left(tried)
+        new_cost = (new**2).sum(axis=1)
+        better = new_cost < cost
+        settled = np.where(better, cost - new_cost <= 1e-14 * cost, damp > 1e10)
+        at, error = np.where(better[:, None], tried, at), np.where(better[:, None], new, error)
+        cost, damp = np.where(better, new_cost, cost), np.where(better, damp / 5.0, damp * 4.0)
+        if settled.all():
+            break
+    return np.exp(at), cost
+
+
+@F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("r1", "r2", "sse")]))
+def _fitted(xs: pd.Series, fs: pd.Series, f0: pd.Series, a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    out, sizes = np.zeros((len(xs), 3)), xs.map(len).to_numpy()
     for size in np.unique(sizes):  # all rows whose paths have the same length at once
         at = np.flatnonzero(sizes == size)
         targets, seen = np.stack(xs.iloc[at].to_list()), np.stack(fs.iloc[at].to_list())
-        a, b, f, x = r1.to_numpy()[at], r2.to_numpy()[at], f0.to_numpy()[at], np.zeros(len(at))
-        for k in range(size):
-            h = (targets[:, k] - x) / 4.0
-            for _ in range(4):
-                k1 = slope(x, f, a, b)
-                k2 = slope(x + h / 2, f + h * k1 / 2, a, b)
-                k3 = slope(x + h / 2, f + h * k2 / 2, a, b)
-                k4 = slope(x + h, f + h * k3, a, b)
-                f = np.clip(f + h * (k1 + 2 * k2 + 2 * k3 + k4) / 6, 0.0, 1.0)
-                x = x + h
-            x = targets[:, k]
-            out[at] += (f - seen[:, k]) ** 2
-    return pd.Series(out, dtype="float64")
-
-
-def composition_fit(windows: DataFrame, keys: list[str], f0: Column | None = None, rounds: int = 6, grid: int = 13) -> DataFrame:
-    """r1 and r2 from (X_mid, f1) by a search on a logarithmic grid refined around its best point.
-
-    The rows of a run are its conversion windows, a few dozen; every grid point
-    of every run is one row, so the search runs in parallel. Fewer than three
+        out[at, :2], out[at, 2] = _least_squares(targets, seen, f0.to_numpy()[at], np.stack([a.to_numpy()[at], b.to_numpy()[at]], axis=1))
+    return pd.DataFrame(out, columns=["r1", "r2", "sse"])
+
+
+def composition_fit(windows: DataFrame, keys: list[str], f0: Column | None = None) -> DataFrame:
+    """r1 and r2 from (X_mid, f1) by least squares of the integrated composition path, within ``RATIO_BOUNDS``.
+
+    The rows of a run are its conversion windows, a few dozen. Every run starts from each of ``STARTS``, all of
+    them at once, and the smallest error wins, of equal ones the first start. Fewer than three
     windows give nulls; ``identifiable`` asks for a span of 0.1 in f1.
     """
     path = F.array_sort(F.collect_list(F.struct("X_mid", "f1")))
     runs = windows.where("f1 IS NOT NULL").groupBy(*keys).agg(path.alias("_p"), (F.max("f1") - F.min("f1")).alias("f1_delta"))
-    start = f0 if f0 is not None else F.col("_p")[0]["f1"]
-    runs = runs.withColumn("_f0", start).withColumn("_c1", F.lit(0.0)).withColumn("_c2", F.lit(0.0))
-    half = 3.0
-    best = runs
-    for _ in range(rounds):
-        steps = F.array(*[F.lit(half * (2.0 * k / (grid - 1) - 1.0)) for k in range(grid)])
-        cells = best.where(F.size("_p") >= 3).select("*", F.explode(steps).alias("_d1")).select("*", F.explode(steps).alias("_d2"))
-        within = lambda c: F.greatest(F.lit(-3.0), F.least(F.lit(2.0), c))  # noqa: E731  ratios from 0.001 to 100
-        cells = cells.withColumn("_l1", within(F.col("_c1") + F.col("_d1"))).withColumn("_l2", within(F.col("_c2") + F.col("_d2")))
-        ten = F.lit(10.0)
-        scored = cells.withColumn("_e", _path_error(
-            F.col("_p.X_mid"), F.col("_p.f1"), F.pow(ten, F.col("_l1")), F.pow(ten, F.col("_l2")), F.col("_f0")
-        ))
-        best = scored.groupBy(*keys, "_p", "_f0", "f1_delta").agg(F.min(F.struct("_e", "_l1", "_l2")).alias("_b")).select(
-            *keys, "_p", "_f0", "f1_delta", F.col("_b._l1").alias("_c1"), F.col("_b._l2").alias("_c2"), F.col("_b._e").alias("sse")
-        )
-        half = half * 3.0 / (grid - 1)
-    fitted = best.select(*keys, F.pow(F.lit(10.0), "_c1").alias("r1_ml"), F.pow(F.lit(10.0), "_c2").alias("r2_ml"), "sse")
+    runs = runs.withColumn("_f0", f0 if f0 is not None else F.col("_p")[0]["f1"])
+    starts = F.array(*[F.struct(F.lit(k).alias("_start"), F.lit(a).alias("_a"), F.lit(b).alias("_b")) for k, (a, b) in enumerate(STARTS)])
+    tried = runs.where(F.size("_p") >= 3).select(*keys, "_p", "_f0", F.inline(starts))
+    found = tried.withColumn("_r", _fitted(F.col("_p.X_mid"), F.col("_p.f1"), F.col("_f0"), F.col("_a"), F.col("_b")))
+    best = found.groupBy(*keys).agg(F.min(F.struct("_r.sse", "_start", "_r.r1", "_r.r2")).alias("_best"))
+    fitted = best.select(*keys, F.col("_best.r1").alias("r1_ml"), F.col("_best.r2").alias("r2_ml"), F.col("_best.sse").alias("sse"))
     joined = runs.select(*keys, "f1_delta").join(fitted, keys, "left")
     return joined.withColumn("identifiable", F.col("r1_ml").isNotNull() & (F.col("f1_delta") >= 0.1))

@@ -166,6 +166,25 @@ def _(t):
     return C.select_sigma(counts_as_p(t), _SIGMAS, F.lit(2)).select("curve_id", "sigma", "n_peaks")
 
 
+def _rough_sql(source, keys):
+    w = _W.format(k=keys)
+    return f"""SELECT {keys}, sum(d2f * d2f) * 2.0::DOUBLE AS rough FROM (SELECT {keys}, {_grad('g')} AS d2f FROM (SELECT *, {_grad('f')} AS g FROM (
+      SELECT *, -({_grad('u')}) AS f FROM (SELECT *, -{C.KT!r}::DOUBLE * ln(greatest(p, 1e-15)) AS u FROM {source}) {w}) {w}) {w}) GROUP BY {keys}"""
+
+
+@query("win15_best_score", """
+    WITH """ + ", ".join(f"s{n} AS ({_gauss_sql(s, True)})" for n, s in enumerate(_SIGMAS)) + ", al AS (" + " UNION ALL ".join(
+        f"SELECT curve_id, i, x, greatest(p, 0) AS p, {n} AS ord, {s}::DOUBLE AS sigma FROM s{n}" for n, s in enumerate(_SIGMAS)) + f"""),
+    a AS ({_rough_sql("al", "curve_id, ord")}), b AS ({_rough_sql("fx_cn", "curve_id")}),
+    l AS (SELECT curve_id, ord, any_value(sigma) AS sigma, corr(CASE WHEN c.p > 1e-10 THEN c.p END, CASE WHEN c.p > 1e-10 THEN al.p END) AS c, count(*) FILTER (WHERE c.p > 1e-10) AS m,
+        abs(arg_min(al.p, i) - arg_max(al.p, i)) AS d FROM al JOIN fx_cn c USING (curve_id, i) GROUP BY ALL),
+    s AS (SELECT curve_id, ord, sigma, CASE WHEN b.rough > 0 THEN (b.rough - a.rough) / b.rough ELSE 0 END * pow(CASE WHEN m > 10 AND NOT isnan(coalesce(c, 'nan'::DOUBLE)) THEN c ELSE 0.5 END, 2) / (1 + 1000 * d) AS score
+        FROM l JOIN a USING (curve_id, ord) JOIN b USING (curve_id))
+    SELECT curve_id, sigma, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY curve_id ORDER BY score DESC, ord) = 1""")
+def _(t):
+    return _round(C.select_sigma_by_score(counts_as_p(t), _SIGMAS).select("curve_id", "sigma", "score"), "score")
+
+
 def zoned(t, kind="bond"):
     c = C.with_valid_range(counts_as_p(t))
     peaks = C.detect_peaks(c)

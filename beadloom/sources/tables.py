@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.events import with_pair_type
+from ..session import cut_lineage
+from . import blocks
 
 
 def union_runs(runs: dict[str, DataFrame]) -> DataFrame:
@@ -35,27 +40,58 @@ def _lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame
 SECTIONS = ("Masses", "Atoms", "Velocities", "Bonds", "Angles", "Dihedrals", "Impropers")
 
 
+def _fill_marks(batches):
+    """(path_id, block, line, section): the last mark at or before each line in its block, null before the first; marks themselves go."""
+    for key, parts in blocks.by_block(batches):
+        now = None
+        for part in parts:
+            marks = part.column("mark")
+            at = np.flatnonzero(pc.is_valid(marks).to_numpy(zero_copy_only=False))
+            names = [now, *marks.take(pa.array(at)).to_pylist()]
+            owner = np.zeros(len(marks), np.int64)
+            owner[at] = 1
+            owner = np.cumsum(owner)
+            now = names[-1]
+            keep = np.ones(len(marks), bool)
+            keep[at] = False
+            rows = np.flatnonzero(keep)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "path_id": part.column("path_id").take(pa.array(rows)), "block": part.column("block").take(pa.array(rows)),
+                    "line": part.column("line").take(pa.array(rows)), "section": pa.array(names, pa.string()).take(pa.array(owner[rows])),
+                }
+            )
+
+
 def section_rows(spark: SparkSession, path: str) -> DataFrame:
-    """(file, section, line_no, values, comment): rows under their section header, matched by prefix."""
-    lines = _lines(spark, path).withColumn("_t", F.trim("line"))
-    name = F.regexp_extract("_t", r"^([A-Z][A-Za-z]+)", 1)
-    section = F.when(name.isin(*SECTIONS), name).when(F.col("_t").rlike("Coeffs"), F.lit("Coeffs"))
-    order = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    tagged = lines.withColumn("_h", section).withColumn("section", F.coalesce(F.last("_h", ignorenulls=True).over(order), F.lit("header")))
-    rows = tagged.where("_h IS NULL AND _t <> ''")
-    body = F.trim(F.regexp_replace("_t", "#.*$", ""))
-    return rows.select("file", "section", "line_no", F.split(body, r"\s+").alias("values"), F.trim(F.regexp_extract("_t", "#(.*)$", 1)).alias("comment"))
+    """(file, section, values, comment): rows under their section header, matched by prefix.
+
+    A file is read in blocks by many tasks; rows before the first header of a block belong to the last section
+    of the blocks before it.
+    """
+    name = F.regexp_extract(F.trim("line"), r"^([A-Z][A-Za-z]+)", 1)
+    mark = F.when(name.isin(*SECTIONS), name).when(F.col("line").rlike("Coeffs"), F.lit("Coeffs")).alias("mark")
+    order = F.monotonically_increasing_id()
+    heads = blocks.block_lines(spark, path, mark, paths=True).withColumn("_o", order).groupBy("path_id", "block", "path").agg(
+        F.max_by("mark", F.when(F.col("mark").isNotNull(), F.col("_o"))).alias("last"))
+    known = heads.withColumn("stream", blocks.stream_name()).withColumn("carry", blocks.before("last"))
+    known = cut_lineage(known.select("path_id", "block", F.col("stream").alias("file"), "carry"))
+    lines = blocks.block_lines(spark, path, mark).mapInArrow(_fill_marks, "path_id long, block long, line string, section string").where("trim(line) <> ''")
+    rows = blocks.with_block(lines, known)
+    body = F.trim(F.regexp_replace("line", "#.*$", ""))
+    return rows.select(
+        "file", F.coalesce("section", "carry", F.lit("header")).alias("section"), F.split(body, r"\s+").alias("values"), F.trim(F.regexp_extract("line", "#(.*)$", 1)).alias("comment"))
 
 
-def _cells(df: DataFrame, columns: list[tuple[str, str, int]]) -> DataFrame:
-    return df.select("file", *[F.get("values", F.lit(k)).cast(kind).alias(name) for name, kind, k in columns])
+def _cells(rows: DataFrame, section: str, columns: list[tuple[str, str, int]]) -> DataFrame:
+    return rows.where(F.col("section") == section).select("file", *[F.get("values", F.lit(k)).cast(kind).alias(name) for name, kind, k in columns])
 
 
 def read_data_file(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Atoms (six fields), bonds without their id, and box edges of every file under ``path``."""
     rows = section_rows(spark, path)
-    atoms = _cells(rows.where("section = 'Atoms'"), [("id", "bigint", 0), ("mol_id", "bigint", 1), ("type", "bigint", 2), ("x", "double", 3), ("y", "double", 4), ("z", "double", 5)])
-    bonds = _cells(rows.where("section = 'Bonds'"), [("bond_type", "bigint", 1), ("a1", "bigint", 2), ("a2", "bigint", 3)])
+    atoms = _cells(rows, "Atoms", [("id", "bigint", 0), ("mol_id", "bigint", 1), ("type", "bigint", 2), ("x", "double", 3), ("y", "double", 4), ("z", "double", 5)])
+    bonds = _cells(rows, "Bonds", [("bond_type", "bigint", 1), ("a1", "bigint", 2), ("a2", "bigint", 3)])
     head = rows.where("section = 'header' AND size(values) = 4 AND values[2] rlike '^[xyz]lo$'")
     box = head.select("file", F.substring(F.get("values", F.lit(2)), 1, 1).alias("axis"), F.get("values", F.lit(0)).cast("double").alias("lo"), F.get("values", F.lit(1)).cast("double").alias("hi"))
     return {"atoms": atoms, "bonds": bonds, "box": box}
@@ -64,7 +100,8 @@ def read_data_file(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 def read_masses(spark: SparkSession, path: str) -> DataFrame:
     """(file, type, mass, name): positive masses; a file without any fails the query."""
     rows = section_rows(spark, path)
-    masses = _cells(rows.where("section = 'Masses'").withColumn("values", F.array_append("values", F.col("comment"))), [("type", "bigint", 0), ("mass", "double", 1), ("name", "string", 2)]).where("mass > 0")
+    masses = _cells(rows.withColumn("values", F.array_append("values", F.col("comment"))), "Masses", [("type", "bigint", 0), ("mass", "double", 1), ("name", "string", 2)])
+    masses = cut_lineage(masses).where("mass > 0")  # stored, as the filter would else go before that of the section, and cast its rows
     files = rows.select("file").distinct().join(masses, "file", "left")
     ok = F.when(F.col("type").isNotNull(), F.col("type")).otherwise(F.raise_error(F.lit("no masses found")).cast("bigint"))
     return files.withColumn("type", ok)
