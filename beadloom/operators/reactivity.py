@@ -127,6 +127,13 @@ def concentration_report(counts: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def json_summary(columns: list[str]) -> Column:
+    """Columns of a row as one JSON object, in order; what is null, not a number or infinite is null in it."""
+    values = [F.col(c) for c in columns]
+    finite = [F.when(~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < F.lit(float("inf"))), v).alias(c) for v, c in zip(values, columns)]
+    return F.to_json(F.struct(*finite), {"ignoreNullFields": "false"})
+
+
 def cumulative_events(counts: DataFrame, keys: list[str]) -> DataFrame:
     total = F.col("N11") + F.col("N12") + F.col("N21") + F.col("N22")
     names = [f"N{c}" for c in CHANNELS] + ["N_total"]

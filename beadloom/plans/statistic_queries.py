@@ -161,14 +161,12 @@ def _(t):
 _RANGES = {"bond": (0.0, 40.0, 40), "angle": (0.0, 180.0, 36), "dihedral": (-180.0, 180.0, 36)}
 
 
-@query("ag14_all_distributions", """
+_TERM_DENSITIES_SQL = """
     SELECT kind, type_id, i, x, n, round(n / (sum_all * w), 9) AS density FROM (
       SELECT kind, type_id, i, lo + (i + 0.5::DOUBLE) * w AS x, w, count(*) AS n, max(c) AS sum_all FROM (
         SELECT t.*, lo, hi, w, count(*) OVER (PARTITION BY kind, type_id) AS c, least(floor((value - lo) / w)::BIGINT, nb - 1) AS i
         FROM fx_terms t JOIN (VALUES ('bond', 0.0::DOUBLE, 40.0::DOUBLE, 1.0::DOUBLE, 40), ('angle', 0, 180, 5, 36), ('dihedral', -180, 180, 10, 36)) v(kind, lo, hi, w, nb) USING (kind))
-      WHERE value BETWEEN lo AND hi GROUP BY kind, type_id, i, lo, w)""")
-def _(t):
-    return H.binned_by_kind(bonded_values(t), ["kind", "type_id"], _RANGES).withColumn("density", r("density", 9))
+      WHERE value BETWEEN lo AND hi GROUP BY kind, type_id, i, lo, w)"""
 
 
 @query("ag17_radial_distribution", f"""
@@ -587,12 +585,23 @@ def reactivity_report(counts, keys, windows=20, n_blocks=20, n_boot=1000):
     return out
 
 
-@query("ag14b_distributions_with_rdf", f"""
-    SELECT kind, type_id, NULL::BIGINT AS type_b, i, x, n, density FROM ({ORACLES["ag14_all_distributions"]})
+@query("ag14_all_distributions", f"""
+    SELECT kind, type_id, NULL::BIGINT AS type_b, i, x, n, density FROM ({_TERM_DENSITIES_SQL})
     UNION ALL SELECT 'rdf', t1, t2, i, r, pairs, g FROM ({ORACLES["ag17_radial_distribution"]})""")
 def _(t):
-    """AG14 with g(r) per type pair (type_id, type_b) as kind rdf; its n are ordered pairs and its density is g."""
-    terms = QUERIES["ag14_all_distributions"](t.spark, t.sf_dir).withColumn("type_b", F.lit(None).cast("bigint"))
+    """Densities of every bonded term, and g(r) per type pair (type_id, type_b) as kind rdf; its n are ordered pairs and its density is g."""
+    terms = H.binned_by_kind(bonded_values(t), ["kind", "type_id"], _RANGES).withColumn("density", r("density", 9)).withColumn("type_b", F.lit(None).cast("bigint"))
     radial = QUERIES["ag17_radial_distribution"](t.spark, t.sf_dir).select(
         F.lit("rdf").alias("kind"), F.col("t1").alias("type_id"), F.col("t2").alias("type_b"), "i", F.col("r").alias("x"), F.col("pairs").alias("n"), F.col("g").alias("density"))
     return terms.select("kind", "type_id", "type_b", "i", "x", "n", "density").unionByName(radial)
+
+
+@query("sf6_json_summary", f"""
+    WITH g AS (SELECT traj, cycle % 60 AS part, {_EST.replace(", 6)", ", 4)")}, sum(N11 + N12 + N21 + N22)::BIGINT AS n_events FROM fx_counts GROUP BY ALL)
+    SELECT traj, part, json_object('r1_bulk', r1_bulk, 'r2_bulk', r2_bulk, 'r1_cand', r1_cand, 'r2_cand', r2_cand, 'n_events', n_events)::VARCHAR AS summary FROM g""")
+def _(t):
+    """Estimates of parts of each trajectory as JSON; a ratio that is undefined there is null in it."""
+    parts = t.counts.withColumn("part", F.col("cycle") % 60)
+    total = parts.groupBy("traj", "part").agg(F.sum(sum((F.col(f"N{c}") for c in R.CHANNELS[1:]), F.col(f"N{R.CHANNELS[0]}"))).alias("n_events"))
+    est = R.point_estimates(parts, ["traj", "part"]).select("traj", "part", *[r(c, 4).alias(c) for c in R.ESTIMATES])
+    return est.join(total, ["traj", "part"]).select("traj", "part", R.json_summary([*R.ESTIMATES, "n_events"]).alias("summary"))

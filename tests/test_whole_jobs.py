@@ -71,8 +71,8 @@ def test_template_in_two_parts(spark):
 def test_distributions_include_rdf(spark):
     from beadloom.plans.catalogue import QUERIES
 
-    assert against_sql(spark, "ag14b_distributions_with_rdf") == []
-    kinds = QUERIES["ag14b_distributions_with_rdf"](spark, SF_DIR).select("kind").distinct().collect()
+    assert against_sql(spark, "ag14_all_distributions") == []
+    kinds = QUERIES["ag14_all_distributions"](spark, SF_DIR).select("kind").distinct().collect()
     assert {x.kind for x in kinds} == {"bond", "angle", "dihedral", "rdf"}
 
 
