@@ -129,11 +129,13 @@ def _phone(text: str, plus: int) -> tuple[int, int] | None:
 
 def _url(text: str, start: int, host: int) -> tuple[int, int] | None:
     end, n = host, len(text)
+    if host == n or text[host] not in HOST:
+        return None
     while end < n and text[end] not in STOP:
         end += 1
     while end > host and text[end - 1] in ".,;:!?":
         end -= 1
-    return (start, end) if end > host and text[host] in HOST else None
+    return start, end
 
 
 def _account(text: str, start: int, after: int) -> tuple[int, int] | None:
@@ -142,11 +144,16 @@ def _account(text: str, start: int, after: int) -> tuple[int, int] | None:
     at = after
     while at < len(text) and at < after + 4 and text[at] in " :=#":
         at += 1
-    end = _run(text, at, NAME)
-    while end > at and text[end - 1] in "._-":
-        end -= 1
-    found = text[at:end]
-    return (at, end) if at > after and 4 <= len(found) <= 34 and any(c in DIGITS for c in found) else None
+    if at == after:
+        return None
+    end, look = at, at  # closing punctuation does not count
+    while look < len(text) and text[look] in NAME:
+        look += 1
+        if text[look - 1] not in "._-":
+            end = look
+            if end - at > 34:
+                return None
+    return (at, end) if end - at >= 4 and any(c in DIGITS for c in text[at:end]) else None
 
 
 def find_spans(text: str) -> list[tuple[int, int, str]]:
@@ -190,7 +197,8 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
     ``spans`` is kind:start:end of all spans, comma-joined; ``base_sha256`` is the digest of the same string
     of the four base kinds. A null text is empty and has no spans; rows are independent of each other, so
-    repeated rows and null ids each get their own. Other columns are ignored.
+    repeated rows and null ids each get their own. Other columns are ignored; an empty table gives no rows. A text of any
+    length is worked on whole in one task, in time proportional to its length.
     """
 
     def run(batches):

@@ -6,6 +6,7 @@ import io
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -275,6 +276,17 @@ def test_surface_counts_and_fertility(spark):
     assert quality.measures(frame(spark, [])).count() == 0
 
 
+def test_the_band_follows_the_script_of_the_text(spark):
+    chinese = "".join(chr(0x4E00 + 7 * k) + (" " if k % 3 == 2 else "") for k in range(120))
+    latin = " ".join(f"{w} and {w}s again" for w in ("word", "stone", "river", "garden", "window", "paper", "winter", "silver"))
+    rows = [(1, chinese, "en"), (2, chinese, "zh"), (3, latin, "zh"), (4, latin, "en"), (5, latin, None)]
+    docs = spark.createDataFrame([(d, t, lang, "s", 0) for d, t, lang in rows], DOC)
+    assert {r["doc_id"]: r["kept"] for r in quality.measures(docs).collect()} == dict.fromkeys(range(1, 6), True)
+    narrow = {"en": quality.Band((50.0, 60.0)), "zh": quality.Band((50.0, 60.0))}
+    kept = {r["doc_id"]: r["kept"] for r in quality.measures(docs, narrow).collect()}
+    assert kept == {1: True, 2: False, 3: True, 4: False, 5: True}  # text in another script is judged as text of no language
+
+
 # --- personal data ------------------------------------------------------------------------
 
 
@@ -291,6 +303,17 @@ def base_spans(text):
     return sorted(found, key=lambda s: (s[0], pii.KINDS.index(s[2])))
 
 
+@pytest.mark.parametrize("piece", ["user.", "http://!", "http://a", "user=", "user x1.", "a@", "+1 ", "1.", "1-", "iban: ._"])
+def test_very_long_texts_take_linear_time(piece):
+    start = time.perf_counter()
+    pii.find_spans(piece * 200_000)
+    assert time.perf_counter() - start < 8  # quadratic work takes hours
+
+
+def test_personal_data_of_no_documents(spark):
+    assert pii.find_personal_data(frame(spark, [])).count() == 0
+
+
 @pytest.mark.parametrize("alphabet", ["0123456789. -+()@ab", "0123456789", "01. ", "a@.-b ", "+1 2()", "4111 -1.é\n"])
 def test_base_spans_are_those_of_the_expressions(alphabet):
     rng = random.Random(2)
