@@ -2,19 +2,22 @@
 
 A file is a row of segments; a segment lists its documents (id, number of tokens) and codes their tokens in
 blocks of ``BLOCK``. Every block starts from empty models and has a checksum, so it is read on its own and a
-damaged one is found. In a block, the id after the last two is predicted by what followed these two before
-(order 2), by what followed the last one before (order 1), and by the frequencies of id classes (order 0).
-How much each order counts is a set of adaptive frequencies, chosen by how often the two predictions held
-and whether they agree; the outcome (order 2 right, order 1 right, neither) is coded first, and where
-neither is right, the id's class by the order-0 frequencies. Its place in the class, which nothing predicts,
-follows in plain bits beside the coded part.
-
-The blocks of a segment are coded in lockstep, one id of every block at a time, so that a step is a few
-array operations for all of them.
+damaged one is found. In a block, three orders predict the next id: order 2 the id that followed the last two
+before, order 1 the one that followed the last before, order 0 every id by its frequency in the block. The
+shares of the orders come from a mixer (``_Mixer``): three sets of adaptive frequencies of which order was
+right, weighted by how well each set did so far. With shares w2, w1 and w0 an id x has the probability of the
+highest order that foretells it, w2, w1 or w0 * frequency(x), and is range coded by it; an id that the block has
+not had takes what is left, its bit-length class by adaptive frequencies and its place in the class evenly.
+Contexts are hashed to ``SLOT_BITS`` bits. Frequencies and weights are renewed at fixed steps and
+learn then from all ids since.
+
+The blocks of a segment are decoded in lockstep, one id of every block at a time. For encoding, all predictions
+follow from sorting the block by context, so only the coder itself goes in lockstep.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 import zlib
 from functools import lru_cache
@@ -32,15 +35,21 @@ from ..session import cut_lineage, scratch_path
 from . import text as X
 from .warc import _place
 
-MAGIC = b"BDT1"
-BLOCK, LANES, SEGMENT_BLOCKS = 4096, 2048, 1024
+MAGIC = b"BDT2"
+BLOCK_BITS, LANES, SEGMENT_BLOCKS = 12, 2048, 2048
+BLOCK = 1 << BLOCK_BITS
 ROWS_PER_FILE = 8192
 END_ID = 1
 CHUNK = 4 << 20
-ONE_BITS, TWO_BITS, CLASSES = 10, 11, 64  # of the classes, 36 are in use
-STEP, LIMIT, PERIOD = 24, 1 << 12, 32
+SLOT_BITS, CLASSES = 12, 64  # of the classes, 36 are in use
+STEP, LIMIT, TOTAL = 24, 1 << 12, 1 << 12
+#: Steps at which the order-0 frequencies take in the ids so far, and the distance of renewals of the mixer.
+ORDER_0, WEIGHTS_EVERY = (0, 32, 64, 128, 256, 512, 1024, 1536, 2048, 3072), 128
 _U32, _U64 = np.uint32, np.uint64
-_TOP, _BOTTOM = _U64(1 << 48), _U64(1 << 32)
+_TOP, _BOTTOM, _SHARE = _U64(1 << 48), _U64(1 << 32), _U64(12)
+#: Bits that a share of TOTAL costs, in 1/16 bits, and 2 ** -(bits) of cost, in 16 bits.
+_COSTS = np.array([192] + [round(16 * (12 - math.log2(n))) for n in range(1, TOTAL + 1)])
+_POWERS = np.array([1 << max(0, 16 - n) for n in range(17)])
 
 
 def default_tokenizer() -> str:
@@ -56,12 +65,6 @@ class _Encoder:
         self.room, self.out = room, np.zeros(lanes * room, ">u2")
         self.at = np.arange(lanes) * room
 
-    def put(self, low: np.ndarray, size: np.ndarray, total: np.ndarray) -> None:
-        """Codes [low, low + size) of total; (0, 1, 1) codes nothing. Two of these fit between calls of ``settle``."""
-        step = self.range // total
-        self.low += low * step
-        self.range = step * size
-
     def move(self, lanes: np.ndarray) -> None:
         self.out[self.at[lanes]] = self.low[lanes] >> _U64(48)
         self.at[lanes] += 1
@@ -81,30 +84,18 @@ class _Decoder:
         self.pairs = np.ndarray((len(padded) - 1,), ">u2", buffer=padded, strides=(1,))
         self.at, self.code = starts.astype(np.int64), np.zeros(len(starts), _U64)
         for _ in range(4):
-            self.move(np.arange(len(starts)), first=True)
-
-    def move(self, lanes: np.ndarray, first: bool = False) -> None:
-        code = self.code[lanes]
-        if first:
-            code <<= _U64(16)
-            self.code[lanes] = code | self.pairs[np.minimum(self.at[lanes], len(self.pairs) - 1)]
-        else:
-            self.code[lanes] = (code << _U64(16)) | self.pairs[np.minimum(self.at[lanes], len(self.pairs) - 1)]
-        self.at[lanes] += 2
-
-    def target(self, total: np.ndarray) -> np.ndarray:
-        self.step = self.range // total
-        return np.minimum((self.code - self.low) // self.step, total - _U64(1))
+            self.move(np.arange(len(starts)))
 
-    def take(self, low: np.ndarray, size: np.ndarray) -> None:
-        self.low += low * self.step
-        self.range = self.step * size
+    def move(self, lanes: np.ndarray) -> None:
+        self.code[lanes] = (self.code[lanes] << _U64(16)) | self.pairs[np.minimum(self.at[lanes], len(self.pairs) - 1)]
+        self.at[lanes] += 2
 
 
-def _settle(coder) -> None:
-    """Moves 16 bits in or out while the top 16 are fixed or the range has become small."""
-    low, wide = coder.low, coder.range
+def _settle(coder, lanes: np.ndarray | None = None) -> None:
+    """Moves 16 bits in or out while the top 16 are fixed or the range has become small, of all lanes or of these."""
+    low, wide = (coder.low, coder.range) if lanes is None else (coder.low[lanes], coder.range[lanes])
     go = np.flatnonzero(((low ^ (low + wide)) < _TOP) | (wide < _BOTTOM))
+    go = go if lanes is None else lanes[go]
     while len(go):
         low, wide = coder.low[go], coder.range[go]
         tight = (low ^ (low + wide)) >= _TOP
@@ -120,161 +111,264 @@ def _settle(coder) -> None:
 # ---- models, one set per lane
 
 
-class _Models:
-    """Predictions of order 1 and 2 with how sure they are (id * 4 + 0..3), and the adaptive frequencies.
+def _renewals(steps: int) -> list[int]:
+    """The steps at which frequencies and weights are renewed; those in ``ORDER_0`` renew the order-0 frequencies too."""
+    return sorted({t for t in ORDER_0 if t < steps} | {0, *range(WEIGHTS_EVERY, steps, WEIGHTS_EVERY)})
 
-    Frequencies take part in coding as they stood at the last renewal; every ``PERIOD`` ids they learn what was seen since.
+
+class _Mixer:
+    """The share of each order, mixed from three sets of adaptive frequencies.
+
+    Of an id it is counted who foretold it: order 2, order 1, order 0, or none (new). Every set counts that under
+    a context of its own: nothing, the record of order 1, the records of both. The shares under which an id is
+    coded are the three sets' frequencies, weighted by 2 ** -cost, cost being the bits that the set would have
+    spent on who foretold the ids so far, the older ones at half. All of it is in integers, so coder and decoder agree.
     """
 
+    ROWS = 32
+
     def __init__(self, lanes: int):
         self.lanes = lanes
-        lane = np.arange(lanes)
-        self.base1, self.base2, self.base_row, self.base_class = lane << ONE_BITS, lane << TWO_BITS, lane << 5, lane * CLASSES
-        self.one, self.two = np.zeros(lanes << ONE_BITS, np.int32), np.zeros(lanes << TWO_BITS, np.int32)
-        self.outcome = np.tile(np.array([1, 1, 2], np.int32), (lanes * 32, 1))
-        self.classes = np.zeros((lanes, CLASSES), np.int32)
+        self.base = np.arange(lanes) * self.ROWS
+        self.sets = [np.tile(np.array([1, 1, 2, 4], np.int64), (lanes, n, 1)) for n in (1, 8, self.ROWS)]
+        self.cost = [np.zeros(lanes, np.int64) for _ in self.sets]
+        self.classes = np.zeros((lanes, CLASSES), np.int64)
         self.classes[:, :36] = 1
-        self.last = self.before = np.zeros(lanes, np.uint32)
-        self.seen_rows, self.seen_classes = [], []
-        self.renew()
-
-    def renew(self) -> None:
-        if self.seen_rows:
-            for table, seen in ((self.outcome, self.seen_rows), (self.classes, self.seen_classes)):
-                flat = table.reshape(-1)
-                flat += STEP * np.bincount(np.concatenate(seen), minlength=len(flat)).astype(np.int32)
-                full = table.sum(1) > LIMIT
-                table[full] = (table[full] + 1) >> 1
-            self.seen_rows, self.seen_classes = [], []
-        upto = np.zeros((len(self.outcome), 4), _U64)
-        np.cumsum(self.outcome, 1, out=upto[:, 1:])
-        self.outcome_upto = upto.reshape(-1)
+        self._mix()
+
+    def _mix(self) -> None:
+        self.shares = [np.maximum(1, (s << 12) // s.sum(2, keepdims=True)) for s in self.sets]
+        least = np.minimum.reduce(self.cost)
+        mixed = 0
+        for share, cost in zip(self.shares, self.cost, strict=True):
+            weight = _POWERS[np.minimum((cost - least) >> 4, len(_POWERS) - 1)]
+            mixed = mixed + np.tile(share * weight[:, None, None], (1, self.ROWS // share.shape[1], 1))
+        part = 1 + mixed * (TOTAL - 4) // mixed.sum(2, keepdims=True)
+        upto = np.zeros((self.lanes, self.ROWS, 5), _U64)
+        np.cumsum(part[:, :, :3], 2, out=upto[:, :, 1:4])
+        upto[:, :, 4] = TOTAL
+        self.upto = upto.reshape(-1)
         upto = np.zeros((self.lanes, CLASSES), _U64)
         np.cumsum(self.classes[:, :-1], 1, out=upto[:, 1:])
-        self.upto, self.class_total = upto.reshape(-1), np.ascontiguousarray(upto[:, -1])
-
-    def look(self) -> None:
-        h1 = self.last * _U32(2654435769)
-        h2 = (h1 ^ (self.before * _U32(2246822519))) * _U32(3266489917)
-        self.slot1, self.slot2 = self.base1 + (h1 >> _U32(32 - ONE_BITS)), self.base2 + (h2 >> _U32(32 - TWO_BITS))
-        self.e1, self.e2 = self.one[self.slot1], self.two[self.slot2]
-        self.p1, self.p2 = self.e1 >> 2, self.e2 >> 2
-        self.row = self.base_row + ((self.e2 & 3) << 3 | (self.e1 & 3) << 1 | (self.p1 == self.p2))
-        self.at = self.row << 2
-
-    def judge(self, ids: np.ndarray) -> np.ndarray:
-        """0: order 2 is right, 1: order 1 is right, 2: neither. ``learn`` uses what this finds."""
-        self.right1, self.right2 = (self.p1 == ids) & (self.e1 != 0), (self.p2 == ids) & (self.e2 != 0)
-        return np.where(self.right2, 0, 2 - self.right1)
-
-    def learn(self, ids: np.ndarray, what: np.ndarray, kind: np.ndarray, on: np.ndarray | None) -> None:
-        rows, new = self.row * 3 + what, what == 2
-        self.seen_rows.append(rows if on is None else rows[on])
-        self.seen_classes.append((self.base_class + kind)[new if on is None else new & on])
-        fresh = ids << 2 | 1
-        for table, slot, e, right in ((self.one, self.slot1, self.e1, self.right1), (self.two, self.slot2, self.e2, self.right2)):
-            sure = e & 3
-            table[slot] = np.where(right, e + (sure < 3), np.where(sure < 2, fresh, e - 1))
-        self.before, self.last = self.last, ids.astype(_U32)
+        self.class_upto, self.class_total = upto.reshape(-1), np.ascontiguousarray(upto[:, -1])
+
+    def learn(self, rows: np.ndarray, who: np.ndarray, class_at: np.ndarray) -> None:
+        """Takes in what was seen since: the row of every id and who foretold it; (lane, class) of the new ones."""
+        seen = np.bincount(rows.reshape(-1) * 4 + who.reshape(-1), minlength=self.lanes * self.ROWS * 4).reshape(self.lanes, self.ROWS, 4)
+        for k, own in enumerate(self.sets):
+            n = seen.reshape(self.lanes, -1, own.shape[1], 4).sum(1)
+            self.cost[k] = (self.cost[k] >> 1) + (n * _COSTS[self.shares[k]]).sum((1, 2))
+            own += STEP * n
+            full = own.sum(2) > LIMIT
+            own[full] = (own[full] + 1) >> 1
+        self.classes += STEP * np.bincount(class_at, minlength=self.lanes * CLASSES).reshape(self.lanes, CLASSES)
+        while (full := self.classes.sum(1) > LIMIT).any():
+            self.classes[full] = (self.classes[full] + 1) >> 1
+        self._mix()
+
+
+def _slots(last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the order-1 and order-2 contexts in a lane's tables."""
+    h1 = last * _U32(2654435769)
+    h2 = (h1 ^ (before * _U32(2246822519))) * _U32(3266489917)
+    return h1 >> _U32(32 - SLOT_BITS), h2 >> _U32(32 - SLOT_BITS)
 
 
 def _class_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Class of each id (bit length of id + 1, and the bit after the first) and number of bits that are left."""
     bits = np.frexp((ids + 1).astype(np.float64))[1]
     free = np.maximum(bits - 2, 0)
-    return np.where(bits == 1, 0, 2 * bits - 3 + ((ids + 1) >> free & 1)).astype(np.int8), free.astype(np.int8)
-
-
-def _encode_lanes(ids: np.ndarray, length: np.ndarray) -> tuple[list[bytes], list[bytes]]:
-    """Coded part and plain bits of the blocks in the columns of ``ids`` (step, lane), of which each has its length."""
-    steps, lanes = ids.shape
-    coder, models = _Encoder(lanes, 4 * steps + 16), _Models(lanes)
-    kinds, free = _class_of(ids)
-    literal = np.zeros(ids.shape, bool)
-    none, one = np.zeros(lanes, _U64), np.ones(lanes, _U64)
-    short = int(length.min())
-    for t in range(steps):
-        if t and t % PERIOD == 0:
-            models.renew()
-        models.look()
-        x, on = ids[t], None if t < short else t < length
-        kind = kinds[t].astype(np.int64)
-        what = models.judge(x)
-        new = what == 2
-        at = models.at + what
-        low, total = models.outcome_upto[at], models.outcome_upto[models.at + 3]
-        size = models.outcome_upto[at + 1] - low
-        if on is None:
-            coder.put(low, size, total)
-        else:
-            new &= on
-            coder.put(np.where(on, low, none), np.where(on, size, one), np.where(on, total, one))
-        at = models.base_class + kind
-        low = models.upto[at]
-        coder.put(np.where(new, low, none), np.where(new, models.upto[at + 1] - low, one), np.where(new, models.class_total, one))
-        _settle(coder)
-        literal[t] = new
-        models.learn(x, what, kind, on)
-    return coder.finish(), _plain_bits(ids, free, literal)
-
-
-def _plain_bits(ids: np.ndarray, free: np.ndarray, literal: np.ndarray) -> list[bytes]:
-    """Of every lane, the free bits of its literals one after the other, filled up to whole bytes."""
-    out = []
-    for k in range(ids.shape[1]):
-        at = np.flatnonzero(literal[:, k])
-        width = free[at, k].astype(np.int64)
-        value = np.repeat(ids[at, k].astype(np.int64) + 1, width)
-        out.append(np.packbits((value >> (np.repeat(width, width) - 1 - X.expand(width)) & 1).astype(np.uint8)).tobytes())
-    return out
-
-
-def _decode_lanes(data: np.ndarray, starts: np.ndarray, plain: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """The ids (step, lane) of the blocks whose coded parts and plain bits start there."""
-    lanes, steps = len(starts), int(length.max())
-    coder, models = _Decoder(data, starts), _Models(lanes)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    words = np.ndarray((len(padded) - 3,), ">u4", buffer=padded, strides=(1,))
-    bit = plain.astype(np.int64) * 8
-    out = np.zeros((steps, lanes), np.int32)
-    one, none = np.ones(lanes, _U64), np.zeros(lanes, _U64)
-    short = int(length.min())
-    for t in range(steps):
-        if t and t % PERIOD == 0:
-            models.renew()
-        models.look()
-        on = None if t < short else t < length
-        total = models.outcome_upto[models.at + 3]
-        goal = coder.target(total if on is None else np.where(on, total, one))
-        new, hit1 = goal >= models.outcome_upto[models.at + 2], goal >= models.outcome_upto[models.at + 1]
-        at = models.at + hit1 + new
-        low = models.outcome_upto[at]
-        size = models.outcome_upto[at + 1] - low
-        if on is None:
-            coder.take(low, size)
-        else:
-            new &= on
-            coder.take(np.where(on, low, none), np.where(on, size, one))
-        goal = coder.target(np.where(new, models.class_total, one))
-        at = models.base_class  # on to the last class that begins at or below the goal, by halving
-        for bit_ in (5, 4, 3, 2, 1, 0):
-            at = at + ((models.upto[at + (1 << bit_)] <= goal).astype(np.int64) << bit_)
-        kind = at - models.base_class
-        low = models.upto[at]
-        coder.take(np.where(new, low, none), np.where(new, models.upto[at + 1] - low, one))
-        _settle(coder)
-        free = np.where(new, np.maximum(kind - 1, 0) >> 1, 0)
-        word = words[np.minimum(bit >> 3, len(words) - 1)].astype(np.int64)
-        value = (word << (bit & 7) & 0xFFFFFFFF) >> (32 - free)
-        bit += free
-        top = np.where(kind == 0, 1, 2 + (kind - 1 & 1))
-        x = np.where(new, ((top << free) | value) - 1, np.where(hit1, models.p1, models.p2)).astype(np.int32)
-        if on is not None:
-            x = np.where(on, x, 0).astype(np.int32)
-        what = models.judge(x)
-        out[t] = x
-        models.learn(x, what, kind, on)
-    return out
+    return np.where(bits == 1, 0, 2 * bits - 3 + ((ids + 1) >> free & 1)).astype(np.int64), free.astype(np.int64)
+
+
+def _by_key(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of every row: steps in the order of (key, step), and whether a step has the key of the one before it there."""
+    packed = (keys.astype(np.uint64) << _U64(BLOCK_BITS)) | np.arange(keys.shape[1], dtype=np.uint64)
+    if not keys.size or int(keys.max()) < 1 << (32 - BLOCK_BITS):
+        packed = packed.astype(np.uint32)
+    packed.sort(axis=1)
+    key = packed >> packed.dtype.type(BLOCK_BITS)
+    same = np.zeros(keys.shape, bool)
+    same[:, 1:] = key[:, 1:] == key[:, :-1]
+    return (packed & packed.dtype.type(BLOCK - 1)).astype(np.int64), same
+
+
+def _record(ids: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What followed each step's context before (-1: it is new), how sure that is (0..3), and whether it is right."""
+    order, same = _by_key(slots)
+    prior = np.zeros_like(order)
+    prior[:, 1:] = order[:, :-1]
+    before, known = np.zeros_like(order), np.zeros(ids.shape, bool)
+    np.put_along_axis(before, order, prior, 1)
+    np.put_along_axis(known, order, same, 1)
+    guess = np.where(known, np.take_along_axis(ids, before, 1), -1)
+    right = guess == ids
+    once = known & np.take_along_axis(right, before, 1)
+    twice = once & np.take_along_axis(once, before, 1)
+    return guess, known.astype(np.uint8) + once + twice, right
+
+
+def _frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of every id: how many of the ids that the order-0 frequencies hold at its step are smaller, and how many are equal."""
+    lanes, steps = ids.shape
+    order, same = _by_key(ids)
+    step = np.arange(steps)
+    first = np.maximum.accumulate(np.where(same, 0, step), axis=1)
+    last = np.ones(ids.shape, bool)
+    last[:, :-1] = ~same[:, 1:]
+    end = np.minimum.accumulate(np.where(last, step + 1, steps)[:, ::-1], axis=1)[:, ::-1]
+    below, equal = np.zeros(ids.shape, np.uint16), np.zeros(ids.shape, np.uint16)
+    bounds = [t for t in ORDER_0 if t < steps] + [steps]
+    held = np.zeros((lanes, steps + 1), np.int32)
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        np.cumsum(order < a, axis=1, out=held[:, 1:])
+        lane, at = np.nonzero((order >= a) & (order < b))
+        t, lo = order[lane, at], held[lane, first[lane, at]]
+        below[lane, t] = lo
+        equal[lane, t] = held[lane, end[lane, at]] - lo
+    return below, equal
+
+
+def _foresee(ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Row of the mixer, who foretells the id (0: order 2, 1: order 1, 2: order 0, 3: none), and its place in the order-0 frequencies."""
+    last = np.zeros(ids.shape, _U32)
+    last[:, 1:] = ids[:, :-1]
+    before = np.zeros(ids.shape, _U32)
+    before[:, 1:] = last[:, :-1]
+    slot1, slot2 = _slots(last, before)
+    guess1, sure1, right1 = _record(ids, slot1)
+    guess2, sure2, right2 = _record(ids, slot2)
+    below, equal = _frequencies(ids)
+    row = sure2 << 3 | sure1 << 1 | (guess1 == guess2)
+    return row, np.where(right2, 0, np.where(right1, 1, np.where(equal > 0, 2, 3))).astype(np.uint8), below, equal
+
+
+def _encode_lanes(ids: np.ndarray) -> list[bytes]:
+    """The coded blocks in the rows of ``ids`` (lane, step)."""
+    lanes, steps = ids.shape
+    parts = [[np.ascontiguousarray(x.T) for x in _foresee(ids[lo : lo + 128])] for lo in range(0, lanes, 128)]
+    rows, whos, below, equal = (np.concatenate(x, axis=1) for x in zip(*parts, strict=True))
+    coder, mixer = _Encoder(lanes, 4 * steps + 16), _Mixer(lanes)
+    ids, lane = np.ascontiguousarray(ids.T), np.arange(lanes)
+    bounds, held = _renewals(steps), 0
+    for a, b in zip(bounds, bounds[1:] + [steps], strict=True):
+        if a in ORDER_0:
+            held = a
+        who, row = whos[a:b], mixer.base + rows[a:b]
+        at = row * 5 + who
+        low1 = mixer.upto[at]
+        size1 = mixer.upto[at + 1] - low1
+        old, new = who == 2, who == 3
+        kind, free = _class_of(ids[a:b])
+        place = ((ids[a:b] + 1) & ((1 << free) - 1)).astype(_U64)
+        at = lane * CLASSES + kind
+        low2 = np.where(new, mixer.class_upto[at], np.where(old, below[a:b], 0).astype(_U64))
+        size2 = np.where(new, mixer.class_upto[at + 1] - mixer.class_upto[at], np.where(old, equal[a:b], 1).astype(_U64))
+        total = np.where(new, mixer.class_total, np.where(old, held, 1).astype(_U64))
+        free = free.astype(_U64)
+        for k in range(b - a):
+            part = coder.range >> _SHARE
+            coder.low += low1[k] * part
+            part = (part * size1[k]) // total[k]
+            coder.low += low2[k] * part
+            coder.range = part * size2[k]
+            _settle(coder)
+            on = np.flatnonzero(new[k])
+            if len(on):
+                part = coder.range[on] >> free[k, on]
+                coder.low[on] += place[k, on] * part
+                coder.range[on] = part
+                _settle(coder, on)
+        mixer.learn(row, who, at[new])
+    return coder.finish()
+
+
+class _Guesses:
+    """Of one order: the id that followed each context last, and how sure that is (id * 4 + 1..3; 0: nothing yet)."""
+
+    def __init__(self, lanes: int):
+        self.base, self.table = np.arange(lanes) << SLOT_BITS, np.zeros(lanes << SLOT_BITS, np.int32)
+
+    def look(self, slot: np.ndarray) -> None:
+        self.at = self.base + slot
+        self.entry = self.table[self.at]
+        self.sure = self.entry & 3
+        self.id = (self.entry >> 2) - (self.entry == 0)
+
+    def learn(self, ids: np.ndarray) -> None:
+        self.table[self.at] = np.where(self.id == ids, self.entry + (self.sure < 3), ids << 2 | 1)
+
+
+def _decode_lanes(data: np.ndarray, starts: np.ndarray, steps: int) -> np.ndarray:
+    """The ids (lane, step) of the blocks that start there."""
+    lanes = len(starts)
+    coder, mixer, one, two = _Decoder(data, starts), _Mixer(lanes), _Guesses(lanes), _Guesses(lanes)
+    lane, out = np.arange(lanes), np.zeros((steps, lanes), np.int32)
+    last = before = np.zeros(lanes, _U32)
+    totals, known = np.ones((lanes, 4), _U64), None
+    bounds = _renewals(steps)
+    for a, b in zip(bounds, bounds[1:] + [steps], strict=True):
+        if a and a in ORDER_0:
+            held = a
+            known = np.sort(out[:a].T, axis=1)
+            step, differs = np.arange(a, dtype=np.int32), np.ones(known.shape, bool)
+            differs[:, 1:] = known[:, 1:] != known[:, :-1]
+            first = np.maximum.accumulate(np.where(differs, step, 0), axis=1)
+            ends = np.ones(known.shape, bool)
+            ends[:, :-1] = differs[:, 1:]
+            size = np.minimum.accumulate(np.where(ends, step + 1, a)[:, ::-1], axis=1)[:, ::-1] - first
+            known, first, size = known.reshape(-1), first.reshape(-1), np.ascontiguousarray(size).reshape(-1)
+            totals[:, 2] = a
+        totals[:, 3] = mixer.class_total
+        flat = totals.reshape(-1)
+        rows, whos, fresh = np.zeros((b - a, lanes), np.int64), np.zeros((b - a, lanes), np.int64), []
+        for k in range(b - a):
+            slot1, slot2 = _slots(last, before)
+            one.look(slot1)
+            two.look(slot2)
+            row = mixer.base + (two.sure << 3 | one.sure << 1 | (one.id == two.id))
+            part = coder.range >> _SHARE
+            goal = (coder.code - coder.low) // part
+            at = row * 5
+            who = (goal >= mixer.upto[at + 1]).astype(np.int64) + (goal >= mixer.upto[at + 2]) + (goal >= mixer.upto[at + 3])
+            at += who
+            low = mixer.upto[at]
+            coder.low += low * part
+            total = flat[lane * 4 + who]
+            part = (part * (mixer.upto[at + 1] - low)) // total
+            x = np.where(who == 0, two.id, one.id)
+            goal = np.minimum((coder.code - coder.low) // part, total - _U64(1))
+            low2, size2 = np.zeros(lanes, _U64), np.ones(lanes, _U64)
+            on = np.flatnonzero(who == 2)
+            if len(on) and known is not None:
+                at = on * held + goal[on].astype(np.int64)
+                x[on], low2[on], size2[on] = known[at], first[at], size[at]
+            on = np.flatnonzero(who == 3)
+            if len(on):
+                base = at = on * CLASSES
+                for half in (5, 4, 3, 2, 1, 0):  # on to the last class that begins at or below the goal, by halving
+                    at = at + ((mixer.class_upto[at + (1 << half)] <= goal[on]).astype(np.int64) << half)
+                low2[on] = mixer.class_upto[at]
+                size2[on] = mixer.class_upto[at + 1] - mixer.class_upto[at]
+                fresh.append(at)
+            coder.low += low2 * part
+            coder.range = part * size2
+            _settle(coder)
+            if len(on):
+                kind = at - base
+                free = np.maximum(kind - 1, 0) >> 1
+                part = coder.range[on] >> free.astype(_U64)
+                place = np.minimum((coder.code[on] - coder.low[on]) // part, ((1 << free) - 1).astype(_U64))
+                coder.low[on] += place * part
+                coder.range[on] = part
+                _settle(coder, on)
+                x[on] = (np.where(kind == 0, 1, 2 + (kind - 1 & 1)) << free | place.astype(np.int64)) - 1
+            out[a + k], rows[k], whos[k] = x, row, who
+            one.learn(x)
+            two.learn(x)
+            before, last = last, x.astype(_U32)
+        mixer.learn(rows, whos, np.concatenate(fresh) if fresh else np.zeros(0, np.int64))
+    return out.T
 
 
 # ---- segments
@@ -283,24 +377,19 @@ def _decode_lanes(data: np.ndarray, starts: np.ndarray, plain: np.ndarray, lengt
 def pack(doc_ids: list, counts: np.ndarray, ids: np.ndarray) -> bytes:
     """A segment of these documents, whose tokens stand one after the other."""
     n = len(ids)
-    blocks = -(-n // BLOCK)
-    length = np.full(blocks, BLOCK)
-    if blocks:
-        length[-1] = n - BLOCK * (blocks - 1)
-    coded, plain = [], []
+    blocks, coded = -(-n // BLOCK), []
+    steps = min(n, BLOCK)  # a last block that is shorter than others is filled up with zeros
     for lo in range(0, blocks, LANES):
-        own = length[lo : lo + LANES]
-        part = np.zeros((len(own), BLOCK), np.int32)
-        part.reshape(-1)[: own.sum()] = ids[lo * BLOCK : lo * BLOCK + own.sum()]
-        one, two = _encode_lanes(np.ascontiguousarray(part.T[: own.max()]), own)
-        coded += one
-        plain += two
+        own = ids[lo * BLOCK : (lo + LANES) * BLOCK]
+        part = np.zeros((-(-len(own) // BLOCK), steps), np.int32)
+        part.reshape(-1)[: len(own)] = own
+        coded += _encode_lanes(part)
     sums = [zlib.crc32(ids[k * BLOCK : (k + 1) * BLOCK].astype("<u4").tobytes()) for k in range(blocks)]
     known = np.array([d is not None for d in doc_ids], np.uint8)
-    head = np.array([len(doc_ids), n, blocks, sum(map(len, coded)) + sum(map(len, plain))], "<i8").tobytes()
+    head = np.array([len(doc_ids), n, blocks, sum(map(len, coded))], "<i8").tobytes()
     index = np.array([d or 0 for d in doc_ids], "<i8").tobytes() + known.tobytes() + np.asarray(counts, "<i8").tobytes()
-    table = b"".join(np.array(v, "<u4").tobytes() for v in ([len(p) for p in coded], [len(p) for p in plain], sums))
-    return MAGIC + head + index + table + b"".join(x for both in zip(coded, plain, strict=True) for x in both)
+    table = b"".join(np.array(v, "<u4").tobytes() for v in ([len(p) for p in coded], sums))
+    return MAGIC + head + index + table + b"".join(coded)
 
 
 def segments(source):
@@ -321,16 +410,13 @@ def segments(source):
             raise ValueError("not a token file")
         docs, n, blocks, size = np.frombuffer(exactly(32), "<i8").tolist()
         doc_ids, known, counts = np.frombuffer(exactly(8 * docs), "<i8"), np.frombuffer(exactly(docs), np.uint8), np.frombuffer(exactly(8 * docs), "<i8")
-        coded, plain, sums = (np.frombuffer(exactly(4 * blocks), "<u4").astype(np.int64) for _ in range(3))
+        coded, sums = (np.frombuffer(exactly(4 * blocks), "<u4").astype(np.int64) for _ in range(2))
         data = np.frombuffer(exactly(size), np.uint8)
-        length = np.minimum(BLOCK, n - BLOCK * np.arange(blocks))
-        starts = np.cumsum(coded + plain) - coded - plain
+        starts = np.cumsum(coded) - coded
         ids = np.zeros(n, np.int32)
         for lo in range(0, blocks, LANES):
-            own = length[lo : lo + LANES]
-            part = np.zeros((len(own), BLOCK), np.int32)
-            part[:, : own.max()] = _decode_lanes(data, starts[lo : lo + LANES], (starts + coded)[lo : lo + LANES], own).T
-            ids[lo * BLOCK : lo * BLOCK + own.sum()] = part.reshape(-1)[: own.sum()]
+            own = ids[lo * BLOCK : (lo + LANES) * BLOCK]
+            own[:] = _decode_lanes(data, starts[lo : lo + LANES], min(n, BLOCK)).reshape(-1)[: len(own)]
         for k in range(blocks):
             if zlib.crc32(ids[k * BLOCK : (k + 1) * BLOCK].astype("<u4").tobytes()) != sums[k]:
                 raise ValueError(f"checksum of block {k} differs")
