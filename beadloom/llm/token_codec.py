@@ -219,13 +219,14 @@ def _frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     end = np.minimum.accumulate(np.where(last, step + 1, steps)[:, ::-1], axis=1)[:, ::-1]
     below, equal = np.zeros(ids.shape, np.uint16), np.zeros(ids.shape, np.uint16)
     bounds = [t for t in ORDER_0 if t < steps] + [steps]
-    held = np.zeros((lanes, steps + 1), np.int32)
+    place = np.zeros_like(order)
+    np.put_along_axis(place, order, np.broadcast_to(step, ids.shape), 1)
+    held = np.zeros((lanes, steps + 1), np.uint16)
     for a, b in zip(bounds, bounds[1:], strict=False):
-        np.cumsum(order < a, axis=1, out=held[:, 1:])
-        lane, at = np.nonzero((order >= a) & (order < b))
-        t, lo = order[lane, at], held[lane, first[lane, at]]
-        below[lane, t] = lo
-        equal[lane, t] = held[lane, end[lane, at]] - lo
+        np.cumsum(order < a, axis=1, dtype=np.uint16, out=held[:, 1:])
+        at = place[:, a:b]
+        below[:, a:b] = np.take_along_axis(held, np.take_along_axis(first, at, 1), 1)
+        equal[:, a:b] = np.take_along_axis(held, np.take_along_axis(end, at, 1), 1) - below[:, a:b]
     return below, equal
 
 
