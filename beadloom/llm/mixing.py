@@ -107,18 +107,19 @@ def schedule(per_source: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def _takes(placed: DataFrame, per: DataFrame, block: int) -> DataFrame:
-    """The columns of ``placed`` for each document and slot that meet, with ``epoch`` and ``words``; documents that no slot takes have 0."""
+    """The columns of ``placed`` for each document and slot that meet, with ``epoch``, ``slot`` and ``words``; documents that no slot takes have 0."""
     spread = placed.where("size > 0").withColumn("block_no", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))))
     d, s = spread.alias("d"), schedule(per, block).alias("s")
     both = d.join(s, F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.block_no") == F.col("s.block_no")), "left")
     words = F.greatest(F.lit(0), F.least(F.col("hi"), F.col("at") + F.col("size")) - F.greatest(F.col("lo"), F.col("at")))
-    return both.select("d.*", "epoch", F.when(F.col("hi").isNull(), 0).otherwise(words).alias("words"))  # least and greatest skip nulls
+    return both.select("d.*", "epoch", "slot", F.when(F.col("hi").isNull(), 0).otherwise(words).alias("words"))  # least and greatest skip nulls
 
 
 def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for every row of ``docs`` (doc_id, text, source).
+    """(doc_id, size, source_size, target, taken, first_slot, last_slot) for every row of ``docs`` (doc_id, text, source).
 
-    A null or blank text has size 0 and takes nothing; a null source is a source of its own, the last; a
+    The slots are those of the schedule that take words of the document, the first and the last of them: reading
+    the mix in their order keeps every stretch of it near the target shares. Null where nothing is taken. A null or blank text has size 0 and takes nothing; a null source is a source of its own, the last; a
     source without words has target 0. Repeated rows take their own places. Other columns are ignored; an
     empty table gives no rows. The order within a source hangs on doc_id and size alone, so reruns agree.
     """
@@ -126,10 +127,14 @@ def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     sizes = cut_lineage(own)
     per = cut_lineage(targets(sizes))
     placed = cut_lineage(_positions(sizes))
-    taken = _takes(placed, per, block).groupBy("source", "at").agg(F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.sum("words").alias("taken"))
-    rows = taken.select("doc_id", "source", "size", "taken").union(sizes.where("size = 0").select("doc_id", "source", "size", F.lit(0).cast("long")))
+    used = F.when(F.col("words") > 0, F.col("slot"))
+    taken = _takes(placed, per, block).groupBy("source", "at").agg(
+        F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.sum("words").alias("taken"), F.min(used).alias("first_slot"), F.max(used).alias("last_slot")
+    )
+    none = F.lit(None).cast("long")
+    rows = taken.select("doc_id", "source", "size", "taken", "first_slot", "last_slot").union(sizes.where("size = 0").select("doc_id", "source", "size", F.lit(0).cast("long"), none, none))
     r, p = rows.alias("r"), per.alias("p")
-    return r.join(p, F.col("r.source").eqNullSafe(F.col("p.source"))).select("doc_id", "size", "source_size", "target", "taken")
+    return r.join(p, F.col("r.source").eqNullSafe(F.col("p.source"))).select("doc_id", "size", "source_size", "target", "taken", "first_slot", "last_slot")
 
 
 def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:

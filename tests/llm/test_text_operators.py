@@ -434,6 +434,8 @@ def test_mix_meets_its_targets(spark, block):
     for r in rows:
         by_pair[(r["source_size"], round(r["target"], 6))] += r["taken"]
         assert 0 <= r["taken"] <= 2 * r["size"]
+        assert (r["first_slot"] is None) == (r["last_slot"] is None) == (r["taken"] == 0)
+        assert r["taken"] == 0 or 0 <= r["first_slot"] <= r["last_slot"]
     want = collections.defaultdict(int)
     for s, n in sizes.items():
         want[(n, round(target[s], 6))] += math.floor(target[s] + 1e-9)
@@ -456,3 +458,37 @@ def test_the_schedule_spreads_each_source_evenly(spark):
         seen = collections.Counter(r["source"] for r in rows[:upto])
         assert all(abs(seen[s] - upto * share) <= 4 for s, share in (("a", 0.6), ("b", 0.3), ("c", 0.1)))
     assert mixing.mix(frame(spark, [])).count() == 0 and mixing.mixed_documents(frame(spark, [])).count() == 0
+
+
+def test_documents_carry_the_slots_that_take_them(spark):
+    source = ["a"] * 150 + ["b"] * 100 + ["c"] * 50
+    df = spark.createDataFrame([(k, "w", "en", s, 0) for k, s in enumerate(source)], DOC)
+    rows = mixing.mix(df, 1).collect()
+    target = {source[r["doc_id"]]: r["target"] for r in rows}
+    assert target == {s: pytest.approx(t) for s, t in (("a", 262.5), ("b", 87.5), ("c", 100.0))}
+    # With one word a document and a block, a document has a slot for each word that is taken of it.
+    slots = sorted((k, source[r["doc_id"]]) for r in rows if r["taken"] for k in {r["first_slot"], r["last_slot"]})
+    assert len(slots) == len({k for k, _ in slots}) == sum(r["taken"] for r in rows) == 449
+    for upto in (45, 150, 300, 420):
+        seen = collections.Counter(s for _, s in slots[:upto])
+        assert all(abs(seen[s] - upto * t / 450) <= 4 for s, t in target.items())
+
+
+def test_shares_of_the_orders_follow_what_was_right():
+    mixer = token_codec._Mixer(2)
+    row = np.tile(mixer.base + (3 << 3 | 3 << 1), (64, 1))
+    mixer.learn(row, np.tile(np.array([0, 3]), (64, 1)), np.full(64, token_codec.CLASSES + 5))
+    upto = mixer.upto.reshape(2, mixer.ROWS, 5).astype(int)
+    assert (np.diff(upto, axis=2) >= 1).all() and (upto[:, :, 4] == token_codec.TOTAL).all()
+    share = np.diff(upto[:, 3 << 3 | 3 << 1], axis=1) / token_codec.TOTAL
+    assert share[0, 0] > 0.9 and share[1, 3] > 0.9
+
+
+def test_frequent_ids_are_cheaper_than_rare_ones():
+    rng = np.random.default_rng(3)
+    skewed = np.minimum(rng.zipf(1.6, 40_000), 30_000).astype(np.int32)
+    even = rng.integers(1, 30_000, 40_000).astype(np.int32)
+    count = np.bincount(skewed) / len(skewed)
+    floor = -np.sum(count[count > 0] * np.log2(count[count > 0])) / 8
+    size = [len(token_codec.pack([1], np.array([len(x)]), x)) / len(x) for x in (skewed, even)]
+    assert size[0] < 1.35 * floor + 0.1 and size[1] < 2.1  # 14.9 bits of an even id are 1.86 bytes
