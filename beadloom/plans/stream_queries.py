@@ -107,8 +107,7 @@ def _(t):
     atoms = t.atoms.select(F.lit(7000).cast("bigint").alias("timestep"), F.col("atom_id").alias("id"), "type", "x", "y", "z")
     dump.write_dump(atoms, source, tuple(_OWN_BOX.values()))
     masses = t.atoms.select("type").distinct().where("type < 6").withColumn("mass", F.lit(1.0) + F.col("type") * F.lit(0.5))
-    frames = dump.dump_frames(t.spark, source, streaming=True)
-    S.run_available(frames, "append", S.bead_frames_sink(t.bonds, t.mapping, masses, out), "beads")
+    S.run_available(dump.dump_stream(t.spark, source), "append", S.bead_frames_sink(t.bonds, t.mapping, masses, out), "beads")
     return t.spark.read.parquet(out).select("timestep", "bead_id", r("mass").alias("mass"), *[r(ax, 8).alias(ax) for ax in "xyz"])
 
 

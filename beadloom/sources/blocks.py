@@ -20,11 +20,12 @@ from pyspark.sql import functions as F
 BROADCAST_BLOCKS = 500_000
 
 
-def block_lines(spark: SparkSession, path, *more: Column, paths: bool = False) -> DataFrame:
+def block_lines(spark: SparkSession, path, *more: Column, paths: bool = False, streaming: bool = False) -> DataFrame:
     """(path_id, block, line) of all lines under ``path``, in order inside a block; with more columns of ``line``, or the path of its file."""
     file = F.col("_metadata.file_path")
     columns = [F.xxhash64(file).alias("path_id"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line")]
-    lines = spark.read.option("recursiveFileLookup", True).text(path).select(*columns, *([file.alias("path")] if paths else []))
+    reader = spark.readStream if streaming else spark.read
+    lines = reader.option("recursiveFileLookup", True).text(path).select(*columns, *([file.alias("path")] if paths else []))
     return lines.select("*", *more)
 
 

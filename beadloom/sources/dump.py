@@ -178,9 +178,9 @@ def _parsed_header(text: Column) -> Column:
     )
 
 
-def scan_blocks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(blocks, frames): for each block the frame that goes on in it as ``carry``; (file, timestep) of every frame."""
-    rows = cut_lineage(B.block_lines(spark, path, paths=True).mapInArrow(_block_heads, "path_id long, block long, path string, n int, text string, done boolean"))
+def scan_blocks(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(blocks, frames) of lines with their path: for each block the frame that goes on in it as ``carry``; (file, timestep) of every frame."""
+    rows = cut_lineage(lines.mapInArrow(_block_heads, "path_id long, block long, path string, n int, text string, done boolean"))
     last = F.max_by(F.struct("n", "text", "done"), "n")
     per = rows.groupBy("path_id", "block", "path").agg(F.max(F.when(F.col("n") == 0, F.col("text"))).alias("head"), last.alias("last"))
     own = F.when((F.col("last.n") > 0) & F.col("last.done"), F.col("last.text"))
@@ -195,19 +195,35 @@ def scan_blocks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return blocks.drop("whole"), frames
 
 
+def _framed(lines: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Atom lines with file, timestep, box and names of their frame."""
+    lines = lines.mapInArrow(_block_atoms, f"path_id long, block long, {_HEADER}, line string").where("trim(line) <> ''")
+    own_box = F.struct(*EDGES)
+    return B.with_block(lines, blocks).select(
+        "file", F.coalesce("timestep", "carry.timestep").alias("timestep"), F.when(F.col("timestep").isNotNull(), own_box).otherwise(F.col("carry.box")).alias("box"),
+        F.split(F.coalesce("names", "carry.names"), " +").alias("names"), "line",
+    )
+
+
+def dump_stream(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of dump files as they land, for ``landed_atoms``. The pieces of a frame must land in one micro-batch."""
+    return B.block_lines(spark, path, paths=True, streaming=True)
+
+
+def landed_atoms(batch: DataFrame) -> DataFrame:
+    """Atoms of a micro-batch of ``dump_stream``; as in ``read_dump`` a frame may lie in any number of blocks and pieces."""
+    blocks, _ = scan_blocks(batch)
+    return _atoms(_framed(batch.drop("path"), blocks))
+
+
 def read_dump(spark: SparkSession, path: str, max_frames: int | None = None, stride: int = 1) -> DataFrame:
     """Atoms of every ``stride``-th frame per file, at most ``max_frames`` frames.
 
     A frame may lie in any number of blocks, and a header may be cut by a block's end (blocks hold a header or more).
     Lines of frames that are left out are dropped before they are parsed.
     """
-    blocks, frames = scan_blocks(spark, path)
-    lines = B.block_lines(spark, path).mapInArrow(_block_atoms, f"path_id long, block long, {_HEADER}, line string").where("trim(line) <> ''")
-    own_box = F.struct(*EDGES)
-    rows = B.with_block(lines, blocks).select(
-        "file", F.coalesce("timestep", "carry.timestep").alias("timestep"), F.when(F.col("timestep").isNotNull(), own_box).otherwise(F.col("carry.box")).alias("box"),
-        F.split(F.coalesce("names", "carry.names"), " +").alias("names"), "line",
-    )
+    blocks, frames = scan_blocks(B.block_lines(spark, path, paths=True))
+    rows = _framed(B.block_lines(spark, path), blocks)
     if stride > 1 or max_frames is not None:
         kept = strided_frames(frames, ["file"], stride, max_frames)
         return _atoms(rows.join(kept, ["file", "timestep"]), "frame")

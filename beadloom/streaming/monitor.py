@@ -14,8 +14,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from ..functions.kernels import image_index, wrapped
 from ..operators.coarse import centre_of_mass
 from ..operators.graph import unwrap_molecules
-from ..session import scratch_path
-from ..sources.dump import frame_atoms
+from ..session import cut_lineage, scratch_path
+from ..sources.dump import landed_atoms
 
 
 def run_available(stream: DataFrame, mode: str, sink: Callable[[DataFrame, int], None], label: str, checkpoint: str | None = None) -> None:
@@ -254,14 +254,15 @@ def evolving_types(reactions: DataFrame, type_map: dict[int, int], buckets: int
 
 
 def bead_frames_sink(bonds: DataFrame, mapping: DataFrame, masses: DataFrame, path: str) -> Callable[[DataFrame, int], None]:
-    """Per batch of dump frames: molecules made whole, centres of mass, wrapped into the frame's own box, written."""
+    """Per batch of dump lines (``dump_stream``): molecules made whole, centres of mass, wrapped into the frame's own box, written."""
 
     def sink(batch: DataFrame, number: int) -> None:
         edges = [(F.col(f"box.{ax}hi") - F.col(f"box.{ax}lo")).alias(f"l{ax}") for ax in "xyz"]
-        atoms = frame_atoms(batch).withColumnRenamed("id", "atom_id").select("timestep", "atom_id", "type", "x", "y", "z", *edges)
+        frame = ["timestep", *[f"l{ax}" for ax in "xyz"], *[f"o{ax}" for ax in "xyz"]]
+        atoms = cut_lineage(landed_atoms(batch).select(
+            "timestep", F.col("id").alias("atom_id"), "type", "x", "y", "z", *edges, *[F.col(f"box.{ax}lo").alias(f"o{ax}") for ax in "xyz"]))
         whole = unwrap_molecules(atoms, bonds, ["timestep"], ("lx", "ly", "lz"))
-        boxes = batch.select("timestep", *edges, *[F.col(f"box.{ax}lo").alias(f"o{ax}") for ax in "xyz"]).distinct()
-        beads = centre_of_mass(whole, mapping, masses, ["timestep"]).join(boxes, "timestep")
+        beads = centre_of_mass(whole, mapping, masses, frame)
         out = beads.select(
             "timestep", "bead_id", "mass", *[wrapped(ax, f"o{ax}", f"l{ax}").alias(ax) for ax in "xyz"], *[image_index(ax, f"o{ax}", f"l{ax}").alias(f"i{ax}") for ax in "xyz"])
         out.write.mode("overwrite").parquet(f"{path}/b={number}")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from beadloom.sources import dump, tables
+from beadloom.streaming import monitor
 
 
 @pytest.fixture
@@ -85,3 +86,19 @@ def test_gro_rows_end_with_the_box_of_their_frame(spark, tmp_path):
     text = "".join(open(f).read() for f in files).splitlines()
     assert [text[k] for k in (0, 1, 9, 10, 19)] == ["frame 0", "    7", "   1.00000   1.00000   1.00000", "frame 1", "   2.00000   2.00000   2.00000"]
     assert [int(line[15:20]) for line in text[2:9]] == list(range(1, 8))
+
+
+def test_a_streamed_frame_in_pieces_gives_whole_beads(spark, tmp_path, small_blocks):
+    """Only the first piece of a frame holds its header."""
+    atoms = spark.range(1, 201).select(
+        F.lit(50).cast("bigint").alias("timestep"), "id", F.lit(1).cast("bigint").alias("type"), (F.col("id") % 10).cast("double").alias("x"), F.lit(1.0).alias("y"), F.lit(2.0).alias("z"))
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    dump.write_dump(atoms, path, 30.0, size=45)
+    assert len([d for d in os.listdir(path) if d.startswith("piece=")]) > 3
+    small_blocks(300)
+    bonds = atoms.where("id % 2 = 1").select(F.col("id").alias("a1"), (F.col("id") + 1).alias("a2"))
+    mapping = atoms.select(F.col("id").alias("atom_id"), F.ceil(F.col("id") / 2).alias("bead_id"))
+    masses = spark.createDataFrame([(1, 2.0)], "type long, mass double")
+    monitor.run_available(dump.dump_stream(spark, path), "append", monitor.bead_frames_sink(bonds, mapping, masses, out), "beads")
+    got = sorted((r["timestep"], r["bead_id"], r["mass"], r["x"], r["y"], r["z"]) for r in spark.read.parquet(out).collect())
+    assert got == [(50, b, 4.0, ((2 * b - 1) % 10 + 2 * b % 10) / 2, 1.0, 2.0) for b in range(1, 101)]
