@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels as K
 from ..operators import bonds as B
 from ..operators import classify, events, spatial
+from ..session import shuffled
 from .fixtures import BOX, FRAME_BOX, FRAME_BOX_SQL
 from .registry import query, r
 
@@ -161,7 +162,7 @@ def _(t):
 
 # Beads k and k+1, k+2, k+3 of every block of ten count as bonded.
 def bead_chain(t, step):
-    ids = t.part.where(f"p_partkey % 10 < {10 - step}")
+    ids = shuffled(t.part.where(f"p_partkey % 10 < {10 - step}"))
     return ids.select(F.col("p_partkey").alias("a1"), (F.col("p_partkey") + step).alias("a2")).join(
         t.part.select(F.col("p_partkey").alias("a2")), "a2", "left_semi"
     ).select("a1", "a2")

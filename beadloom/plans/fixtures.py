@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import channel
 from ..operators.ordered import blocked_running_sum, bucketed_row_number
+from ..session import shuffled
 
 ID_SPAN = 16777216  # ids of one molecule: mol_id * ID_SPAN + position
 BOX = 50.035
@@ -74,10 +75,10 @@ class Inputs:
 
     @cached_property
     def beads(self) -> DataFrame:
-        return self.table("part").select(
+        return shuffled(self.table("part").select(
             F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(2).cast("bigint"))).alias("frame"),
             F.col("p_partkey").alias("bead_id"),
-        ).select(
+        )).select(
             "frame",
             "bead_id",
             (F.col("bead_id") % 6 + 1).alias("type"),
@@ -251,7 +252,7 @@ class Inputs:
     def curves(self) -> DataFrame:
         from ..operators.histograms import histogram
 
-        return histogram(self.samples, ["curve_id"], "v", CURVE_LO, CURVE_HI, CURVE_BINS).select(
+        return shuffled(histogram(self.samples, ["curve_id"], "v", CURVE_LO, CURVE_HI, CURVE_BINS)).select(
             "curve_id", "i", "x", "n", F.col("density").alias("p")
         )
 
@@ -265,7 +266,7 @@ class Inputs:
         ).withColumn("x", F.lit(0.8) * F.col("sigma") + F.col("i").cast("double") * F.lit(0.05))
         s = F.col("sigma") / F.col("x")
         s6 = s * s * s * s * s * s
-        return base.select("table_id", "i", "x", (F.lit(4.0) * F.col("eps") * (s6 * s6 - s6)).alias("u"))
+        return shuffled(base).select("table_id", "i", "x", (F.lit(4.0) * F.col("eps") * (s6 * s6 - s6)).alias("u"))
 
     @cached_property
     def points(self) -> DataFrame:

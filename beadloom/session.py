@@ -73,6 +73,15 @@ def drop_steps(spark: SparkSession) -> None:
         place.delete_dir(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` with a hint that its next join is a shuffled one.
+
+    The planner takes sizes from files. It does not see how many rows an explode makes of a small table, and would collect them on
+    the driver for a broadcast.
+    """
+    return df.hint("merge")
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{job_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
