@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ordered import bucketed_row_number
 from ..operators.spatial import lengths
-from ..session import cut_lineage
+from ..session import cut_lineage, shuffled
 from . import blocks as B
 
 FRAME_MARK = "ITEM: TIMESTEP\n"
@@ -290,11 +290,13 @@ def with_pieces(lines: DataFrame, frame: str, body: int = BODY, by: list[str] |
     plan = frames.join(frames.groupBy(*by).agg(span), list(by)) if by else frames.withColumn("_s", frames.agg(span).scalar())
     since, cut = F.col(frame) - F.col("_s.first"), F.ceil(F.col("_n") / F.lit(size))
     group = F.floor(since.cast("double") / (F.col("_s.last") - F.col("_s.first") + 1).cast("double") * F.ceil(F.col("_s.total") / F.lit(size)))
-    plan = plan.select(*by, frame, group.alias("_g"), F.when(cut > 1, since + 1).otherwise(0).alias("_f"), cut.alias("_cut"), "_lo", "_hi")
+    plan = cut_lineage(plan.select(*by, frame, group.alias("_g"), F.when(cut > 1, since + 1).otherwise(0).alias("_f"), cut.alias("_cut"), "_lo", "_hi"))
     within = F.floor((F.col("id") - F.col("_lo")).cast("double") / (F.col("_hi") - F.col("_lo") + 1).cast("double") * F.col("_cut"))
     place = F.when(F.col("part") < body, F.lit(0)).when(F.col("part") > body, F.greatest(F.col("_cut") - 1, F.lit(0))).otherwise(within)
     name = F.format_string("%010d-%016d-%08d", "_g", "_f", place)
-    return lines.join(plan, [*by, frame]).withColumn("piece", name).drop("_g", "_f", "_cut", "_lo", "_hi")
+    # One row a frame: the lines, whose number the planner may not know, stay where they are unless frames are very many.
+    planned = lines.join(F.broadcast(plan), [*by, frame]) if plan.count() <= B.BROADCAST_BLOCKS else shuffled(lines).join(plan, [*by, frame])
+    return planned.withColumn("piece", name).drop("_g", "_f", "_cut", "_lo", "_hi")
 
 
 def _write_pieces(lines: DataFrame, path: str, frame: str, body: int, by: list[str] | tuple, size: int) -> None:
