@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.kernels import col
-from ..session import cut_lineage
+from ..session import cut_lineage, shuffled
 from .histograms import goodness_of_fit
 
 
@@ -132,7 +132,7 @@ def tail_shift(tables: DataFrame, keys, how: str, share: float = 0.1) -> DataFra
     tail = F.col("_rn") > F.col("_cnt") - F.greatest(F.floor(F.col("_cnt") * F.lit(share)), F.lit(5))
     agg = F.percentile(F.when(tail, F.col("u")), F.lit(0.5)) if how == "median" else F.avg(F.when(tail, F.col("u")))
     base = out.groupBy(*keys).agg(agg.alias("tail"))
-    return out.join(base, list(keys)).withColumn("e", F.col("u") - F.col("tail")).withColumn("j", F.col("_rn") - 1).drop("_rn", "_cnt")
+    return shuffled(out).join(base, list(keys)).withColumn("e", F.col("u") - F.col("tail")).withColumn("j", F.col("_rn") - 1).drop("_rn", "_cnt")
 
 
 def curve_features(tables: DataFrame, keys=("table_id",), value: str = "e") -> DataFrame:
@@ -146,7 +146,7 @@ def curve_features(tables: DataFrame, keys=("table_id",), value: str = "e") -> D
     flip = F.signum("_dd") != F.signum("_pd")
     base = out.withColumn("_cross", F.when(cross, at)).withColumn("_flip", F.when(flip, F.struct("x", v.alias("v"))))
     low = base.groupBy(*keys).agg(F.min_by("x", F.struct(v.alias("v"), F.col("x"))).alias("r_min"), F.min(v).alias("e_min"), F.max("x").alias("_xmax"))
-    joined = base.join(low, list(keys))
+    joined = shuffled(base).join(low, list(keys))
     # Fixed rule: the well ends one point after the last energy below -max(1e-3, 1 % of the depth).
     depth = F.greatest(F.lit(1e-3), F.abs("e_min") * 0.01)
     return joined.groupBy(*keys, "r_min", "e_min").agg(
@@ -209,22 +209,24 @@ def lj_search(tables: DataFrame, keys=("table_id",), n_left: int = 6, n_right: i
     """
     k = list(keys)
     rows = tables.where("u IS NOT NULL AND x > 0").withColumn("e", F.col("u"))
-    f = curve_features(rows, keys).select(*k, "r_min", "cutoff")
-    rows = rows.join(f, k)
+    f = cut_lineage(curve_features(rows, keys).select(*k, "r_min", "cutoff"))
+    rows = shuffled(rows).join(f, k)
     wall = rows.groupBy(*k).agg(
         F.coalesce(F.max(F.when((F.col("x") < F.col("r_min")) & (F.col("e") >= u_wall), F.col("x"))), F.min("x")).alias("_x0")
     )
-    rows = rows.join(wall, k)
+    rows = cut_lineage(shuffled(rows).join(wall, k))
+    # The work is in the windows, not in the bytes: keep the partition count whatever the size of the tables.
+    parts = max(int(tables.sparkSession.conf.get("spark.sql.shuffle.partitions")), tables.sparkSession.sparkContext.defaultParallelism)
 
     def edge(lo, hi, n, parts):
         return F.when(n == parts, hi).otherwise(lo + (hi - lo) / F.lit(float(parts)) * n.cast("double"))
 
     cells = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(n_left) for b in range(1, n_right)]))
-    grid = f.join(wall, k).select(*k, "r_min", "cutoff", "_x0", cells.alias("c")).select(
+    grid = shuffled(f).join(wall, k).select(*k, "r_min", "cutoff", "_x0", cells.alias("c")).select(
         *k, "r_min", F.col("c.a").alias("a"), F.col("c.b").alias("b"),
         edge(F.col("_x0"), F.col("r_min"), F.col("c.a"), n_left - 1).alias("left"), edge(F.col("r_min"), F.col("cutoff"), F.col("c.b"), n_right - 1).alias("right"),
     ).where("right > left")
-    pts = rows.select(*k, "x", "e").join(grid, k).where((F.col("x") >= F.col("left")) & (F.col("x") <= F.col("right")))
+    pts = shuffled(rows.select(*k, "x", "e").repartition(parts, *k)).join(grid, k).where((F.col("x") >= F.col("left")) & (F.col("x") <= F.col("right")))
     q = F.pow(F.col("r_min") / F.col("x"), F.lit(6.0))
     p = q * q
     gk = [*k, "a", "b", "left", "right", "r_min"]
@@ -235,16 +237,16 @@ def lj_search(tables: DataFrame, keys=("table_id",), n_left: int = 6, n_right: i
     det = F.col("pp") * F.col("qq") - F.col("pq") * F.col("pq")
     rep = (F.col("pe") * F.col("qq") - F.col("qe") * F.col("pq")) / det
     att = -(F.col("qe") * F.col("pp") - F.col("pe") * F.col("pq")) / det
-    fits = sums.where(det != 0).select(*gk, rep.alias("_A"), att.alias("_B")).where("_A > 0 AND _B > 0").select(
+    fits = cut_lineage(sums.where(det != 0).select(*gk, rep.alias("_A"), att.alias("_B")).where("_A > 0 AND _B > 0").select(
         *k, "a", "b", "left", "right", (F.col("r_min") * F.pow(F.col("_A") / F.col("_B"), F.lit(1.0 / 6.0))).alias("sigma"),
         (F.col("_B") * F.col("_B") / (F.col("_A") * 4)).alias("epsilon"),
-    )
+    ))
     seen = rows.where((F.col("e") <= u_eval_max) | (F.col("x") > F.col("cutoff"))).select(*k, "x", "e")
-    scored = seen.join(fits, k).withColumn("_fit", lj_energy("x", "sigma", "epsilon"))
+    scored = shuffled(seen.repartition(parts, *k)).join(fits, k).withColumn("_fit", lj_energy("x", "sigma", "epsilon"))
     sk = [*k, "a", "b", "left", "right", "sigma", "epsilon"]
     quality = goodness_of_fit(scored, sk, "e", "_fit")
     best = quality.groupBy(*k).agg(F.max_by(F.struct("left", "right", "sigma", "epsilon", "rmse", "r2"), F.struct("r2", -F.col("a"), -F.col("b"))).alias("_best"))
-    return f.select(*k, "cutoff").join(best.select(*k, "_best.*"), k, "left")
+    return shuffled(f.select(*k, "cutoff")).join(best.select(*k, "_best.*"), k, "left")
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
