@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.units import BOLTZMANN
-from ..session import cut_lineage
+from ..session import cut_lineage, shuffled
 
 KEYS = ("curve_id",)
 # Defaults of the smoothing and quality rules.
@@ -466,7 +466,7 @@ def smoothing_quality(curves: DataFrame, raw: str = "p", smooth: str = "ps", key
     rough = _roughness(curves, smooth, "rough_smooth", k).join(_roughness(source, raw, "rough_raw", rk).drop("_h"), rk)
     pr = detect_peaks(source, raw, rk).select(*rk, "rank", F.col("x").alias("xr"), F.col("height").alias("hr"))
     ps = detect_peaks(curves, smooth, keys).select(*k, F.col("rank").alias("rank_s"), F.col("x").alias("xs"), F.col("height").alias("hs"))
-    pairs = rough.select(*k).join(pr, rk).join(ps, k, "left")  # at most 6 x 6 per curve
+    pairs = shuffled(rough.select(*k)).join(pr, rk).join(shuffled(ps), k, "left")  # at most 6 x 6 per curve
     same = (F.col("rank") == F.col("rank_s")) & (F.col("hr") > 0)
     near = pairs.groupBy(*k, "rank").agg(
         F.min(F.abs(F.col("xs") - F.col("xr"))).alias("_d"), F.max(F.when(same, F.abs(F.col("hs") - F.col("hr")) / F.col("hr"))).alias("_e")
@@ -499,7 +499,7 @@ def smooth_distributions(curves: DataFrame, kind: str, keys=KEYS, window: int =
         smooth = gaussian_smooth("ps", sigma, periodic=kind == "dihedral")
     long = from_arrays(arrays.withColumn("sm", smooth), ["ps", "sm"], keys).withColumnRenamed("ps", "p")
     span = prepared.select(*keys, "i", "i_start", "i_end")
-    long = long.join(span, [*keys, "i"])
+    long = shuffled(long).join(span, [*keys, "i"])
     if kind == "bond":
         return harmonic_boundaries(long, keys, smooth="sm", raw="p").withColumnRenamed("p_wall", "p_smooth").drop("sm")
     if kind == "rdf":
@@ -521,6 +521,10 @@ SWEEP = {
 }
 
 
+#: Curves to a task of the sweep; each makes 360 tries on the grid above.
+SWEEP_CURVES = 48
+
+
 def sweep_smoothing(curves: DataFrame, kind: str = "bond", base_window: int = 7, grid: dict | None = None, keys=KEYS) -> DataFrame:
     """Best parameters per curve out of the whole grid, scored by ``smoothing_quality``.
 
@@ -535,13 +539,16 @@ def sweep_smoothing(curves: DataFrame, kind: str = "bond", base_window: int = 7,
     wins = {(odd_window(int(f * base_window), o), o) for f in g["small"] + g["large"] for o in g["order"]}
     names = {wo: f"s_{wo[0]}_{wo[1]}" for wo in sorted(wins)}
     order_of = {wo: k for k, wo in enumerate(names)}
-    # A few curves make much work: spread them whatever their size in bytes.
-    parts = max(int(curves.sparkSession.conf.get("spark.sql.shuffle.partitions")), curves.sparkSession.sparkContext.defaultParallelism)
+    # A few curves make much work: spread them whatever their size in bytes, no more than a task can sort the tries of in memory.
+    prepared = cut_lineage(prepared)
+    n_curves = prepared.select(*k).distinct().count()
+    parts = max(
+        int(curves.sparkSession.conf.get("spark.sql.shuffle.partitions")), curves.sparkSession.sparkContext.defaultParallelism, -(-n_curves // SWEEP_CURVES))
     arrays = to_arrays(prepared, keys).repartition(parts, *k)
     for (w, o), name in names.items():
         arrays = arrays.withColumn(name, savgol_smooth("ps", w, o))
     long = from_arrays(arrays, ["ps", *names.values()], keys).withColumnRenamed("ps", "p")
-    long = long.join(prepared.select(*k, "i", "i_start", "i_end"), [*k, "i"])
+    long = shuffled(long).join(prepared.select(*k, "i", "i_start", "i_end"), [*k, "i"])
     for n, f in enumerate(g["width"]):
         long = with_zones(long, peaks, widths, kind, f, keys).withColumnRenamed("zone", f"zone_{n}")
     picks = _constant([
@@ -552,10 +559,11 @@ def sweep_smoothing(curves: DataFrame, kind: str = "bond", base_window: int = 7,
     tk = [*k, "small", "large", "order", "peak_factor"]
     packed = long.select(
         *k, "i", "x", "p", "i_start", "i_end", F.array(*[f"zone_{n}" for n in range(len(g["width"]))]).alias("_zs"), F.array(*names.values()).alias("_vs"))
-    spread = packed.select("*", F.inline(picks)).withColumn("zone", F.get("_zs", F.col("_z")))
+    # The tries are never stored or shuffled: all of a curve are made where its row is, once for each reader.
+    spread = cut_lineage(packed).repartition(parts, *k).select("*", F.inline(picks)).withColumn("zone", F.get("_zs", F.col("_z")))
     chosen = F.when(F.col("zone") == 1, F.get("_vs", F.col("_s"))).when(F.col("zone").isin(2, 3), F.get("_vs", F.col("_l"))).otherwise(F.col("p"))
     tried = spread.select(*k, "i", "x", "p", "i_start", "i_end", "small", "large", "order", "peak_factor", "zone", F.greatest(F.lit(0.0), chosen).alias("ps"))
-    tried = cut_lineage(average_zone_borders(tried.repartition(parts, *tk), "ps", tk))
+    tried = average_zone_borders(tried, "ps", tk)
     scored = smoothing_quality(tried, "p", "ps", tk, prepared, k)
     best = scored.groupBy(*k).agg(F.max_by(F.struct(*tk[len(k):], "score"), F.struct("score", *[-F.col(c) for c in tk[len(k):]])).alias("b"))
     return best.select(*k, "b.*")
