@@ -471,7 +471,11 @@ def smoothing_quality(curves: DataFrame, raw: str = "p", smooth: str = "ps", key
     near = pairs.groupBy(*k, "rank").agg(
         F.min(F.abs(F.col("xs") - F.col("xr"))).alias("_d"), F.max(F.when(same, F.abs(F.col("hs") - F.col("hr")) / F.col("hr"))).alias("_e")
     )
-    errors = near.groupBy(*k).agg(F.avg("_d").alias("_pe"), F.avg("_e").alias("_he"), F.count("_d").alias("_m"))
+    # Added up by rank, so that equal curves get equal scores whatever order the rows come in.
+    ranked = [F.max(F.when(F.col("rank") == n, F.col(c))).alias(f"{c}{n}") for c in ("_d", "_e") for n in range(1, MAX_PEAKS + 1)]
+    mean = lambda c: sum((F.coalesce(f"{c}{n}", F.lit(0.0)) for n in range(1, MAX_PEAKS + 1)), F.lit(0.0)) / F.nullif(f"_n{c}", F.lit(0))
+    errors = near.groupBy(*k).agg(*ranked, F.count("_d").alias("_n_d"), F.count("_e").alias("_n_e")).select(
+        *k, mean("_d").alias("_pe"), mean("_e").alias("_he"), F.col("_n_d").alias("_m"))
     out = rough.join(errors, k, "left")
     total = F.col("rough_raw") + F.col("rough_smooth")
 
