@@ -184,6 +184,10 @@ def with_heartbeats(snapshot: DataFrame, buckets: int = 64) -> DataFrame:
     return snapshot.select("run", "timestep", "bond_type", "lo", "hi", "ingested").unionByName(marks)
 
 
+#: Frames wanted by one micro-batch that may be sent to every executor (some 50 bytes each); beyond it the planner decides.
+BROADCAST_FRAMES = 500_000
+
+
 def frame_pairs_sink(landed: str, check_step: int, path: str) -> Callable[[DataFrame, int], None]:
     """Per batch of bond changes: the frame ``check_step`` before each changed timestep and the frame at it, written once each.
 
@@ -195,7 +199,9 @@ def frame_pairs_sink(landed: str, check_step: int, path: str) -> Callable[[DataF
         events = batch.select("run", F.col("timestep").alias("event")).distinct()
         sides = F.array(
             F.struct(F.lit("before").alias("side"), (F.col("event") - check_step).alias("timestep")), F.struct(F.lit("after").alias("side"), F.col("event").alias("timestep")))
-        wanted = events.select("run", "event", F.inline(sides))
+        # A frame is one key of this join, so its atoms stay where they were read and the few rows wanted go to them.
+        wanted = cut_lineage(events.select("run", "event", F.inline(sides)))
+        wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_FRAMES else wanted
         frames = batch.sparkSession.read.parquet(landed)
         frames.join(wanted, ["run", "timestep"]).select("run", "event", "side", "timestep", *[c for c in frames.columns if c not in ("run", "timestep")]).write.mode(
             "overwrite").parquet(f"{path}/b={number}")
