@@ -88,7 +88,7 @@ def potential_lines(potentials: DataFrame, contributor: str = "beadloom") -> Dat
 
     Columns: name, kind, i, x, u.
     """
-    known = potentials.where("u IS NOT NULL AND NOT isnan(u) AND abs(u) < 1e300")
+    known = potentials.where("abs(u) < 1e300")  # not so for null and NaN either
     forced = with_force(known, "u", ("name", "kind")).drop("d2f")
     sizes = forced.groupBy("name", "kind").agg(F.count(F.lit(1)).alias("_n"), F.min("x").alias("_lo"), F.max("x").alias("_hi"))
     spec = F.when(F.col("kind") == "pair", F.format_string("N %d R %.6f %.6f", "_n", "_lo", "_hi")).when(
