@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import canonical_combo, lo_hi
+from ..session import spread
 
 
 def _sides(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -72,9 +73,8 @@ def atom_bonds_to_bead_bonds(bonds: DataFrame, mapping: DataFrame, keys=("frame"
     first = bonds.join(beads.withColumnsRenamed({"atom_id": "a1", "bead_id": "_b1"}), [*own, "a1"], "left")
     both = first.join(beads.withColumnsRenamed({"atom_id": "a2", "bead_id": "_b2"}), [*own, "a2"], "left")
     pairs = both.select(*keys, bead("_b1").alias("_p"), bead("_b2").alias("_q")).where("_p <> _q")
-    return pairs.select(
-        *keys, F.least("_p", "_q").alias("b1"), F.greatest("_p", "_q").alias("b2")
-    ).distinct().withColumn("bond_type", F.lit(default_type).cast("bigint"))
+    named = pairs.select(*keys, F.least("_p", "_q").alias("b1"), F.greatest("_p", "_q").alias("b2"))
+    return spread(named, *keys, "b1", "b2").distinct().withColumn("bond_type", F.lit(default_type).cast("bigint"))
 
 
 def unmapped_atoms(bonds: DataFrame, mapping: DataFrame, first: int = 10) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import channel
 from ..operators.ordered import blocked_running_sum, bucketed_row_number
-from ..session import shuffled
+from ..session import cut_lineage, shuffled, spread
 
 ID_SPAN = 16777216  # ids of one molecule: mol_id * ID_SPAN + position
 BOX = 50.035
@@ -52,7 +52,8 @@ class Inputs:
         return self.table(name)
 
     @cached_property
-    def atoms(self) -> DataFrame:
+    def _numbered_atoms(self) -> DataFrame:
+        """Atoms without positions, numbered and stored once: most jobs of a query need them."""
         numbered = bucketed_row_number(
             self.table("lineitem"),
             ["l_orderkey"],
@@ -63,19 +64,21 @@ class Inputs:
             ],
             "pos",
         )
-        atom_id = F.col("l_orderkey") * ID_SPAN + F.col("pos")
-        return numbered.select(
-            atom_id.alias("atom_id"),
+        return cut_lineage(numbered.select(
+            (F.col("l_orderkey") * ID_SPAN + F.col("pos")).alias("atom_id"),
             F.col("l_orderkey").alias("mol_id"),
             F.col("pos").cast("bigint").alias("pos"),
             (F.col("l_partkey") % 6 + 1).cast("bigint").alias("type"),
             F.col("l_quantity").alias("mass"),
-            *[_lattice(atom_id, ax).alias(ax) for ax in "xyz"],
-        )
+        ))
+
+    @cached_property
+    def atoms(self) -> DataFrame:
+        return self._numbered_atoms.select("*", *[_lattice(F.col("atom_id"), ax).alias(ax) for ax in "xyz"])
 
     @cached_property
     def beads(self) -> DataFrame:
-        return shuffled(self.table("part").select(
+        return shuffled(spread(self.table("part").select("p_partkey"), "p_partkey").select(
             F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(2).cast("bigint"))).alias("frame"),
             F.col("p_partkey").alias("bead_id"),
         )).select(
@@ -258,14 +261,14 @@ class Inputs:
 
     @cached_property
     def potentials(self) -> DataFrame:
-        base = self.table("supplier").select(
+        base = spread(self.table("supplier").select("s_suppkey"), "s_suppkey").select(
             F.col("s_suppkey").alias("table_id"),
             (F.lit(0.1) + (F.col("s_suppkey") % 25).cast("double") * F.lit(0.02)).alias("eps"),
             (F.lit(3.0) + (F.col("s_suppkey") % 5).cast("double") * F.lit(0.1)).alias("sigma"),
             F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(199).cast("bigint"))).alias("i"),
         ).withColumn("x", F.lit(0.8) * F.col("sigma") + F.col("i").cast("double") * F.lit(0.05))
-        s = F.col("sigma") / F.col("x")
-        s6 = s * s * s * s * s * s
+        s, s6 = F.col("s"), F.col("s6")
+        base = base.withColumn("s", F.col("sigma") / F.col("x")).withColumn("s6", s * s * s * s * s * s)
         return shuffled(base).select("table_id", "i", "x", (F.lit(4.0) * F.col("eps") * (s6 * s6 - s6)).alias("u"))
 
     @cached_property

@@ -82,6 +82,16 @@ def shuffled(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` dealt by ``columns`` to as many tasks as a shuffle has, none of them merged.
+
+    AQE merges tasks by compressed bytes, and a file is cut by its bytes: rows of numbers that compress well, or of which each makes
+    many, pile up in a few tasks.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *columns)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{job_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
