@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.curves import with_force
+from ..session import cut_lineage, spread
 from .tables import _lines
 
 
@@ -38,7 +39,8 @@ def read_distributions(spark: SparkSession, path: str) -> DataFrame:
 
     The kind comes from the file name, then from the header.
     """
-    lines = _lines(spark, path).withColumn("_t", F.trim("line")).where("_t <> ''")
+    # The files are many and small: they are opened once.
+    lines = cut_lineage(_lines(spark, path).withColumn("_t", F.trim("line")).where("_t <> ''").select("file", "_t"))
     head = lines.where("_t LIKE '#%'").groupBy("file").agg(
         F.max(classify_file(F.col("_t"))).alias("_hk"), F.max(F.regexp_extract("_t", r"(?i)temperature\s*[=:]\s*([\d.]+)", 1)).alias("_temp"))
     rows = lines.where("NOT _t LIKE '#%'").withColumn("_v", F.split("_t", r"\s+"))
@@ -56,7 +58,7 @@ def read_distributions(spark: SparkSession, path: str) -> DataFrame:
 
 def read_potential_tables(spark: SparkSession, path: str) -> DataFrame:
     """(file, kind, types, n_header, n_rows, count_ok, angle_unit, i, x, u, f) from ``N`` headed tables, sorted by x."""
-    lines = _lines(spark, path).withColumn("_t", F.trim("line")).withColumn("name", _name())
+    lines = cut_lineage(_lines(spark, path).select("file", F.trim("line").alias("_t"))).withColumn("name", _name())
     head = lines.where("_t rlike '^N +[0-9]+'").groupBy("file").agg(
         F.max(F.regexp_extract("_t", r"^N\s+(\d+)", 1).cast("bigint")).alias("n_header"), F.max(F.regexp_extract("_t", r"(DEGREES|RADIANS)", 1)).alias("_unit"))
     rows = lines.where(r"_t rlike '^[0-9]+\\s+[-+0-9.eE]+\\s+[-+0-9.eE]+\\s+[-+0-9.eE]+$'").withColumn("_v", F.split("_t", r"\s+"))
@@ -72,7 +74,7 @@ def read_potential_tables(spark: SparkSession, path: str) -> DataFrame:
 
 def _write_per_file(lines: DataFrame, path: str) -> None:
     """One folder per file name; a table of some hundred lines stays together and in order."""
-    lines.repartition("name").sortWithinPartitions("name", "part", "i").select("name", "line").write.partitionBy("name").mode("append").text(path)
+    spread(lines, "name").sortWithinPartitions("name", "part", "i").select("name", "line").write.partitionBy("name").mode("append").text(path)
 
 
 def write_distributions(curves: DataFrame, path: str, finished: DataFrame | None = None) -> None:

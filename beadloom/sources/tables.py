@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.events import with_pair_type
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 from . import blocks
 
 
@@ -89,7 +89,8 @@ def _cells(rows: DataFrame, section: str, columns: list[tuple[str, str, int]]) -
 
 def read_data_file(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Atoms (six fields), bonds without their id, and box edges of every file under ``path``."""
-    rows = section_rows(spark, path)
+    # Parsed once for the three tables.
+    rows = cut_lineage(section_rows(spark, path).where("section IN ('Atoms', 'Bonds', 'header')").select("file", "section", "values"))
     atoms = _cells(rows, "Atoms", [("id", "bigint", 0), ("mol_id", "bigint", 1), ("type", "bigint", 2), ("x", "double", 3), ("y", "double", 4), ("z", "double", 5)])
     bonds = _cells(rows, "Bonds", [("bond_type", "bigint", 1), ("a1", "bigint", 2), ("a2", "bigint", 3)])
     head = rows.where("section = 'header' AND size(values) = 4 AND values[2] rlike '^[xyz]lo$'")
@@ -242,4 +243,4 @@ def data_file_lines(atoms: DataFrame, bonds: DataFrame, masses: DataFrame, box)
 
 
 def write_data_files(lines: DataFrame, path: str) -> None:
-    lines.repartition("name").sortWithinPartitions("name", "part", "i").select("name", "line").write.partitionBy("name").mode("append").text(path)
+    spread(lines, "name").sortWithinPartitions("name", "part", "i").select("name", "line").write.partitionBy("name").mode("append").text(path)
