@@ -141,6 +141,9 @@ def write_reaction_frames(before: DataFrame, after: DataFrame, path: str, mappin
     parts = [before, after] + ([] if mapping is None else [mapping])
     sizes = reduce(lambda a, b: a.unionByName(b), [df.select(*keys) for df in parts]).groupBy(*keys).agg(
         F.greatest(F.lit(least_blocks), F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS))).alias("_blocks"))
+    # A frame is one key of the join with its size, so the sizes go to the bonds.
+    sizes = cut_lineage(sizes)
+    sizes = F.broadcast(sizes) if sizes.count() <= blocks.BROADCAST_BLOCKS else sizes
 
     def packed(df, name, place, entry):
         block = F.pmod(F.xxhash64(*place), F.col("_blocks"))

@@ -4,8 +4,10 @@ import datetime
 
 from pyspark.sql import functions as F
 
+from beadloom.operators import matching
 from beadloom.operators.bonds import atom_bonds_to_bead_bonds
 from beadloom.plans.fixtures import Inputs
+from beadloom.sources import curve_files, tables
 from beadloom.sources.curve_files import potential_lines
 from beadloom.streaming import monitor
 
@@ -64,3 +66,46 @@ def test_a_frame_of_a_pair_is_not_gathered(spark, tmp_path):
     pairs = spark.read.parquet(out)
     assert {(x.event, x.side, x.n) for x in pairs.groupBy("event", "side").agg(F.count(F.lit(1)).alias("n")).collect()} == {(1, "after", 600), (2, "before", 600)}
     assert len(pairs.inputFiles()) > 1
+
+
+def test_small_files_are_written_by_many_tasks_and_opened_once(spark, tmp_path):
+    curves = spark.range(200).select(
+        F.format_string("bond_%d.dist.tgt", F.floor(F.col("id") / 2)).alias("name"), (F.col("id") % 2).alias("i"), (F.col("id") % 2).cast("double").alias("x"), F.lit(0.5).alias("p"))
+    curve_files.write_distributions(curves, str(tmp_path / "dist"))
+    assert len({file.name.split("-")[1] for file in (tmp_path / "dist").glob("name=*/part-*")}) > 1
+    out = curve_files.read_distributions(spark, str(tmp_path / "dist"))
+    assert "FileScan text" not in plan_of(out)
+    assert sorted((int(x.types), x.i, x.x, x.p, x.step) for x in out.collect()) == [(k // 2, k % 2, float(k % 2), 0.5, 1.0) for k in range(200)]
+
+
+def test_data_files_are_parsed_once(spark, tmp_path):
+    (tmp_path / "one.data").write_text("# system\n2 atoms\n0.0 5.0 xlo xhi\n\nMasses\n\n1 2.5 # A\n\nAtoms # molecular\n\n1 7 1 0.5 1.5 2.5\n2 7 1 3.5 4.5 0.25\n\nBonds\n\n1 3 1 2\n")
+    parts = tables.read_data_file(spark, str(tmp_path))
+    assert not any("MapInArrow" in plan_of(part) for part in parts.values())
+    assert sorted(tuple(x)[1:] for x in parts["atoms"].collect()) == [(1, 7, 1, 0.5, 1.5, 2.5), (2, 7, 1, 3.5, 4.5, 0.25)]
+    assert [tuple(x)[1:] for x in parts["bonds"].collect()] == [(3, 1, 2)] and [tuple(x)[1:] for x in parts["box"].collect()] == [("x", 0.0, 5.0)]
+
+
+def test_states_are_joined_once_for_a_cross_check(spark):
+    expected = spark.createDataFrame([(1, k, k % 3) for k in range(9)] + [(2, 1, None)], "frame long, atom_id long, bead_type long")
+    recorded = spark.createDataFrame([(1, k, 1) for k in range(9)] + [(2, 1, 1)], "frame long, atom_id long, bead_type long")
+    out = matching.cross_check(expected, recorded, 2)
+    assert plan_of(out).count("Join") <= 2  # the lists, in the first and the final plan
+    assert sorted(map(tuple, out.collect())) == [(1, 9, 6, "0,2"), (2, 1, 0, None)]
+
+
+def test_degrees_of_some_edges_count_all(spark):
+    rows = [(1, 1, 2, True, False), (1, 2, 1, True, False), (1, 1, 3, True, True), (1, 3, 1, True, True)]
+    edges = spark.createDataFrame(rows, "frame long, u long, v long, in_before boolean, in_after boolean")
+    out = matching.with_degrees(edges, edges.where("u = 1 AND v = 3"))
+    assert [(x.u, x.v, x.du0, x.du1, x.dv0, x.dv1) for x in out.collect()] == [(1, 3, 2, 1, 1, 1)]
+
+
+def test_bonds_of_a_frame_are_not_gathered_by_its_size(spark, tmp_path, monkeypatch):
+    sent = []
+    monkeypatch.setattr(tables.F, "broadcast", lambda df: sent.append(df.columns) or df)
+    bonds = spark.createDataFrame([(1, 1, 1, 2), (1, 2, 2, 3)], "frame long, bond_type long, a1 long, a2 long")
+    tables.write_reaction_frames(bonds, bonds.where("a1 = 1"), str(tmp_path / "frames"))
+    assert ["frame", "_blocks"] in sent
+    got = {side: sorted(map(tuple, tables.read_reaction_frames(spark, str(tmp_path / "frames"), side).collect())) for side in ("bonds_before", "bonds_after")}
+    assert got == {"bonds_before": [(1, 1, 1, 2), (1, 2, 2, 3)], "bonds_after": [(1, 1, 1, 2)]}
