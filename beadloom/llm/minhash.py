@@ -10,7 +10,7 @@ independent ones.
 Candidates are settled on the full sets, in two steps that lose no candidate link: first every member
 of a band bucket against the bucket's smallest id; then, in buckets whose members are still in several
 components, the pairs across components. The second step makes rows of pairs in small buckets only; large
-buckets are cut into tiles of bounded size, and a tile's task compares sets and returns the links that join
+buckets are cut into tiles of bounded size, none of them inside the bucket's largest component, and a tile's task compares sets and returns the links that join
 components. Copies with equal sets are one node throughout.
 """
 
@@ -146,6 +146,20 @@ def _linked(pairs: DataFrame, slim: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(common * 100 >= (F.size("sa") + F.size("sb") - common) * PERCENT).select("a", "b").distinct()
 
 
+def _tiles(many: DataFrame) -> DataFrame:
+    """(key, lo, hi, id, c, block): the tiles of the buckets ``many`` (key, id, c); two ids of different components meet in one tile of a bucket."""
+    # Members of a bucket's largest component are linked already, so their blocks meet only blocks of the others: a bucket of one large
+    # component and few others makes rows in proportion to its size.
+    parts = many.groupBy("key", "c").agg(F.count("*").alias("_n")).groupBy("key").agg(F.max(F.struct("_n", "c")).alias("_big"), F.sum("_n").alias("_m"))
+    blocks = lambda n: F.ceil(n / TILE).cast("long")
+    dealt = many.select("key", "id", "c").join(parts.select("key", F.col("_big.c").alias("_c"), blocks(F.col("_m") - F.col("_big._n")).alias("_rest"), blocks(F.col("_big._n")).alias("_own")), "key")
+    big = F.col("c") == F.col("_c")
+    block = F.when(big, F.col("_rest") + F.pmod(F.xxhash64("id"), F.col("_own"))).otherwise(F.pmod(F.xxhash64("id"), F.col("_rest")))
+    others = F.when(big, F.col("_rest")).otherwise(F.col("_rest") + F.col("_own")) - 1
+    tiles = dealt.withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), others)))
+    return tiles.select("key", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "id", "c", "block")
+
+
 def _tile_links(key, table: pa.Table) -> pa.Table:
     """Links across components among the documents of one tile, enough of them to join what they join.
 
@@ -215,10 +229,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     few, many = side.where(F.col("m") <= SMALL), side.where(F.col("m") > SMALL)
     pairs = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")))
     more = _linked(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), slim, sets)
-    blocks = F.ceil(F.col("m") / TILE).cast("long")
-    tiles = many.withColumn("block", F.pmod(F.xxhash64("id"), blocks)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    tiles = tiles.select("key", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "id", "c", "block")
-    tiles = tiles.join(slim.select("id", "n", "bands", *signs), "id").where(F.array_contains("bands", F.col("key"))).join(sets, "id")
+    tiles = _tiles(many).join(slim.select("id", "n", "bands", *signs), "id").where(F.array_contains("bands", F.col("key"))).join(sets, "id")
     links = cut_lineage(links.union(more).union(tiles.groupBy("key", "lo", "hi").applyInArrow(lambda key, tile: _tile_links(key, tile), "a long, b long")))
 
     found = component_ids(links.union(same))

@@ -117,6 +117,19 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     assert ordered(got) == ordered(near_duplicate_rows(docs))
 
 
+def test_members_of_the_largest_component_are_not_copied_to_each_other(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "TILE", 8)
+    rows = [(1, k, 1 if k < 100 else k) for k in range(103)] + [(2, k, k % 4) for k in range(40)]
+    tiles = minhash._tiles(spark.createDataFrame(rows, "key long, id long, c long")).collect()
+    assert sum(x.key == 1 for x in tiles) < 160  # 1,339 where all blocks meet all
+    met = {}
+    for x in tiles:
+        met.setdefault((x.key, x.lo, x.hi), []).append(x)
+    pairs = [(key, *sorted((a.id, b.id))) for (key, lo, hi), own in met.items() for a in own for b in own if a.id < b.id and a.c != b.c and (lo == hi or a.block != b.block)]
+    want = {(key, a, b) for key, a, c in rows for other, b, d in rows if key == other and a < b and c != d}
+    assert len(pairs) == len(set(pairs)) and set(pairs) == want
+
+
 def test_tiles_find_what_pairs_find(spark, monkeypatch):
     monkeypatch.setattr(minhash, "SMALL", 1)
     monkeypatch.setattr(minhash, "TILE", 8)
