@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.units import BOLTZMANN
-from ..session import cut_lineage, shuffled
+from ..session import cut_lineage, shuffled, spread
 
 KEYS = ("curve_id",)
 # Defaults of the smoothing and quality rules.
@@ -495,15 +495,15 @@ def smoothing_quality(curves: DataFrame, raw: str = "p", smooth: str = "ps", key
 
 def smooth_distributions(curves: DataFrame, kind: str, keys=KEYS, window: int = 11, order: int = 3, sigma: float = 3.0) -> DataFrame:
     """Range, zero fill, kind-specific smoothing with wall or far end, for all curves at once."""
-    prepared = interpolate_zeros(with_valid_range(curves, keys=keys), keys=keys)
-    arrays = to_arrays(prepared, keys)
+    prepared = cut_lineage(interpolate_zeros(with_valid_range(curves, keys=keys), keys=keys))  # read for the arrays and for the ranges
+    arrays = spread(to_arrays(prepared, keys), *keys)  # smoothing costs time by points, not by bytes
     if kind == "bond":
         smooth = savgol_smooth("ps", window, order)
     else:
         smooth = gaussian_smooth("ps", sigma, periodic=kind == "dihedral")
     long = from_arrays(arrays.withColumn("sm", smooth), ["ps", "sm"], keys).withColumnRenamed("ps", "p")
     span = prepared.select(*keys, "i", "i_start", "i_end")
-    long = shuffled(long).join(span, [*keys, "i"])
+    long = cut_lineage(shuffled(long).join(span, [*keys, "i"]))  # smoothed once for all readers
     if kind == "bond":
         return harmonic_boundaries(long, keys, smooth="sm", raw="p").withColumnRenamed("p_wall", "p_smooth").drop("sm")
     if kind == "rdf":

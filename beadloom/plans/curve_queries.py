@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import curves as C
 from ..operators import histograms as H
+from ..session import cut_lineage
 from .fixtures import SQL_FIXTURES
 from .registry import query, r
 
@@ -306,7 +307,7 @@ def _(t):
 
 @query("st11_distribution_smoothing")
 def _(t):
-    c = t.curves.select("curve_id", "i", "x", "p")
+    c = cut_lineage(t.curves.select("curve_id", "i", "x", "p"))
     out = None
     for n, kind in enumerate(("bond", "angle", "dihedral", "rdf")):
         part = C.smooth_distributions(c.where(f"curve_id % 4 = {n}"), kind).select("curve_id", F.lit(kind).alias("kind"), "i", "x", "p", "p_smooth")

@@ -4,7 +4,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from beadloom.operators import matching
+from beadloom.operators import curves, matching
 from beadloom.operators.bonds import atom_bonds_to_bead_bonds
 from beadloom.plans.fixtures import Inputs
 from beadloom.sources import curve_files, tables
@@ -109,3 +109,10 @@ def test_bonds_of_a_frame_are_not_gathered_by_its_size(spark, tmp_path, monkeypa
     assert ["frame", "_blocks"] in sent
     got = {side: sorted(map(tuple, tables.read_reaction_frames(spark, str(tmp_path / "frames"), side).collect())) for side in ("bonds_before", "bonds_after")}
     assert got == {"bonds_before": [(1, 1, 1, 2), (1, 2, 2, 3)], "bonds_after": [(1, 1, 1, 2)]}
+
+
+def test_curves_are_smoothed_once_for_all_readers(spark):
+    rows = spark.range(6).select(F.lit(1).cast("long").alias("curve_id"), F.col("id").alias("i"), F.col("id").cast("double").alias("x"), F.lit(0.2).alias("p"))
+    for kind in ("bond", "angle", "dihedral", "rdf"):
+        plan = plan_of(curves.smooth_distributions(rows, kind))
+        assert "Generate" not in plan and "Range" not in plan
