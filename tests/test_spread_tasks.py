@@ -4,7 +4,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from beadloom.operators import curves, matching
+from beadloom.operators import curves, graph, matching, ordered
 from beadloom.operators.bonds import atom_bonds_to_bead_bonds
 from beadloom.plans.fixtures import Inputs
 from beadloom.sources import curve_files, tables
@@ -116,3 +116,38 @@ def test_curves_are_smoothed_once_for_all_readers(spark):
     for kind in ("bond", "angle", "dihedral", "rdf"):
         plan = plan_of(curves.smooth_distributions(rows, kind))
         assert "Generate" not in plan and "Range" not in plan
+
+
+def test_atoms_are_numbered_without_columns_that_make_no_difference(spark, tmp_path):
+    lineitem(spark, tmp_path)
+    from beadloom.plans import fixtures
+
+    columns, plain = [], fixtures.keyed_row_number
+    fixtures.keyed_row_number = lambda df, *rest: columns.extend(df.columns) or plain(df, *rest)
+    try:
+        assert Inputs(spark, str(tmp_path)).atoms.count() == 4
+    finally:
+        fixtures.keyed_row_number = plain
+    assert set(columns) == {"l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"}
+
+
+def test_numbers_of_hot_and_other_keys_match_a_plain_window(spark):
+    rows = [(1, k % 5, k) for k in range(300)] + [(k, k % 3, k) for k in range(2, 900)] + [(5, 1, 7), (None, 1, 1), (6, None, 2)]
+    df = spark.createDataFrame(rows, "g long, b long, o long")
+    got = ordered.keyed_row_number(df, "g", F.col("b"), ["o"], "n")
+    seen, want = {}, []
+    for g, b, o in sorted(r for r in rows if None not in r):
+        seen[g] = seen.get(g, 0) + 1
+        want.append((g, b, o, seen[g]))
+    assert sorted((r.g, r.b, r.o, r.n) for r in got.collect()) == want
+
+
+def test_unwrapping_takes_plain_ids_and_bonds_listed_twice(spark):
+    atoms = spark.createDataFrame([(1, 9.5, 0.0, 0.0), (2, 0.5, 0.0, 0.0), (3, 1.5, 9.5, 0.0), (4, 5.0, 5.0, 5.0)], "atom_id long, x double, y double, z double")
+    bonds = spark.createDataFrame([(1, 2), (2, 1), (1, 2), (2, 3)], "a1 long, a2 long")
+    assert dict(graph._image_edges(atoms, bonds, [], 10.0).dtypes)["u"] == "bigint"
+    out = graph.unwrap_molecules(atoms, bonds, [], 10.0)
+    assert sorted((r.atom_id, r.molecule, r.x, r.y, r.z) for r in out.collect()) == [
+        (1, 1, 9.5, 0.0, 0.0), (2, 1, 10.5, 0.0, 0.0), (3, 1, 11.5, -0.5, 0.0), (4, 4, 5.0, 5.0, 5.0)]
+    framed = graph.unwrap_molecules(atoms.withColumn("frame", F.lit(7)), bonds.withColumn("frame", F.lit(7)), ["frame"], 10.0)
+    assert sorted((r.atom_id, r.molecule, r.x) for r in framed.collect()) == [(1, 1, 9.5), (2, 1, 10.5), (3, 1, 11.5), (4, 4, 5.0)]
