@@ -36,9 +36,9 @@ def bucketed_row_number(df: DataFrame, keys: list[str], bucket, order: list, nam
 def keyed_row_number(df: DataFrame, key: str, bucket, order: list, name: str) -> DataFrame:
     """``bucketed_row_number`` for one key, with a single shuffle of the rows: only keys with more than 1/512 of them are cut into buckets.
 
-    ``df`` is read three times, so it should be a table. Rows without a key or a bucket are left out there and here.
+    ``df`` is read three times, so it should be a table. Rows without a key are left out, as are those without a bucket, which are counted first.
     """
-    tagged = df.withColumn("_bucket", bucket).where(F.col(key).isNotNull() & F.col("_bucket").isNotNull())
+    tagged = df.withColumn("_bucket", bucket).where(F.col(key).isNotNull())
     hot = F.broadcast(hot_keys(tagged, key))
     sizes = tagged.select(key, "_bucket").join(hot, F.col(key) == F.col("_hk")).groupBy("_hk", "_bucket").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.partitionBy("_hk").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a few buckets of fewer than 512 keys
@@ -47,7 +47,7 @@ def keyed_row_number(df: DataFrame, key: str, bucket, order: list, name: str) ->
     inner = Window.partitionBy(key, "_cut").orderBy("_bucket", *order)
     numbered = cut.withColumn("_in_bucket", F.row_number().over(inner))
     return (
-        numbered.join(F.broadcast(offsets), (F.col(key) == F.col("_k")) & (F.col("_cut") == F.col("_b")), "left")
+        numbered.where("_bucket IS NOT NULL").join(F.broadcast(offsets), (F.col(key) == F.col("_k")) & (F.col("_cut") == F.col("_b")), "left")
         .withColumn(name, F.col("_in_bucket") + F.coalesce("_before", F.lit(0)))
         .drop("_bucket", "_in_bucket", "_before", "_cut", "_k", "_b")
     )

@@ -132,14 +132,16 @@ def test_atoms_are_numbered_without_columns_that_make_no_difference(spark, tmp_p
 
 
 def test_numbers_of_hot_and_other_keys_match_a_plain_window(spark):
-    rows = [(1, k % 5, k) for k in range(300)] + [(k, k % 3, k) for k in range(2, 900)] + [(5, 1, 7), (None, 1, 1), (6, None, 2)]
+    rows = [(1, k % 5, k) for k in range(300)] + [(k, k % 3, k) for k in range(2, 900)] + [(5, 1, 7), (None, 1, 1), (6, None, 2), (1, None, 3)]
     df = spark.createDataFrame(rows, "g long, b long, o long")
     got = ordered.keyed_row_number(df, "g", F.col("b"), ["o"], "n")
     seen, want = {}, []
-    for g, b, o in sorted(r for r in rows if None not in r):
+    for g, b, o in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2])):
         seen[g] = seen.get(g, 0) + 1
-        want.append((g, b, o, seen[g]))
+        want += [(g, b, o, seen[g])] if b is not None else []
     assert sorted((r.g, r.b, r.o, r.n) for r in got.collect()) == want
+    plain = ordered.bucketed_row_number(df, ["g"], F.col("b"), ["o"], "n")
+    assert sorted((r.g, r.b, r.o, r.n) for r in plain.collect()) == want
 
 
 def test_unwrapping_takes_plain_ids_and_bonds_listed_twice(spark):
