@@ -12,6 +12,8 @@ from ..functions.kernels import col
 from ..session import cut_lineage, shuffled
 from .histograms import goodness_of_fit
 
+SOLVE_POINTS = 1 << 16
+
 
 def lj_energy(x, sigma, epsilon) -> Column:
     s6 = F.pow(col(sigma) / col(x), F.lit(6.0))
@@ -253,40 +255,46 @@ def lj_search(tables: DataFrame, keys=("table_id",), n_left: int = 6, n_right: i
 def _curvature(xs: pd.Series, ys: pd.Series) -> pd.Series:
     """Second derivatives at the knots of the cubic spline whose third derivative goes on over the second knot from each end.
 
-    A tridiagonal system per curve, solved for all curves of one length at once. Four knots or more.
+    A tridiagonal system per curve, solved for many curves of one length at once: as many as ``SOLVE_POINTS`` allows, so that memory
+    does not grow with the curves of a batch. Four knots or more.
     """
     out, sizes = [None] * len(xs), xs.map(len).to_numpy()
     for n in np.unique(sizes):
         rows = np.flatnonzero(sizes == n)
-        if n < 4:
-            for k in rows:
-                out[k] = np.zeros(n)
-            continue
-        x, y = (np.stack(v.iloc[rows].to_list()) for v in (xs, ys))
-        h = np.diff(x)
-        d = np.diff(y) / h
-        low, mid, up = h[:, :-1].copy(), 2 * (h[:, :-1] + h[:, 1:]), h[:, 1:].copy()
-        right = 6 * np.diff(d)
-        a, b = h[:, 0] / h[:, 1], h[:, -1] / h[:, -2]
-        mid[:, 0] += h[:, 0] * (1 + a)
-        up[:, 0] -= h[:, 0] * a
-        mid[:, -1] += h[:, -1] * (1 + b)
-        low[:, -1] -= h[:, -1] * b
-        for k in range(1, n - 2):
-            w = low[:, k] / mid[:, k - 1]
-            mid[:, k] -= w * up[:, k - 1]
-            right[:, k] -= w * right[:, k - 1]
-        m = np.zeros((len(rows), n))
-        m[:, n - 2] = right[:, -1] / mid[:, -1]
-        for k in range(n - 4, -1, -1):
-            m[:, k + 1] = (right[:, k] - up[:, k] * m[:, k + 2]) / mid[:, k]
-        m[:, 0] = (1 + a) * m[:, 1] - a * m[:, 2]
-        m[:, -1] = (1 + b) * m[:, -2] - b * m[:, -3]
-        for k, own in zip(rows, m):
-            out[k] = own
+        step = max(1, SOLVE_POINTS // max(1, n))
+        for lo in range(0, len(rows), step):
+            own = rows[lo : lo + step]
+            m = np.zeros((len(own), n))
+            if n >= 4:
+                _solve(*(np.stack(v.iloc[own].to_list()) for v in (xs, ys)), m)
+            for k, one in zip(own, m):
+                out[k] = one
     return pd.Series(out)
 
 
+def _solve(x: np.ndarray, y: np.ndarray, m: np.ndarray) -> None:
+    """Fills ``m`` with the second derivatives of the curves in the rows of x and y."""
+    n = x.shape[1]
+    h = np.diff(x)
+    d = np.diff(y) / h
+    low, mid, up = h[:, :-1].copy(), 2 * (h[:, :-1] + h[:, 1:]), h[:, 1:].copy()
+    right = 6 * np.diff(d)
+    a, b = h[:, 0] / h[:, 1], h[:, -1] / h[:, -2]
+    mid[:, 0] += h[:, 0] * (1 + a)
+    up[:, 0] -= h[:, 0] * a
+    mid[:, -1] += h[:, -1] * (1 + b)
+    low[:, -1] -= h[:, -1] * b
+    for k in range(1, n - 2):
+        w = low[:, k] / mid[:, k - 1]
+        mid[:, k] -= w * up[:, k - 1]
+        right[:, k] -= w * right[:, k - 1]
+    m[:, n - 2] = right[:, -1] / mid[:, -1]
+    for k in range(n - 4, -1, -1):
+        m[:, k + 1] = (right[:, k] - up[:, k] * m[:, k + 2]) / mid[:, k]
+    m[:, 0] = (1 + a) * m[:, 1] - a * m[:, 2]
+    m[:, -1] = (1 + b) * m[:, -2] - b * m[:, -3]
+
+
 def spline_intervals(curves: DataFrame, keys: list[str], value: str) -> DataFrame:
     """The cubic spline through each curve, one row per interval: (keys, k, n, x0, x1, y0, y1, m0, m1), m the second derivatives.
 
