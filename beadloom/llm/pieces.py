@@ -29,7 +29,8 @@ from . import text as X
 BLANK = "▁"
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 UNIGRAM, MERGES = 1, 2
-CHUNK = 2 << 20
+CHUNK = 1 << 20
+PART = 1 << 16
 _NEVER = 1 << 30
 
 
@@ -316,7 +317,11 @@ class Transducer:
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
         """Texts of id lists; bytes that are not UTF-8 become U+FFFD."""
         size = self.spell_len[ids]
-        data = self.spell[np.repeat(self.spell_at[ids], size) + X.expand(size)].tobytes()
+        parts = []
+        for lo in range(0, len(ids), PART):  # an index for every byte is eight times the text
+            own = size[lo : lo + PART]
+            parts.append(self.spell[np.repeat(self.spell_at[ids[lo : lo + PART]], own) + X.expand(own)].tobytes())
+        data = b"".join(parts)
         total = np.concatenate([[0], np.cumsum(size)])[offsets]
         skip = 1 if self.prefix else 0
         return [data[a + (skip and data[a : a + 1] == b" ") : b].decode("utf-8", "replace") if b > a else "" for a, b in zip(total[:-1].tolist(), total[1:].tolist(), strict=True)]
@@ -345,7 +350,9 @@ def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
         for batch in X.chunks(batches, limit=CHUNK):
             ids, offsets = fst.encode(batch.column("text"))
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "ids": lists, "n_tokens": np.diff(offsets), "decoded": pa.array(fst.decode(ids, offsets), pa.string())})
+            out = {"doc_id": batch.column("doc_id"), "ids": lists, "n_tokens": np.diff(offsets), "decoded": pa.array(fst.decode(ids, offsets), pa.string())}
+            del batch
+            yield pa.RecordBatch.from_pydict(out)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, decoded string")
 

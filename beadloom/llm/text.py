@@ -48,6 +48,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             end = max(start + 1, int(np.searchsorted(total, before + limit, side="right")))
             yield batch.slice(start, end - start)
             start = end
+        del batch  # else two of them are held while the next is read
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -133,13 +134,21 @@ def signed(x: np.ndarray) -> np.ndarray:
 class Units:
     """Ids of byte spans, worked out once for each distinct span and kept for later batches, up to a number of ids."""
 
-    def __init__(self, limit: int = 4_000_000, slice_: int = 16_384):
+    def __init__(self, limit: int = 2_000_000, slice_: int = 16_384):
         self.limit, self.slice = limit, slice_
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int32)
-        self.size, self.at = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.size, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.ids, self.used = np.zeros(1 << 16, np.int32), 0
+
+    def _keep(self, ids: np.ndarray) -> None:
+        if self.used + len(ids) > len(self.ids):
+            room = np.zeros(max(self.used + len(ids), len(self.ids) * 3 // 2), np.int32)
+            room[: self.used] = self.ids[: self.used]
+            self.ids = room
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
 
     def spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, work_out) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all spans one after the other, and how many each has.
@@ -147,20 +156,25 @@ class Units:
         ``work_out(data, starts, ends)`` gives the ids of distinct spans and their n + 1 offsets.
         """
         hashes, first, inverse = np.unique(hash_spans(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.ids) > self.limit:
+        if self.used > self.limit:
             self._forget()
-        at = np.minimum(np.searchsorted(self.keys, hashes), max(0, len(self.keys) - 1))
-        fresh = np.flatnonzero(self.keys[at] != hashes) if len(self.keys) else np.arange(len(hashes))
-        fresh = fresh[np.argsort((ends - starts)[first[fresh]], kind="stable")]
+        place = np.searchsorted(self.keys, hashes)
+        fresh = np.arange(len(hashes))
+        if len(self.keys):
+            fresh = np.flatnonzero(self.keys[np.minimum(place, len(self.keys) - 1)] != hashes)
         if len(fresh):
-            parts = np.array_split(fresh, len(fresh) // self.slice + 1)
-            found = [work_out(data, starts[first[part]], ends[first[part]]) for part in parts]
-            sizes = np.concatenate([np.diff(f[1]) for f in found])
-            begin = len(self.ids) + np.cumsum(sizes) - sizes
-            keys = np.concatenate([self.keys, hashes[fresh]])
-            order = np.argsort(keys, kind="stable")
-            self.keys, self.size, self.at = keys[order], np.concatenate([self.size, sizes])[order], np.concatenate([self.at, begin])[order]
-            self.ids = np.concatenate([self.ids, *(f[0].astype(np.int32) for f in found)])
+            turn = np.argsort((ends - starts)[first[fresh]], kind="stable")
+            size, at = np.zeros(len(fresh), np.int32), np.zeros(len(fresh), np.int32)
+            for part in np.array_split(turn, len(fresh) // self.slice + 1):
+                own = first[fresh[part]]
+                ids, offsets = work_out(data, starts[own], ends[own])
+                size[part], at[part] = np.diff(offsets), self.used + offsets[:-1]
+                self._keep(ids)
+            place = place[fresh]  # both sides are in order, so the new keys need no sort
+            self.keys = np.insert(self.keys, place, hashes[fresh])
+            self.size, self.at = np.insert(self.size, place, size), np.insert(self.at, place, at)
         unit = np.searchsorted(self.keys, hashes)[inverse]
-        count = self.size[unit]
-        return self.ids[np.repeat(self.at[unit], count) + expand(count)], count
+        count = self.size[unit].astype(np.int64)
+        where = np.repeat(self.at[unit] - (np.cumsum(count) - count), count)
+        where += np.arange(len(where))
+        return self.ids[where], count
