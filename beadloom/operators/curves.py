@@ -6,10 +6,11 @@ arrays per curve are bounded; the number of curves is what grows.
 
 from __future__ import annotations
 
-import json
 import math
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -265,11 +266,6 @@ def gaussian_smooth(values, sigma: float, periodic: bool = False) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), at)
 
 
-def _constant(value, kind: str) -> Column:
-    """A nested constant as one expression instead of one per number."""
-    return F.from_json(F.lit(json.dumps(value)), F.lit(kind))
-
-
 def savgol_matrix(window: int, order: int) -> list[list[float]]:
     """Rows of the polynomial projection: the middle one smooths, the others serve the ends."""
     t = np.arange(window) - (window - 1) / 2.0
@@ -533,7 +529,7 @@ def sweep_smoothing(curves: DataFrame, kind: str = "bond", base_window: int = 7,
     """Best parameters per curve out of the whole grid, scored by ``smoothing_quality``.
 
     Every distinct (window, order) is smoothed once per curve; the grid points pick
-    from those arrays by zone.
+    from those arrays by zone. All tries of a curve are scored together (``best_try``).
     """
     g = grid or SWEEP
     k = list(keys)
@@ -541,33 +537,126 @@ def sweep_smoothing(curves: DataFrame, kind: str = "bond", base_window: int = 7,
     peaks = detect_peaks(prepared, "p", keys)
     widths = peak_width(prepared, peaks, keys)
     wins = {(odd_window(int(f * base_window), o), o) for f in g["small"] + g["large"] for o in g["order"]}
-    names = {wo: f"s_{wo[0]}_{wo[1]}" for wo in sorted(wins)}
-    order_of = {wo: k for k, wo in enumerate(names)}
-    # A few curves make much work: spread them whatever their size in bytes, no more than a task can sort the tries of in memory.
+    order_of = {wo: place for place, wo in enumerate(sorted(wins))}
+    matrices = [(w, np.array(savgol_matrix(w, o))) for w, o in order_of]
+    # A few curves make much work: spread them whatever their size in bytes.
     prepared = cut_lineage(prepared)
     n_curves = prepared.select(*k).distinct().count()
     parts = max(
         int(curves.sparkSession.conf.get("spark.sql.shuffle.partitions")), curves.sparkSession.sparkContext.defaultParallelism, -(-n_curves // SWEEP_CURVES))
     arrays = to_arrays(prepared, keys).repartition(parts, *k)
-    for (w, o), name in names.items():
-        arrays = arrays.withColumn(name, savgol_smooth("ps", w, o))
-    long = from_arrays(arrays, ["ps", *names.values()], keys).withColumnRenamed("ps", "p")
+    long = from_arrays(arrays, ["ps"], keys).withColumnRenamed("ps", "p")
     long = shuffled(long).join(prepared.select(*k, "i", "i_start", "i_end"), [*k, "i"])
     for n, f in enumerate(g["width"]):
         long = with_zones(long, peaks, widths, kind, f, keys).withColumnRenamed("zone", f"zone_{n}")
-    picks = _constant([
-        {"small": a, "large": b, "order": o, "peak_factor": f, "_z": n,
-         "_s": order_of[(odd_window(int(a * base_window), o), o)], "_l": order_of[(odd_window(int(b * base_window), o), o)]}
-        for a in g["small"] for b in g["large"] for o in g["order"] for n, f in enumerate(g["width"])
-    ], "array<struct<small:double,large:double,order:int,peak_factor:double,_z:int,_s:int,_l:int>>")
-    tk = [*k, "small", "large", "order", "peak_factor"]
+    tk = ["small", "large", "order", "peak_factor"]
+    tries = sorted({
+        (float(a), float(b), int(o), float(f), n, order_of[(odd_window(int(a * base_window), o), o)], order_of[(odd_window(int(b * base_window), o), o)])
+        for a in g["small"] for b in g["large"] for o in g["order"] for n, f in enumerate(g["width"])})
+    tries = sorted({t[4:]: t for t in reversed(tries)}.values())  # of tries with the same windows and zones the first one wins
     packed = long.select(
-        *k, "i", "x", "p", "i_start", "i_end", F.array(*[f"zone_{n}" for n in range(len(g["width"]))]).alias("_zs"), F.array(*names.values()).alias("_vs"))
-    # The tries are never stored or shuffled: all of a curve are made where its row is, once for each reader.
-    spread = cut_lineage(packed).repartition(parts, *k).select("*", F.inline(picks)).withColumn("zone", F.get("_zs", F.col("_z")))
-    chosen = F.when(F.col("zone") == 1, F.get("_vs", F.col("_s"))).when(F.col("zone").isin(2, 3), F.get("_vs", F.col("_l"))).otherwise(F.col("p"))
-    tried = spread.select(*k, "i", "x", "p", "i_start", "i_end", "small", "large", "order", "peak_factor", "zone", F.greatest(F.lit(0.0), chosen).alias("ps"))
-    tried = average_zone_borders(tried, "ps", tk)
-    scored = smoothing_quality(tried, "p", "ps", tk, prepared, k)
-    best = scored.groupBy(*k).agg(F.max_by(F.struct(*tk[len(k):], "score"), F.struct("score", *[-F.col(c) for c in tk[len(k):]])).alias("b"))
-    return best.select(*k, "b.*")
+        *k, "i", "x", F.greatest(F.lit(0.0), "p").alias("_p"), F.col("i").between(F.col("i_start"), F.col("i_end")).alias("_in"),
+        F.array(*[f"zone_{n}" for n in range(len(g["width"]))]).alias("_zs"))
+    tops = peaks.groupBy(*k).agg(F.array_sort(F.collect_list(F.struct("rank", "x", "height"))).alias("_pk"))
+    raw = arrays.join(_roughness(prepared, "p", "_raw", k), k).join(tops, k, "left").select(
+        *[F.col(c).alias(c) for c in k], "ps", "_raw", F.col("_pk.rank").alias("_rr"), F.col("_pk.x").alias("_rx"), F.col("_pk.height").alias("_rh"))
+    types = {f.name: f.dataType.simpleString() for f in curves.schema.fields}
+    schema = ", ".join([*[f"`{c}` {types[c]}" for c in k], "small double", "large double", "`order` int", "peak_factor double", "score double"])
+
+    def best(points: pa.Table, of: pa.Table) -> pa.Table:
+        if not points.num_rows:  # a curve without a key
+            return pa.table([pa.array([], f.type) for f in of.select(k).schema] + [pa.array([], t) for t in numbers], [*k, *tk, "score"])
+        score, at = best_try(points, of.to_pylist()[0], tries, matrices)
+        return pa.table([*[of.column(c) for c in k], *[pa.array([v], t) for v, t in zip((*tries[at][:4], score), numbers)]], [*k, *tk, "score"])
+
+    numbers = [pa.int32() if c == "order" else pa.float64() for c in (*tk, "score")]
+    # The tries are never stored or shuffled: all of a curve are made at once, where its rows are.
+    return packed.repartition(parts, *k).groupBy(*k).cogroup(raw.repartition(parts, *k).groupBy(*k)).applyInArrow(best, schema)
+
+
+def _savgol(values: np.ndarray, window: int, matrix: np.ndarray) -> np.ndarray:
+    """``savgol_smooth`` of one curve, added up in the same order."""
+    n = len(values)
+    if n < window:
+        return values
+    start = np.clip(np.arange(n) - window // 2, 0, n - window)
+    rows = matrix[np.arange(n) - start]
+    out = np.zeros(n)
+    for c in range(window):
+        out = out + rows[:, c] * values[start + c]
+    return out
+
+
+def _slopes(v: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """``gradient`` along the last axis; a single point has none."""
+    out = np.full(v.shape, np.nan)
+    if len(x) < 2:
+        return out
+    h = np.diff(x)
+    if not h.all():
+        raise ZeroDivisionError("two points of a curve have the same x")
+    hs, hd = h[:-1], h[1:]
+    out[..., 1:-1] = (hs * hs * v[..., 2:] + (hd * hd - hs * hs) * v[..., 1:-1] - hd * hd * v[..., :-2]) / (hs * hd * (hd + hs))
+    out[..., 0], out[..., -1] = (v[..., 1] - v[..., 0]) / h[0], (v[..., -1] - v[..., -2]) / h[-1]
+    return out
+
+
+def best_try(table: pa.Table, raw: dict, tries: list[tuple], matrices: list[tuple]) -> tuple[float, int]:
+    """Score and place of the best of ``tries`` for the curve in ``table``; of equal scores the first one.
+
+    A try is (small, large, order, factor, place of its zones in _zs, places in ``matrices`` of the filters for peaks and for valleys).
+    All of them are rows of one array: zone by zone values, means at the borders of zones, then the rules of ``smoothing_quality``,
+    for which ``raw`` has the values, the roughness and the peaks of the curve itself. A filter that meets a null gives 0, as a negative value does.
+    """
+    table = table.take(pc.sort_indices(table, sort_keys=[("i", "ascending")]))
+    x, p, inside = (table.column(c).to_numpy() for c in ("x", "_p", "_in"))
+    n = len(x)
+    zone = table.column("_zs").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, -1).T[[t[4] for t in tries]]
+    absent = np.array([u is None for u in raw["ps"]])
+    whole = np.array([0.0 if u is None else u for u in raw["ps"]])
+    smooth = []
+    for window, matrix in matrices:
+        lost = absent if len(whole) < window else _savgol(absent.astype(float), window, np.ones_like(matrix)) > 0
+        smooth.append(np.where(lost, 0.0, np.maximum(0.0, _savgol(whole, window, matrix)))[table.column("i").to_numpy()])
+    smooth = np.array(smooth)
+    near, far = smooth[[t[5] for t in tries]], smooth[[t[6] for t in tries]]
+    v = np.where(zone == 1, near, np.where((zone == 2) | (zone == 3), far, p))
+    turn = np.zeros(zone.shape, bool)
+    turn[:, 1:] = zone[:, 1:] != zone[:, :-1]
+    edge = turn[:, 1:-1] | turn[:, :-2] | turn[:, 2:]
+    v[:, 1:-1] = np.where(edge, (v[:, :-2] + v[:, 1:-1] + v[:, 2:]) / 3.0, v[:, 1:-1])
+    bend = _slopes(_slopes(-_slopes(-KT * np.log(np.maximum(v, 1e-15)), x), x), x)
+    second = x[table.column("i").to_numpy() == 1]
+    step = second.max() - x.min() if len(second) else np.nan
+    known = inside & ~np.isnan(bend)
+    # cumsum adds in the order of the grid, as equal curves are to get equal scores
+    rough = np.where(known.any(axis=1), np.cumsum(np.where(known, bend * bend, 0.0), axis=1)[:, -1] * step, np.nan)
+    slope = _slopes(v, x)
+    hit = np.zeros(v.shape, bool)
+    hit[:, :-1] = (slope[:, :-1] > 0) & (slope[:, 1:] <= 0)
+    hit &= v >= MIN_HEIGHT * v.max(axis=1, keepdims=True)
+    for t in np.flatnonzero(hit.sum(axis=1) > MAX_PEAKS):
+        at = np.flatnonzero(hit[t])
+        hit[t, at[np.lexsort((-at, -v[t, at]))[MAX_PEAKS:]]] = False
+    rank = np.cumsum(hit, axis=1)
+    found = hit.any(axis=1)
+    ranks, xs, heights = (raw[c] or [] for c in ("_rr", "_rx", "_rh"))
+    away, off, n_off = np.zeros(len(v)), np.zeros(len(v)), np.zeros(len(v))
+    for r, px, height in zip(ranks, xs, heights):
+        away += np.where(found, np.where(hit, np.abs(x - px), np.inf).min(axis=1), 0.0)
+        own = hit & (rank == r)
+        paired = own.any(axis=1) & (height > 0)
+        if height > 0:
+            off += np.where(paired, np.abs(np.where(own, v, 0.0).sum(axis=1) - height) / height, 0.0)
+        n_off += paired
+    if ranks:
+        apart = np.nan_to_num(away / len(ranks) / step)
+        unlike = np.divide(off, n_off, out=np.zeros(len(v)), where=n_off > 0)
+        position, likeness = (np.where(found, 1.0 / (1.0 + e), 0.5) for e in (apart, unlike))
+    else:
+        position = likeness = np.ones(len(v))
+    total = (np.nan if raw["_raw"] is None else raw["_raw"]) + rough
+    force = np.divide(raw["_raw"] or 0.0, total, out=np.ones(len(v)), where=total > 0)
+    score = sum((s * w for s, w in zip((position, force, likeness), (WEIGHTS[c] for c in ("position", "force", "height")))), np.zeros(len(v)))
+    at = int(score.argmax())
+    return float(score[at]), at
