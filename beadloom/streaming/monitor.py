@@ -56,17 +56,23 @@ def append_sink(path: str) -> Callable[[DataFrame, int], None]:
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+#: A store is open for every partition that an executor has; unbounded, each of them may hold write buffers of 64 MB beside the heap.
+BOUNDS = {"boundedMemoryUsage": "true", "maxMemoryUsageMB": "256"}
 
 
 @contextmanager
 def keyed_state(spark: SparkSession) -> Iterator[None]:
     """State of several kinds per key needs this store; queries started inside use it."""
-    before = spark.conf.get(STATE_STORE, None)
-    spark.conf.set(STATE_STORE, ROCKS)
+    wanted = {STATE_STORE: ROCKS} | {f"spark.sql.streaming.stateStore.rocksdb.{k}": v for k, v in BOUNDS.items()}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        if k == STATE_STORE or before[k] is None:  # bounds that the cluster has set stay
+            spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(STATE_STORE, before) if before else spark.conf.unset(STATE_STORE)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
 
 
 class _RunState(StatefulProcessor):
@@ -126,41 +132,83 @@ class _BondMonitor(_RunState):
         self.bonds.clear()
         self.seen.clear()
 
-    def _slot(self, bonds: pd.DataFrame) -> np.ndarray:
-        lo, hi = (bonds[c].to_numpy(np.int64).view(np.uint64) for c in ("lo", "hi"))
+    def _slot(self, bonds: np.ndarray) -> np.ndarray:
+        lo, hi = (bonds[k].view(np.uint64) for k in (0, 1))
         mixed = (lo * np.uint64(0x9E3779B97F4A7C15)) ^ (hi * np.uint64(0xC2B2AE3D27D4EB4F))
         return ((mixed >> np.uint64(40)) % np.uint64(self.slots)).astype(np.int64)
 
+    def _arrivals(self, rows: Iterator[pd.DataFrame]) -> tuple[list[int], list[list[np.ndarray]]]:
+        """Timesteps in order, and for each slot the blocks of its bonds (lo, hi, bond_type, timestep) as they came."""
+        steps: set[int] = set()
+        blocks: list[list[np.ndarray]] = [[] for _ in range(self.slots)]
+        ingested = []
+        for some in rows:
+            ingested.append(some["ingested"].max())
+            some = some.dropna(subset=["timestep"])
+            steps.update(some["timestep"].unique().astype(np.int64).tolist())
+            some = some[some["lo"] >= 0]  # heartbeat rows have no bond
+            block = np.stack([some[c].to_numpy(np.int64) for c in (*_BOND, "timestep")])
+            slot = self._slot(block)
+            for k in np.unique(slot).tolist():
+                blocks[k].append(block[:, slot == k])
+        self.stay(pd.DataFrame({"ingested": ingested}))
+        return sorted(steps), blocks
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        arrived = pd.concat(list(rows), ignore_index=True)
-        self.stay(arrived)
-        first = not self.seen.exists()
-        parts = [] if first else [pd.DataFrame(dict(zip(_BOND, value, strict=True)), dtype="int64") for _, value in self.bonds.iterator()]
-        stored = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({c: pd.Series(dtype="int64") for c in _BOND})
-        before = stored
-        for step, group in arrived.groupby("timestep", sort=True):
-            now = group.loc[group["lo"] >= 0, _BOND].drop_duplicates(["lo", "hi"])  # heartbeat rows have no bond
-            if not first:
-                both = before.merge(now, on=["lo", "hi"], how="outer", suffixes=("_b", "_a"), indicator="side")
-                both = both[both["side"] != "both"]
-                made = both["side"] == "right_only"
-                yield pd.DataFrame(
-                    {
-                        "run": key[0], "timestep": step, "lo": both["lo"], "hi": both["hi"],
-                        "bond_type": both["bond_type_a"].where(made, both["bond_type_b"]).astype("int64"), "status": made.map({True: "created", False: "deleted"}),
-                    }
-                )
-            before, first = now, False
-        both = stored.merge(before, on=_BOND, how="outer", indicator="side")
-        touched = np.unique(self._slot(both[both["side"] != "both"]))
-        place = self._slot(before)
-        for slot in touched.tolist():
-            own = before[place == slot]
-            if len(own):
-                self.bonds.updateValue((slot,), tuple(own[c].tolist() for c in _BOND))
+        new = not self.seen.exists()
+        steps, blocks = self._arrivals(rows)
+        changes, n_changes = [], 0
+        for slot in range(self.slots):  # one after the other: what is compared is a share of the bucket
+            value = None if new else self.bonds.getValue((slot,))
+            before = stored = np.zeros((3, 0), np.int64) if value is None else _distinct(np.array(value, np.int64).reshape(3, -1))
+            arrived = np.concatenate([np.zeros((4, 0), np.int64), *blocks[slot]], axis=1)
+            blocks[slot] = []
+            for k, step in enumerate(steps):
+                now = _distinct(arrived[:3, arrived[3] == step])
+                if k or not new:
+                    made, gone = _without(now, before), _without(before, now)
+                    both = np.concatenate([made, gone], axis=1)
+                    changes.append(pd.DataFrame({
+                        "run": key[0], "timestep": step, "lo": both[0], "hi": both[1], "bond_type": both[2],
+                        "status": np.repeat(np.array(["created", "deleted"], object), [made.shape[1], gone.shape[1]]),
+                    }))
+                    n_changes += both.shape[1]
+                before = now
+            if n_changes >= CHANGES_AT_ONCE:
+                yield pd.concat(changes, ignore_index=True)
+                changes, n_changes = [], 0
+            if np.array_equal(stored, before):
+                continue
+            if before.shape[1]:
+                self.bonds.updateValue((slot,), tuple(part.tolist() for part in before))
             else:
                 self.bonds.removeKey((slot,))
-        self.seen.update((int(arrived["timestep"].max()),))
+        if n_changes:
+            yield pd.concat(changes, ignore_index=True)
+        self.seen.update((steps[-1],))
+
+
+#: Rows that the detector hands on together, at the least.
+CHANGES_AT_ONCE = 50_000
+
+
+def _distinct(bonds: np.ndarray) -> np.ndarray:
+    """Bonds (lo, hi, bond_type) in order of their pair; of those with one pair the first that came."""
+    bonds = bonds[:, np.lexsort((bonds[1], bonds[0]))]  # stable
+    again = (bonds[0, 1:] == bonds[0, :-1]) & (bonds[1, 1:] == bonds[1, :-1])
+    return bonds[:, np.concatenate([np.ones(min(1, bonds.shape[1]), bool), ~again])] if again.any() else bonds
+
+
+def _without(bonds: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """``bonds`` whose pair is not among ``others``; both have a pair once."""
+    n = bonds.shape[1]
+    lo, hi = (np.concatenate([bonds[k], others[k]]) for k in (0, 1))
+    order = np.lexsort((hi, lo))  # stable: of equal pairs that of ``bonds`` comes first
+    paired = np.zeros(len(lo), bool)
+    paired[:-1] = (lo[order[1:]] == lo[order[:-1]]) & (hi[order[1:]] == hi[order[:-1]])
+    alone = np.ones(len(lo), bool)
+    alone[order[paired]] = False
+    return bonds[:, alone[:n]]
 
 
 def bond_changes(snapshots: DataFrame, buckets: int = 64, slots: int = 16, idle_ms: int = 6 * 3600 * 1000, delay: str = "1 hour") -> DataFrame:
