@@ -5,6 +5,8 @@ import time
 
 from pyspark.sql import functions as F
 
+from beadloom.operators import graph
+from beadloom.operators import matching as M
 from beadloom.plans import matching_queries
 from beadloom.session import cut_lineage, drop_step, job_dir
 
@@ -56,3 +58,22 @@ def test_bead_bonds_are_stored_before_they_are_read_twice(spark):
     plan = out._jdf.queryExecution().analyzed().toString()
     assert "raise_error" not in plan  # bonds are not mapped to beads again
     out.collect()
+
+
+def test_component_rounds_and_template_steps_keep_only_what_is_read(spark):
+    n = len(steps(spark))
+    bonds = spark.createDataFrame([(k, k + 1) for k in range(40)], "u long, v long")
+    roots = graph.component_roots(bonds)
+    assert roots.select("root").distinct().count() == 1
+    assert len(steps(spark)) == n + 1
+    side = "frame long, bond_type long, a1 long, a2 long"
+    before, after = spark.createDataFrame([(1, 1, 2, 3)], side), spark.createDataFrame([(1, 1, 2, 3), (1, 1, 2, 1)], side)
+    types = spark.createDataFrame([(1, 1, 5), (1, 2, 6), (1, 3, 7)], "frame long, atom_id long, type long")
+    edges = M.typed_edges(before, after, types, types)
+    assert len(steps(spark)) == n + 2
+    atoms = types.select("frame", "atom_id", F.col("type").alias("t0"), F.col("type").alias("t1"))
+    templates = spark.createDataFrame(
+        [("pair", [(1, 2, False, True)], [(1, 5, 5), (2, 6, 6), (3, 7, 7)])], matching_queries.TEMPLATE_SCHEMA)
+    found = M.match_templates(edges, templates, atoms)
+    assert [tuple(r) for r in found.collect()] == [(1, "pair", 1, 2, [1, 2, 3])]
+    assert len(steps(spark)) == n + 3
